@@ -1,0 +1,44 @@
+"""Sequence similarity ratio (the only scalar Python UDF).
+
+There is no built-in Spark equal of a matching-blocks ratio; ``levenshtein``
+is a different measure. The UDF is Arrow-batched (pandas) and uses the
+standard library, with one matcher per distinct query in a batch.
+"""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
+
+
+def ratio_py(a: str, b: str) -> float:
+    """Plain Python twin used by tests."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+@pandas_udf(T.DoubleType())
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    matcher = SequenceMatcher(None)
+    last_b = None
+    # SequenceMatcher caches data about its *second* sequence: keep the
+    # argument order (query, name) and reset seq2 only when it changes.
+    for x, y in zip(a.fillna(""), b.fillna("")):
+        if y != last_b:
+            matcher.set_seq2(y)
+            last_b = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
+    """Ratio in [0, 1] of ``a`` (query) against ``b`` (candidate)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return _sequence_ratio(a, b)
