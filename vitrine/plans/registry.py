@@ -22,6 +22,12 @@ from vitrine.plans import recommend as rec
 from vitrine.plans.bindings import Tables
 from vitrine.plans.compare import comparable
 
+
+def epoch_seconds(c: str):
+    """Seconds since 1970 of a wall-clock timestamp (independent of the
+    session time zone)."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))")
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,9 +191,8 @@ def _reviews_typed(t: Tables) -> DataFrame:
         F.col("l_quantity").cast("bigint").cast("string").alias("votes_up"),
         F.col("l_linestatus").alias("votes_funny"),
         F.col("l_linenumber").cast("string").alias("comment_count"),
-        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("string").alias("timestamp_created"),
-        (F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.col("l_partkey"))
-        .cast("string").alias("timestamp_updated"))
+        epoch_seconds("l_shipdate").cast("string").alias("timestamp_created"),
+        (epoch_seconds("l_shipdate") + F.col("l_partkey")).cast("string").alias("timestamp_updated"))
     return cat.typed_reviews(raw)
 
 
@@ -481,3 +486,372 @@ def _prompt_resolve(t: Tables) -> DataFrame:
           .unionByName(t.t("embeddings").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("qid"),
                                                 F.col("vec_id").cast("string").alias("text"))))
     return search.resolve_prompts(qs, t.serving())
+
+
+# ================================================================= enrichment
+from vitrine.operators import enrich  # noqa: E402
+from vitrine.operators import ingest  # noqa: E402
+from vitrine.operators import quality  # noqa: E402
+
+SUMMARY_TOP, SUMMARY_MIN, SUMMARY_PREV_TOP = 10, 10, 5
+_NL2 = "chr(10) || chr(10)"
+
+_TEXTS = """
+it AS (SELECT source AS item, count(*) AS review_count, upper(source) AS name FROM documents GROUP BY source),
+en AS (SELECT source AS item, doc_id, text, n_chars FROM documents WHERE lang = 'en')"""
+
+
+def _corpus_sql(top: int) -> str:
+    return f"""
+tg{top} AS (SELECT item, row_number() OVER (ORDER BY review_count DESC, item) AS target_rank
+          FROM it WHERE review_count >= {SUMMARY_MIN} QUALIFY target_rank <= {top}),
+best{top} AS (SELECT item, text, row_number() OVER (PARTITION BY item ORDER BY n_chars DESC, doc_id DESC, doc_id) AS rn
+            FROM en WHERE text IS NOT NULL AND item IN (SELECT item FROM tg{top})),
+corpus{top} AS (
+  SELECT b.item, coalesce(it.name, 'item=' || b.item) AS name,
+         left(string_agg(b.text, {_NL2} ORDER BY b.rn), 12000) AS corpus,
+         count(*) AS n_reviews_used, coalesce(it.review_count, count(*)) AS n_reviews_total
+  FROM best{top} b LEFT JOIN it ON b.item = it.item
+  WHERE b.rn <= 80 GROUP BY b.item, it.name, it.review_count)"""
+
+
+def _corpus(t: Tables, top: int = SUMMARY_TOP, done: DataFrame | None = None) -> DataFrame:
+    return enrich.summary_corpus(t.review_texts(), t.text_items(), done, top, SUMMARY_MIN, key="item")
+
+
+@register("summary_corpus", f"WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)} SELECT * FROM corpus{SUMMARY_TOP}")
+def _summary_corpus(t: Tables) -> DataFrame:
+    return _corpus(t)
+
+
+@register("summary_pending", f"""
+WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)},{_corpus_sql(SUMMARY_PREV_TOP)}
+SELECT item, target_rank FROM tg{SUMMARY_TOP}
+WHERE item NOT IN (SELECT item FROM corpus{SUMMARY_PREV_TOP}) AND item IN (SELECT item FROM en)""")
+def _summary_pending(t: Tables) -> DataFrame:
+    eng = enrich.english_only(t.review_texts())
+    targets = enrich.popular_targets(t.text_items(), SUMMARY_MIN, SUMMARY_TOP, "item")
+    done = _corpus(t, SUMMARY_PREV_TOP)
+    return enrich.pending_targets(targets, done, eng, "item").select("item", "target_rank")
+
+
+def _sql_text(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+@register("summary_prompt", f"""
+WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)}
+SELECT item, n_reviews_used,
+       {_sql_text('<system>' + chr(10) + enrich.SUMMARY_SYSTEM + chr(10) + '</system>' + chr(10) + '<user>' + chr(10) + 'Summarise the reviews of ')}
+       || name || {_sql_text(enrich.SUMMARY_TEMPLATE.split('{name}')[1].split('{corpus}')[0])}
+       || corpus || {_sql_text(chr(10) + '</user>')} AS prompt
+FROM corpus{SUMMARY_TOP}""")
+def _summary_prompt(t: Tables) -> DataFrame:
+    return enrich.summary_prompt(_corpus(t)).select("item", "n_reviews_used", "prompt")
+
+
+ALIAS_TOP, ALIAS_MIN = 200, 5
+
+
+@register("alias_prompt", f"""
+WITH {_APPS}
+SELECT appid, prompt FROM (
+  SELECT appid, row_number() OVER (ORDER BY review_count DESC, appid) AS target_rank,
+    'Give up to 6 short search aliases players type for this product, as JSON {{"aliases": [...]}}.' || chr(10)
+    || 'Name: ' || coalesce(trim(name), '') || chr(10)
+    || 'Description: ' || left(coalesce(short_description, ''), 6000) || chr(10)
+    || 'Genres: ' || left(coalesce(array_to_string(list_filter(list_transform(genres, lambda x: trim(x)), lambda x: x <> ''), ', '), ''), 500) || chr(10)
+    || 'Extra: ' AS prompt
+  FROM stats WHERE review_count >= {ALIAS_MIN} AND trim(name) <> ''
+  QUALIFY target_rank <= {ALIAS_TOP})""")
+def _alias_prompt(t: Tables) -> DataFrame:
+    targets = enrich.popular_targets(t.apps_with_stats(), ALIAS_MIN, ALIAS_TOP)
+    return enrich.alias_prompt(targets).select("appid", "prompt")
+
+
+# responses derived from part rows: valid JSON with noise, no JSON, broken
+# JSON and a non-list field, chosen by part type
+_RESP_SQL = """
+resp AS (
+  SELECT p_partkey AS appid, p_name AS name,
+    CASE p_type
+      WHEN 'SMALL' THEN 'no json here'
+      WHEN 'LARGE' THEN 'Aliases: {"aliases": ["' || p_name || '", '
+      WHEN 'MEDIUM' THEN '{"aliases": "' || p_name || '"}'
+      ELSE 'Sure!' || chr(10) || '{"aliases": ["' || p_name || '", "' || upper(p_brand) || '", "'
+           || p_type || ' ' || p_name || '", "Best ' || p_name || '", "' || p_brand || p_type || '", "'
+           || p_name || ' ' || p_name || ' ' || p_name || '", "' || p_brand || ' ' || CAST(p_size AS VARCHAR)
+           || '", "' || lower(p_brand) || ' ' || CAST(p_size AS VARCHAR) || '", "  ", "' || lower(p_name) || '!", "'
+           || 'the ' || replace(p_name, ' ', '-') || '", "' || 'x/' || p_type || '"]}' || chr(10) || 'Done.'
+    END AS response
+  FROM part)"""
+
+
+def _responses(t: Tables) -> DataFrame:
+    p = t.t("part")
+    n, b, ty, sz = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
+    good = F.concat(
+        F.lit('Sure!\n{"aliases": ["'), n, F.lit('", "'), F.upper(b), F.lit('", "'),
+        ty, F.lit(" "), n, F.lit('", "Best '), n, F.lit('", "'), b, ty, F.lit('", "'),
+        n, F.lit(" "), n, F.lit(" "), n, F.lit('", "'), b, F.lit(" "), sz,
+        F.lit('", "'), F.lower(b), F.lit(" "), sz, F.lit('", "  ", "'), F.lower(n), F.lit('!", "'),
+        F.lit("the "), F.regexp_replace(n, " ", "-"), F.lit('", "'), F.lit("x/"), ty, F.lit('"]}\nDone.'))
+    resp = (F.when(ty == "SMALL", F.lit("no json here"))
+            .when(ty == "LARGE", F.concat(F.lit('Aliases: {"aliases": ["'), n, F.lit('", ')))
+            .when(ty == "MEDIUM", F.concat(F.lit('{"aliases": "'), n, F.lit('"}')))
+            .otherwise(good))
+    return p.select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), resp.alias("response"))
+
+
+_PARSED_SQL = """
+parsed AS (
+  SELECT appid, name,
+    coalesce(CASE WHEN regexp_matches(response, '(?s)\\{.*\\}')
+                  THEN TRY_CAST(json_extract(regexp_extract(response, '(?s)(\\{.*\\})', 1), '$.aliases') AS VARCHAR[]) END,
+             []::VARCHAR[]) AS raw
+  FROM resp)"""
+
+
+@register("alias_parse", f"""
+WITH {_RESP_SQL},{_PARSED_SQL}
+SELECT appid, len(raw) AS n_raw, array_to_string(raw, '|') AS raw_aliases FROM parsed""")
+def _alias_parse(t: Tables) -> DataFrame:
+    from vitrine.functions.text import aliases_from_response
+    r = _responses(t).withColumn("raw", aliases_from_response("response"))
+    return r.select("appid", F.size("raw").cast("bigint").alias("n_raw"),
+                    F.col("raw").alias("raw_aliases"))
+
+
+def _norm_sql(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(trim({x}), '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')"
+    s = f"lower({s})"
+    s = f"regexp_replace({s}, '[-_/]+', ' ', 'g')"
+    s = f"regexp_replace({s}, '[^a-z0-9\\s+]', '', 'g')"
+    s = f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+    return s
+
+
+_BANNED_SQL = " OR ".join(f"contains(p.norm, '{w}')" for w in
+                          ["award", "awardwinning", "award-winning", "innovative", "masterpiece",
+                           "ultimate", "best"])
+
+
+@register("alias_clean", f"""
+WITH {_RESP_SQL},{_PARSED_SQL},
+pairs AS (
+  SELECT appid, name, lower(trim(coalesce(name, ''))) AS orig,
+         list_transform(raw, lambda a: {{'raw': trim(a), 'norm': {_norm_sql('a')}}}) AS prs
+  FROM parsed),
+kept AS (
+  SELECT appid, name,
+    list_transform(list_filter(prs, lambda p: p.raw IS NOT NULL AND p.raw <> ''
+        AND NOT (orig <> '' AND lower(p.raw) = orig)
+        AND NOT (orig <> '' AND {_norm_sql('orig')} = p.norm)
+        AND NOT (p.norm = '' OR length(p.norm) > 32 OR len(string_split(p.norm, ' ')) > 5
+                 OR regexp_matches(p.raw, '[a-z][A-Z]')
+                 OR (NOT contains(p.norm, ' ') AND length(p.norm) >= 10)
+                 OR {_BANNED_SQL})), lambda p: p.norm) AS norms
+  FROM pairs),
+dedup AS (
+  SELECT appid, name, list_slice(list_filter(norms, lambda x, i: list_position(norms, x) = i), 1, 6) AS aliases
+  FROM kept)
+SELECT appid, name, array_to_string(aliases, '|') AS aliases, array_to_string(aliases, '; ') AS alias_text
+FROM dedup""")
+def _alias_clean(t: Tables) -> DataFrame:
+    return enrich.alias_result(_responses(t)).select("appid", "name", "aliases", "alias_text")
+
+
+# ================================================================= summaries
+@register("summary_lookup", f"""
+WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)}
+SELECT item, name, corpus AS summary, n_reviews_used, n_reviews_total FROM corpus{SUMMARY_TOP}
+WHERE contains(lower(name), 'src1')
+ORDER BY n_reviews_used DESC, item LIMIT 1""")
+def _summary_lookup(t: Tables) -> DataFrame:
+    s = _corpus(t).withColumnRenamed("corpus", "summary")
+    return search.summary_lookup(s, "SRC1", key="item")
+
+
+@register("summary_report", f"""
+WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)}
+SELECT c.item, c.name, it.name AS name_apps, it.review_count, c.n_reviews_used, c.n_reviews_total,
+       left(c.corpus, 120) AS summary_preview
+FROM corpus{SUMMARY_TOP} c LEFT JOIN it ON c.item = it.item""")
+def _summary_report(t: Tables) -> DataFrame:
+    s = _corpus(t).withColumnRenamed("corpus", "summary")
+    return quality.summary_report(s, t.text_items(), key="item")
+
+
+# ================================================================= quality
+@register("quality_counts", f"""
+WITH {_TEXTS},
+top AS (SELECT row_number() OVER (ORDER BY review_count DESC NULLS LAST, item) AS rank, item, name, review_count
+        FROM it QUALIFY rank <= 10)
+SELECT rank, top.item, name, review_count, coalesce(count(d.doc_id), 0) AS n_all,
+       coalesce(count(d.doc_id) FILTER (WHERE d.lang = 'en'), 0) AS n_language
+FROM top LEFT JOIN documents d ON d.source = top.item
+GROUP BY rank, top.item, name, review_count""")
+def _quality_counts(t: Tables) -> DataFrame:
+    return quality.top_items_counts(t.text_items(), t.review_texts(), 10, key="item")
+
+
+@register("key_coverage", """
+SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS keys_items,
+       (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS keys_reviews,
+       (SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders
+                              INTERSECT SELECT DISTINCT l_orderkey FROM lineitem)) AS keys_both""")
+def _key_coverage(t: Tables) -> DataFrame:
+    return quality.key_coverage(t.apps_clean(), t.reviews())
+
+
+# ================================================================= ingest
+INGEST_CUTOFF = "2024-01-15 00:00:00"
+
+_FEED_SQL = f"""
+feed AS (SELECT user_id AS appid, CAST(event_id AS VARCHAR) AS recommendationid,
+                CAST(floor(epoch(ts)) AS BIGINT) AS timestamp_updated, event_type AS language FROM events),
+prev AS (SELECT appid, max(timestamp_updated) AS wm FROM feed
+         WHERE timestamp_updated < CAST(epoch(TIMESTAMP '{INGEST_CUTOFF}') AS BIGINT) GROUP BY appid),
+w AS (SELECT feed.*, coalesce(prev.wm, 0) AS since FROM feed LEFT JOIN prev ON feed.appid = prev.appid),
+new AS (SELECT * FROM w WHERE recommendationid IS NOT NULL AND recommendationid <> ''
+        AND coalesce(timestamp_updated, 0) > since
+        QUALIFY row_number() OVER (PARTITION BY appid, recommendationid ORDER BY timestamp_updated DESC) = 1)"""
+
+
+def _feed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t.t("events")
+    feed = e.select(F.col("user_id").alias("appid"), F.col("event_id").cast("string").alias("recommendationid"),
+                    epoch_seconds("ts").alias("timestamp_updated"), F.col("event_type").alias("language"))
+    cutoff = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'{INGEST_CUTOFF}')")
+    earlier = feed.where(F.col("timestamp_updated") < cutoff)
+    state = ingest.next_state(None, earlier, run_at=F.lit(None).cast("timestamp"))
+    return feed, state
+
+
+@register("ingest_incremental", f"""
+WITH {_FEED_SQL}
+SELECT appid, recommendationid, timestamp_updated, language, since FROM new""")
+def _ingest_incremental(t: Tables) -> DataFrame:
+    feed, state = _feed(t)
+    return ingest.incremental_rows(feed, state)
+
+
+@register("ingest_state", f"""
+WITH {_FEED_SQL},
+got AS (SELECT appid, max(timestamp_updated) AS mx FROM new GROUP BY appid)
+SELECT coalesce(prev.appid, got.appid) AS appid,
+       CASE WHEN got.mx IS NULL THEN prev.wm ELSE greatest(coalesce(prev.wm, 0), got.mx) END AS last_timestamp_updated
+FROM prev FULL OUTER JOIN got ON prev.appid = got.appid""")
+def _ingest_state(t: Tables) -> DataFrame:
+    feed, state = _feed(t)
+    new = ingest.incremental_rows(feed, state)
+    return ingest.next_state(state, new).select("appid", "last_timestamp_updated")
+
+
+@register("ingest_report", f"""
+WITH {_FEED_SQL},
+k AS (SELECT DISTINCT appid FROM feed),
+got AS (SELECT appid, count(*) AS fetched, max(timestamp_updated) AS mx FROM new GROUP BY appid)
+SELECT k.appid, coalesce(prev.wm, 0) AS since, coalesce(got.fetched, 0) AS fetched,
+       greatest(coalesce(prev.wm, 0), coalesce(got.mx, coalesce(prev.wm, 0))) AS newest
+FROM k LEFT JOIN prev ON k.appid = prev.appid LEFT JOIN got ON k.appid = got.appid""")
+def _ingest_report(t: Tables) -> DataFrame:
+    feed, state = _feed(t)
+    new = ingest.incremental_rows(feed, state)
+    return ingest.run_report(feed.select("appid"), state, new)
+
+
+INGEST_MAX_PAGES = 10
+
+
+@register("ingest_stop_rule", f"""
+WITH {_FEED_SQL},
+a AS (SELECT appid, count(*) AS n_rows, count(*) FILTER (WHERE coalesce(timestamp_updated, 0) > since) AS n_new,
+             max(since) AS since FROM w GROUP BY appid),
+b AS (SELECT *, CASE WHEN n_rows > n_new THEN floor(n_new / 100) + 1 ELSE ceil(n_rows / 100) + 1 END AS p0,
+             CASE WHEN n_rows > n_new THEN 'hit_old_data' ELSE 'empty_reviews' END AS c0 FROM a)
+SELECT appid, since, n_rows, least(n_new, {INGEST_MAX_PAGES * 100}) AS fetched,
+       CAST(least(p0, {INGEST_MAX_PAGES}) AS BIGINT) AS pages,
+       CASE WHEN p0 > {INGEST_MAX_PAGES} THEN 'max_pages_reached' ELSE c0 END AS stopped
+FROM b""")
+def _ingest_stop_rule(t: Tables) -> DataFrame:
+    feed, state = _feed(t)
+    return ingest.stop_rule(feed, state, max_pages=INGEST_MAX_PAGES)
+
+
+@register("upsert_latest", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate
+FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                           ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) = 1""")
+def _upsert_latest(t: Tables) -> DataFrame:
+    li = t.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                "l_shipdate", "l_returnflag")
+    existing = li.where(F.col("l_returnflag") == "N").drop("l_returnflag")
+    batch = li.where(F.col("l_returnflag") != "N").drop("l_returnflag")
+    out = ingest.upsert(existing, batch, ["l_orderkey", "l_linenumber"],
+                        [F.col("l_shipdate").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()])
+    return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+
+
+_JSON_SQL = """
+j AS (SELECT user_id AS appid, event_id,
+  '{"recommendationid": "' || CAST(event_id AS VARCHAR) || '", "language": "' || event_type || '", "review": "'
+  || props || '", "voted_up": ' || CASE event_type WHEN 'purchase' THEN 'true' WHEN 'error' THEN 'null' ELSE 'false' END
+  || ', "votes_up": ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+  || ', "weighted_vote_score": "' || CASE WHEN event_type = 'view' THEN '' ELSE CAST(value AS VARCHAR) END
+  || '", "timestamp_updated": ' || CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR)
+  || ', "steam_purchase": ' || CASE WHEN event_type = 'signup' THEN 'null' ELSE 'true' END
+  || ', "author": {"steamid": "' || CAST(user_id AS VARCHAR) || '", "playtime_forever": '
+  || CAST(user_id * 10 AS VARCHAR) || '}}' AS review_json
+  FROM events)"""
+
+
+@register("json_flatten", """
+SELECT CAST(event_id AS VARCHAR) AS recommendationid, CAST(user_id AS VARCHAR) AS author_steamid,
+       event_type AS language, props AS review,
+       CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN NULL ELSE 0 END AS voted_up,
+       CAST(floor(value) AS BIGINT) AS votes_up,
+       CASE WHEN event_type = 'view' THEN NULL ELSE round(value, 6) END AS weighted_vote_score,
+       user_id * 10 AS playtime_forever,
+       CAST(floor(epoch(ts)) AS BIGINT) AS timestamp_updated,
+       CASE WHEN event_type = 'signup' THEN NULL ELSE 1 END AS steam_purchase
+FROM events""")
+def _json_flatten(t: Tables) -> DataFrame:
+    e = t.t("events")
+    q = F.lit('"')
+    js = F.concat(
+        F.lit('{"recommendationid": "'), F.col("event_id").cast("string"), F.lit('", "language": "'),
+        F.col("event_type"), F.lit('", "review": "'), F.regexp_replace("props", '"', '\\\\"'), q,
+        F.lit(', "voted_up": '),
+        F.when(F.col("event_type") == "purchase", "true").when(F.col("event_type") == "error", "null")
+        .otherwise("false"),
+        F.lit(', "votes_up": '), F.floor("value").cast("string"),
+        F.lit(', "weighted_vote_score": "'),
+        F.when(F.col("event_type") == "view", "").otherwise(F.col("value").cast("string")),
+        F.lit('", "timestamp_updated": '), epoch_seconds("ts").cast("string"),
+        F.lit(', "steam_purchase": '),
+        F.when(F.col("event_type") == "signup", "null").otherwise("true"),
+        F.lit(', "author": {"steamid": "'), F.col("user_id").cast("string"),
+        F.lit('", "playtime_forever": '), (F.col("user_id") * 10).cast("string"), F.lit("}}"))
+    flat = e.select(ingest.parse_review_json(js).alias("r")).select(*ingest.flatten_review("r"))
+    return flat.select("recommendationid", "author_steamid", "language", "review", "voted_up", "votes_up",
+                       "weighted_vote_score", "playtime_forever", "timestamp_updated", "steam_purchase")
+
+
+@register("json_records", f"""
+WITH {_APPS}
+SELECT appid, coalesce(short_description, '') AS short_description,
+       CASE WHEN isnan(odds) OR isinf(odds) THEN NULL ELSE round(odds, 6) END AS odds,
+       round(positive_ratio, 6) AS positive_ratio
+FROM (SELECT appid, short_description, positive_ratio,
+             CASE WHEN 1 - positive_ratio = 0 THEN 'inf'::DOUBLE ELSE positive_ratio / (1 - positive_ratio) END AS odds
+      FROM sv)""")
+def _json_records(t: Tables) -> DataFrame:
+    from vitrine.sources.records import ieee_divide, json_safe
+    s = t.serving()
+    df = s.select("appid", "short_description", "positive_ratio",
+                  ieee_divide(F.col("positive_ratio"), F.lit(1.0) - F.col("positive_ratio")).alias("odds"))
+    return json_safe(df).select("appid", "short_description", "odds", "positive_ratio")
