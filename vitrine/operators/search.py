@@ -70,12 +70,16 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
     s1_ranked = top_k(s1, order, top_k_n)
     if stage == "substring":
         return s1_ranked.select("rank", key, "name", "match_stage")
-    s2 = (dedup(fuzzy_shortlist(items, q, top_k_n, key)).drop("fuzzy_ratio")
-          .withColumn("match_stage", F.lit("fuzzy")))
     if stage == "fuzzy":
+        s2 = (dedup(fuzzy_shortlist(items, q, top_k_n, key)).drop("fuzzy_ratio")
+              .withColumn("match_stage", F.lit("fuzzy")))
         return top_k(s2, order, top_k_n).select("rank", key, "name", "match_stage")
+    # the gate sits on the items, below the Python ratio: when stage 1 has
+    # hits the UDF sees no rows at all
     hits = s1.select(F.count(F.lit(1))).scalar()
-    s2 = s2.withColumn("__hits", hits).where(F.col("__hits") == 0).drop("__hits")
+    gated = items.withColumn("__hits", hits).where(F.col("__hits") == 0).drop("__hits")
+    s2 = (dedup(fuzzy_shortlist(gated, q, top_k_n, key)).drop("fuzzy_ratio")
+          .withColumn("match_stage", F.lit("fuzzy")))
     s2_ranked = top_k(s2, order, top_k_n)
     return s1_ranked.unionByName(s2_ranked).select("rank", key, "name", "match_stage")
 

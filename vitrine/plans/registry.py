@@ -50,7 +50,7 @@ GRAPH_THRESHOLD = 0.3
 NAME_QUERY = "red widget"
 ALIAS_QUERY = "brand#13; promo"
 FUZZY_QUERY = "redd widgett"
-CATALOG_NAME_QUERY = "customer#00000111"
+CATALOG_NAME_QUERY = "customer#000000"
 F_YEARS = Filters(min_year=1996, max_year=1999)
 F_GENRES = Filters(genres=("promo", "Economy"))
 F_FREE = Filters(is_free=True)
