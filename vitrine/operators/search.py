@@ -84,6 +84,15 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
     return s1_ranked.unionByName(s2_ranked).select("rank", key, "name", "match_stage")
 
 
+def find_by_name_simple(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appid") -> DataFrame:
+    """Baseline search without aliases or ranking features: substring of the
+    lower-cased name, one row per key, first ``top_k_n`` by key."""
+    q = name.strip().lower()
+    hits = items.where(contains_ci("name", q)) if q else items.where(F.lit(False))
+    hits = first_per_key(hits, [key], [F.col(key).asc()])
+    return top_k(hits, [F.col(key).asc()], top_k_n).select("rank", key, "name")
+
+
 def first_candidate(matches: DataFrame, key: str = "appid") -> Column:
     """The key of the best match as a scalar-subquery column (null if none)."""
     return matches.where(F.col("rank") == 1).select(F.min(key)).scalar()

@@ -28,20 +28,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return r.csv(path)
 
 
-def read_catalog_csv(spark, path, quoted: bool = True) -> DataFrame:
-    return read_csv(spark, path, CATALOG_CSV_SCHEMA, quoted)
+# Without a schema, columns are named by the header and every one is text
+# (no inference). ``strict=True`` imposes the full positional schema instead
+# (no header job, but the file must carry exactly those columns).
 
+def read_catalog_csv(spark, path, quoted: bool = True, strict: bool = False) -> DataFrame:
+    return read_csv(spark, path, CATALOG_CSV_SCHEMA if strict else None, quoted)
 
-def read_reviews_csv(spark, path) -> DataFrame:
-    return read_csv(spark, path, REVIEWS_CSV_SCHEMA, True)
 
+def read_reviews_csv(spark, path, strict: bool = False) -> DataFrame:
+    return read_csv(spark, path, REVIEWS_CSV_SCHEMA if strict else None, True)
 
-def read_app_genres_csv(spark, path) -> DataFrame:
-    return read_csv(spark, path, APP_GENRES_CSV_SCHEMA, True)
 
+def read_app_genres_csv(spark, path, strict: bool = False) -> DataFrame:
+    return read_csv(spark, path, APP_GENRES_CSV_SCHEMA if strict else None, True)
 
-def read_genres_csv(spark, path) -> DataFrame:
-    return read_csv(spark, path, GENRES_CSV_SCHEMA, True)
+
+def read_genres_csv(spark, path, strict: bool = False) -> DataFrame:
+    return read_csv(spark, path, GENRES_CSV_SCHEMA if strict else None, True)
 
 
 def read_embedding_map(spark, path) -> DataFrame:
