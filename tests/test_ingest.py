@@ -104,11 +104,12 @@ def test_stream_equals_batch(spark, tmp):
     rows = feed_rows()
     spark.createDataFrame(rows[:4], FEED_SCHEMA).write.parquet(os.path.join(landing, "f1"))
     spark.createDataFrame(rows[4:], FEED_SCHEMA).write.parquet(os.path.join(landing, "f2"))
-    s_store = ReviewStore(spark, os.path.join(tmp, "stream_store"), schema)
+    s_store = ReviewStore(spark, os.path.join(tmp, "stream_store"), schema, n_buckets=4)
     run_stream(spark, landing + "/*", s_store, checkpoint=os.path.join(tmp, "ckpt"))
     run_stream(spark, landing + "/*", s_store, checkpoint=os.path.join(tmp, "ckpt"))   # nothing new
-    b_store = ReviewStore(spark, os.path.join(tmp, "batch_store"), schema)
-    run_batch(spark, spark.createDataFrame(rows, FEED_SCHEMA), b_store, "v1")
+    b_store = ReviewStore(spark, os.path.join(tmp, "batch_store"), schema, n_buckets=4)
+    run_batch(spark, spark.createDataFrame(rows, FEED_SCHEMA), b_store)
+    run_batch(spark, spark.createDataFrame(rows, FEED_SCHEMA), b_store)     # idempotent
     st, sst = s_store.current()
     bt, bst = b_store.current()
     rows_of = lambda df: sorted(tuple(r) for r in df.select("appid", "recommendationid", "timestamp_updated").collect())

@@ -186,7 +186,10 @@ def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
 
     The seed vectors (joined from the catalog on the key) are size-checked:
     at most ``max_seeds_per_block`` seeds are shipped per block; larger seed
-    sets are split into blocks by seed rank, each block one catalog scan.
+    sets are split into blocks by key hash (block sizes are counted before
+    anything is shipped), each block one catalog scan. Each catalog task
+    multiplies its vectors with the block and keeps ``k`` rows per seed, so
+    the shuffle carries ``k * seeds`` rows per task, never all pairs.
     Filters are applied to the catalog before scoring (they do not depend on
     the seed).
     """
@@ -194,6 +197,9 @@ def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
                  .join(catalog.select(F.col(id_col).alias("seed_id"), F.col(vec_col).alias("svec")),
                        "seed_id")
                  .dropDuplicates(["seed_id"]))
+    # the seed block is read once per block: cut its lineage into the shared
+    # checkpoint folder (reliable, survives lost executors)
+    seed_vecs = seed_vecs.checkpoint()
     n = seed_vecs.count()
     if n == 0:
         schema = T.StructType([T.StructField("seed_id", catalog.schema[id_col].dataType),
@@ -205,13 +211,21 @@ def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
     id_type = catalog.schema[id_col].dataType.simpleString()
     out_schema = f"seed_id {id_type}, {id_col} {id_type}, similarity double"
     blocks = []
+    # blocks by key hash; the block count doubles until every block holds at
+    # most max_seeds_per_block seeds (sizes checked, not assumed)
     n_blocks = (n + max_seeds_per_block - 1) // max_seeds_per_block
-    # blocks by key hash; twice the minimum block count keeps every block
-    # near or under the size bound
-    n_blocks = 1 if n <= max_seeds_per_block else 2 * n_blocks
-    ordered = seed_vecs.withColumn("__b", F.pmod(F.xxhash64("seed_id"), F.lit(n_blocks)))
+    while True:
+        ordered = seed_vecs.withColumn("__b", F.pmod(F.xxhash64("seed_id"), F.lit(n_blocks)))
+        if n_blocks == 1:
+            break
+        biggest = ordered.groupBy("__b").count().agg(F.max("count")).first()[0]
+        if biggest <= max_seeds_per_block:
+            break
+        n_blocks *= 2
     for b in range(n_blocks):
         block = ordered.where(F.col("__b") == b).orderBy("seed_id").toPandas()
+        if block.empty:
+            continue
         ids = block["seed_id"].to_numpy()
         mat = np.stack(block["svec"].to_numpy()).astype("float64")
         fn = _partial_topk_fn(ids, mat, top_k_n, id_col, vec_col, keep_seed)

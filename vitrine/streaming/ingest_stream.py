@@ -1,101 +1,96 @@
 """Incremental review ingest as a Structured Streaming query.
 
-Landed review files (parquet or JSON pages turned into rows) arrive in a
-folder. ``readStream`` picks up new files, ``trigger(availableNow=True)``
-processes everything present and stops, and a ``foreachBatch`` sink runs
-the same batch function as the batch job: watermark filter, dedup, upsert,
-state advance.
-
-Fault tolerance: the stream checkpoint (under the shared
-``spark.checkpoint.dir``) records which files each batch consumed. Each
-batch writes a new *version directory* for the table and the state, keyed
-by the batch id, and only then publishes it in a small pointer file; a
-batch that is re-run after a lost executor or driver rewrites the same
-version directory (overwrite), so the outcome is idempotent.
+Landed review files arrive in a folder. ``readStream`` picks up new files,
+``trigger(availableNow=True)`` processes everything present and stops, and a
+``foreachBatch`` sink runs the same batch function as the batch job:
+watermark filter, dedup, upsert, state advance.
+
+Storage: the reviews table and the watermark state are parquet tables
+partitioned by ``bucket = pmod(xxhash64(key), n_buckets)``. A batch reads
+only the buckets its keys fall into (partition pruning), upserts them,
+cuts the lineage with ``checkpoint()`` (shared checkpoint folder) and
+overwrites just those buckets (dynamic partition overwrite). A 100 TB table
+is never rewritten whole; a batch touching few keys rewrites few buckets.
+
+Fault tolerance: the stream checkpoint records which files each batch
+consumed; a re-run batch re-reads the touched buckets and upserts the same
+rows again, which yields the same table (the upsert is idempotent).
 """
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators.ingest import ingest_batch
 from vitrine.schema import CRAWL_STATE_SCHEMA
 from vitrine.session import checkpoint_path
 
-POINTER = "_CURRENT"
+BUCKET = "bucket"
+DEFAULT_BUCKETS = 256
 
 
-def _fs(spark: SparkSession, path: str):
+def bucket_of(key: str, n_buckets: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def read_pointer(spark: SparkSession, root: str) -> dict | None:
-    fs, _, jvm = _fs(spark, root)
-    ptr = jvm.org.apache.hadoop.fs.Path(os.path.join(root, POINTER))
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())
-    finally:
-        stream.close()
-
-
-def write_pointer(spark: SparkSession, root: str, value: dict) -> None:
-    """Publish a version: write a temp file and rename it over the pointer."""
-    fs, _, jvm = _fs(spark, root)
-    Path = jvm.org.apache.hadoop.fs.Path
-    tmp = Path(os.path.join(root, f".{POINTER}.tmp"))
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(json.dumps(value).encode("utf-8")))
-    finally:
-        out.close()
-    dst = Path(os.path.join(root, POINTER))
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 class ReviewStore:
-    """A versioned reviews table + watermark state under one root folder."""
+    """Reviews table + watermark state, bucketed by key, under one root."""
 
     def __init__(self, spark: SparkSession, root: str, row_schema: T.StructType,
                  keys=("appid", "recommendationid"), key: str = "appid",
-                 ts_col: str = "timestamp_updated"):
+                 ts_col: str = "timestamp_updated", n_buckets: int = DEFAULT_BUCKETS):
         self.spark, self.root, self.schema = spark, root, row_schema
-        self.keys, self.key, self.ts_col = tuple(keys), key, ts_col
+        self.keys, self.key, self.ts_col, self.n_buckets = tuple(keys), key, ts_col, n_buckets
+        self.table_path = os.path.join(root, "table")
+        self.state_path = os.path.join(root, "state")
+
+    def _read(self, path: str, schema: T.StructType, buckets: list[int] | None) -> DataFrame | None:
+        if not _exists(self.spark, path):
+            return None
+        full = T.StructType(schema.fields + [T.StructField(BUCKET, T.IntegerType())])
+        df = self.spark.read.schema(full).parquet(path)
+        if buckets is not None:
+            df = df.where(F.col(BUCKET).isin(buckets))     # partition pruning
+        return df.drop(BUCKET)
 
     def current(self) -> tuple[DataFrame | None, DataFrame | None]:
-        ptr = read_pointer(self.spark, self.root)
-        if ptr is None:
-            return None, None
-        table = self.spark.read.schema(self.schema).parquet(ptr["table"])
-        state = self.spark.read.schema(CRAWL_STATE_SCHEMA).parquet(ptr["state"])
-        return table, state
-
-    def apply(self, batch: DataFrame, version: str) -> None:
-        """Upsert one batch and advance the state; publish as ``version``."""
-        table, state = self.current()
+        return (self._read(self.table_path, self.schema, None),
+                self._read(self.state_path, CRAWL_STATE_SCHEMA, None))
+
+    def _write(self, df: DataFrame, path: str, cols: list[str]) -> None:
+        out = df.select(*cols).withColumn(BUCKET, bucket_of(self.key, self.n_buckets))
+        # lineage cut: the rows are materialised before the buckets they were
+        # read from are overwritten
+        out = out.checkpoint()
+        (out.repartition(BUCKET).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+
+    def apply(self, batch: DataFrame) -> None:
+        """Upsert one batch and advance the state of its keys."""
+        b = batch.withColumn(BUCKET, bucket_of(self.key, self.n_buckets))
+        touched = [r[0] for r in b.select(BUCKET).distinct().collect()]   # <= n_buckets values
+        if not touched:
+            return
+        table = self._read(self.table_path, self.schema, touched)
+        state = self._read(self.state_path, CRAWL_STATE_SCHEMA, touched)
         _, new_table, new_state = ingest_batch(batch, table, state, self.keys, self.key, self.ts_col)
-        t_path = os.path.join(self.root, f"table-{version}")
-        s_path = os.path.join(self.root, f"state-{version}")
-        # the new version is written to its own folder, never over the input
-        new_table.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(t_path)
-        new_state.select(*[f.name for f in CRAWL_STATE_SCHEMA.fields]).write.mode("overwrite").parquet(s_path)
-        write_pointer(self.spark, self.root, {"table": t_path, "state": s_path, "version": version})
+        self._write(new_table, self.table_path, [f.name for f in self.schema.fields])
+        self._write(new_state, self.state_path, [f.name for f in CRAWL_STATE_SCHEMA.fields])
 
 
-def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore, version: str) -> None:
+def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore) -> None:
     """Plain batch form of the ingest (same function as the stream sink)."""
-    store.apply(feed, version)
+    store.apply(feed)
 
 
 def run_stream(spark: SparkSession, landing: str, store: ReviewStore, fmt: str = "parquet",
@@ -109,9 +104,7 @@ def run_stream(spark: SparkSession, landing: str, store: ReviewStore, fmt: str =
     ckpt = checkpoint or checkpoint_path(spark, "ingest-stream-" + os.path.basename(store.root.rstrip("/")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        store.apply(batch, f"b{batch_id:09d}")
+        store.apply(batch)
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
