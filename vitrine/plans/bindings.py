@@ -29,6 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import catalog as cat
+from vitrine.session import checkpoint_path
+
+# serving tables written in this session: (application id, sf_dir) -> path
+_SERVING: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +90,28 @@ class Tables:
                                    self.part_aliases() if with_aliases else None,
                                    item_type="game")
 
+    def serving_table(self) -> DataFrame:
+        """The serving catalog as a stored table, built once per session.
+
+        Like a recommendation service that loads its catalog at start-up,
+        queries run against the built table instead of re-deriving it from
+        the raw tables in every plan (and every subquery). It is written to
+        the shared checkpoint folder, range-partitioned and sorted by key,
+        so a seed lookup reads one file's matching row groups.
+        """
+        spark = self.spark
+        app = spark.sparkContext.applicationId
+        key = (app, self.sf_dir)
+        path = _SERVING.get(key)
+        if path is None:
+            tag = abs(hash(self.sf_dir)) % (1 << 32)
+            path = checkpoint_path(spark, f"serving-{app}-{tag}")
+            n = max(1, spark.sparkContext.defaultParallelism)
+            (self.serving().repartitionByRange(n, "appid").sortWithinPartitions("appid")
+             .write.mode("overwrite").parquet(path))
+            _SERVING[key] = path
+        return spark.read.parquet(path)
+
     # ------------------------------------------------------------ name search
     def part_aliases(self) -> DataFrame:
         p = self.t("part")

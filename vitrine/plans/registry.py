@@ -217,7 +217,7 @@ SELECT appid, name, release_year, array_to_string(genres_c, '|') AS genres, is_f
 FROM sv WHERE {_filters_sql(f)}"""
 
     def fn(t: Tables) -> DataFrame:
-        s = t.serving()
+        s = t.serving_table()
         return apply_filters(s, f).select(
             "appid", "name", "release_year", "genres", "is_free", "positive_ratio", "review_count",
             F.col("mat_final_price").try_cast("double").alias("price"))
@@ -252,13 +252,13 @@ SELECT rank, appid, round(similarity, 6) AS similarity FROM (
           (SELECT vec FROM sv WHERE appid = {SEED})) END AS s FROM sv))
 WHERE rank <= 10""")
 def _cosine_topk(t: Tables) -> DataFrame:
-    return sim.recommend_similar(t.serving(), SEED, 10).select("rank", "appid", "similarity")
+    return sim.recommend_similar(t.serving_table(), SEED, 10).select("rank", "appid", "similarity")
 
 
 # ================================================================= recommend
 @register("recommend_similar", _rec_sql(f"SELECT {SEED} AS appid"))
 def _recommend_similar(t: Tables) -> DataFrame:
-    return sim.recommend_similar(t.serving(), SEED, 10)
+    return sim.recommend_similar(t.serving_table(), SEED, 10)
 
 
 _F_REC = Filters(min_year=1997, max_year=2000, genres=("promo", "Economy"), min_review_count=2)
@@ -266,7 +266,7 @@ _F_REC = Filters(min_year=1997, max_year=2000, genres=("promo", "Economy"), min_
 
 @register("recommend_filtered", _rec_sql(f"SELECT {SEED} AS appid", _F_REC))
 def _recommend_filtered(t: Tables) -> DataFrame:
-    return sim.recommend_similar(t.serving(), SEED, 10, _F_REC)
+    return sim.recommend_similar(t.serving_table(), SEED, 10, _F_REC)
 
 
 _F_BLEND = Filters(min_year=1997)
@@ -274,13 +274,13 @@ _F_BLEND = Filters(min_year=1997)
 
 @register("recommend_blended", _rec_sql(f"SELECT {SEED} AS appid", _F_BLEND, blend=True))
 def _recommend_blended(t: Tables) -> DataFrame:
-    return sim.recommend_similar(t.serving(), SEED, 10, _F_BLEND, use_blend=True)
+    return sim.recommend_similar(t.serving_table(), SEED, 10, _F_BLEND, use_blend=True)
 
 
 @register("recommend_no_seed", _rec_sql(f"SELECT {SEED} AS appid", _F_BLEND, blend=True,
                                         keep_seed=False))
 def _recommend_no_seed(t: Tables) -> DataFrame:
-    return sim.recommend_similar(t.serving(), SEED, 10, _F_BLEND, use_blend=True, keep_seed=False)
+    return sim.recommend_similar(t.serving_table(), SEED, 10, _F_BLEND, use_blend=True, keep_seed=False)
 
 
 def _name_seed_sql(q: str, src: str = "sv") -> str:
@@ -301,12 +301,12 @@ _LEGACY_FILTERS = Filters(min_year=1996, is_free=False)
 @register("recommend_legacy_free", _rec_sql(_name_seed_sql(CATALOG_NAME_QUERY), _LEGACY_FILTERS,
                                             blend=True))
 def _recommend_legacy_free(t: Tables) -> DataFrame:
-    return rec.recommend_request(t.serving(), _LEGACY_PARAMS, free_mode="legacy")
+    return rec.recommend_request(t.serving_table(), _LEGACY_PARAMS, free_mode="legacy")
 
 
 @register("recommend_by_name", _rec_sql(_name_seed_sql(CATALOG_NAME_QUERY)))
 def _recommend_by_name(t: Tables) -> DataFrame:
-    return rec.recommend_by_name(t.serving(), CATALOG_NAME_QUERY, 5, top_k_n=10)
+    return rec.recommend_by_name(t.serving_table(), CATALOG_NAME_QUERY, 5, top_k_n=10)
 
 
 @register("recommend_batch", f"""
@@ -319,7 +319,7 @@ SELECT seed_id, rank, appid, round(similarity, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, appid) AS rank FROM pairs)
 WHERE rank <= 5""")
 def _recommend_batch(t: Tables) -> DataFrame:
-    s = t.serving()
+    s = t.serving_table()
     return sim.recommend_batch(s, s.select(F.col("appid").alias("seed_id")), 5)
 
 
@@ -351,7 +351,7 @@ def _query_vec(t: Tables):
 
 @register("search_by_vector", _search_sql(Filters()))
 def _search_by_vector(t: Tables) -> DataFrame:
-    return sim.search_by_vector(t.serving(), _query_vec(t), 10)
+    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10)
 
 
 _F_SEARCH = Filters(max_year=1999, min_review_count=3)
@@ -359,7 +359,7 @@ _F_SEARCH = Filters(max_year=1999, min_review_count=3)
 
 @register("search_by_vector_filtered", _search_sql(_F_SEARCH))
 def _search_by_vector_filtered(t: Tables) -> DataFrame:
-    return sim.search_by_vector(t.serving(), _query_vec(t), 10, _F_SEARCH)
+    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10, _F_SEARCH)
 
 
 # ================================================================= graph
@@ -377,7 +377,7 @@ SELECT CAST({SEED} AS VARCHAR) AS id, (SELECT min(name) FROM sv WHERE appid = {S
 UNION ALL
 SELECT CAST(appid AS VARCHAR) AS id, name AS label, 1 AS "group", rank FROM recs""")
 def _graph_nodes(t: Tables) -> DataFrame:
-    nodes, _ = rec.graph_for(t.serving(), SEED, 10, threshold=GRAPH_THRESHOLD)
+    nodes, _ = rec.graph_for(t.serving_table(), SEED, 10, threshold=GRAPH_THRESHOLD)
     return nodes
 
 
@@ -388,7 +388,7 @@ SELECT CAST(a.appid AS VARCHAR), CAST(b.appid AS VARCHAR), round(list_dot_produc
 FROM recs a JOIN recs b ON b.rank > a.rank
 WHERE list_dot_product(a.vec, b.vec) >= {GRAPH_THRESHOLD}""")
 def _graph_edges(t: Tables) -> DataFrame:
-    _, edges = rec.graph_for(t.serving(), SEED, 10, threshold=GRAPH_THRESHOLD)
+    _, edges = rec.graph_for(t.serving_table(), SEED, 10, threshold=GRAPH_THRESHOLD)
     return edges
 
 
@@ -402,7 +402,7 @@ FROM (SELECT row_number() OVER (ORDER BY popularity DESC, appid) AS rank, * FROM
         FROM sv WHERE release_year = {HOT_YEAR}))
 WHERE rank <= 10""")
 def _year_hot(t: Tables) -> DataFrame:
-    return rec.year_hot(t.serving(), HOT_YEAR)
+    return rec.year_hot(t.serving_table(), HOT_YEAR)
 
 
 @register("top_items_by_reviews", f"""
@@ -485,7 +485,7 @@ def _prompt_resolve(t: Tables) -> DataFrame:
                                               F.col("c_name").alias("text")))
           .unionByName(t.t("embeddings").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("qid"),
                                                 F.col("vec_id").cast("string").alias("text"))))
-    return search.resolve_prompts(qs, t.serving())
+    return search.resolve_prompts(qs, t.serving_table())
 
 
 # ================================================================= enrichment
@@ -851,7 +851,7 @@ FROM (SELECT appid, short_description, positive_ratio,
       FROM sv)""")
 def _json_records(t: Tables) -> DataFrame:
     from vitrine.sources.records import ieee_divide, json_safe
-    s = t.serving()
+    s = t.serving_table()
     df = s.select("appid", "short_description", "positive_ratio",
                   ieee_divide(F.col("positive_ratio"), F.lit(1.0) - F.col("positive_ratio")).alias("odds"))
     return json_safe(df).select("appid", "short_description", "odds", "positive_ratio")
