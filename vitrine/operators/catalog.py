@@ -14,7 +14,7 @@ from vitrine.functions.text import (clean_array, clean_lower, empty_string_array
                                     normalize_name, parse_list_text)
 from vitrine.functions.vectors import l2_normalize
 from vitrine.operators.ranking import first_per_key
-from vitrine.schema import CATALOG_COLUMNS, REVIEW_CASTS, REVIEW_COLUMNS, canonical_key_of
+from vitrine.schema import CATALOG_COLUMNS, REVIEW_CASTS, REVIEW_COLUMNS, canonical_key_of, try_integral
 
 
 def genre_sets(app_genres: DataFrame, genres: DataFrame, key: str = "appid") -> DataFrame:
@@ -70,7 +70,9 @@ def typed_reviews(reviews: DataFrame, columns: Sequence[str] = REVIEW_COLUMNS,
     keep = [c for c in columns if c in reviews.columns]
     out = []
     for c in keep:
-        if c in casts:
+        if c in casts and casts[c] in ("int", "bigint", "smallint", "tinyint"):
+            out.append(try_integral(c, casts[c]).alias(c))
+        elif c in casts:
             out.append(F.col(c).cast("string").try_cast(casts[c]).alias(c))
         else:
             out.append(F.col(c))

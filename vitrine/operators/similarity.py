@@ -128,13 +128,14 @@ def query_vector_column(vec: Sequence[float] | Column) -> Column:
 
 def search_by_vector(catalog: DataFrame, vec: Sequence[float] | Column, top_k_n: int = 10,
                      filters: Filters | None = None, id_col: str = "appid",
-                     vec_col: str = "vec") -> DataFrame:
+                     vec_col: str = "vec", normalized: bool = False) -> DataFrame:
     """Items nearest to a free query vector; always blended, sorted by score.
 
-    ``vec`` may be a literal list or a scalar-subquery column (e.g. the
-    vector of a stored item)."""
+    ``vec`` may be a literal list (normalised here) or a column, e.g. the
+    scalar subquery of :func:`stored_vector`; pass ``normalized=True`` when
+    that column is already unit length."""
     q = query_vector_column(vec)
-    df = _scored(catalog, q, vec_col, normalize=isinstance(vec, Column))
+    df = _scored(catalog, q, vec_col, normalize=isinstance(vec, Column) and not normalized)
     df = df.where(F.col("similarity").isNotNull())
     df = apply_filters(df, filters)
     df = _blend_scores(df)
@@ -142,10 +143,14 @@ def search_by_vector(catalog: DataFrame, vec: Sequence[float] | Column, top_k_n:
     return _project(ranked, ["rank"] + SEARCH_COLUMNS)
 
 
-def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str) -> Column:
-    """Scalar-subquery column holding the vector of one stored row."""
-    return vectors.where(F.col(id_col) == F.lit(key)).select(
-        F.min_by(F.col(vec_col), F.xxhash64(F.col(vec_col)))).scalar()
+def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize: bool = True) -> Column:
+    """Scalar-subquery column holding the vector of one stored row,
+    unit-normalised inside the subquery (once, not per scored row)."""
+    one = vectors.where(F.col(id_col) == F.lit(key)).select(
+        F.min_by(F.col(vec_col), F.xxhash64(F.col(vec_col))).alias("__v"))
+    if normalize:
+        one = one.select(l2_normalize("__v"))
+    return one.scalar()
 
 
 # ------------------------------------------------------------------ many seeds

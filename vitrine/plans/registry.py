@@ -351,7 +351,7 @@ def _query_vec(t: Tables):
 
 @register("search_by_vector", _search_sql(Filters()))
 def _search_by_vector(t: Tables) -> DataFrame:
-    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10)
+    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10, normalized=True)
 
 
 _F_SEARCH = Filters(max_year=1999, min_review_count=3)
@@ -359,7 +359,7 @@ _F_SEARCH = Filters(max_year=1999, min_review_count=3)
 
 @register("search_by_vector_filtered", _search_sql(_F_SEARCH))
 def _search_by_vector_filtered(t: Tables) -> DataFrame:
-    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10, _F_SEARCH)
+    return sim.search_by_vector(t.serving_table(), _query_vec(t), 10, _F_SEARCH, normalized=True)
 
 
 # ================================================================= graph

@@ -152,6 +152,22 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
         raise ValueError(f"{what} is missing column(s): {', '.join(missing)}")
 
 
+# Text an integral try_cast can accept: padding (<= 0x20 or ISO control
+# characters), an optional sign, ASCII digits. Spark's try_cast to an integer
+# type fails through an exception path (slow per row); checking the shape
+# first sends only plausible numbers to it, with identical results.
+_INT_TEXT = r"^[\x00-\x20\x7f-\x9f]*[+-]?[0-9]+[\x00-\x20\x7f-\x9f]*$"
+_NUM_TEXT = (r"^[\x00-\x20\x7f-\x9f]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+             r"[\x00-\x20\x7f-\x9f]*$")
+
+
+def try_integral(c: Column | str, type_name: str = "bigint") -> Column:
+    """``try_cast`` of text to an integral type (bad text -> null)."""
+    c = F.col(c) if isinstance(c, str) else c
+    text = c.cast("string")
+    return F.when(text.rlike(_INT_TEXT), text.try_cast(type_name))
+
+
 def canonical_key(c: Column | str) -> Column:
     """One key type everywhere: BIGINT through ``try_cast`` (bad text -> null).
 
@@ -160,8 +176,8 @@ def canonical_key(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     as_text = F.trim(c.cast("string"))
-    return F.coalesce(as_text.try_cast("bigint"),
-                      as_text.try_cast("double").try_cast("bigint"))
+    as_double = F.when(as_text.rlike(_NUM_TEXT), as_text.try_cast("double"))
+    return F.coalesce(try_integral(as_text), as_double.try_cast("bigint"))
 
 
 def canonical_key_of(df: DataFrame, key: str) -> Column:
