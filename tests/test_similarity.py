@@ -110,3 +110,40 @@ def test_graph_edges(spark):
     e = {(r.source, r.target) for r in edges.collect()}
     assert ("1", "2") in e and ("2", "5") in e     # 2 and 5 are identical vectors
     assert ("2", "4") not in e
+
+
+def random_catalog(spark, n=50, d=6, seed=3):
+    rng = np.random.default_rng(seed)
+    mat = rng.normal(size=(n, d))
+    rows = []
+    for i in range(n):
+        ratio = None if i % 7 == 0 else float(rng.uniform())
+        count = None if i % 5 == 0 else int(rng.integers(0, 500))
+        rows.append((i, f"n{i}", "d", 1990 + int(rng.integers(0, 20)), ratio, count, ["x"], mat[i].tolist()))
+    return catalog(spark, rows)
+
+
+@pytest.mark.parametrize("keep_seed", [True, False])
+def test_batch_blend_equals_single(spark, keep_seed):
+    c = random_catalog(spark)
+    f = Filters(min_year=1995)
+    seeds = spark.createDataFrame([(s,) for s in (0, 3, 11, 40, 999)], "seed_id bigint")
+    got = recommend_batch(c, seeds, 5, f, keep_seed=keep_seed, use_blend=True, max_seeds_per_block=2)
+    got = {(r.seed_id, r.rank): (r.appid, r.score) for r in got.collect()}
+    assert not [k for k in got if k[0] == 999]
+    for s in (0, 3, 11, 40):
+        single = recommend_similar(c, s, 5, f, use_blend=True, keep_seed=keep_seed).collect()
+        for r in single:
+            appid, score = got[(s, r["rank"])]
+            assert appid == r.appid and score == pytest.approx(r.score, abs=1e-9)
+
+
+def test_search_batch_equals_single(spark):
+    from vitrine.operators.similarity import search_batch
+    c = random_catalog(spark)
+    qs = [[1.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.2, -1.0, 0.5, 0.0, 3.0, 0.0]]
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(qs)], "qid int, qvec array<double>")
+    got = {(r.qid, r.rank): r.appid for r in search_batch(c, q, 4, Filters(max_year=2005)).collect()}
+    for i, v in enumerate(qs):
+        single = search_by_vector(c, v, 4, Filters(max_year=2005)).collect()
+        assert [got[(i, r["rank"])] for r in single] == [r.appid for r in single]

@@ -153,94 +153,176 @@ def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize:
     return one.scalar()
 
 
-# ------------------------------------------------------------------ many seeds
+# ------------------------------------------------------------------ many queries
+
+def _unit_rows(mat: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(mat, axis=1, keepdims=True)
+    return np.where(n > 0, mat / np.where(n > 0, n, 1.0), 0.0)
+
+
+def _block_sims(pdf: pd.DataFrame, id_col: str, vec_col: str, q_ids: np.ndarray,
+                q_mat: np.ndarray, q_seed: np.ndarray, keep_seed: bool) -> np.ndarray:
+    """rows x queries similarity; the seed row of a query is -1 (kept) or
+    -inf (dropped)."""
+    ids = pdf[id_col].to_numpy()
+    x = np.stack(pdf[vec_col].to_numpy()).astype("float64")
+    sims = x @ q_mat.T
+    hit = ids[:, None] == q_seed[None, :]
+    return np.where(hit, SEED_SIMILARITY if keep_seed else -np.inf, sims)
+
+
+def _minmax_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed):
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            sims = _block_sims(pdf, id_col, vec_col, q_ids, q_mat, q_seed, keep_seed)
+            masked_min = np.where(np.isfinite(sims), sims, np.inf).min(axis=0)
+            masked_max = np.where(np.isfinite(sims), sims, -np.inf).max(axis=0)
+            ok = np.isfinite(masked_min)
+            yield pd.DataFrame({"qid": q_ids[ok], "smin": masked_min[ok], "smax": masked_max[ok]})
+    return fn
+
+
+def _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, k, blend_consts):
+    from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT,
+                                           SCALE_EPS, SIM_WEIGHT)
 
-def _partial_topk_fn(seed_ids: np.ndarray, seed_mat: np.ndarray, k: int, id_col: str,
-                     vec_col: str, keep_seed: bool):
     def fn(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf[id_col].to_numpy()
-            x = np.stack(pdf[vec_col].to_numpy()).astype("float64")
-            sims = x @ seed_mat.T                         # rows x seeds
-            self_hit = ids[:, None] == seed_ids[None, :]
-            if keep_seed:
-                sims = np.where(self_hit, SEED_SIMILARITY, sims)
+            sims = _block_sims(pdf, id_col, vec_col, q_ids, q_mat, q_seed, keep_seed)
+            if blend_consts is not None:
+                smin, smax, cmin, cmax = blend_consts
+                ratio = pdf["__ratio"].to_numpy(dtype="float64", na_value=np.nan)
+                ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
+                lc = pdf["__lc"].to_numpy(dtype="float64")
+                rc = (lc - cmin) / (cmax - cmin + SCALE_EPS)
+                sim_n = (sims - smin[None, :]) / (smax - smin + SCALE_EPS)[None, :]
+                key = SIM_WEIGHT * sim_n + (RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * rc)[:, None]
+                key = np.where(np.isfinite(sims), key, -np.inf)
             else:
-                sims = np.where(self_hit, -np.inf, sims)
+                key = sims
             kk = min(k, len(ids))
-            # rows of the k best per seed (ties resolved later by the window)
-            part = np.argpartition(-sims, kk - 1, axis=0)[:kk] if kk < len(ids) \
-                else np.tile(np.arange(len(ids))[:, None], (1, len(seed_ids)))
+            part = (np.argpartition(-key, kk - 1, axis=0)[:kk] if kk < len(ids)
+                    else np.tile(np.arange(len(ids))[:, None], (1, len(q_ids))))
             rows = part.ravel(order="F")
-            cols = np.repeat(np.arange(len(seed_ids)), part.shape[0])
-            vals = sims[rows, cols]
-            ok = np.isfinite(vals)
-            yield pd.DataFrame({"seed_id": seed_ids[cols[ok]], id_col: ids[rows[ok]],
-                                "similarity": vals[ok]})
+            cols = np.repeat(np.arange(len(q_ids)), part.shape[0])
+            ok = np.isfinite(key[rows, cols])
+            out = {"qid": q_ids[cols[ok]], id_col: ids[rows[ok]], "similarity": sims[rows[ok], cols[ok]]}
+            if blend_consts is not None:
+                out["score"] = key[rows[ok], cols[ok]]
+            yield pd.DataFrame(out)
     return fn
 
 
-def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
-                    filters: Filters | None = None, keep_seed: bool = True,
-                    id_col: str = "appid", vec_col: str = "vec",
-                    seed_col: str = "seed_id",
-                    max_seeds_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
-    """Top-k similar items for every seed id in ``seeds`` (exact).
-
-    The seed vectors (joined from the catalog on the key) are size-checked:
-    at most ``max_seeds_per_block`` seeds are shipped per block; larger seed
-    sets are split into blocks by key hash (block sizes are counted before
-    anything is shipped), each block one catalog scan. Each catalog task
-    multiplies its vectors with the block and keeps ``k`` rows per seed, so
-    the shuffle carries ``k * seeds`` rows per task, never all pairs.
-    Filters are applied to the catalog before scoring (they do not depend on
-    the seed).
-    """
-    seed_vecs = (seeds.select(F.col(seed_col).alias("seed_id")).distinct()
-                 .join(catalog.select(F.col(id_col).alias("seed_id"), F.col(vec_col).alias("svec")),
-                       "seed_id")
-                 .dropDuplicates(["seed_id"]))
-    # the seed block is read once per block: cut its lineage into the shared
-    # checkpoint folder (reliable, survives lost executors)
-    seed_vecs = seed_vecs.checkpoint()
-    n = seed_vecs.count()
-    if n == 0:
-        schema = T.StructType([T.StructField("seed_id", catalog.schema[id_col].dataType),
-                               T.StructField("rank", T.IntegerType()),
-                               T.StructField(id_col, catalog.schema[id_col].dataType),
-                               T.StructField("similarity", T.DoubleType())])
-        return catalog.sparkSession.createDataFrame([], schema)
-    cands = apply_filters(catalog, filters).select(id_col, vec_col)
-    id_type = catalog.schema[id_col].dataType.simpleString()
-    out_schema = f"seed_id {id_type}, {id_col} {id_type}, similarity double"
-    blocks = []
-    # blocks by key hash; the block count doubles until every block holds at
-    # most max_seeds_per_block seeds (sizes checked, not assumed)
-    n_blocks = (n + max_seeds_per_block - 1) // max_seeds_per_block
+def _blocks(queries: DataFrame, max_per_block: int) -> tuple[DataFrame, int, int]:
+    """Queries with a block number; block sizes are counted, not assumed."""
+    n = queries.count()
+    n_blocks = max(1, (n + max_per_block - 1) // max_per_block)
     while True:
-        ordered = seed_vecs.withColumn("__b", F.pmod(F.xxhash64("seed_id"), F.lit(n_blocks)))
+        tagged = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
         if n_blocks == 1:
-            break
-        biggest = ordered.groupBy("__b").count().agg(F.max("count")).first()[0]
-        if biggest <= max_seeds_per_block:
-            break
+            return tagged, 1, n
+        biggest = tagged.groupBy("__b").count().agg(F.max("count")).first()[0]
+        if biggest <= max_per_block:
+            return tagged, n_blocks, n
         n_blocks *= 2
+
+
+def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
+                     filters: Filters | None = None, use_blend: bool = False,
+                     keep_seed: bool = True, id_col: str = "appid", vec_col: str = "vec",
+                     max_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+    """Exact top-k neighbours for many query vectors.
+
+    ``queries``: ``qid``, ``qvec`` (any length-matching vector, normalised
+    here) and optionally ``seed_id`` (the catalog row that gets similarity
+    -1, or is dropped with ``keep_seed=False``). Same semantics per query as
+    :func:`recommend_similar` / :func:`search_by_vector`: filters first, then
+    the blend scaled over each query's filtered rows.
+
+    Query blocks are size-checked (at most ``max_per_block`` per block) and
+    checkpointed; each catalog task multiplies its vectors with the block and
+    keeps ``k`` rows per query, so the shuffle carries ``k * queries`` rows
+    per task. With the blend, a first pass gathers per-query similarity
+    min/max the same way (one row per query per task).
+    """
+    spark = catalog.sparkSession
+    q = queries.select("qid", "qvec", (F.col("seed_id") if "seed_id" in queries.columns
+                                        else F.lit(None).cast(catalog.schema[id_col].dataType)).alias("seed_id"))
+    q = q.where(F.col("qvec").isNotNull()).checkpoint()
+    tagged, n_blocks, n = _blocks(q, max_per_block)
+    id_type = catalog.schema[id_col].dataType.simpleString()
+    qid_type = q.schema["qid"].dataType.simpleString()
+    cands = apply_filters(catalog, filters)
+    cols = [id_col, vec_col]
+    if use_blend:
+        ratio = F.col("positive_ratio").cast("double") if "positive_ratio" in cands.columns else F.lit(None).cast("double")
+        lc = log_count("review_count") if "review_count" in cands.columns else F.lit(0.0)
+        cands = cands.select(id_col, vec_col, ratio.alias("__ratio"), lc.alias("__lc"))
+        cols += ["__ratio", "__lc"]
+        cst = cands.agg(F.min("__lc"), F.max("__lc")).first()
+        cmin, cmax = cst[0], cst[1]
+    else:
+        cands = cands.select(*cols)
+    parts = []
+    schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
     for b in range(n_blocks):
-        block = ordered.where(F.col("__b") == b).orderBy("seed_id").toPandas()
+        block = tagged.where(F.col("__b") == b).orderBy("qid").toPandas()
         if block.empty:
             continue
-        ids = block["seed_id"].to_numpy()
-        mat = np.stack(block["svec"].to_numpy()).astype("float64")
-        fn = _partial_topk_fn(ids, mat, top_k_n, id_col, vec_col, keep_seed)
-        blocks.append(cands.mapInPandas(fn, out_schema))
-    partial = blocks[0]
-    for extra in blocks[1:]:
+        q_ids = block["qid"].to_numpy()
+        q_mat = _unit_rows(np.stack(block["qvec"].to_numpy()).astype("float64"))
+        q_seed = block["seed_id"].to_numpy()
+        consts = None
+        if use_blend:
+            if cmin is None:       # no candidate rows
+                continue
+            mm = (cands.mapInPandas(_minmax_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed),
+                                    f"qid {qid_type}, smin double, smax double")
+                  .groupBy("qid").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
+                  .toPandas().set_index("qid").reindex(q_ids))
+            # without a review-count column the reviews term is the constant 0.5
+            c_lo, c_hi = (float(cmin), float(cmax)) if "review_count" in catalog.columns else (-0.5, 0.5)
+            consts = (mm["smin"].to_numpy(dtype="float64"), mm["smax"].to_numpy(dtype="float64"), c_lo, c_hi)
+        parts.append(cands.mapInPandas(
+            _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, top_k_n, consts), schema))
+    if not parts:
+        return spark.createDataFrame([], f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double"
+                                     + (", score double" if use_blend else ""))
+    partial = parts[0]
+    for extra in parts[1:]:
         partial = partial.unionByName(extra)
-    return top_k_per_group(partial, ["seed_id"],
-                           [F.col("similarity").desc(), F.col(id_col).asc()], top_k_n) \
-        .select("seed_id", "rank", id_col, "similarity")
+    sort = F.col("score") if use_blend else F.col("similarity")
+    out = top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n)
+    return out.select("qid", "rank", id_col, "similarity", *(["score"] if use_blend else []))
+
+
+def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
+                    filters: Filters | None = None, keep_seed: bool = True, use_blend: bool = False,
+                    id_col: str = "appid", vec_col: str = "vec", seed_col: str = "seed_id",
+                    max_seeds_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+    """Top-k similar items for every seed id in ``seeds`` (exact), the batch
+    form of :func:`recommend_similar`. Unknown seeds give no rows."""
+    seed_vecs = (seeds.select(F.col(seed_col).alias("qid")).distinct()
+                 .join(catalog.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec")), "qid")
+                 .dropDuplicates(["qid"])
+                 .withColumn("seed_id", F.col("qid")))
+    out = batch_neighbours(catalog, seed_vecs, top_k_n, filters, use_blend, keep_seed, id_col, vec_col,
+                           max_seeds_per_block)
+    return out.withColumnRenamed("qid", "seed_id")
+
+
+def search_batch(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
+                 filters: Filters | None = None, id_col: str = "appid", vec_col: str = "vec",
+                 max_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+    """The batch form of :func:`search_by_vector` for ``(qid, qvec)`` rows
+    (always blended)."""
+    return batch_neighbours(catalog, queries.select("qid", "qvec"), top_k_n, filters, True, True,
+                            id_col, vec_col, max_per_block)
 
 
 # ------------------------------------------------------------------ graph

@@ -323,6 +323,45 @@ def _recommend_batch(t: Tables) -> DataFrame:
     return sim.recommend_batch(s, s.select(F.col("appid").alias("seed_id")), 5)
 
 
+def _batch_blend_sql(queries_sql: str, f: Filters, k: int, seed_rule: bool) -> str:
+    sim = ("CASE WHEN a.qid = b.appid THEN -1.0 ELSE list_dot_product(a.qv, b.vec) END"
+           if seed_rule else "list_dot_product(a.qv, b.vec)")
+    return f"""
+WITH {_APPS},
+q AS ({queries_sql}),
+c AS (SELECT * FROM sv WHERE {_filters_sql(f)}),
+pairs AS (SELECT a.qid, b.appid, {sim} AS similarity, b.positive_ratio, b.review_count FROM q a, c b),
+mm AS (SELECT qid, min(similarity) AS smin, max(similarity) AS smax FROM pairs GROUP BY qid),
+cc AS (SELECT min(ln(1 + coalesce(review_count, 0))) AS cmin, max(ln(1 + coalesce(review_count, 0))) AS cmax FROM c),
+sc AS (SELECT p.qid, p.appid, p.similarity,
+              0.6 * (p.similarity - mm.smin) / (mm.smax - mm.smin + 1e-8)
+              + 0.25 * coalesce(p.positive_ratio, 0.5)
+              + 0.15 * (ln(1 + coalesce(p.review_count, 0)) - cc.cmin) / (cc.cmax - cc.cmin + 1e-8) AS score
+       FROM pairs p JOIN mm ON p.qid = mm.qid, cc)
+SELECT qid, rank, appid, round(similarity, 6) AS similarity, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, appid) AS rank FROM sc)
+WHERE rank <= {k}"""
+
+
+@register("recommend_batch_blended", _batch_blend_sql("SELECT appid AS qid, vec AS qv FROM sv", _F_BLEND, 5, True)
+          .replace("SELECT qid, rank", "SELECT qid AS seed_id, rank"))
+def _recommend_batch_blended(t: Tables) -> DataFrame:
+    s = t.serving_table()
+    return sim.recommend_batch(s, s.select(F.col("appid").alias("seed_id")), 5, _F_BLEND, use_blend=True)
+
+
+_F_SBATCH = Filters(max_year=1999)
+
+
+@register("search_batch", _batch_blend_sql(
+    "SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings", _F_SBATCH, 3, False)
+    .replace("list_dot_product(a.qv, b.vec)",
+             "list_dot_product(list_transform(a.qv, lambda x: x / sqrt(list_sum(list_transform(a.qv, lambda y: y * y)))), b.vec)"))
+def _search_batch(t: Tables) -> DataFrame:
+    q = t.t("embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return sim.search_batch(t.serving_table(), q, 3, _F_SBATCH)
+
+
 _SEARCH_OUT = ("appid, name, short_description, round(similarity, 6) AS similarity, round(score, 6) AS score, "
                "round(positive_ratio, 6) AS positive_ratio, review_count, release_date, "
                "array_to_string(genres_c, '|') AS genres")
