@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # operators whose Python work is the feature (fuzzy ratio, vector block matmul)
-PYTHON_OK = {"find_by_name_fuzzy", "recommend_batch"}
+PYTHON_OK = {"find_by_name_fuzzy", "recommend_batch", "recommend_batch_blended", "search_batch"}
 # name search carries the fuzzy stage behind an in-plan gate (no rows reach
 # the UDF when the substring stage has hits)
 GATED_PYTHON = {"find_by_name_contains", "find_by_name_alias", "recommend_by_name",
