@@ -11,10 +11,13 @@ no shuffle of catalog rows.
 Many seeds: the seed block is size-checked and broadcast; each catalog
 partition multiplies its vectors with the block (NumPy) and keeps a partial
 top-k per seed, so only ``k * seeds`` rows per partition are shuffled.
+Blocks beyond the first are separate jobs written to the shared checkpoint
+folder, so neither the driver nor a task plan ever holds more than one block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,6 +30,7 @@ from vitrine.functions.scoring import blend, log_count, min_max
 from vitrine.functions.vectors import dot, l2_normalize
 from vitrine.operators.filters import Filters, apply_filters
 from vitrine.operators.ranking import top_k, top_k_per_group
+from vitrine.session import checkpoint_path
 
 SEED_SIMILARITY = -1.0
 # Largest seed block shipped to executors by the batch operator. Beyond this,
@@ -248,7 +252,9 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
     checkpointed; each catalog task multiplies its vectors with the block and
     keeps ``k`` rows per query, so the shuffle carries ``k * queries`` rows
     per task. With the blend, a first pass gathers per-query similarity
-    min/max the same way (one row per query per task).
+    min/max the same way (one row per query per task). With more than one
+    block, every block runs as its own job and appends its final rows to a
+    table in the shared checkpoint folder, which is returned.
     """
     spark = catalog.sparkSession
     q = queries.select("qid", "qvec", (F.col("seed_id") if "seed_id" in queries.columns
@@ -268,19 +274,22 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
         cmin, cmax = cst[0], cst[1]
     else:
         cands = cands.select(*cols)
-    parts = []
     schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
-    for b in range(n_blocks):
+    out_cols = ["qid", "rank", id_col, "similarity"] + (["score"] if use_blend else [])
+    sort = F.col("score") if use_blend else F.col("similarity")
+
+    def block_result(b: int) -> DataFrame | None:
+        # one size-checked block (<= max_per_block queries) on the driver at a time
         block = tagged.where(F.col("__b") == b).orderBy("qid").toPandas()
         if block.empty:
-            continue
+            return None
         q_ids = block["qid"].to_numpy()
         q_mat = _unit_rows(np.stack(block["qvec"].to_numpy()).astype("float64"))
         q_seed = block["seed_id"].to_numpy()
         consts = None
         if use_blend:
             if cmin is None:       # no candidate rows
-                continue
+                return None
             mm = (cands.mapInPandas(_minmax_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed),
                                     f"qid {qid_type}, smin double, smax double")
                   .groupBy("qid").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
@@ -288,17 +297,31 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
             # without a review-count column the reviews term is the constant 0.5
             c_lo, c_hi = (float(cmin), float(cmax)) if "review_count" in catalog.columns else (-0.5, 0.5)
             consts = (mm["smin"].to_numpy(dtype="float64"), mm["smax"].to_numpy(dtype="float64"), c_lo, c_hi)
-        parts.append(cands.mapInPandas(
-            _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, top_k_n, consts), schema))
-    if not parts:
-        return spark.createDataFrame([], f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double"
-                                     + (", score double" if use_blend else ""))
-    partial = parts[0]
-    for extra in parts[1:]:
-        partial = partial.unionByName(extra)
-    sort = F.col("score") if use_blend else F.col("similarity")
-    out = top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n)
-    return out.select("qid", "rank", id_col, "similarity", *(["score"] if use_blend else []))
+        partial = cands.mapInPandas(
+            _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, top_k_n, consts), schema)
+        # the queries of a block are disjoint from other blocks: final top-k per block
+        return top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n) \
+            .select(*out_cols)
+
+    empty_schema = f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double" + \
+        (", score double" if use_blend else "")
+    if n_blocks == 1:
+        out = block_result(0)
+        return out if out is not None else spark.createDataFrame([], empty_schema)
+    # several blocks: each block is its own job whose result is appended to a
+    # table in the shared checkpoint folder. Plans stay one block wide, the
+    # driver never holds more than one block, and finished blocks survive
+    # the loss of executors.
+    path = checkpoint_path(spark, f"neighbours-{uuid.uuid4().hex}")
+    wrote = False
+    for b in range(n_blocks):
+        out = block_result(b)
+        if out is not None:
+            out.write.mode("append").parquet(path)
+            wrote = True
+    if not wrote:
+        return spark.createDataFrame([], empty_schema)
+    return spark.read.parquet(path).select(*out_cols)
 
 
 def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
