@@ -26,10 +26,18 @@ def l2_norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """Unit-length vector as array<double>; a zero vector stays zero (no /0)."""
-    norm = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.when(norm > 0, x.cast("double") / norm)
-                       .otherwise(F.lit(0.0)))
+    """Unit-length vector as array<double>; a zero vector stays zero (no /0).
+
+    The sum of squares is accumulated once per row and handed to the
+    ``aggregate`` finish step, which scales the elements. (A norm written
+    inside the element lambda is re-evaluated for every element: quadratic
+    in the dimension.)
+    """
+    c = _c(v)
+    return F.aggregate(
+        c, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda ss: F.transform(c, lambda x: F.when(ss > 0, x.cast("double") / F.sqrt(ss))
+                               .otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -67,11 +67,14 @@ def _scored(catalog: DataFrame, qvec: Column, vec_col: str, normalize: bool = Fa
 def _blend_scores(df: DataFrame, ratio_col: str = "positive_ratio",
                   count_col: str = "review_count") -> DataFrame:
     """Add ``score``: min-max scaled similarity and log review count over the
-    rows of ``df`` (the rows left after filtering), blended with the ratio."""
+    rows of ``df`` that have a similarity (the rows left after filtering),
+    blended with the ratio. Rows without a similarity get a null score."""
     has_ratio, has_count = ratio_col in df.columns, count_col in df.columns
+    scored = F.col("similarity").isNotNull()
     aggs = [F.min("similarity").alias("smin"), F.max("similarity").alias("smax")]
     if has_count:
-        aggs += [F.min(log_count(count_col)).alias("cmin"), F.max(log_count(count_col)).alias("cmax")]
+        lc = F.when(scored, log_count(count_col))
+        aggs += [F.min(lc).alias("cmin"), F.max(lc).alias("cmax")]
     # one scalar subquery returning a struct: one extra aggregation job
     stats = df.select(F.struct(*aggs).alias("s")).select("s").scalar()
     out = df.withColumn("__st", stats)
@@ -79,7 +82,7 @@ def _blend_scores(df: DataFrame, ratio_col: str = "positive_ratio",
     rc_norm = (min_max(log_count(count_col), F.col("__st.cmin"), F.col("__st.cmax"))
                if has_count else None)
     ratio = F.col(ratio_col) if has_ratio else None
-    return out.withColumn("score", blend(sim_norm, ratio, rc_norm)).drop("__st")
+    return out.withColumn("score", F.when(scored, blend(sim_norm, ratio, rc_norm))).drop("__st")
 
 
 def _project(df: DataFrame, wanted: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -102,19 +105,24 @@ def recommend_similar(catalog: DataFrame, seed_id, top_k_n: int = 10,
     if strict and not seed_exists(catalog, seed_id, id_col):
         raise ValueError(f"{id_col} {seed_id} not found in embeddings")
     q = seed_vector(catalog, seed_id, id_col, vec_col)
-    df = _scored(catalog, q, vec_col).where(F.col("similarity").isNotNull())
     is_seed = F.col(id_col) == F.lit(seed_id)
-    if keep_seed:
-        df = df.withColumn("similarity", F.when(is_seed, F.lit(SEED_SIMILARITY))
-                           .otherwise(F.col("similarity")))
-    else:
-        df = df.where(~is_seed)
+    df = catalog if keep_seed else catalog.where(~is_seed)
     df = apply_filters(df, filters)
+    df = _scored(df, q, vec_col)
+    if keep_seed:
+        sim_ = F.col("similarity")
+        df = df.withColumn("similarity", F.when(is_seed & sim_.isNotNull(), F.lit(SEED_SIMILARITY))
+                           .otherwise(sim_))
     sort_col = "similarity"
     if use_blend:
         df = _blend_scores(df)
         sort_col = "score"
+    # rows without a similarity (no vector, unknown seed) sort last and are
+    # dropped from the k ranked rows: the same rows as dropping them first,
+    # without a filter that Catalyst would push below the projection (and so
+    # evaluate the dot product twice per row)
     ranked = top_k(df, [F.col(sort_col).desc_nulls_last(), F.col(id_col).asc()], top_k_n)
+    ranked = ranked.where(F.col("similarity").isNotNull())
     return _project(ranked, ["rank"] + REC_COLUMNS, ["score"] if use_blend else [])
 
 
@@ -139,11 +147,11 @@ def search_by_vector(catalog: DataFrame, vec: Sequence[float] | Column, top_k_n:
     scalar subquery of :func:`stored_vector`; pass ``normalized=True`` when
     that column is already unit length."""
     q = query_vector_column(vec)
-    df = _scored(catalog, q, vec_col, normalize=isinstance(vec, Column) and not normalized)
-    df = df.where(F.col("similarity").isNotNull())
-    df = apply_filters(df, filters)
+    df = apply_filters(catalog, filters)
+    df = _scored(df, q, vec_col, normalize=isinstance(vec, Column) and not normalized)
     df = _blend_scores(df)
     ranked = top_k(df, [F.col("score").desc_nulls_last(), F.col(id_col).asc()], top_k_n)
+    ranked = ranked.where(F.col("similarity").isNotNull())
     return _project(ranked, ["rank"] + SEARCH_COLUMNS)
 
 
