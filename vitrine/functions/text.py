@@ -158,16 +158,24 @@ def clean_aliases(arr: Column | str, original_name: Column | str, max_k: int = 6
     normalised), normalise, drop unrealistic ones, order-preserving dedup,
     keep at most ``max_k``."""
     orig = F.lower(strip_ws(F.coalesce(_c(original_name), F.lit(""))))
-    orig_norm = alias_normalize(orig)
-    pairs = F.transform(_c(arr), lambda a: F.struct(
-        strip_ws(a.cast("string")).alias("raw"),
-        alias_normalize(strip_ws(a.cast("string"))).alias("norm")))
-    kept = F.filter(pairs, lambda p: (
-        p["raw"].isNotNull() & (p["raw"] != "")
-        & ~((orig != "") & (F.lower(p["raw"]) == orig))
-        & ~((orig != "") & (orig_norm == p["norm"]))
-        & ~alias_is_unrealistic(p["raw"], p["norm"])))
-    norms = F.array_distinct(F.transform(kept, lambda p: p["norm"]))
+    # The row's name forms are bound once: a one-element array mapped by a
+    # lambda, whose variable the per-alias lambdas read. (Written directly
+    # inside those lambdas they would be re-evaluated for every alias.)
+    row = F.array(F.struct(orig.alias("o"), alias_normalize(orig).alias("on"), _c(arr).alias("a")))
+
+    def per_row(r: Column) -> Column:
+        o, on = r["o"], r["on"]
+        pairs = F.transform(r["a"], lambda a: F.struct(
+            strip_ws(a.cast("string")).alias("raw"),
+            alias_normalize(a.cast("string")).alias("norm")))
+        kept = F.filter(pairs, lambda p: (
+            p["raw"].isNotNull() & (p["raw"] != "")
+            & ~((o != "") & (F.lower(p["raw"]) == o))
+            & ~((o != "") & (on == p["norm"]))
+            & ~alias_is_unrealistic(p["raw"], p["norm"])))
+        return F.array_distinct(F.transform(kept, lambda p: p["norm"]))
+
+    norms = F.transform(row, per_row).getItem(0)
     return F.coalesce(F.slice(norms, 1, max_k), empty_string_array())
 
 
