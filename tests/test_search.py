@@ -67,3 +67,17 @@ def test_summary_lookup(spark):
     assert summary_lookup(s, "portal").first().appid == 10
     r = summary_lookup(s, "99").collect()
     assert r == []
+
+
+def test_baseline_search(spark):
+    from vitrine.operators.search import find_by_name_simple
+    dup = spark.createDataFrame([(2, "Portal"), (2, "portal"), (2, "Portal"), (7, None)],
+                                "appid bigint, name string")
+    df = items(spark).select("appid", "name").unionByName(dup)
+    got = [(r["rank"], r.appid, r.name) for r in find_by_name_simple(df, " portal ", 10).collect()]
+    # distinct (appid, name) rows in key, name order; no ranking features
+    assert got == [(1, 1, "Portal 2"), (2, 2, "Portal"), (3, 2, "portal"), (4, 3, "Portal 2 - Soundtrack"),
+                   (5, 6, "Portal")]
+    # a blank query matches every named row (first k by key)
+    assert [r.appid for r in find_by_name_simple(df, "  ", 3).collect()] == [1, 2, 2]
+    assert find_by_name_simple(df, "zzz", 3).count() == 0

@@ -176,3 +176,13 @@ def test_l2_normalize_linear_in_dimension(spark):
         .agg(F.min("n2"), F.max("n2")).first()
     assert time.perf_counter() - t < 30
     assert s[0] == pytest.approx(1.0) and s[1] == pytest.approx(1.0)
+
+
+def test_search_unblended_is_cosine_order(spark):
+    c = catalog(spark, rows_basic())
+    got = search_by_vector(c, [2.0, 0.2, 0.0], 6, use_blend=False).collect()
+    assert "score" not in got[0].asDict()
+    sims = [r.similarity for r in got]
+    assert sims == sorted(sims, reverse=True)
+    # ties (2 and 5 hold the same vector) by key
+    assert [r.appid for r in got][:3] == [2, 5, 1]

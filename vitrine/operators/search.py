@@ -86,11 +86,12 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
 
 def find_by_name_simple(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appid") -> DataFrame:
     """Baseline search without aliases or ranking features: substring of the
-    lower-cased name, one row per key, first ``top_k_n`` by key."""
+    lower-cased name, distinct ``(appid, name)`` rows, the first ``top_k_n``
+    by key then name. As in the baseline, a blank query matches every
+    named row."""
     q = name.strip().lower()
-    hits = items.where(contains_ci("name", q)) if q else items.where(F.lit(False))
-    hits = first_per_key(hits, [key], [F.col(key).asc()])
-    return top_k(hits, [F.col(key).asc()], top_k_n).select("rank", key, "name")
+    hits = items.where(contains_ci("name", q) & F.col("name").isNotNull()).select(key, "name").distinct()
+    return top_k(hits, [F.col(key).asc(), F.col("name").asc()], top_k_n).select("rank", key, "name")
 
 
 def first_candidate(matches: DataFrame, key: str = "appid") -> Column:

@@ -140,8 +140,11 @@ def query_vector_column(vec: Sequence[float] | Column) -> Column:
 
 def search_by_vector(catalog: DataFrame, vec: Sequence[float] | Column, top_k_n: int = 10,
                      filters: Filters | None = None, id_col: str = "appid",
-                     vec_col: str = "vec", normalized: bool = False) -> DataFrame:
-    """Items nearest to a free query vector; always blended, sorted by score.
+                     vec_col: str = "vec", normalized: bool = False,
+                     use_blend: bool = True) -> DataFrame:
+    """Items nearest to a free query vector; blended and sorted by score
+    (``use_blend=False``: plain cosine order, no ``score``, as the baseline
+    recommender).
 
     ``vec`` may be a literal list (normalised here) or a column, e.g. the
     scalar subquery of :func:`stored_vector`; pass ``normalized=True`` when
@@ -149,10 +152,14 @@ def search_by_vector(catalog: DataFrame, vec: Sequence[float] | Column, top_k_n:
     q = query_vector_column(vec)
     df = apply_filters(catalog, filters)
     df = _scored(df, q, vec_col, normalize=isinstance(vec, Column) and not normalized)
-    df = _blend_scores(df)
-    ranked = top_k(df, [F.col("score").desc_nulls_last(), F.col(id_col).asc()], top_k_n)
+    sort_col = "similarity"
+    if use_blend:
+        df = _blend_scores(df)
+        sort_col = "score"
+    ranked = top_k(df, [F.col(sort_col).desc_nulls_last(), F.col(id_col).asc()], top_k_n)
     ranked = ranked.where(F.col("similarity").isNotNull())
-    return _project(ranked, ["rank"] + SEARCH_COLUMNS)
+    cols = SEARCH_COLUMNS if use_blend else [c for c in SEARCH_COLUMNS if c != "score"]
+    return _project(ranked, ["rank"] + cols)
 
 
 def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize: bool = True) -> Column:

@@ -112,6 +112,11 @@ class Tables:
             _SERVING[key] = path
         return spark.read.parquet(path)
 
+    def baseline_catalog(self) -> DataFrame:
+        """Catalog of the baseline recommender: every item with a vector (no
+        type filter, no review statistics)."""
+        return cat.serving_catalog(self.applications(), self.embeddings(), item_type=None)
+
     # ------------------------------------------------------------ name search
     def part_aliases(self) -> DataFrame:
         p = self.t("part")

@@ -499,6 +499,49 @@ def _find_fuzzy(t: Tables) -> DataFrame:
     return search.find_by_name(t.named_items(), FUZZY_QUERY, 5)
 
 
+# ================================================================= baseline
+# The baseline recommender: every item with a vector (no type filter), plain
+# cosine order, unranked substring search.
+_BASE = """
+b AS (SELECT a.appid, a.name, a.short_description, e.vec FROM apps a JOIN emb e ON a.appid = e.appid)"""
+
+
+@register("baseline_recommend", f"""
+WITH {_APPS},{_BASE}
+SELECT rank, appid, name, round(similarity, 6) AS similarity FROM (
+  SELECT row_number() OVER (ORDER BY s DESC, appid) AS rank, appid, name, s AS similarity
+  FROM (SELECT appid, name, CASE WHEN appid = {SEED} THEN -1.0 ELSE list_dot_product(vec,
+          (SELECT vec FROM b WHERE appid = {SEED})) END AS s FROM b))
+WHERE rank <= 10""")
+def _baseline_recommend(t: Tables) -> DataFrame:
+    return sim.recommend_similar(t.baseline_catalog(), SEED, 10, strict=True) \
+        .select("rank", "appid", "name", "similarity")
+
+
+@register("baseline_search", f"""
+WITH {_APPS},{_BASE},
+q AS (SELECT list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(
+        list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS qv FROM embeddings WHERE vec_id = {QUERY_VEC_ID})
+SELECT rank, appid, name, short_description, round(similarity, 6) AS similarity FROM (
+  SELECT row_number() OVER (ORDER BY similarity DESC, appid) AS rank, appid, name, short_description, similarity
+  FROM (SELECT appid, name, short_description, list_dot_product(vec, (SELECT qv FROM q)) AS similarity FROM b))
+WHERE rank <= 10""")
+def _baseline_search(t: Tables) -> DataFrame:
+    return sim.search_by_vector(t.baseline_catalog(), _query_vec(t), 10, normalized=True, use_blend=False) \
+        .select("rank", "appid", "name", "short_description", "similarity")
+
+
+@register("baseline_find_by_name", f"""
+WITH {_APPS},{_BASE},
+hits AS (SELECT DISTINCT appid, name FROM b WHERE name IS NOT NULL
+         AND contains(lower(name), '{CATALOG_NAME_QUERY}'))
+SELECT rank, appid, name FROM (
+  SELECT row_number() OVER (ORDER BY appid, name) AS rank, appid, name FROM hits)
+WHERE rank <= 5""")
+def _baseline_find(t: Tables) -> DataFrame:
+    return search.find_by_name_simple(t.baseline_catalog(), CATALOG_NAME_QUERY, 5)
+
+
 # ================================================================= free text
 @register("prompt_resolve", f"""
 WITH {_APPS},
