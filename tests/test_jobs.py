@@ -78,3 +78,38 @@ def test_catalog_job(spark, tmp):
     assert rows["10"].review_count == 2 and rows["10"].positive_ratio == 0.5
     assert rows["20"].release_year is None and rows["20"].review_count is None
     assert rows["10"].name_normalized == "portal the game"
+
+
+def make_rewriter():
+    def fn(text):
+        if text == "boom":
+            raise RuntimeError("model failed")
+        if text == "none":
+            return None
+        return "Output: " + text.upper()
+    return fn
+
+
+def test_generate_distinct(spark):
+    from vitrine.operators.enrich import generate_distinct
+    df = spark.createDataFrame([(1, "cheap rpg"), (2, "cheap rpg"), (3, "boom"), (4, "none"), (5, None)],
+                               "qid int, text string")
+    got = {r.qid: r.rewritten for r in generate_distinct(df, make_rewriter).collect()}
+    # prefix removed; failed or empty responses keep the input; null input stays null
+    assert got == {1: "CHEAP RPG", 2: "CHEAP RPG", 3: "boom", 4: "none", 5: None}
+
+
+def make_encoder():
+    def enc(texts):
+        return [[float(t.count("a")), float(t.count("b")), float(len(t) % 3)] for t in texts]
+    return enc
+
+
+def test_encode_unit_vectors(spark):
+    import numpy as np
+    from vitrine.operators.enrich import encode
+    df = spark.createDataFrame([(1, "aab"), (2, ""), (3, None), (4, "bbbb")], "qid int, text string")
+    got = {r.qid: r.vec for r in encode(df, make_encoder).collect()}
+    assert got[1] == np.divide([2.0, 1.0, 0.0], np.sqrt(5.0)).tolist()
+    assert got[2] == [0.0, 0.0, 0.0] and got[3] == [0.0, 0.0, 0.0]      # zero stays zero
+    assert np.linalg.norm(got[4]) == 1.0
