@@ -67,6 +67,11 @@ def test_summary_lookup(spark):
     assert summary_lookup(s, "portal").first().appid == 10
     r = summary_lookup(s, "99").collect()
     assert r == []
+    # two parameters: the id wins; an unknown id falls back to the name
+    assert summary_lookup(s, "12", name="portal").first().appid == 12
+    assert summary_lookup(s, "99", name="PORTAL 2").first().appid == 11
+    assert summary_lookup(s, None, name="doom").first().appid == 12
+    assert summary_lookup(s, "", name="").collect() == []
 
 
 def test_baseline_search(spark):

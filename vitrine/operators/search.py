@@ -99,16 +99,24 @@ def first_candidate(matches: DataFrame, key: str = "appid") -> Column:
     return matches.where(F.col("rank") == 1).select(F.min(key)).scalar()
 
 
-def summary_lookup(summaries: DataFrame, text: str, key: str = "appid") -> DataFrame:
+def summary_lookup(summaries: DataFrame, text: str | None, key: str = "appid",
+                   name: str | None = None) -> DataFrame:
     """Summary row for an id, else for the best name match (substring,
-    case-insensitive, most reviews used first). Null counts -> 0."""
-    t = text.strip()
+    case-insensitive, most reviews used first). Null counts -> 0.
+
+    ``text`` alone serves both stages (digits are tried as an id first).
+    With ``name`` given, as the two request parameters, the id stage uses
+    ``text`` and the name stage ``name``. Nothing given or nothing found
+    gives no row.
+    """
+    t = (text or "").strip()
+    n = t if name is None else name.strip()
     s = summaries
     if t.isdigit():
-        by_id = s.where(F.col(key).cast("string") == F.lit(t))
+        by_id = s.where(F.col(key).cast("string") == F.lit(str(int(t))))
     else:
         by_id = s.where(F.lit(False))
-    by_name = s.where(contains_ci("name", t.lower())) if t else s.where(F.lit(False))
+    by_name = s.where(contains_ci("name", n.lower())) if n else s.where(F.lit(False))
     n_id = by_id.select(F.count(F.lit(1))).scalar()
     by_name = by_name.withColumn("__n", n_id).where(F.col("__n") == 0).drop("__n")
     both = by_id.withColumn("__src", F.lit(0)).unionByName(by_name.withColumn("__src", F.lit(1)))
