@@ -106,6 +106,9 @@ class Tables:
         if path is None:
             tag = abs(hash(self.sf_dir)) % (1 << 32)
             path = checkpoint_path(spark, f"serving-{app}-{tag}")
+            # one range per core: scans of a small table still run on every
+            # core; large files split by row group when read, so the count
+            # need not grow with the data
             n = max(1, spark.sparkContext.defaultParallelism)
             (self.serving().repartitionByRange(n, "appid").sortWithinPartitions("appid")
              .write.mode("overwrite").parquet(path))
