@@ -39,14 +39,21 @@ def local_session(app_name: str = "vitrine", cores: int | str = "*",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) a scratch folder is made.
+    On a cluster ``spark.checkpoint.dir`` (or a folder already given to
+    ``setCheckpointDir``) points at shared storage and is used as is. Only a
+    local master (tests, bench) without one gets a scratch folder; on a
+    cluster a missing setting is an error, never a machine-local folder.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder on shared storage")
         current = tempfile.mkdtemp(prefix="vitrine-ckpt-")
+    if spark.conf.get(CHECKPOINT_CONF, None) != current:
         spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
