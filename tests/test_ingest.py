@@ -131,3 +131,25 @@ def test_pick_keys(spark):
     items = spark.createDataFrame([(1, 5), (2, None), (3, 9), (None, 100)], "appid bigint, review_count bigint")
     assert [r.appid for r in ingest.pick_keys(items, 2).collect()] == [3, 1]
     assert [r.appid for r in ingest.default_keys(spark, 5).collect()] == [620, 440, 570]
+
+
+def test_store_appends_inserts_rewrites_replaced(spark, tmp):
+    import glob
+    from vitrine.streaming.ingest_stream import ReviewStore, run_batch
+    schema = spark.createDataFrame([], FEED_SCHEMA).schema
+    store = ReviewStore(spark, os.path.join(tmp, "store"), schema, n_buckets=8)
+    first = [(k, f"r{k}", 100, "v1") for k in range(1, 9)]
+    run_batch(spark, spark.createDataFrame(first, FEED_SCHEMA), store)
+    files = lambda: set(glob.glob(os.path.join(tmp, "store", "table", "bucket=*", "*.parquet")))
+    before = files()
+    # only new keys: every existing file stays, new files are added
+    run_batch(spark, spark.createDataFrame([(k, f"n{k}", 200, "new") for k in range(1, 9)], FEED_SCHEMA), store)
+    after = files()
+    assert before <= after and len(after) > len(before)
+    # a changed review replaces the stored one (newer than the key's watermark)
+    run_batch(spark, spark.createDataFrame([(3, "r3", 300, "edited"), (9, "r9", 300, "v1")], FEED_SCHEMA), store)
+    table, state = store.current()
+    got = {(r.appid, r.recommendationid): (r.timestamp_updated, r.review) for r in table.collect()}
+    assert len(got) == table.count() == 17                      # no duplicate keys
+    assert got[(3, "r3")] == (300, "edited") and got[(1, "r1")] == (100, "v1")
+    assert {r.appid: r.last_timestamp_updated for r in state.collect()}[3] == 300

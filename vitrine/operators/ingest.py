@@ -1,8 +1,10 @@
 """Incremental review ingest: per-key high watermark, dedup, upsert, state,
 run report and the page stop rule.
 
-One batch function (:func:`ingest_batch`) serves both a plain batch job and
-a Structured Streaming ``foreachBatch`` sink (see ``vitrine.streaming``).
+The same operators (:func:`incremental_rows`, :func:`upsert`,
+:func:`next_state`) make the plain batch step :func:`ingest_batch` and the
+bucketed store behind the Structured Streaming ``foreachBatch`` sink (see
+``vitrine.streaming``).
 """
 
 from __future__ import annotations

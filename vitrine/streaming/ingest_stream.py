@@ -6,15 +6,18 @@ Landed review files arrive in a folder. ``readStream`` picks up new files,
 watermark filter, dedup, upsert, state advance.
 
 Storage: the reviews table and the watermark state are parquet tables
-partitioned by ``bucket = pmod(xxhash64(key), n_buckets)``. A batch reads
-only the buckets its keys fall into (partition pruning), upserts them,
-cuts the lineage with ``checkpoint()`` (shared checkpoint folder) and
-overwrites just those buckets (dynamic partition overwrite). A 100 TB table
-is never rewritten whole; a batch touching few keys rewrites few buckets.
+partitioned by ``bucket = pmod(xxhash64(key), n_buckets)``. A batch first
+reads only the *key columns* of the buckets its rows fall into (partition
+pruning + column pruning). Rows whose key is new are appended to their
+buckets; only buckets that hold a replaced key are read whole, upserted,
+cut from their lineage with ``checkpoint()`` (shared checkpoint folder) and
+overwritten (dynamic partition overwrite). An insert-heavy feed therefore
+writes about its own size, and a 100 TB table is never rewritten whole.
 
 Fault tolerance: the stream checkpoint records which files each batch
-consumed; a re-run batch re-reads the touched buckets and upserts the same
-rows again, which yields the same table (the upsert is idempotent).
+consumed, and the state is written last. A re-run batch finds rows it
+appended before a crash as existing keys and replaces them by themselves,
+so the table ends the same (the upsert is idempotent).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.operators.ingest import ingest_batch
+from vitrine.operators.ingest import incremental_rows, next_state, upsert
 from vitrine.schema import CRAWL_STATE_SCHEMA
 from vitrine.session import checkpoint_path
 
@@ -81,10 +84,26 @@ class ReviewStore:
         touched = [r[0] for r in b.select(BUCKET).distinct().collect()]   # <= n_buckets values
         if not touched:
             return
-        table = self._read(self.table_path, self.schema, touched)
+        cols = [f.name for f in self.schema.fields]
         state = self._read(self.state_path, CRAWL_STATE_SCHEMA, touched)
-        _, new_table, new_state = ingest_batch(batch, table, state, self.keys, self.key, self.ts_col)
-        self._write(new_table, self.table_path, [f.name for f in self.schema.fields])
+        new = incremental_rows(batch, state, self.key, self.keys[1], self.ts_col).select(*cols)
+        # the batch's rows are fixed before any of the tables they were
+        # derived from is written
+        new = new.withColumn(BUCKET, bucket_of(self.key, self.n_buckets)).checkpoint()
+        replaced: list[int] = []
+        if _exists(self.spark, self.table_path):
+            keys_now = (self.spark.read.parquet(self.table_path)
+                        .where(F.col(BUCKET).isin(touched)).select(*self.keys, BUCKET))
+            replaced = [r[0] for r in new.join(keys_now, [*self.keys, BUCKET], "left_semi")
+                        .select(BUCKET).distinct().collect()]                   # <= n_buckets values
+        if replaced:
+            existing = self._read(self.table_path, self.schema, replaced)
+            incoming = new.where(F.col(BUCKET).isin(replaced)).drop(BUCKET)
+            self._write(upsert(existing, incoming, self.keys), self.table_path, cols)
+        inserts = new.where(~F.col(BUCKET).isin(replaced)) if replaced else new
+        (inserts.repartition(BUCKET).write.mode("append").partitionBy(BUCKET)
+         .parquet(self.table_path))
+        new_state = next_state(state, new.drop(BUCKET), self.key, self.ts_col)
         self._write(new_state, self.state_path, [f.name for f in CRAWL_STATE_SCHEMA.fields])
 
 
