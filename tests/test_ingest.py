@@ -153,3 +153,7 @@ def test_store_appends_inserts_rewrites_replaced(spark, tmp):
     assert len(got) == table.count() == 17                      # no duplicate keys
     assert got[(3, "r3")] == (300, "edited") and got[(1, "r1")] == (100, "v1")
     assert {r.appid: r.last_timestamp_updated for r in state.collect()}[3] == 300
+    store.compact()
+    assert len(files()) <= 8
+    assert {(r.appid, r.recommendationid): (r.timestamp_updated, r.review)
+            for r in store.current()[0].collect()} == got

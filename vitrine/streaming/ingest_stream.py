@@ -107,6 +107,14 @@ class ReviewStore:
         self._write(new_state, self.state_path, [f.name for f in CRAWL_STATE_SCHEMA.fields])
 
 
+    def compact(self, buckets: list[int] | None = None) -> None:
+        """Rewrite buckets (all by default) into one file each: appended
+        batches leave small files behind. Same rows, fewer files."""
+        table = self._read(self.table_path, self.schema, buckets)
+        if table is not None:
+            self._write(table, self.table_path, [f.name for f in self.schema.fields])
+
+
 def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore) -> None:
     """Plain batch form of the ingest (same function as the stream sink)."""
     store.apply(feed)
