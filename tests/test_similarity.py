@@ -186,3 +186,18 @@ def test_search_unblended_is_cosine_order(spark):
     assert sims == sorted(sims, reverse=True)
     # ties (2 and 5 hold the same vector) by key
     assert [r.appid for r in got][:3] == [2, 5, 1]
+
+
+def test_batch_query_copies_collapse(spark):
+    """A query id held by many rows (copies) is one query; blocking ends."""
+    from vitrine.operators.similarity import search_batch
+    c = random_catalog(spark)
+    v = [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]
+    q = spark.createDataFrame([(1, v)] * 40 + [(2, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])],
+                              "qid int, qvec array<double>")
+    got = search_batch(c, q, 3, max_per_block=4)
+    rows = got.collect()
+    assert sorted((r.qid, r["rank"]) for r in rows) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
+    single = search_by_vector(c, v, 3).collect()
+    assert [r.appid for r in sorted((r for r in rows if r.qid == 1), key=lambda r: r["rank"])] == \
+        [r.appid for r in single]

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from vitrine.functions.scoring import blend, log_count, min_max
 from vitrine.functions.vectors import dot, l2_normalize
 from vitrine.operators.filters import Filters, apply_filters
-from vitrine.operators.ranking import top_k, top_k_per_group
+from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
 from vitrine.session import checkpoint_path
 
 SEED_SIMILARITY = -1.0
@@ -238,7 +238,11 @@ def _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, k, blend_consts):
 
 
 def _blocks(queries: DataFrame, max_per_block: int) -> tuple[DataFrame, int, int]:
-    """Queries with a block number; block sizes are counted, not assumed."""
+    """Queries (one row per ``qid``) with a block number; block sizes are
+    counted, not assumed. The block count doubles until the largest block
+    fits, which ends since ids are distinct."""
+    if max_per_block < 1:
+        raise ValueError("max_per_block must be positive")
     n = queries.count()
     n_blocks = max(1, (n + max_per_block - 1) // max_per_block)
     while True:
@@ -248,6 +252,8 @@ def _blocks(queries: DataFrame, max_per_block: int) -> tuple[DataFrame, int, int
         biggest = tagged.groupBy("__b").count().agg(F.max("count")).first()[0]
         if biggest <= max_per_block:
             return tagged, n_blocks, n
+        if n_blocks > 64 * n:
+            raise RuntimeError("query blocks do not split: query ids are not distinct")
         n_blocks *= 2
 
 
@@ -274,7 +280,11 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
     spark = catalog.sparkSession
     q = queries.select("qid", "qvec", (F.col("seed_id") if "seed_id" in queries.columns
                                         else F.lit(None).cast(catalog.schema[id_col].dataType)).alias("seed_id"))
-    q = q.where(F.col("qvec").isNotNull()).checkpoint()
+    # one row per query id: copies of a query collapse before blocking (the
+    # copies of one id would otherwise fill one block whatever the block
+    # count); conflicting vectors under one id keep the smallest hash
+    q = first_per_key(q.where(F.col("qvec").isNotNull()), ["qid"],
+                      [F.xxhash64("qvec").asc(), F.col("seed_id").asc_nulls_last()]).checkpoint()
     tagged, n_blocks, n = _blocks(q, max_per_block)
     id_type = catalog.schema[id_col].dataType.simpleString()
     qid_type = q.schema["qid"].dataType.simpleString()
