@@ -201,3 +201,18 @@ def test_batch_query_copies_collapse(spark):
     single = search_by_vector(c, v, 3).collect()
     assert [r.appid for r in sorted((r for r in rows if r.qid == 1), key=lambda r: r["rank"])] == \
         [r.appid for r in single]
+
+
+def test_graph_with_catalog_copies(spark):
+    """Copies of a result item in the catalog do not multiply its edges."""
+    rows = rows_basic()
+    c = catalog(spark, rows + [rows[1]] * 30)        # item 2 held by 31 rows
+    recs = recommend_similar(c, 1, 3)
+    assert [r.appid for r in recs.collect()] == [2, 2, 2]
+    nodes, edges = similarity_graph(c, recs, 1, F.lit("a"), threshold=0.9)
+    assert nodes.count() == 4
+    e = sorted((r.source, r.target, round(r.value, 6)) for r in edges.collect())
+    # three seed edges and the three rank pairs of the result rows, as the
+    # reference's per-row loop gives; not one per catalog copy
+    assert len(e) == 6
+    assert [x for x in e if x[0] == "2"] == [("2", "2", 1.0)] * 3

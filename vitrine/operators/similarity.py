@@ -392,7 +392,11 @@ def similarity_graph(catalog: DataFrame, recs: DataFrame, seed_id, seed_name: Co
     recs = recs.where(F.col("rank") <= max_nodes)
     if not keep_seed:
         recs = recs.where(F.col(id_col) != F.lit(seed_id))
-    with_vec = recs.join(catalog.select(id_col, vec_col), id_col, "inner")
+    # one vector per result id (the result ids are at most max_nodes): copies
+    # of an item in the catalog never multiply the k result rows
+    vecs = first_per_key(catalog.select(id_col, vec_col).join(recs.select(id_col), id_col, "left_semi"),
+                         [id_col], [F.xxhash64(F.col(vec_col)).asc()])
+    with_vec = recs.join(vecs, id_col, "inner")
     center_label = seed_name if seed_name is not None else \
         catalog.where(F.col(id_col) == F.lit(seed_id)).select(F.min("name")).scalar()
     center = catalog.sparkSession.range(1).select(
