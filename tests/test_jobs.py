@@ -113,3 +113,13 @@ def test_encode_unit_vectors(spark):
     assert got[1] == np.divide([2.0, 1.0, 0.0], np.sqrt(5.0)).tolist()
     assert got[2] == [0.0, 0.0, 0.0] and got[3] == [0.0, 0.0, 0.0]      # zero stays zero
     assert np.linalg.norm(got[4]) == 1.0
+
+
+def test_corpus_item_copies(spark):
+    from vitrine.operators.enrich import summary_corpus
+    reviews, items = reviews_items(spark)
+    copies = items.unionByName(items.where("appid = 1")).unionByName(items.where("appid = 1"))
+    got = summary_corpus(reviews, copies, None, 10, 1).collect()
+    assert sorted(r.appid for r in got) == [1, 3]
+    one = {r.appid: r.corpus for r in summary_corpus(reviews, items, None, 10, 1).collect()}
+    assert {r.appid: r.corpus for r in got} == one

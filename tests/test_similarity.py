@@ -216,3 +216,13 @@ def test_graph_with_catalog_copies(spark):
     # reference's per-row loop gives; not one per catalog copy
     assert len(e) == 6
     assert [x for x in e if x[0] == "2"] == [("2", "2", 1.0)] * 3
+
+
+def test_batch_seed_copies(spark):
+    """A seed held by many catalog rows is one query, as in the single form."""
+    rows = rows_basic()
+    c = catalog(spark, rows + [rows[0]] * 20)         # seed 1 held by 21 rows
+    got = recommend_batch(c, spark.createDataFrame([(1,), (1,)], "seed_id bigint"), 3, max_seeds_per_block=1)
+    single = recommend_similar(c, 1, 3).collect()
+    assert [(r.seed_id, r["rank"], r.appid) for r in got.orderBy("rank").collect()] == \
+        [(1, r["rank"], r.appid) for r in single]

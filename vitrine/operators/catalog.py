@@ -24,9 +24,11 @@ def genre_sets(app_genres: DataFrame, genres: DataFrame, key: str = "appid") ->
     names, which the set drops). ``collect_set`` aggregates map-side first,
     so a hot item ships one small set per task, not its rows.
     """
-    dim = genres.withColumnRenamed("id", "genre_id")
+    # distinct (id, name) pairs: copies in the dimension do not multiply the
+    # bridge rows (the set is the same)
+    dim = genres.withColumnRenamed("id", "genre_id").select("genre_id", "name").distinct()
     return (app_genres.select(key, "genre_id")
-            .join(dim.select("genre_id", "name"), "genre_id", "left")
+            .join(dim, "genre_id", "left")
             .groupBy(key)
             .agg(F.sort_array(F.collect_set("name")).alias("genres")))
 

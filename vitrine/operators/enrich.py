@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from vitrine.functions.text import (aliases_from_response, clean_aliases, genres_text,
                                     strip_prefixes, truncate)
-from vitrine.operators.ranking import top_k, top_k_per_group
+from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
 
 # --- fixed values: corpus limits and join separators (must match the reference) ---
 REVIEWS_PER_SUMMARY = 80
@@ -86,7 +86,11 @@ def summary_corpus(reviews: DataFrame, items: DataFrame, done: DataFrame | None
         F.array_sort(F.collect_list(F.struct(F.col("__r"), F.col("__t")))).alias("__texts"))
     corpus = truncate(F.array_join(F.transform("__texts", lambda s: s["__t"]), SUMMARY_SEPARATOR),
                       max_chars)
-    names = items.select(key, F.col("name").alias("__name"), F.col("review_count").alias("__total"))
+    # one name and total per item (a lookup map): copies of an item in the
+    # catalog never duplicate its corpus row
+    names = first_per_key(
+        items.select(key, F.col("name").alias("__name"), F.col("review_count").alias("__total")),
+        [key], [F.col("__name").asc_nulls_last(), F.col("__total").desc_nulls_last()])
     return (grouped.join(names, key, "left")
             .select(key,
                     F.coalesce(F.col("__name").cast("string"),

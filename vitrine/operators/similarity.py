@@ -355,9 +355,11 @@ def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
                     max_seeds_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
     """Top-k similar items for every seed id in ``seeds`` (exact), the batch
     form of :func:`recommend_similar`. Unknown seeds give no rows."""
-    seed_vecs = (seeds.select(F.col(seed_col).alias("qid")).distinct()
-                 .join(catalog.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec")), "qid")
-                 .dropDuplicates(["qid"])
+    # a semi-join never multiplies rows: catalog copies of a seed collapse
+    # to one query in batch_neighbours (one row per id per task, then one)
+    seed_ids = seeds.select(F.col(seed_col).alias("qid")).distinct()
+    seed_vecs = (catalog.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec"))
+                 .join(seed_ids, "qid", "left_semi")
                  .withColumn("seed_id", F.col("qid")))
     out = batch_neighbours(catalog, seed_vecs, top_k_n, filters, use_blend, keep_seed, id_col, vec_col,
                            max_seeds_per_block)
