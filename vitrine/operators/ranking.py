@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANK_COL = "rank"
 
@@ -42,5 +43,11 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, rank_col: str = RANK_C
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first under ``order`` (dedup with an explicit order,
-    unlike ``dropDuplicates`` which keeps an arbitrary row)."""
-    return top_k_per_group(df, keys, order, 1, "__rn").drop("__rn")
+    unlike ``dropDuplicates`` which keeps an arbitrary row).
+
+    Rows tied under ``order`` are ordered by a hash of the whole row, so the
+    choice is the same in every run and every task retry (rows equal in all
+    columns are interchangeable)."""
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    tie = [F.xxhash64(*hashable).asc()] if hashable else []
+    return top_k_per_group(df, keys, [*order, *tie], 1, "__rn").drop("__rn")
