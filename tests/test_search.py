@@ -86,3 +86,36 @@ def test_baseline_search(spark):
     # a blank query matches every named row (first k by key)
     assert [r.appid for r in find_by_name_simple(df, "  ", 3).collect()] == [1, 2, 2]
     assert find_by_name_simple(df, "zzz", 3).count() == 0
+
+
+def test_fuzzy_query_matches_bruteforce(spark):
+    """The registered fuzzy query on the smallest tables against a plain
+    Python run of the same rules (difflib ratio, shortlist of max(10k, 50),
+    dedup, rank order) over the whole part table."""
+    import re
+    from difflib import SequenceMatcher
+
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+    from vitrine.plans.registry import FUZZY_QUERY
+
+    sf = "/root/testdata/sf0.001"
+    part = pq.read_table(f"{sf}/part.parquet").to_pylist()
+    counts = {}
+    for r in pq.read_table(f"{sf}/lineitem.parquet", columns=["l_partkey"]).to_pylist():
+        counts[r["l_partkey"]] = counts.get(r["l_partkey"], 0) + 1
+    q = FUZZY_QUERY.strip().lower()
+    norm = lambda s: re.sub(r"[^a-zA-Z0-9]+", " ", s or "").lower().strip()
+    rows = [{"appid": p["p_partkey"], "name": p["p_name"], "norm": norm(p["p_name"]),
+             "type": "demo" if p["p_type"] == "PROMO" else "game",
+             "reviews": counts.get(p["p_partkey"], 0)} for p in part]
+    assert not [r for r in rows if q in (r["name"] or "").lower() or q in r["norm"]]   # fuzzy stage
+    scored = sorted(rows, key=lambda r: (-SequenceMatcher(None, q, r["norm"]).ratio(), r["appid"]))
+    short = {r["appid"]: r for r in scored[:max(5 * 10, 50)]}.values()
+    bonus = lambda t: (2 if t == "game" else 0) - (2 if t in ("dlc", "video", "demo", "music", "application") else 0)
+    ranked = sorted(short, key=lambda r: (-(r["norm"] == q), -bonus(r["type"]), -r["reviews"],
+                                          len(r["name"]), r["appid"]))[:5]
+    got = entry.queries()["find_by_name_fuzzy"](spark, sf).orderBy("rank").collect()
+    assert [r.appid for r in got] == [r["appid"] for r in ranked]
+    assert {r.match_stage for r in got} == {"fuzzy"}
