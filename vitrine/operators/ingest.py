@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from vitrine.operators.ranking import first_per_key
 from vitrine.schema import REVIEW_JSON_SCHEMA
 
+# --- fixed values: reviews per page, fallback keys without a catalog (must match the reference) ---
 PAGE_SIZE = 100
-DEFAULT_KEYS = [620, 440, 570]   # fallback keys when no catalog exists (fixed values)
+DEFAULT_KEYS = [620, 440, 570]
+# --- end fixed values ---
 
 
 def pick_keys(items: DataFrame | None, k: int, key: str = "appid",

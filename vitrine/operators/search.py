@@ -9,8 +9,10 @@ from vitrine.functions.fuzzy import sequence_ratio
 from vitrine.functions.text import contains_ci, is_all_digits, strip_ws, type_bonus
 from vitrine.operators.ranking import first_per_key, top_k
 
+# --- fixed values: fuzzy shortlist size max(10 * k, 50) (must match the reference) ---
 FUZZY_MIN_SHORTLIST = 50
 FUZZY_SHORTLIST_FACTOR = 10
+# --- end fixed values ---
 
 
 def _rank_order(df: DataFrame, q: str, key: str) -> list[Column]:

@@ -32,7 +32,9 @@ from vitrine.operators.filters import Filters, apply_filters
 from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
 from vitrine.session import checkpoint_path
 
+# --- fixed values: similarity given to the seed row (must match the reference) ---
 SEED_SIMILARITY = -1.0
+# --- end fixed values ---
 # Largest seed block shipped to executors by the batch operator. Beyond this,
 # seeds are processed in blocks of this size (exact, one scan per block).
 MAX_SEEDS_PER_BLOCK = 4096

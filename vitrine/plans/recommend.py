@@ -13,8 +13,10 @@ from vitrine.operators.ranking import top_k
 from vitrine.operators.search import find_by_name, first_candidate
 from vitrine.operators.similarity import recommend_similar, similarity_graph
 
+# --- fixed values: hot list size, name candidates of a request (must match the reference) ---
 HOT_LIST_SIZE = 10
 REQUEST_CANDIDATES = 3
+# --- end fixed values ---
 
 
 def recommend_by_name(catalog: DataFrame, name: str, top_k_candidates: int = 5,

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# --- fixed values: vector dimension and element size of the raw file (must match the data) ---
 DEFAULT_DIM = 1024
 FLOAT_BYTES = 4
+# --- end fixed values ---
 
 
 def _file_size(spark: SparkSession, path: str) -> int:
