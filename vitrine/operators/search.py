@@ -66,7 +66,8 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
     order = _rank_order(items, q, key)
 
     def dedup(df: DataFrame) -> DataFrame:
-        return first_per_key(df, [key], [F.col(key).asc()])
+        # copies of a key: the best-ranked one stands for it
+        return first_per_key(df, [key], order)
 
     s1 = dedup(substring_matches(items, q, regex)).withColumn("match_stage", F.lit("substring"))
     s1_ranked = top_k(s1, order, top_k_n)
