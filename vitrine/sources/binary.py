@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,14 +36,18 @@ def read_vectors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM,
         raise ValueError(f"{path}: {size} bytes is not a multiple of {rec} (dim={dim})")
     if expected_rows is not None and size != rec * expected_rows:
         raise ValueError(f"{path}: expected {expected_rows} x {dim} float32, found {size // rec} rows")
+    # records stay raw bytes until an Arrow batch decodes them at once with
+    # NumPy (no per-record float conversion in Python)
     rdd = spark.sparkContext.binaryRecords(path, rec).zipWithIndex()
-
-    def to_rows(it):
-        for buf, i in it:
-            yield (int(i), np.frombuffer(buf, dtype="<f4").tolist())
+    raw = spark.createDataFrame(rdd.map(lambda t: (t[1], t[0])), "vector_index bigint, raw binary")
     schema = T.StructType([T.StructField("vector_index", T.LongType(), False),
                            T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)])
-    return spark.createDataFrame(rdd.mapPartitions(to_rows), schema)
+
+    def decode(batches):
+        for pdf in batches:
+            mat = np.frombuffer(b"".join(pdf["raw"]), dtype="<f4").reshape(-1, dim)
+            yield pd.DataFrame({"vector_index": pdf["vector_index"].to_numpy(), "embedding": list(mat)})
+    return raw.mapInPandas(decode, schema)
 
 
 def align_vectors(vectors: DataFrame, mapping: DataFrame) -> DataFrame:
