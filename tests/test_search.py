@@ -119,3 +119,27 @@ def test_fuzzy_query_matches_bruteforce(spark):
     got = entry.queries()["find_by_name_fuzzy"](spark, sf).orderBy("rank").collect()
     assert [r.appid for r in got] == [r["appid"] for r in ranked]
     assert {r.match_stage for r in got} == {"fuzzy"}
+
+
+def test_fuzzy_pruning_is_exact(spark):
+    """The bound-pruned shortlist equals scoring every row (ratio desc, key),
+    on names of mixed lengths and shared letters, ties included."""
+    import random
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from vitrine.operators.search import fuzzy_shortlist, match_bound
+    rng = random.Random(11)
+    words = ["star", "dew", "valley", "stardew", "vale", "sky", "rim", "dark", "soul", "a", "", "stardw valey"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(600)]
+    df = spark.createDataFrame([(i, nm) for i, nm in enumerate(names)], "appid bigint, name string")
+    q = "stardw valey"
+    for k in (1, 5, 7):
+        n = max(10 * k, 50)
+        want = sorted(range(len(names)), key=lambda i: (-SequenceMatcher(None, q, names[i].lower()).ratio(), i))[:n]
+        got = [r.appid for r in fuzzy_shortlist(df, q, k).orderBy(F.col("fuzzy_ratio").desc(), "appid").collect()]
+        assert got == want
+    # the bound never falls below the ratio
+    b = {r.appid: r.b for r in df.select("appid", match_bound(F.lower("name"), q).alias("b")).collect()}
+    assert all(b[i] + 1e-12 >= SequenceMatcher(None, q, nm.lower()).ratio() for i, nm in enumerate(names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,35 @@ def substring_matches(items: DataFrame, q: str, regex: bool = False) -> DataFram
     return items.where(mask)
 
 
+def match_bound(text: Column, q: str) -> Column:
+    """Upper bound of the sequence ratio of ``q`` against ``text``:
+    ``2 * common / (len(q) + len(text))`` with ``common`` the characters the
+    two share as multisets (no matching-blocks alignment can pair more).
+    JVM-side: one count per distinct character of ``q``."""
+    common = F.lit(0)
+    for ch, n in sorted(Counter(q).items()):
+        count = F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+        common = common + F.least(count, F.lit(n))
+    return F.lit(2.0) * common / (F.lit(len(q)) + F.length(text))
+
+
 def fuzzy_shortlist(items: DataFrame, q: str, top_k_n: int, key: str = "appid") -> DataFrame:
     """Top ``max(10k, 50)`` rows by sequence ratio of the query against the
-    (normalised) name; the ratio only picks the shortlist."""
+    (normalised) name; the ratio only picks the shortlist.
+
+    Exact with few Python calls: the ``n`` rows with the highest
+    :func:`match_bound` are scored first; their lowest ratio ``t`` is reached
+    by ``n`` rows, so a row whose bound is below ``t`` cannot enter the
+    shortlist. Only rows with bound >= ``t`` (ties included) are scored.
+    """
     src = "name_normalized" if "name_normalized" in items.columns else "name"
     n = max(top_k_n * FUZZY_SHORTLIST_FACTOR, FUZZY_MIN_SHORTLIST)
-    scored = items.withColumn("fuzzy_ratio", sequence_ratio(F.lit(q), F.lower(F.coalesce(F.col(src), F.lit("")))))
+    text = F.lower(F.coalesce(F.col(src), F.lit("")))
+    bounded = items.withColumn("__bound", match_bound(text, q))
+    probe = top_k(bounded, [F.col("__bound").desc(), F.col(key).asc()], n, "__pr")
+    t = probe.select(F.min(sequence_ratio(F.lit(q), text))).scalar()
+    cand = bounded.withColumn("__t", t).where(F.col("__bound") >= F.col("__t")).drop("__t", "__bound")
+    scored = cand.withColumn("fuzzy_ratio", sequence_ratio(F.lit(q), text))
     return top_k(scored, [F.col("fuzzy_ratio").desc(), F.col(key).asc()], n, "__fr").drop("__fr")
 
 
