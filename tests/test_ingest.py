@@ -157,3 +157,22 @@ def test_store_appends_inserts_rewrites_replaced(spark, tmp):
     assert len(files()) <= 8
     assert {(r.appid, r.recommendationid): (r.timestamp_updated, r.review)
             for r in store.current()[0].collect()} == got
+
+
+def test_stream_keeps_running(spark, tmp):
+    from vitrine.streaming.ingest_stream import ReviewStore, run_stream
+    schema = spark.createDataFrame([], FEED_SCHEMA).schema
+    landing = os.path.join(tmp, "landing")
+    rows = feed_rows()
+    spark.createDataFrame(rows[:4], FEED_SCHEMA).write.parquet(os.path.join(landing, "f1"))
+    store = ReviewStore(spark, os.path.join(tmp, "store"), schema, n_buckets=4)
+    q = run_stream(spark, landing + "/*", store, checkpoint=os.path.join(tmp, "ckpt"), processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        n1 = store.current()[0].count()
+        spark.createDataFrame(rows[4:], FEED_SCHEMA).write.parquet(os.path.join(landing, "f2"))
+        q.processAllAvailable()
+        n2 = store.current()[0].count()
+    finally:
+        q.stop()
+    assert n1 == 2 and n2 == 4     # (1,a), (1,b); then (2,d), (3,e)

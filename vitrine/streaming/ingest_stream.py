@@ -121,9 +121,14 @@ def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore) -> None:
 
 
 def run_stream(spark: SparkSession, landing: str, store: ReviewStore, fmt: str = "parquet",
-               checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> None:
+               checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+               processing_time: str | None = None):
     """Process every landed file not seen before, then stop
-    (``availableNow``). Re-running picks up only newer files."""
+    (``availableNow``). Re-running picks up only newer files.
+
+    With ``processing_time`` (e.g. ``"10 minutes"``) the query keeps running
+    with that trigger and its handle is returned (``stop()`` it when done).
+    """
     reader = spark.readStream.format(fmt).schema(store.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -133,6 +138,9 @@ def run_stream(spark: SparkSession, landing: str, store: ReviewStore, fmt: str =
     def sink(batch: DataFrame, batch_id: int) -> None:
         store.apply(batch)
 
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+    if processing_time:
+        return writer.trigger(processingTime=processing_time).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
+    return None
