@@ -226,3 +226,18 @@ def test_batch_seed_copies(spark):
     single = recommend_similar(c, 1, 3).collect()
     assert [(r.seed_id, r["rank"], r.appid) for r in got.orderBy("rank").collect()] == \
         [(1, r["rank"], r.appid) for r in single]
+
+
+def test_graph_request_equals_graph_for(spark):
+    from vitrine.operators.filters import parse_filters
+    from vitrine.plans.recommend import graph_for, graph_request
+    c = catalog(spark, rows_basic()).withColumn("type", F.lit("game")).withColumn("is_free", F.lit("false"))
+    params = {"name": " A ", "min_year": "2001", "is_multi": "true"}
+    nodes, edges = graph_request(c, params, 3, threshold=0.5)
+    f, blend = parse_filters(params, "legacy")
+    n2, e2 = graph_for(c, 1, 3, f, blend, threshold=0.5)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(nodes) == key(n2) and key(edges) == key(e2)
+    assert key(nodes)[0][:2] == ("1", "a")
+    with pytest.raises(ValueError):
+        graph_request(c, {"name": "  "})

@@ -50,6 +50,21 @@ def graph_for(catalog: DataFrame, seed_id, top_k_n: int = 10, filters: Filters |
     return similarity_graph(catalog, recs, seed_id, name, threshold, keep_seed)
 
 
+def graph_request(catalog: DataFrame, params: Mapping[str, object], top_k_n: int = 10,
+                  threshold: float = 0.7, free_mode: str = "legacy",
+                  keep_seed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A graph request given as text parameters: the seed is the best of the
+    name candidates (resolved inside the plan), filters and ``is_multi`` as in
+    :func:`recommend_request` (the graph form's two-state free box by
+    default), then :func:`graph_for`. A blank name raises ``ValueError``."""
+    name = str(params.get("name", "") or "").strip()
+    if not name:
+        raise ValueError("Missing name")
+    filters, blend = parse_filters(params, free_mode)
+    seed = first_candidate(find_by_name(catalog, name, REQUEST_CANDIDATES))
+    return graph_for(catalog, seed, top_k_n, filters, blend, threshold, keep_seed)
+
+
 def year_hot(catalog: DataFrame, year: int | Column, n: int = HOT_LIST_SIZE) -> DataFrame:
     """Top items of a release year by 0.6*log1p(reviews) + 0.4*ratio."""
     df = (catalog.withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)))
