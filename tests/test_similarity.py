@@ -241,3 +241,38 @@ def test_graph_request_equals_graph_for(spark):
     assert key(nodes)[0][:2] == ("1", "a")
     with pytest.raises(ValueError):
         graph_request(c, {"name": "  "})
+
+
+def make_axis_encoder():
+    def enc(texts):
+        return [[1.0 if "x" in t else 0.0, 1.0 if "y" in t else 0.0, 0.1] for t in texts]
+    return enc
+
+
+def make_shout():
+    def fn(t):
+        return None if t == "keep me" else "Output: " + t.replace("q", "y")
+    return fn
+
+
+def test_prompt_recommend(spark):
+    from vitrine.plans.recommend import prompt_recommend
+    c = catalog(spark, rows_basic())
+    qs = spark.createDataFrame([(1, "3"), (2, "A"), (3, "some x"), (4, "q q"), (5, " "), (6, "keep me")],
+                               "qid int, text string")
+    got = prompt_recommend(c, qs, make_axis_encoder, make_shout, top_k_n=2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.qid, []).append(r)
+    assert {r.mode for r in by[1]} == {"appid"} and by[1][0].center_appid == 3
+    assert sorted((r["rank"], r.appid) for r in by[1]) == \
+        [(r["rank"], r.appid) for r in recommend_similar(c, 3, 2).collect()]
+    assert {r.mode for r in by[2]} == {"name"} and by[2][0].center_appid == 1
+    # semantic: rewritten "q q" -> "y y" points along y; "some x" along x
+    assert [r.appid for r in sorted(by[3], key=lambda r: r["rank"])] == \
+        [r.appid for r in search_by_vector(c, [1.0, 0.0, 0.1], 2).collect()]
+    assert [r.appid for r in sorted(by[4], key=lambda r: r["rank"])] == \
+        [r.appid for r in search_by_vector(c, [0.0, 1.0, 0.1], 2).collect()]
+    assert [r.appid for r in sorted(by[6], key=lambda r: r["rank"])] == \
+        [r.appid for r in search_by_vector(c, [0.0, 0.0, 0.1], 2).collect()]
+    assert [(r.mode, r.appid) for r in by[5]] == [("error", None)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vitrine.functions.scoring import popularity
 from vitrine.operators.filters import Filters, parse_filters
 from vitrine.operators.ranking import top_k
-from vitrine.operators.search import find_by_name, first_candidate
-from vitrine.operators.similarity import recommend_similar, similarity_graph
+from vitrine.operators.enrich import encode, generate_distinct
+from vitrine.operators.search import find_by_name, first_candidate, resolve_prompts
+from vitrine.operators.similarity import (recommend_batch, recommend_similar, search_batch,
+                                          similarity_graph)
 
 # --- fixed values: hot list size, name candidates of a request (must match the reference) ---
 HOT_LIST_SIZE = 10
@@ -73,3 +75,43 @@ def year_hot(catalog: DataFrame, year: int | Column, n: int = HOT_LIST_SIZE) ->
           .where(F.col("release_year") == F.lit(year)))
     ranked = top_k(df, [F.col("popularity").desc(), F.col("appid").asc()], n)
     return ranked.select("rank", "appid", "name", "popularity", "review_count", "positive_ratio")
+
+
+def prompt_recommend(catalog: DataFrame, queries: DataFrame,
+                     make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]],
+                     make_rewriter: Callable[[], Callable[[str], str | None]] | None = None,
+                     top_k_n: int = 10, text_col: str = "text", qid: str = "qid",
+                     key: str = "appid") -> DataFrame:
+    """Free-text requests end to end, for a table of ``(qid, text)``.
+
+    Each text is classified (:func:`resolve_prompts`): an item id or an exact
+    name gets that item's similar items (one exact batch for all such
+    requests, one query per distinct item); any other text is rewritten once
+    per distinct text by the caller's function (optional; a failed or empty
+    rewrite keeps the text), encoded by the caller's encoder and searched
+    (blended, as the single form). Blank texts give a row with mode
+    ``error`` and no recommendation.
+
+    Output: ``qid, mode, center_appid, rank, appid, similarity, score``
+    (``score`` only for semantic rows).
+    """
+    modes = resolve_prompts(queries, catalog, text_col, qid, key).cache()
+    id_type = catalog.schema[key].dataType.simpleString()
+    seeded = modes.where(F.col("mode").isin("appid", "name"))
+    recs = recommend_batch(catalog, seeded.select(F.col("center_appid").alias("seed_id")).distinct(), top_k_n)
+    by_seed = (seeded.select(qid, "mode", "center_appid")
+               .join(recs.withColumnRenamed("seed_id", "center_appid"), "center_appid", "inner")
+               .select(qid, "mode", "center_appid", "rank", key, "similarity",
+                       F.lit(None).cast("double").alias("score")))
+    sem = modes.where(F.col("mode") == "semantic").select(qid, "text")
+    if make_rewriter is not None:
+        sem = generate_distinct(sem, make_rewriter, "text", "rewritten").select(qid, F.col("rewritten").alias("text"))
+    vecs = encode(sem, make_encoder, "text", "qvec").select(F.col(qid).alias("qid"), "qvec")
+    hits = (search_batch(catalog, vecs, top_k_n).withColumnRenamed("qid", qid)
+            .select(qid, F.lit("semantic").alias("mode"), F.lit(None).cast(id_type).alias("center_appid"),
+                    "rank", key, "similarity", "score"))
+    errors = modes.where(F.col("mode") == "error").select(
+        qid, "mode", F.lit(None).cast(id_type).alias("center_appid"), F.lit(None).cast("int").alias("rank"),
+        F.lit(None).cast(id_type).alias(key), F.lit(None).cast("double").alias("similarity"),
+        F.lit(None).cast("double").alias("score"))
+    return by_seed.unionByName(hits).unionByName(errors)
