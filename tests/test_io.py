@@ -110,3 +110,27 @@ def test_write_json(spark, tmp):
     assert got == {1: (None, ""), 2: (0.5, "d")}
     lines = [json.loads(r.value) for r in records.to_json_lines(df).orderBy(F.col("value")).collect()]
     assert lines[0]["appid"] == 1 and "r" not in lines[0]
+
+
+def test_incremental_load_job(spark, tmp):
+    from vitrine.plans.jobs import incremental_load_job
+    from vitrine.schema import REVIEWS_RAW_SCHEMA
+    from vitrine.streaming.ingest_stream import ReviewStore
+    p = os.path.join(tmp, "pages")
+    os.makedirs(p)
+    rows = [_page(620, 1, "c1", [_review("1", "english", 30), _review("2", "german", 20)], 3),
+            _page(620, 2, "c2", [_review("3", "english", 10)], 3),
+            _page(999, 1, "c9", [_review("9", "english", 5)], 1)]     # not a picked key
+    with open(os.path.join(p, "day1.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    store = ReviewStore(spark, os.path.join(tmp, "store"), REVIEWS_RAW_SCHEMA, n_buckets=4)
+    rep = {r.appid: (r.since, r.fetched, r.newest) for r in incremental_load_job(spark, p, store, k=3).collect()}
+    assert rep == {620: (0, 3, 30), 440: (0, 0, 0), 570: (0, 0, 0)}      # default keys, no catalog
+    table, state = store.current()
+    assert sorted(r.recommendationid for r in table.collect()) == ["1", "2", "3"]
+    # next day: one newer review and one repeated page
+    with open(os.path.join(p, "day2.json"), "w") as f:
+        f.write(json.dumps(_page(620, 1, "c1", [_review("4", "english", 40), _review("1", "english", 30)], 4)) + "\n")
+    rep = {r.appid: (r.since, r.fetched, r.newest) for r in incremental_load_job(spark, p, store, k=3).collect()}
+    assert rep[620] == (30, 1, 40)
+    assert store.current()[0].count() == 4
