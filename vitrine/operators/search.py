@@ -166,13 +166,19 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
     """
     q = queries.select(F.col(qid), F.col(text_col).alias("__raw"))
     q = q.withColumn("__t", strip_ws(F.coalesce(F.col("__raw"), F.lit(""))))
-    by_key = items.groupBy(F.col(key).alias("__k")).agg(F.min("name").alias("__kname"))
+    digits = is_all_digits("__t")
+    q = q.withColumn("__kk", F.when(digits, F.col("__t").try_cast("bigint")))
+    # only catalog rows a query can hit are aggregated: semi-joins to the
+    # asked ids and names first (a small batch never groups the catalog)
+    asked_keys = q.select(F.col("__kk").alias("__k")).where(F.col("__k").isNotNull()).distinct()
+    asked_names = q.select(F.lower(F.col("__t")).alias("__n")).where(F.col("__n") != "").distinct()
+    by_key = (items.join(asked_keys, F.col(key) == F.col("__k"), "left_semi")
+              .groupBy(F.col(key).alias("__k")).agg(F.min("name").alias("__kname")))
     by_name = (items.where(F.col("name").isNotNull())
+               .join(asked_names, F.lower(F.col("name")) == F.col("__n"), "left_semi")
                .groupBy(F.lower("name").alias("__n"))
                .agg(F.min_by(F.struct(F.col(key), F.col("name")), F.col(key)).alias("__m")))
-    digits = is_all_digits("__t")
-    out = (q.withColumn("__kk", F.when(digits, F.col("__t").try_cast("bigint")))
-           .join(by_key, F.col("__kk") == F.col("__k"), "left")
+    out = (q.join(by_key, F.col("__kk") == F.col("__k"), "left")
            .join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left"))
     mode = (F.when(F.col("__t") == "", "error").when(F.col("__k").isNotNull(), "appid")
             .when(F.col("__m").isNotNull(), "name").otherwise("semantic"))
