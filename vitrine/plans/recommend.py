@@ -95,7 +95,9 @@ def prompt_recommend(catalog: DataFrame, queries: DataFrame,
     Output: ``qid, mode, center_appid, rank, appid, similarity, score``
     (``score`` only for semantic rows).
     """
-    modes = resolve_prompts(queries, catalog, text_col, qid, key).cache()
+    # classified once and written to the shared checkpoint folder: three
+    # branches read it, and a lost executor does not re-run the lookups
+    modes = resolve_prompts(queries, catalog, text_col, qid, key).checkpoint()
     id_type = catalog.schema[key].dataType.simpleString()
     seeded = modes.where(F.col("mode").isin("appid", "name"))
     recs = recommend_batch(catalog, seeded.select(F.col("center_appid").alias("seed_id")).distinct(), top_k_n)
