@@ -276,3 +276,15 @@ def test_prompt_recommend(spark):
     assert [r.appid for r in sorted(by[6], key=lambda r: r["rank"])] == \
         [r.appid for r in search_by_vector(c, [0.0, 0.0, 0.1], 2).collect()]
     assert [(r.mode, r.appid) for r in by[5]] == [("error", None)]
+
+
+def test_search_with_unnormalised_column(spark):
+    """A query vector given as a column (here a stored row, not unit length)
+    gives the same result as the literal; it is normalised once."""
+    from vitrine.operators.similarity import stored_vector
+    c = catalog(spark, rows_basic())
+    raw = spark.createDataFrame([(1, [4.0, 0.5, 0.0])], "k int, v array<double>")
+    col = stored_vector(raw, 1, "k", "v", normalize=False)
+    got = [(r.appid, round(r.score, 9)) for r in search_by_vector(c, col, 4).collect()]
+    want = [(r.appid, round(r.score, 9)) for r in search_by_vector(c, [4.0, 0.5, 0.0], 4).collect()]
+    assert got == want

@@ -59,10 +59,13 @@ def seed_exists(catalog: DataFrame, seed_id, id_col: str = "appid") -> bool:
 
 
 def _scored(catalog: DataFrame, qvec: Column, vec_col: str, normalize: bool = False) -> DataFrame:
+    if normalize:
+        # the query vector is a constant of the query: normalised once in a
+        # one-row scalar subquery, not again for every catalog row
+        qvec = (catalog.sparkSession.range(1).select(qvec.alias("__v"))
+                .select(l2_normalize("__v")).scalar())
     # project the (subquery) vector first: subqueries may not sit inside lambdas
     df = catalog.withColumn("__q", qvec)
-    if normalize:
-        df = df.withColumn("__q", l2_normalize("__q"))
     return df.withColumn("similarity", dot(vec_col, "__q")).drop("__q")
 
 
