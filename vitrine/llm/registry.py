@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrine.llm.packing import op9_best_fit_packing
 from vitrine.llm.simhash import op2_simhash
 from vitrine.llm.substring_dedup import op4_substring_dedup
+from vitrine.llm.token_codes import op10_token_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_codes": op10_token_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
