@@ -10,15 +10,25 @@ from vitrine.llm.packing import op9_best_fit_packing
 from vitrine.llm.simhash import op2_simhash
 from vitrine.llm.substring_dedup import op4_substring_dedup
 from vitrine.llm.token_codes import op10_token_codes
+from vitrine.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_codes": op10_token_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body,
+                          CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+        firsts AS (SELECT body, max(page_id) AS resp FROM p WHERE n >= 1000 GROUP BY body)
+        SELECT p.page_id, p.n AS payload_bytes, sha1(p.body) AS payload_digest,
+               CASE WHEN f.resp IS NULL OR f.resp = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f.resp <> p.page_id THEN f.resp END AS refers_to
+        FROM p LEFT JOIN firsts f ON p.n >= 1000 AND f.body = p.body""",
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
