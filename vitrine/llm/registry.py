@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm.inner_product import op7_inner_product
 from vitrine.llm.packing import op9_best_fit_packing
+from vitrine.llm.quality_net import op1_quality_net
 from vitrine.llm.simhash import op2_simhash
 from vitrine.llm.substring_dedup import op4_substring_dedup
 from vitrine.llm.token_codes import op10_token_codes
 from vitrine.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_net": op1_quality_net,
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
