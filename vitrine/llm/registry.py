@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm.inner_product import op7_inner_product
+from vitrine.llm.language_ppm import op5_language_ppm
 from vitrine.llm.packing import op9_best_fit_packing
 from vitrine.llm.quality_net import op1_quality_net
 from vitrine.llm.simhash import op2_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_ppm": op5_language_ppm,
     "op7_inner_product": op7_inner_product,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_codes": op10_token_codes,
