@@ -158,13 +158,15 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_VALUES = seeded(256, 11)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words ``[^\\x20\\x09-\\x0D]+`` of
-    documents laid end to end, and each document's first word index (n + 1)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray,
+                space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words (runs of bytes not in
+    ``space``, by default ``[^\\x20\\x09-\\x0D]+``) of documents laid end to end,
+    and each document's first word index (n + 1)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -175,14 +177,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = (1 << 21) - 1) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = (1 << 21) - 1,
+                values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """64-bit hash of each word; bytes are taken in runs of about ``chunk``."""
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         stop = max(int(np.searchsorted(end, start[at] + chunk, side="right")), at + 1)
         lo, hi = int(start[at]), int(end[stop - 1])
-        pre = prefix_hash(BYTE_VALUES[data[lo:hi]], 21)
+        pre = prefix_hash(values[data[lo:hi]], 21)
         s, e = start[at:stop] - lo, end[at:stop] - lo
         out[at:stop] = mix64(span_hash(pre, s, e, 21) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         at = stop

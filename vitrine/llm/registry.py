@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.llm.decontaminate import op6_decontaminate
 from vitrine.llm.inner_product import op7_inner_product
 from vitrine.llm.language_ppm import op5_language_ppm
 from vitrine.llm.packing import op9_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_ppm": op5_language_ppm,
+    "op6_decontaminate": op6_decontaminate,
     "op7_inner_product": op7_inner_product,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_codes": op10_token_codes,
