@@ -13,6 +13,7 @@ from vitrine.llm.packing import op9_best_fit_packing
 from vitrine.llm.quality_net import op1_quality_net
 from vitrine.llm.simhash import op2_simhash
 from vitrine.llm.substring_dedup import op4_substring_dedup
+from vitrine.llm.suffix_dedup import op8_suffix_dedup
 from vitrine.llm.token_codes import op10_token_codes
 from vitrine.llm.warc import op3_warc
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_ppm": op5_language_ppm,
     "op6_decontaminate": op6_decontaminate,
     "op7_inner_product": op7_inner_product,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_codes": op10_token_codes,
 }
@@ -59,4 +61,22 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (
                   PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+        starts AS (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 49)) AS p FROM d),
+        wins AS (SELECT doc_id, p, substr(hx, 2 * p + 1, 100) AS g FROM starts),
+        firsts AS (SELECT g, min(doc_id) AS least FROM wins GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT w.doc_id, w.p FROM wins w JOIN firsts f ON w.g = f.g WHERE w.doc_id > f.least),
+        marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50
+                                          THEN 0 ELSE 1 END AS fresh FROM hits),
+        numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+        spans AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM numbered GROUP BY doc_id, run),
+        ordered AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS after FROM spans),
+        kept AS (SELECT o.doc_id, string_agg(substr(d.hx, 2 * after + 1, 2 * (s - after)), '' ORDER BY s) AS body,
+                        max(e) AS last, count(*) AS n, sum(e - s) AS gone
+                 FROM ordered o JOIN d ON o.doc_id = d.doc_id GROUP BY o.doc_id)
+        SELECT d.doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(body || substr(hx, 2 * last + 1), hx))) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
 }
