@@ -42,6 +42,7 @@ SAMPLE_ROWS = 4096
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 QUERY_STEP = 128
+FIRST_STEP, STEP = 64, 1024
 LEAD = 0.25
 FOUND = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
 FOUND_SCHEMA = pa.schema([(n, pa.int64()) for n in ("query_id", "query_key", "vec_id", "score")])
@@ -114,8 +115,10 @@ class Search:
         ids, vecs, norm = ids[order], vecs[order], norm[order]
         turned = vecs @ self.turn
         front, rest = turned[:, :self.lead], np.sqrt((turned[:, self.lead:] ** 2).sum(axis=1))
-        for at in range(0, len(ids), 1024):
-            cut = slice(at, at + 1024)
+        # few rows first: they raise the thresholds for all others
+        steps = [0, *range(FIRST_STEP, len(ids), STEP)]
+        for at, stop in zip(steps, [*steps[1:], len(ids)]):
+            cut = slice(at, stop)
             for q in range(0, len(self.ids), QUERY_STEP):
                 rows = np.arange(q, min(q + QUERY_STEP, len(self.ids)))
                 slack = 0.5 + 1e-9 * self.norm[rows] * norm[at]

@@ -33,6 +33,7 @@ PAD = 256
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 1 << 26
 EPOCHS = 10
+LEAST_STEPS = 400  # a small sample is passed through more often
 BATCH = 32
 RATE = 3e-3
 SLAB_BYTES = 1 << 18
@@ -108,7 +109,7 @@ class ByteNet:
             whole = rows - (WIDTH // STEP - 1)
             out[:whole] = self.responses(ids, whole)
             # the last rows of each piece would reach into the next piece
-            ends = np.append(starts[1:], rows)
+            ends = np.array([*starts[1:], rows])
             for back in range(1, WIDTH // STEP):
                 out[ends - back] = -np.inf
             best = np.maximum.reduceat(out, starts, axis=0)
@@ -127,7 +128,9 @@ class ByteNet:
         inputs = [self.padded(np.frombuffer(t, np.uint8)) for t in texts]
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
         var = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step, total = 0, epochs * -(-len(texts) // BATCH)
+        steps = -(-len(texts) // BATCH)
+        epochs = max(epochs, -(-LEAST_STEPS // steps))
+        step, total = 0, epochs * steps
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
