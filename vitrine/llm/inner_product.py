@@ -151,13 +151,14 @@ class Search:
         self.floor[rows[last]] = np.maximum(self.floor[rows[last]], scores[last])
 
 
-def _floors(dim: int, turn: np.ndarray, k: int):
-    """Thresholds of a query block from the block of the longest vectors."""
+def _floors(dim: int, turn: np.ndarray, k: int, top_ids: bytes, top_vecs: bytes):
+    """Thresholds of a query block from the block of the longest vectors (one
+    block, so of bounded size, sent with the function)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 search = Search(np.frombuffer(row["ids"], "<i8"), _matrix(row["vecs"], dim), turn, k)
-                search.add(np.frombuffer(row["top_ids"], "<i8"), _matrix(row["top_vecs"], dim))
+                search.add(np.frombuffer(top_ids, "<i8"), _matrix(top_vecs, dim))
                 need = np.where(search.norm > 0, search.floor / np.maximum(search.norm, 1e-300), -np.inf)
                 need[(search.norm == 0) | (search.floor <= 0)] = -np.inf
                 yield pa.RecordBatch.from_pylist([{
@@ -196,10 +197,10 @@ def _top_of(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFra
     q_blocks = asked.repartition(q_parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(
         _pack(dim, QUERY_ROWS), packed).drop("longest").withColumn("q", F.monotonically_increasing_id())
     # one block of BLOCK_ROWS vectors at most: the longest ones
-    top = blocks.orderBy(F.col("longest").desc(), "b").limit(1).select(
-        F.col("ids").alias("top_ids"), F.col("vecs").alias("top_vecs"), F.lit(0).alias("one"))
-    floors = C.through_table(q_blocks.withColumn("one", F.lit(0)).join(F.broadcast(top), "one").drop("one").mapInArrow(
-        _floors(dim, turn, k), "q bigint, ids binary, vecs binary, floor binary, reach double"), "query-blocks")
+    top = blocks.orderBy(F.col("longest").desc(), "b").select("ids", "vecs").first()
+    floors = C.through_table(q_blocks.mapInArrow(_floors(dim, turn, k, bytes(top.ids), bytes(top.vecs)),
+                                                 "q bigint, ids binary, vecs binary, floor binary, reach double"),
+                             "query-blocks")
     # the query set against all rows, block by block: numbers first, payloads only for pairs that can matter
     numbers = blocks.select("b", "longest", (F.row_number().over(Window.orderBy("b")) - 1).alias("at"))
     n_blocks = blocks.count()
