@@ -12,8 +12,9 @@ Plan
    eight bytes a window, positions as one-byte gaps.
 2. ``groupBy(bucket)``: the windows of a bucket are sorted by hash; those whose
    smallest document is another one are to be removed.
-3. Marked windows are gathered per document, joined to the texts, merged into
-   maximal intervals and cut out.
+3. The marks go on as one row per bucket and part of the documents (not per
+   document), are gathered to one row per document, joined to the texts, merged
+   into maximal intervals and cut out.
 
 The number of buckets follows the size of the input, so one bucket holds
 about ``BUCKET_BYTES`` of text whatever the total. Equality is decided on 64
@@ -37,39 +38,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import common as C
+from vitrine.llm import packets as P
 
 WIDTH = 13
 BLOCK_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 20 << 20
 PACKET = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
-MARKS = "doc_id bigint, doc_key bigint, positions binary"
-
-
-def _gaps(positions: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes]:
-    """Positions rising within each document (``first``: index of each
-    document's first one) as one-byte gaps; 255 points to the wide list."""
-    gap = np.diff(positions, prepend=0)
-    gap[first] = positions[first]
-    wide = gap[gap >= 255].astype("<i4")
-    return np.minimum(gap, 255).astype(np.uint8).tobytes(), wide.tobytes()
-
-
-def _positions(gaps: bytes, wide: bytes, counts: np.ndarray) -> np.ndarray:
-    gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
-    gap[gap == 255] = np.frombuffer(wide, "<i4")
-    total = np.cumsum(gap)
-    first = np.cumsum(counts) - counts
-    before = total[first] - gap[first]
-    return total - np.repeat(before, counts)
+MARKS = "doc_id bigint, doc_key bigint, marks binary"
 
 
 def _packet(bucket: int, kind: int, rows: np.ndarray, positions: np.ndarray, hashes: np.ndarray | None,
             ids: np.ndarray, keys: np.ndarray) -> dict:
     """One row: ``rows`` (rising) are the documents of the block."""
-    docs, first, counts = np.unique(rows, return_index=True, return_counts=True)
-    gaps, wide = _gaps(positions, first)
-    return {"bucket": bucket, "kind": kind, "ids": ids[docs].tobytes(), "keys": keys[docs].tobytes(),
-            "counts": counts.astype("<u4").tobytes(), "gaps": gaps, "wide": wide,
+    docs, first = P.documents_of(rows, ids, keys)
+    gaps, wide = P.pack_positions(positions, first, "u1")
+    return {"bucket": bucket, "kind": kind, **docs, "gaps": gaps, "wide": wide,
             "hashes": b"" if hashes is None else hashes.tobytes()}
 
 
@@ -116,43 +99,40 @@ def _window_packets(width: int, buckets: int):
     return run
 
 
-def _marks_table(rows: np.ndarray, positions: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> pa.Table:
-    docs, counts = np.unique(rows, return_counts=True)
-    ends = np.concatenate(([0], np.cumsum(counts))) * 4
-    column = pa.Array.from_buffers(pa.large_binary(), len(docs), [
-        None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(positions.astype("<i4"))])
-    return pa.table({"doc_id": ids[docs], "doc_key": keys[docs].astype(np.int64),
-                     "positions": column.cast(pa.binary())})
-
-
-def _mark_repeated(table: pa.Table) -> pa.Table:
+def _mark_repeated(table: pa.Table, parts: int) -> pa.Table:
     """One bucket: marks of the windows a smaller document has too, and the
-    marks already decided in the blocks."""
-    counts, ids, keys, pos, hashes, kinds = [], [], [], [], [], []
-    columns = [table.column(c).to_pylist() for c in ("kind", "ids", "keys", "counts", "gaps", "wide", "hashes")]
-    for kind, i, k, c, g, w, h in zip(*columns):
-        c = np.frombuffer(c, "<u4").astype(np.int64)
-        counts.append(c)
-        ids.append(np.frombuffer(i, np.int64))
-        keys.append(np.frombuffer(k, "<u4"))
-        pos.append(_positions(g, w, c))
-        n = len(pos[-1])
-        hashes.append(np.frombuffer(h, np.uint64) if kind == 0 else np.zeros(n, np.uint64))
-        kinds.append(np.full(n, kind, np.int8))
-    del columns
-    counts, ids, keys = np.concatenate(counts), np.concatenate(ids), np.concatenate(keys)
-    row = np.repeat(np.arange(len(counts)), counts)
-    pos, hashes, marked = np.concatenate(pos), np.concatenate(hashes), np.concatenate(kinds) == 1
-    asked = np.flatnonzero(~marked)
-    if len(asked):
-        order = asked[np.argsort(hashes[asked])]
-        h = hashes[order]
-        edge = np.concatenate(([True], h[1:] != h[:-1]))
-        owner = ids[row[order]]
+    marks already decided in the blocks. About 35 bytes are held a window."""
+    def column(name: str) -> list[bytes]:
+        return [x.as_py() for x in table.column(name)]
+
+    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in column("counts")]
+    sizes = np.array([x.sum() for x in counts])
+    total = int(sizes.sum())
+    pos = np.empty(total, np.int32)
+    at = 0
+    for c, g, w in zip(counts, column("gaps"), column("wide")):
+        n = int(c.sum())
+        pos[at:at + n] = P.unpack_positions(g, w, c, "u1")
+        at += n
+    counts = np.concatenate(counts)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    ids, keys = P.join_column(table, "ids", "<i8"), P.join_column(table, "keys", "<u4")
+    marked = np.repeat(np.array(table.column("kind").to_pylist(), np.int8) == 1, sizes)
+    asked = np.flatnonzero(~marked).astype(np.int32)
+    hashes = P.join_column(table, "hashes", "<u8")
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    equal = np.zeros(len(order) + 1, bool)
+    equal[1:-1] = hashes[1:] == hashes[:-1]
+    shared = np.flatnonzero(equal[1:] | equal[:-1])  # windows that occur more than once
+    if len(shared):
+        edge = ~equal[shared]
+        place = asked[order[shared]]
+        owner = ids[row[place]]
         least = np.minimum.reduceat(owner, np.flatnonzero(edge))[np.cumsum(edge) - 1]
-        marked[order] = owner > least
+        marked[place[owner > least]] = True
     hit = np.flatnonzero(marked)
-    return _marks_table(row[hit], pos[hit], ids, keys)
+    return P.to_parts(row[hit], pos[hit], ids, keys, parts)
 
 
 def _cut(width: int, digest: bool, carried: list[str]):
@@ -162,14 +142,13 @@ def _cut(width: int, digest: bool, carried: list[str]):
             out = {k: [] for k in ("n_words", "n_removed", "span_starts", "span_ends", "kept")}
             for i in range(batch.num_rows):
                 words = bodies[i].as_py().split()
-                parts = marks[i].as_py()
+                places = marks[i].as_py()
                 starts = ends = np.zeros(0, np.int64)
-                if parts:
+                if places:
+                    places = np.frombuffer(places, "<i4")  # each place once
                     edge = np.zeros(len(words) + 1, np.int32)
-                    for p in parts:
-                        p = np.frombuffer(p, "<i4")
-                        np.add.at(edge, p, 1)
-                        np.add.at(edge, p + width, -1)
+                    edge[places] += 1
+                    edge[places + width] -= 1
                     gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
                     step = np.diff(gone.astype(np.int8))
                     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -195,15 +174,16 @@ def _cut(width: int, digest: bool, carried: list[str]):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, doc_key, marks): start positions (packed int32 lists) of the
-    windows that also start in a document with a smaller id."""
+    """(doc_id, doc_key, marks): start positions (packed int32) of the windows
+    that also start in a document with a smaller id."""
     buckets = C.parts_for(C.total_bytes(docs), BUCKET_BYTES)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("doc_key"),
         C.text_bytes().alias("body"))
     packets = rows.mapInArrow(_window_packets(width, buckets), PACKET)
-    marks = packets.groupBy("bucket").applyInArrow(_mark_repeated, MARKS)
-    return marks.groupBy("doc_id", "doc_key").agg(F.collect_list("positions").alias("marks"))
+    def mark(table: pa.Table) -> pa.Table:
+        return _mark_repeated(table, buckets)
+    return packets.groupBy("bucket").applyInArrow(mark, P.PARTS).groupBy("part").applyInArrow(P.gather(1), MARKS)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ("doc_id",),
