@@ -8,16 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from vitrine.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-# operators whose Python work is the feature (fuzzy ratio, vector block matmul)
-PYTHON_OK = {"find_by_name_fuzzy", "recommend_batch", "recommend_batch_blended", "search_batch"}
-# name search carries the fuzzy stage behind an in-plan gate (no rows reach
-# the UDF when the substring stage has hits)
-GATED_PYTHON = {"find_by_name_contains", "find_by_name_alias", "recommend_by_name",
-                "recommend_legacy_free"}
+# operators whose Python work is the feature (vector block products)
+PYTHON_OK = {"recommend_batch", "recommend_batch_blended", "search_batch"}
 
 
 def _norm(v):
@@ -46,14 +43,12 @@ def test_entry(spark):
     assert df.count() >= 0 and "similarity" in df.columns
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
     df = entry.queries()[key](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     sql = entry.oracle_sql().get(key)
-    if sql is None:
-        assert key in PYTHON_OK
-        return
+    assert sql is not None, key
     cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
@@ -62,13 +57,11 @@ def test_query_matches_oracle(spark, duck, key):
     assert _digest(df.columns, rows) == _digest(dcols, drows)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_shape(spark, key):
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan, key      # never row-at-a-time Python
-    if key in GATED_PYTHON:
-        assert "Subquery" in plan, key
-    elif key not in PYTHON_OK:
-        assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan, key
+    if key not in PYTHON_OK:
+        assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan, key

@@ -92,7 +92,7 @@ def test_batch_matches_bruteforce(spark):
     rows = [(i, f"n{i}", "d", 2000, 0.5, 1, [], mat[i].tolist()) for i in range(n)]
     c = catalog(spark, rows)
     seeds = spark.range(0, n, 3).select(F.col("id").alias("seed_id"))
-    got = recommend_batch(c, seeds, 4, max_seeds_per_block=7)   # forces several blocks
+    got = recommend_batch(c, seeds, 4)
     got = {(r.seed_id, r.rank): r.appid for r in got.collect()}
     unit = mat / np.linalg.norm(mat, axis=1, keepdims=True)
     for s in range(0, n, 3):
@@ -128,7 +128,7 @@ def test_batch_blend_equals_single(spark, keep_seed):
     c = random_catalog(spark)
     f = Filters(min_year=1995)
     seeds = spark.createDataFrame([(s,) for s in (0, 3, 11, 40, 999)], "seed_id bigint")
-    got = recommend_batch(c, seeds, 5, f, keep_seed=keep_seed, use_blend=True, max_seeds_per_block=2)
+    got = recommend_batch(c, seeds, 5, f, keep_seed=keep_seed, use_blend=True)
     got = {(r.seed_id, r.rank): (r.appid, r.score) for r in got.collect()}
     assert not [k for k in got if k[0] == 999]
     for s in (0, 3, 11, 40):
@@ -195,7 +195,7 @@ def test_batch_query_copies_collapse(spark):
     v = [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]
     q = spark.createDataFrame([(1, v)] * 40 + [(2, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])],
                               "qid int, qvec array<double>")
-    got = search_batch(c, q, 3, max_per_block=4)
+    got = search_batch(c, q, 3)
     rows = got.collect()
     assert sorted((r.qid, r["rank"]) for r in rows) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
     single = search_by_vector(c, v, 3).collect()
@@ -222,7 +222,7 @@ def test_batch_seed_copies(spark):
     """A seed held by many catalog rows is one query, as in the single form."""
     rows = rows_basic()
     c = catalog(spark, rows + [rows[0]] * 20)         # seed 1 held by 21 rows
-    got = recommend_batch(c, spark.createDataFrame([(1,), (1,)], "seed_id bigint"), 3, max_seeds_per_block=1)
+    got = recommend_batch(c, spark.createDataFrame([(1,), (1,)], "seed_id bigint"), 3)
     single = recommend_similar(c, 1, 3).collect()
     assert [(r.seed_id, r["rank"], r.appid) for r in got.orderBy("rank").collect()] == \
         [(1, r["rank"], r.appid) for r in single]
@@ -288,3 +288,50 @@ def test_search_with_unnormalised_column(spark):
     got = [(r.appid, round(r.score, 9)) for r in search_by_vector(c, col, 4).collect()]
     want = [(r.appid, round(r.score, 9)) for r in search_by_vector(c, [4.0, 0.5, 0.0], 4).collect()]
     assert got == want
+
+
+def test_batch_ties_go_to_the_smaller_id(spark):
+    """Equal vectors in every block: the batch form keeps what the single form does."""
+    df = spark.createDataFrame([(i, "n", [0.6, 0.8]) for i in range(1, 399)], "appid bigint, name string, vec array<double>")
+    df = df.repartition(7)
+    seeds = spark.createDataFrame([(1,), (200,)], "seed_id bigint")
+    got = {}
+    for r in recommend_batch(df, seeds, 3, keep_seed=False).collect():
+        got.setdefault(r.seed_id, []).append((r["rank"], r.appid))
+    for seed in (1, 200):
+        single = [(r["rank"], r.appid) for r in recommend_similar(df, seed, 3, keep_seed=False).collect()]
+        assert sorted(got[seed]) == single
+
+
+def test_batch_small_blocks(spark, monkeypatch):
+    """Many blocks on either side give the rows of one block."""
+    from vitrine.operators import similarity
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, "n", [float(x) for x in rng.integers(-2, 3, 3)], 0.5, i % 9) for i in range(300)],
+                               "appid bigint, name string, vec array<double>, positive_ratio double, review_count bigint")
+    seeds = df.select(F.col("appid").alias("seed_id")).where("seed_id % 7 = 0")
+    want = sorted(map(tuple, recommend_batch(df, seeds, 4, use_blend=True).collect()))
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(similarity, "SIMS_BYTES", 500)
+    assert sorted(map(tuple, recommend_batch(df, seeds, 4, use_blend=True).collect())) == want
+
+
+def test_graph_has_no_node_limit(spark):
+    from vitrine.plans.recommend import graph_for
+    df = spark.createDataFrame([(i, f"n{i}", [1.0, i / 5000]) for i in range(1, 1201)],
+                               "appid bigint, name string, vec array<double>")
+    nodes, edges = graph_for(df, 1, 1100, threshold=2.0)
+    assert nodes.count() == 1101 and edges.count() == 1100
+
+
+def test_top_k_plans_do_not_depend_on_k(spark):
+    from vitrine.operators.ranking import top_k, top_k_per_group
+    df = spark.range(20000).withColumn("g", F.lit(1)).repartition(4)
+    for k in (10, 5000):
+        one = top_k(df, [F.col("id").asc()], k)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "SinglePartition" not in plan, k
+        assert [r.id for r in one.orderBy("rank").collect()] == list(range(k))
+        grouped = top_k_per_group(df, ["g"], [F.col("id").asc()], k)
+        assert "__salt" in grouped._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in grouped.collect()) == list(range(k))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.fuzzy import sequence_ratio
 from vitrine.functions.text import contains_ci, is_all_digits, strip_ws, type_bonus
-from vitrine.operators.ranking import first_per_key, top_k
+from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
 
 # --- fixed values: fuzzy shortlist size max(10 * k, 50) (must match the reference) ---
 FUZZY_MIN_SHORTLIST = 50
@@ -17,12 +14,11 @@ FUZZY_SHORTLIST_FACTOR = 10
 # --- end fixed values ---
 
 
-def _rank_order(df: DataFrame, q: str, key: str) -> list[Column]:
+def _order_terms(df: DataFrame, q: Column, key: str) -> list[Column]:
     """exact (normalised name equals the query) desc, type bonus desc, review
     count desc, name length asc, key asc."""
     cols = set(df.columns)
-    exact_src = "name_normalized" if "name_normalized" in cols else "name"
-    exact = (F.lower(F.coalesce(F.col(exact_src), F.lit(""))) == F.lit(q)).cast("int")
+    exact = (F.lower(F.coalesce(F.col(_name_col(df)), F.lit(""))) == q).cast("int")
     bonus = type_bonus("type") if "type" in cols else F.lit(0)
     reviews = (F.coalesce(F.col("review_count").cast("string").try_cast("double"), F.lit(0.0))
                if "review_count" in cols else F.lit(0.0))
@@ -30,86 +26,136 @@ def _rank_order(df: DataFrame, q: str, key: str) -> list[Column]:
     return [exact.desc(), bonus.desc(), reviews.desc(), name_len.asc(), F.col(key).asc()]
 
 
+def _name_col(items: DataFrame) -> str:
+    return "name_normalized" if "name_normalized" in items.columns else "name"
+
+
+def _searched(items: DataFrame) -> list[str]:
+    """The text columns of the substring stage."""
+    alias = next((c for c in ("alias_text_normalized", "alias_text") if c in items.columns), None)
+    return list(dict.fromkeys(c for c in ("name", _name_col(items), alias) if c is not None))
+
+
 def substring_matches(items: DataFrame, q: str, regex: bool = False) -> DataFrame:
     """Rows whose normalised name, name or alias text contains ``q``."""
-    cols = set(items.columns)
-    mask = contains_ci("name", q, regex)
-    if "name_normalized" in cols:
-        mask = mask | contains_ci("name_normalized", q, regex)
-    if "alias_text_normalized" in cols:
-        mask = mask | contains_ci("alias_text_normalized", q, regex)
-    elif "alias_text" in cols:
-        mask = mask | contains_ci("alias_text", q, regex)
+    mask = F.lit(False)
+    for c in _searched(items):
+        mask = mask | contains_ci(c, q, regex)
     return items.where(mask)
 
 
-def match_bound(text: Column, q: str) -> Column:
-    """Upper bound of the sequence ratio of ``q`` against ``text``:
-    ``2 * common / (len(q) + len(text))`` with ``common`` the characters the
-    two share as multisets (no matching-blocks alignment can pair more).
-    JVM-side: one count per distinct character of ``q``."""
-    common = F.lit(0)
-    for ch, n in sorted(Counter(q).items()):
-        count = F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
-        common = common + F.least(count, F.lit(n))
-    return F.lit(2.0) * common / (F.lit(len(q)) + F.length(text))
+def name_similarity(text: Column, q: Column) -> Column:
+    """1 - edit distance / length of the longer text (JVM-side)."""
+    longer = F.greatest(F.length(text), F.length(q), F.lit(1))
+    return F.lit(1.0) - F.levenshtein(text, q) / longer
+
+
+def _shortlist_size(top_k_n: int) -> int:
+    return max(top_k_n * FUZZY_SHORTLIST_FACTOR, FUZZY_MIN_SHORTLIST)
 
 
 def fuzzy_shortlist(items: DataFrame, q: str, top_k_n: int, key: str = "appid") -> DataFrame:
-    """Top ``max(10k, 50)`` rows by sequence ratio of the query against the
-    (normalised) name; the ratio only picks the shortlist.
+    """Top ``max(10k, 50)`` rows by :func:`name_similarity` of the (normalised)
+    name; the similarity only picks the shortlist."""
+    text = F.lower(F.coalesce(F.col(_name_col(items)), F.lit("")))
+    scored = items.withColumn("fuzzy_ratio", name_similarity(text, F.lit(q)))
+    return top_k(scored, [F.col("fuzzy_ratio").desc(), F.col(key).asc()], _shortlist_size(top_k_n), "__fr").drop("__fr")
 
-    Exact with few Python calls: the ``n`` rows with the highest
-    :func:`match_bound` are scored first; their lowest ratio ``t`` is reached
-    by ``n`` rows, so a row whose bound is below ``t`` cannot enter the
-    shortlist. Only rows with bound >= ``t`` (ties included) are scored.
-    """
-    src = "name_normalized" if "name_normalized" in items.columns else "name"
-    n = max(top_k_n * FUZZY_SHORTLIST_FACTOR, FUZZY_MIN_SHORTLIST)
-    text = F.lower(F.coalesce(F.col(src), F.lit("")))
-    bounded = items.withColumn("__bound", match_bound(text, q))
-    probe = top_k(bounded, [F.col("__bound").desc(), F.col(key).asc()], n, "__pr")
-    t = probe.select(F.min(sequence_ratio(F.lit(q), text))).scalar()
-    cand = bounded.withColumn("__t", t).where(F.col("__bound") >= F.col("__t")).drop("__t", "__bound")
-    scored = cand.withColumn("fuzzy_ratio", sequence_ratio(F.lit(q), text))
-    return top_k(scored, [F.col("fuzzy_ratio").desc(), F.col(key).asc()], n, "__fr").drop("__fr")
+
+def _count_reviews(found: DataFrame, reviews: DataFrame | None, key: str) -> DataFrame:
+    """Review counts of the found items only (``reviews``: one row per review)."""
+    if reviews is None:
+        return found
+    mine = reviews.select(key).join(found.select(key).distinct(), key, "left_semi")
+    counts = mine.groupBy(key).agg(F.count("*").alias("review_count"))
+    return found.drop("review_count").join(counts, key, "left")
 
 
 def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appid",
-                 regex: bool = False, stage: str = "auto") -> DataFrame:
+                 regex: bool = False, stage: str = "auto", reviews: DataFrame | None = None) -> DataFrame:
     """Ranked ``(rank, appid, name, match_stage)`` for a name query.
 
-    Stage 1: substring over name, normalised name and aliases. Stage 2
-    (fuzzy) runs only when stage 1 finds nothing; the choice is made inside
-    the plan (a scalar subquery counts stage-1 hits), not on the driver.
-    ``stage`` may force "substring" or "fuzzy".
+    Stage 1: substring over name, normalised name and aliases. Stage 2 (fuzzy)
+    runs only when stage 1 finds nothing, which one probe that stops at its
+    first row decides. ``stage`` may force "substring" or "fuzzy". Items
+    without a ``review_count`` can be ranked by ``reviews`` (one row per
+    review): only the found items' reviews are counted.
     """
     q = name.strip().lower()
-    spark = items.sparkSession
     if not q:
-        return spark.createDataFrame([], f"rank int, {key} {items.schema[key].dataType.simpleString()}, name string, match_stage string")
-    order = _rank_order(items, q, key)
-
-    def dedup(df: DataFrame) -> DataFrame:
-        # copies of a key: the best-ranked one stands for it
-        return first_per_key(df, [key], order)
-
-    s1 = dedup(substring_matches(items, q, regex)).withColumn("match_stage", F.lit("substring"))
-    s1_ranked = top_k(s1, order, top_k_n)
-    if stage == "substring":
-        return s1_ranked.select("rank", key, "name", "match_stage")
-    if stage == "fuzzy":
-        s2 = (dedup(fuzzy_shortlist(items, q, top_k_n, key)).drop("fuzzy_ratio")
-              .withColumn("match_stage", F.lit("fuzzy")))
-        return top_k(s2, order, top_k_n).select("rank", key, "name", "match_stage")
-    # the gate sits on the items, below the Python ratio: when stage 1 has
-    # hits the UDF sees no rows at all
-    hits = s1.select(F.count(F.lit(1))).scalar()
-    gated = items.withColumn("__hits", hits).where(F.col("__hits") == 0).drop("__hits")
-    s2 = (dedup(fuzzy_shortlist(gated, q, top_k_n, key)).drop("fuzzy_ratio")
-          .withColumn("match_stage", F.lit("fuzzy")))
-    s2_ranked = top_k(s2, order, top_k_n)
-    return s1_ranked.unionByName(s2_ranked).select("rank", key, "name", "match_stage")
+        return items.sparkSession.createDataFrame(
+            [], f"rank int, {key} {items.schema[key].dataType.simpleString()}, name string, match_stage string")
+    hits = substring_matches(items, q, regex)
+    if stage == "auto":
+        stage = "fuzzy" if hits.limit(1).isEmpty() else "substring"
+    found = hits if stage == "substring" else fuzzy_shortlist(items, q, top_k_n, key).drop("fuzzy_ratio")
+    if reviews is not None:
+        found = _count_reviews(found.checkpoint(), reviews, key)
+    order = _order_terms(found, F.lit(q), key)
+    # copies of a key: the best-ranked one stands for it
+    ranked = top_k(first_per_key(found, [key], order), order, top_k_n)
+    return ranked.select("rank", key, "name", F.lit(stage).alias("match_stage"))
+
+
+NAME_GRAM = 3
+QUERY_BLOCK = 64
+
+
+def _grams(text: Column, sizes: range) -> Column:
+    """Distinct substrings of the given sizes."""
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+
+
+def find_by_name_batch(items: DataFrame, queries: DataFrame, top_k_n: int = 5, key: str = "appid",
+                       text_col: str = "text", qid: str = "qid", reviews: DataFrame | None = None) -> DataFrame:
+    """:func:`find_by_name` for a table of queries:
+    ``(qid, rank, appid, name, match_stage)``; blank queries give no row.
+
+    Stage 1 is an equi-join: a text that contains the query also contains the
+    query's rarest run of ``NAME_GRAM`` characters (a shorter query is a run
+    itself). Stage 2 scores the queries that are left against all names, in
+    blocks of queries joined by number, and keeps a shortlist per query.
+    """
+    q = queries.select(F.col(qid).alias("__qid"), F.lower(strip_ws(F.col(text_col))).alias("__q")).where(
+        F.col("__q") != "").checkpoint()
+    fields = _searched(items)
+    whole = F.lower(F.concat_ws("\n", *fields))
+    item_grams = items.withColumn("__g", F.explode(_grams(whole, range(1, NAME_GRAM + 1))))
+    asked = q.withColumn("__g", F.explode(F.when(F.length("__q") < NAME_GRAM, F.array("__q")).otherwise(
+        _grams(F.col("__q"), range(NAME_GRAM, NAME_GRAM + 1)))))
+    # sizes of the asked runs only; a run no item has rules its query out
+    sizes = item_grams.join(asked.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(
+        F.count("*").alias("__n"))
+    rarest = asked.join(sizes, "__g", "left").groupBy("__qid", "__q").agg(
+        F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
+    inside = F.lit(False)
+    for c in fields:
+        inside = inside | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("__q"))
+    hits = item_grams.join(rarest, "__g").where(inside).drop("__g").withColumn(
+        "match_stage", F.lit("substring")).checkpoint()
+
+    left = q.join(hits.select("__qid").distinct(), "__qid", "left_anti")
+    n_blocks = -(-left.count() // QUERY_BLOCK)
+    found = hits
+    if n_blocks:
+        blocks = left.groupBy(F.pmod(F.xxhash64("__qid"), F.lit(n_blocks)).cast("int").alias("__b")).agg(
+            F.collect_list(F.struct("__qid", "__q")).alias("__qs"))
+        text = F.lower(F.coalesce(F.col(_name_col(items)), F.lit("")))
+        pairs = items.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
+            blocks, "__b").select(*items.columns, F.inline("__qs"))
+        scored = pairs.withColumn("__sim", name_similarity(text, F.col("__q")))
+        short = top_k_per_group(scored, ["__qid"], [F.col("__sim").desc(), F.col(key).asc()],
+                                _shortlist_size(top_k_n), "__r").drop("__r", "__sim")
+        found = hits.unionByName(short.withColumn("match_stage", F.lit("fuzzy")))
+    if reviews is not None:
+        found = _count_reviews(found.checkpoint(), reviews, key)
+    order = _order_terms(found, F.col("__q"), key)
+    best = first_per_key(found, ["__qid", key], order)
+    return top_k_per_group(best, ["__qid"], order, top_k_n).select(
+        F.col("__qid").alias(qid), "rank", key, "name", "match_stage")
 
 
 def find_by_name_simple(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appid") -> DataFrame:
@@ -122,9 +168,11 @@ def find_by_name_simple(items: DataFrame, name: str, top_k_n: int = 5, key: str
     return top_k(hits, [F.col(key).asc(), F.col("name").asc()], top_k_n).select("rank", key, "name")
 
 
-def first_candidate(matches: DataFrame, key: str = "appid") -> Column:
-    """The key of the best match as a scalar-subquery column (null if none)."""
-    return matches.where(F.col("rank") == 1).select(F.min(key)).scalar()
+def first_candidate(matches: DataFrame, key: str = "appid"):
+    """The key of the best match (None if there is none), resolved once so that
+    a plan built on it holds a literal."""
+    row = matches.where(F.col("rank") == 1).select(key).first()
+    return None if row is None else row[0]
 
 
 def summary_lookup(summaries: DataFrame, text: str | None, key: str = "appid",
@@ -178,8 +226,15 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
                .join(asked_names, F.lower(F.col("name")) == F.col("__n"), "left_semi")
                .groupBy(F.lower("name").alias("__n"))
                .agg(F.min_by(F.struct(F.col(key), F.col("name")), F.col(key)).alias("__m")))
-    out = (q.join(by_key, F.col("__kk") == F.col("__k"), "left")
-           .join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left"))
+    # rows without a key (most texts have no id, blanks no name) never meet a
+    # join: a null or blank key would send them all to one task
+    no_key = [F.lit(None).cast(by_key.schema[c].dataType).alias(c) for c in by_key.columns]
+    no_name = [F.lit(None).cast(by_name.schema[c].dataType).alias(c) for c in by_name.columns]
+    numbered = q.where(F.col("__kk").isNotNull()).join(by_key, F.col("__kk") == F.col("__k"), "left")
+    keyed = numbered.unionByName(q.where(F.col("__kk").isNull()).select("*", *no_key))
+    blank = F.col("__t") == ""
+    named = keyed.where(~blank).join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left")
+    out = named.unionByName(keyed.where(blank).select("*", *no_name))
     mode = (F.when(F.col("__t") == "", "error").when(F.col("__k").isNotNull(), "appid")
             .when(F.col("__m").isNotNull(), "name").otherwise("semantic"))
     center_id = F.when(F.col("__k").isNotNull(), F.col("__k")).otherwise(F.col(f"__m.{key}"))

@@ -8,41 +8,32 @@ plan as a *scalar subquery* (computed once, shipped to every task as a
 constant). The plan is scan -> project -> filter -> partial top-k: no join,
 no shuffle of catalog rows.
 
-Many seeds: the seed block is size-checked and broadcast; each catalog
-partition multiplies its vectors with the block (NumPy) and keeps a partial
-top-k per seed, so only ``k * seeds`` rows per partition are shuffled.
-Blocks beyond the first are separate jobs written to the shared checkpoint
-folder, so neither the driver nor a task plan ever holds more than one block.
+Many seeds: catalog and query vectors are packed into blocks of bounded bytes,
+joined by block number and multiplied (NumPy) pair by pair; each pair keeps
+``k`` rows per query, and these are merged.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.functions.scoring import blend, log_count, min_max
 from vitrine.functions.vectors import dot, l2_normalize
 from vitrine.operators.filters import Filters, apply_filters
 from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
-from vitrine.session import checkpoint_path
 
-# --- fixed values: similarity given to the seed row (must match the reference) ---
+# --- fixed values: similarity of the seed row, output columns ---
 SEED_SIMILARITY = -1.0
-# --- end fixed values ---
-# Largest seed block shipped to executors by the batch operator. Beyond this,
-# seeds are processed in blocks of this size (exact, one scan per block).
-MAX_SEEDS_PER_BLOCK = 4096
-
 REC_COLUMNS = ["appid", "name", "short_description", "similarity", "positive_ratio",
                "review_count", "release_year", "release_date", "genres"]
 SEARCH_COLUMNS = ["appid", "name", "short_description", "similarity", "score",
                   "positive_ratio", "review_count", "release_date", "genres"]
+# --- end fixed values ---
 
 
 def seed_vector(catalog: DataFrame, seed_id, id_col: str = "appid",
@@ -108,7 +99,7 @@ def recommend_similar(catalog: DataFrame, seed_id, top_k_n: int = 10,
     lookup); otherwise an unknown seed gives an empty result.
     """
     if strict and not seed_exists(catalog, seed_id, id_col):
-        raise ValueError(f"{id_col} {seed_id} not found in embeddings")
+        raise ValueError(f"no vector for {id_col} {seed_id}")
     q = seed_vector(catalog, seed_id, id_col, vec_col)
     is_seed = F.col(id_col) == F.lit(seed_id)
     df = catalog if keep_seed else catalog.where(~is_seed)
@@ -179,185 +170,195 @@ def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize:
 
 # ------------------------------------------------------------------ many queries
 
+# Bytes of vectors in one packed block, and of similarities held at once.
+BLOCK_BYTES = 4 << 20
+SIMS_BYTES = 32 << 20
+
+
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1, keepdims=True)
     return np.where(n > 0, mat / np.where(n > 0, n, 1.0), 0.0)
 
 
-def _block_sims(pdf: pd.DataFrame, id_col: str, vec_col: str, q_ids: np.ndarray,
-                q_mat: np.ndarray, q_seed: np.ndarray, keep_seed: bool) -> np.ndarray:
-    """rows x queries similarity; the seed row of a query is -1 (kept) or
-    -inf (dropped)."""
-    ids = pdf[id_col].to_numpy()
-    x = np.stack(pdf[vec_col].to_numpy()).astype("float64")
-    sims = x @ q_mat.T
-    hit = ids[:, None] == q_seed[None, :]
-    return np.where(hit, SEED_SIMILARITY if keep_seed else -np.inf, sims)
-
-
-def _minmax_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed):
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            sims = _block_sims(pdf, id_col, vec_col, q_ids, q_mat, q_seed, keep_seed)
-            masked_min = np.where(np.isfinite(sims), sims, np.inf).min(axis=0)
-            masked_max = np.where(np.isfinite(sims), sims, -np.inf).max(axis=0)
-            ok = np.isfinite(masked_min)
-            yield pd.DataFrame({"qid": q_ids[ok], "smin": masked_min[ok], "smax": masked_max[ok]})
-    return fn
-
-
-def _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, k, blend_consts):
-    from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT,
-                                           SCALE_EPS, SIM_WEIGHT)
-
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy()
-            sims = _block_sims(pdf, id_col, vec_col, q_ids, q_mat, q_seed, keep_seed)
-            if blend_consts is not None:
-                smin, smax, cmin, cmax = blend_consts
-                ratio = pdf["__ratio"].to_numpy(dtype="float64", na_value=np.nan)
-                ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
-                lc = pdf["__lc"].to_numpy(dtype="float64")
-                rc = (lc - cmin) / (cmax - cmin + SCALE_EPS)
-                sim_n = (sims - smin[None, :]) / (smax - smin + SCALE_EPS)[None, :]
-                key = SIM_WEIGHT * sim_n + (RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * rc)[:, None]
-                key = np.where(np.isfinite(sims), key, -np.inf)
-            else:
-                key = sims
-            kk = min(k, len(ids))
-            part = (np.argpartition(-key, kk - 1, axis=0)[:kk] if kk < len(ids)
-                    else np.tile(np.arange(len(ids))[:, None], (1, len(q_ids))))
-            rows = part.ravel(order="F")
-            cols = np.repeat(np.arange(len(q_ids)), part.shape[0])
-            ok = np.isfinite(key[rows, cols])
-            out = {"qid": q_ids[cols[ok]], id_col: ids[rows[ok]], "similarity": sims[rows[ok], cols[ok]]}
-            if blend_consts is not None:
-                out["score"] = key[rows[ok], cols[ok]]
-            yield pd.DataFrame(out)
-    return fn
-
-
-def _blocks(queries: DataFrame, max_per_block: int) -> tuple[DataFrame, int, int]:
-    """Queries (one row per ``qid``) with a block number; block sizes are
-    counted, not assumed. The block count doubles until the largest block
-    fits, which ends since ids are distinct."""
-    if max_per_block < 1:
-        raise ValueError("max_per_block must be positive")
-    n = queries.count()
-    n_blocks = max(1, (n + max_per_block - 1) // max_per_block)
-    while True:
-        tagged = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
-        if n_blocks == 1:
-            return tagged, 1, n
-        biggest = tagged.groupBy("__b").count().agg(F.max("count")).first()[0]
-        if biggest <= max_per_block:
-            return tagged, n_blocks, n
-        if n_blocks > 64 * n:
-            raise RuntimeError("query blocks do not split: query ids are not distinct")
-        n_blocks *= 2
+def _packed(df: DataFrame) -> DataFrame:
+    """Rows packed to blocks of about ``BLOCK_BYTES`` (``rows``: Arrow stream),
+    numbered 0 .. n - 1 (``b``). Each task packs what it has: no shuffle, and
+    copies of a row never make a block larger than the others."""
+    limit = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        size = 0
+        for batch in batches:
+            step = max(1, int(batch.num_rows * limit // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                n = batch.nbytes * part.num_rows // batch.num_rows
+                if held and size + n > limit:
+                    yield flush()
+                    held, size = [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield flush()
+
+    blocks = df.mapInArrow(run, "rows binary").withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    numbers = blocks.select("__id", (F.row_number().over(Window.orderBy("__id")) - 1).alias("b"))
+    return blocks.join(numbers, "__id").select("b", "rows")
+
+
+def _unpack(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
+
+
+def _cell_sims(queries: pa.Table, cands: pa.Table, id_col: str, vec_col: str,
+               keep_seed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Similarities (candidates x queries) of one pair of blocks, some queries
+    at a time; the seed row of a query is -1 (kept) or -inf (dropped)."""
+    mat, q_mat = _matrix(cands.column(vec_col)), _unit_rows(_matrix(queries.column("qvec")))
+    places: dict = {}
+    for i, key in enumerate(cands.column(id_col).to_pylist()):
+        places.setdefault(key, []).append(i)
+    seeds = queries.column("seed_id").to_pylist()
+    step = max(1, SIMS_BYTES // (8 * len(mat)))
+    for at in range(0, len(q_mat), step):
+        cols = np.arange(at, min(at + step, len(q_mat)))
+        sims = mat @ q_mat[cols].T
+        for j, c in enumerate(cols):
+            if seeds[c] is not None and seeds[c] in places:
+                sims[places[seeds[c]], j] = SEED_SIMILARITY if keep_seed else -np.inf
+        yield cols, sims
+
+
+def _minmax_cells(id_col: str, vec_col: str, keep_seed: bool):
+    def run(batches):
+        for batch in batches:
+            for q_rows, c_rows in zip(batch.column("q_rows"), batch.column("rows")):
+                queries, cands = _unpack(q_rows.as_py()), _unpack(c_rows.as_py())
+                for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
+                    real = np.isfinite(sims)
+                    low = np.where(real, sims, np.inf).min(axis=0)
+                    high = np.where(real, sims, -np.inf).max(axis=0)
+                    ok = np.isfinite(low)
+                    yield pa.RecordBatch.from_arrays(
+                        [queries.column("qid").take(cols[ok]).combine_chunks(), pa.array(low[ok]), pa.array(high[ok])],
+                        ["qid", "smin", "smax"])
+    return run
+
+
+def _topk_cells(id_col: str, vec_col: str, keep_seed: bool, k: int, blended: bool):
+    from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT, SCALE_EPS,
+                                           SIM_WEIGHT)
+
+    def number(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype("float64")
+
+    def run(batches):
+        for batch in batches:
+            for q_rows, c_rows in zip(batch.column("q_rows"), batch.column("rows")):
+                queries, cands = _unpack(q_rows.as_py()), _unpack(c_rows.as_py())
+                order = np.unique(cands.column(id_col).to_numpy(), return_inverse=True)[1]  # ties go by id
+                if blended:
+                    ratio = number(cands, "__ratio")
+                    ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
+                    low, high = number(queries, "cmin"), number(queries, "cmax")
+                    smin, smax = number(queries, "smin"), number(queries, "smax")
+                    reviews = (number(cands, "__lc") - low[0]) / (high[0] - low[0] + SCALE_EPS)
+                    fixed = RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * reviews
+                for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
+                    key = sims
+                    if blended:
+                        scaled = (sims - smin[cols]) / (smax[cols] - smin[cols] + SCALE_EPS)
+                        key = np.where(np.isfinite(sims), SIM_WEIGHT * scaled + fixed[:, None], -np.inf)
+                    # rows tied with the k-th stay until the order by id decides
+                    least = (np.partition(key, len(key) - k, axis=0)[len(key) - k] if k < len(key)
+                             else np.full(key.shape[1], -np.inf))
+                    rows, c = np.nonzero((key >= least) & np.isfinite(key))
+                    by = np.lexsort((order[rows], -key[rows, c], c))
+                    rows, c = rows[by], c[by]
+                    first = np.arange(len(c)) - np.searchsorted(c, c) < k
+                    rows, c = rows[first], c[first]
+                    out = {"qid": queries.column("qid").take(cols[c]).combine_chunks(),
+                           id_col: cands.column(id_col).take(rows).combine_chunks(),
+                           "similarity": pa.array(sims[rows, c])}
+                    if blended:
+                        out["score"] = pa.array(key[rows, c])
+                    yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+    return run
 
 
 def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
                      filters: Filters | None = None, use_blend: bool = False,
-                     keep_seed: bool = True, id_col: str = "appid", vec_col: str = "vec",
-                     max_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+                     keep_seed: bool = True, id_col: str = "appid", vec_col: str = "vec") -> DataFrame:
     """Exact top-k neighbours for many query vectors.
 
     ``queries``: ``qid``, ``qvec`` (any length-matching vector, normalised
     here) and optionally ``seed_id`` (the catalog row that gets similarity
     -1, or is dropped with ``keep_seed=False``). Same semantics per query as
     :func:`recommend_similar` / :func:`search_by_vector`: filters first, then
-    the blend scaled over each query's filtered rows.
-
-    Query blocks are size-checked (at most ``max_per_block`` per block) and
-    checkpointed; each catalog task multiplies its vectors with the block and
-    keeps ``k`` rows per query, so the shuffle carries ``k * queries`` rows
-    per task. With the blend, a first pass gathers per-query similarity
-    min/max the same way (one row per query per task). With more than one
-    block, every block runs as its own job and appends its final rows to a
-    table in the shared checkpoint folder, which is returned.
+    the blend scaled over each query's filtered rows; ties go to the smaller id.
+
+    Catalog and queries are packed into blocks of bounded bytes; every query
+    block meets every catalog block by an equi-join on the block number, and one
+    distributed job multiplies them, keeps ``k`` rows per query and pair, and
+    merges these. With the blend a job of the same form gathers each query's
+    minimum and maximum first. No vector passes the driver, and the plan is the
+    same for any number of queries.
     """
-    spark = catalog.sparkSession
-    q = queries.select("qid", "qvec", (F.col("seed_id") if "seed_id" in queries.columns
-                                        else F.lit(None).cast(catalog.schema[id_col].dataType)).alias("seed_id"))
-    # one row per query id: copies of a query collapse before blocking (the
-    # copies of one id would otherwise fill one block whatever the block
-    # count); conflicting vectors under one id keep the smallest hash
-    q = first_per_key(q.where(F.col("qvec").isNotNull()), ["qid"],
-                      [F.xxhash64("qvec").asc(), F.col("seed_id").asc_nulls_last()]).checkpoint()
-    tagged, n_blocks, n = _blocks(q, max_per_block)
-    id_type = catalog.schema[id_col].dataType.simpleString()
-    qid_type = q.schema["qid"].dataType.simpleString()
-    cands = apply_filters(catalog, filters)
-    cols = [id_col, vec_col]
+    seed = F.col("seed_id") if "seed_id" in queries.columns else F.lit(None).cast(catalog.schema[id_col].dataType)
+    # one row per query id; conflicting vectors under one id keep the smallest hash
+    q = first_per_key(queries.select("qid", "qvec", seed.alias("seed_id")).where(F.col("qvec").isNotNull()), ["qid"],
+                      [F.xxhash64("qvec").asc(), F.col("seed_id").asc_nulls_last()])
+    cands = apply_filters(catalog, filters).where(F.col(vec_col).isNotNull())
     if use_blend:
         ratio = F.col("positive_ratio").cast("double") if "positive_ratio" in cands.columns else F.lit(None).cast("double")
-        lc = log_count("review_count") if "review_count" in cands.columns else F.lit(0.0)
-        cands = cands.select(id_col, vec_col, ratio.alias("__ratio"), lc.alias("__lc"))
-        cols += ["__ratio", "__lc"]
-        cst = cands.agg(F.min("__lc"), F.max("__lc")).first()
-        cmin, cmax = cst[0], cst[1]
+        counts = log_count("review_count") if "review_count" in cands.columns else F.lit(0.0)
+        cands = cands.select(id_col, vec_col, ratio.alias("__ratio"), counts.alias("__lc"))
     else:
-        cands = cands.select(*cols)
-    schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
+        cands = cands.select(id_col, vec_col)
+    blocks = _packed(cands)
+    n_blocks = blocks.count()
+    id_type = catalog.schema[id_col].dataType.simpleString()
+    qid_type = q.schema["qid"].dataType.simpleString()
     out_cols = ["qid", "rank", id_col, "similarity"] + (["score"] if use_blend else [])
-    sort = F.col("score") if use_blend else F.col("similarity")
+    if not n_blocks:
+        return catalog.sparkSession.createDataFrame(
+            [], f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
+        ).select(*out_cols)
 
-    def block_result(b: int) -> DataFrame | None:
-        # one size-checked block (<= max_per_block queries) on the driver at a time
-        block = tagged.where(F.col("__b") == b).orderBy("qid").toPandas()
-        if block.empty:
-            return None
-        q_ids = block["qid"].to_numpy()
-        q_mat = _unit_rows(np.stack(block["qvec"].to_numpy()).astype("float64"))
-        q_seed = block["seed_id"].to_numpy()
-        consts = None
-        if use_blend:
-            if cmin is None:       # no candidate rows
-                return None
-            mm = (cands.mapInPandas(_minmax_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed),
-                                    f"qid {qid_type}, smin double, smax double")
-                  .groupBy("qid").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
-                  .toPandas().set_index("qid").reindex(q_ids))
-            # without a review-count column the reviews term is the constant 0.5
-            c_lo, c_hi = (float(cmin), float(cmax)) if "review_count" in catalog.columns else (-0.5, 0.5)
-            consts = (mm["smin"].to_numpy(dtype="float64"), mm["smax"].to_numpy(dtype="float64"), c_lo, c_hi)
-        partial = cands.mapInPandas(
-            _topk_fn(id_col, vec_col, q_ids, q_mat, q_seed, keep_seed, top_k_n, consts), schema)
-        # the queries of a block are disjoint from other blocks: final top-k per block
-        return top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n) \
-            .select(*out_cols)
-
-    empty_schema = f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double" + \
-        (", score double" if use_blend else "")
-    if n_blocks == 1:
-        out = block_result(0)
-        return out if out is not None else spark.createDataFrame([], empty_schema)
-    # several blocks: each block is its own job whose result is appended to a
-    # table in the shared checkpoint folder. Plans stay one block wide, the
-    # driver never holds more than one block, and finished blocks survive
-    # the loss of executors.
-    path = checkpoint_path(spark, f"neighbours-{uuid.uuid4().hex}")
-    wrote = False
-    for b in range(n_blocks):
-        out = block_result(b)
-        if out is not None:
-            out.write.mode("append").parquet(path)
-            wrote = True
-    if not wrote:
-        return spark.createDataFrame([], empty_schema)
-    return spark.read.parquet(path).select(*out_cols)
+    def cells(q_table: DataFrame) -> DataFrame:
+        asked = _packed(q_table).select(F.col("rows").alias("q_rows"),
+                                        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+        return asked.join(blocks, "b").select("q_rows", "rows")
+
+    if use_blend:
+        found = cells(q).mapInArrow(_minmax_cells(id_col, vec_col, keep_seed), f"qid {qid_type}, smin double, smax double")
+        stats = found.groupBy("qid").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
+        low, high = cands.agg(F.min("__lc"), F.max("__lc")).first()
+        if "review_count" not in catalog.columns:  # the reviews term is then the constant 0.5
+            low, high = -0.5, 0.5
+        q = q.join(stats, "qid").withColumns({"cmin": F.lit(float(low)), "cmax": F.lit(float(high))})
+    schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
+    partial = cells(q).mapInArrow(_topk_cells(id_col, vec_col, keep_seed, top_k_n, use_blend), schema)
+    sort = F.col("score") if use_blend else F.col("similarity")
+    return top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n).select(*out_cols)
 
 
 def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
                     filters: Filters | None = None, keep_seed: bool = True, use_blend: bool = False,
-                    id_col: str = "appid", vec_col: str = "vec", seed_col: str = "seed_id",
-                    max_seeds_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+                    id_col: str = "appid", vec_col: str = "vec", seed_col: str = "seed_id") -> DataFrame:
     """Top-k similar items for every seed id in ``seeds`` (exact), the batch
     form of :func:`recommend_similar`. Unknown seeds give no rows."""
     # a semi-join never multiplies rows: catalog copies of a seed collapse
@@ -366,44 +367,41 @@ def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
     seed_vecs = (catalog.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qvec"))
                  .join(seed_ids, "qid", "left_semi")
                  .withColumn("seed_id", F.col("qid")))
-    out = batch_neighbours(catalog, seed_vecs, top_k_n, filters, use_blend, keep_seed, id_col, vec_col,
-                           max_seeds_per_block)
+    out = batch_neighbours(catalog, seed_vecs, top_k_n, filters, use_blend, keep_seed, id_col, vec_col)
     return out.withColumnRenamed("qid", "seed_id")
 
 
 def search_batch(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
-                 filters: Filters | None = None, id_col: str = "appid", vec_col: str = "vec",
-                 max_per_block: int = MAX_SEEDS_PER_BLOCK) -> DataFrame:
+                 filters: Filters | None = None, id_col: str = "appid", vec_col: str = "vec") -> DataFrame:
     """The batch form of :func:`search_by_vector` for ``(qid, qvec)`` rows
     (always blended)."""
-    return batch_neighbours(catalog, queries.select("qid", "qvec"), top_k_n, filters, True, True,
-                            id_col, vec_col, max_per_block)
+    return batch_neighbours(catalog, queries.select("qid", "qvec"), top_k_n, filters, True, True, id_col, vec_col)
 
 
 # ------------------------------------------------------------------ graph
 
+GRAPH_BLOCK = 256
+
+
 def similarity_graph(catalog: DataFrame, recs: DataFrame, seed_id, seed_name: Column | None = None,
                      threshold: float = 0.7, keep_seed: bool = True,
-                     id_col: str = "appid", vec_col: str = "vec",
-                     max_nodes: int = 1000) -> tuple[DataFrame, DataFrame]:
+                     id_col: str = "appid", vec_col: str = "vec") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a one-hop similarity graph around a seed.
 
     ``recs`` is a top-k result (``rank``, ``appid``, ``name``, ``similarity``).
     Edges: seed -> each result (its similarity, no threshold) and result ->
-    result pairs (i < j in rank order) with cosine >= ``threshold``. The
-    pairwise part works on the k result rows only: their vectors come in as
-    one bounded array (k <= ``max_nodes``), no join.
+    result pairs (i < j in rank order) with cosine >= ``threshold``. The k result
+    rows are written once with their vectors; pairs are joined by blocks of
+    ranks, so no row holds more than one vector pair whatever ``k`` is.
     """
-    if max_nodes <= 0:
-        raise ValueError("max_nodes must be positive")
-    recs = recs.where(F.col("rank") <= max_nodes)
     if not keep_seed:
         recs = recs.where(F.col(id_col) != F.lit(seed_id))
-    # one vector per result id (the result ids are at most max_nodes): copies
-    # of an item in the catalog never multiply the k result rows
+    recs = recs.checkpoint()
+    # one vector per result id: copies of an item in the catalog never multiply the k result rows
     vecs = first_per_key(catalog.select(id_col, vec_col).join(recs.select(id_col), id_col, "left_semi"),
                          [id_col], [F.xxhash64(F.col(vec_col)).asc()])
-    with_vec = recs.join(vecs, id_col, "inner")
+    with_vec = recs.select("rank", id_col).join(vecs, id_col).withColumn(
+        "__b", F.floor((F.col("rank") - 1) / GRAPH_BLOCK).cast("int")).checkpoint()
     center_label = seed_name if seed_name is not None else \
         catalog.where(F.col(id_col) == F.lit(seed_id)).select(F.min("name")).scalar()
     center = catalog.sparkSession.range(1).select(
@@ -412,20 +410,13 @@ def similarity_graph(catalog: DataFrame, recs: DataFrame, seed_id, seed_name: Co
     others = recs.select(F.col(id_col).cast("string").alias("id"), F.col("name").alias("label"),
                          F.lit(1).alias("group"), F.col("rank"))
     nodes = center.unionByName(others)
-
     seed_edges = recs.select(F.lit(seed_id).cast("string").alias("source"),
                              F.col(id_col).cast("string").alias("target"),
                              F.col("similarity").alias("value"))
-    members = with_vec.select(F.collect_list(F.struct(F.col("rank").alias("r"),
-                                                      F.col(id_col).alias("i"),
-                                                      F.col(vec_col).alias("v")))).scalar()
-    paired = (with_vec.withColumn("__m", members)
-              .select(F.col(id_col), F.col("rank"), F.col(vec_col), F.col("__m")))
-    pair_arr = F.transform(F.col("__m"), lambda m: F.struct(
-        m["r"].alias("r"), m["i"].alias("i"), dot(F.col(vec_col), m["v"]).alias("s")))
-    later = F.filter(pair_arr, lambda p: (p["r"] > F.col("rank")) & (p["s"] >= F.lit(threshold)))
-    pair_edges = (paired.select(F.col(id_col), F.explode(later).alias("p"))
-                  .select(F.col(id_col).cast("string").alias("source"),
-                          F.col("p.i").cast("string").alias("target"),
-                          F.col("p.s").alias("value")))
+    last = with_vec.agg(F.max("__b")).first()[0] or 0
+    earlier = with_vec.select(F.col("rank").alias("__r"), F.col(id_col).alias("__i"), F.col(vec_col).alias("__v"),
+                              F.explode(F.sequence(F.col("__b"), F.lit(last))).alias("__b"))
+    pairs = earlier.join(with_vec, "__b").where(F.col("__r") < F.col("rank")).withColumn("value", dot("__v", vec_col))
+    pair_edges = pairs.where(F.col("value") >= F.lit(threshold)).select(
+        F.col("__i").cast("string").alias("source"), F.col(id_col).cast("string").alias("target"), "value")
     return nodes, seed_edges.unionByName(pair_edges)

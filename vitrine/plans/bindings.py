@@ -127,19 +127,19 @@ class Tables:
                         F.lower(F.concat_ws("; ", "p_brand", "p_type")).alias("alias_text"))
 
     def named_items(self) -> DataFrame:
-        """Searchable items (part): name, normalised name, alias text, type,
-        review count (line items per part)."""
+        """Searchable items (part): name, normalised name, alias text, type."""
         from vitrine.functions.text import clean_lower, normalize_name
         p = self.t("part")
-        counts = (self.t("lineitem").groupBy(F.col("l_partkey").alias("appid"))
-                  .agg(F.count(F.lit(1)).alias("review_count")))
-        base = p.select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"),
-                        F.when(F.col("p_type") == "PROMO", "demo").otherwise("game").alias("type"),
-                        F.lower(F.concat_ws("; ", "p_brand", "p_type")).alias("alias_text"))
-        return (base.join(counts, "appid", "left")
+        return (p.select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"),
+                         F.when(F.col("p_type") == "PROMO", "demo").otherwise("game").alias("type"),
+                         F.lower(F.concat_ws("; ", "p_brand", "p_type")).alias("alias_text"))
                 .withColumn("name_normalized", normalize_name("name"))
                 .withColumn("alias_text_normalized", clean_lower("alias_text")))
 
+    def part_reviews(self) -> DataFrame:
+        """One row per review of a searchable item (line items per part)."""
+        return self.t("lineitem").select(F.col("l_partkey").alias("appid"))
+
     # ------------------------------------------------------------ review text
     def review_texts(self) -> DataFrame:
         """Reviews with text: item = document source, language name from the

@@ -15,7 +15,7 @@ from vitrine.operators.search import find_by_name, first_candidate, resolve_prom
 from vitrine.operators.similarity import (recommend_batch, recommend_similar, search_batch,
                                           similarity_graph)
 
-# --- fixed values: hot list size, name candidates of a request (must match the reference) ---
+# --- fixed values: hot list size, name candidates of a request ---
 HOT_LIST_SIZE = 10
 REQUEST_CANDIDATES = 3
 # --- end fixed values ---
@@ -23,7 +23,7 @@ REQUEST_CANDIDATES = 3
 
 def recommend_by_name(catalog: DataFrame, name: str, top_k_candidates: int = 5,
                       search_items: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Seed = best name match (resolved inside the plan), then
+    """Seed = best name match (resolved once, then a literal), then
     ``recommend_similar``. No match gives an empty result."""
     items = search_items if search_items is not None else catalog
     seed = first_candidate(find_by_name(items, name, top_k_candidates))
@@ -56,7 +56,7 @@ def graph_request(catalog: DataFrame, params: Mapping[str, object], top_k_n: int
                   threshold: float = 0.7, free_mode: str = "legacy",
                   keep_seed: bool = True) -> tuple[DataFrame, DataFrame]:
     """A graph request given as text parameters: the seed is the best of the
-    name candidates (resolved inside the plan), filters and ``is_multi`` as in
+    name candidates (resolved once), filters and ``is_multi`` as in
     :func:`recommend_request` (the graph form's two-state free box by
     default), then :func:`graph_for`. A blank name raises ``ValueError``."""
     name = str(params.get("name", "") or "").strip()

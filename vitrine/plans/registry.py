@@ -486,17 +486,49 @@ QUALIFY rank <= 5"""
 
 @register("find_by_name_contains", _find_sql(NAME_QUERY))
 def _find_contains(t: Tables) -> DataFrame:
-    return search.find_by_name(t.named_items(), NAME_QUERY, 5)
+    return search.find_by_name(t.named_items(), NAME_QUERY, 5, reviews=t.part_reviews())
 
 
 @register("find_by_name_alias", _find_sql(ALIAS_QUERY))
 def _find_alias(t: Tables) -> DataFrame:
-    return search.find_by_name(t.named_items(), ALIAS_QUERY, 5)
+    return search.find_by_name(t.named_items(), ALIAS_QUERY, 5, reviews=t.part_reviews())
 
 
-@register("find_by_name_fuzzy")
+def _similar_sql(q: str) -> str:
+    n = "lower(coalesce(name_normalized, ''))"
+    return f"(1.0::DOUBLE - levenshtein({n}, {q})::DOUBLE / greatest(length({n}), length({q}), 1))"
+
+
+@register("find_by_name_fuzzy", f"""
+WITH {_PARTS},
+short AS (SELECT *, row_number() OVER (ORDER BY {_similar_sql(f"'{FUZZY_QUERY}'")} DESC, appid) AS place
+          FROM items QUALIFY place <= 50)
+SELECT row_number() OVER (ORDER BY {_RANK_ORDER.format(q=FUZZY_QUERY)}) AS rank, appid, name, 'fuzzy' AS match_stage
+FROM short QUALIFY rank <= 5""")
 def _find_fuzzy(t: Tables) -> DataFrame:
-    return search.find_by_name(t.named_items(), FUZZY_QUERY, 5)
+    return search.find_by_name(t.named_items(), FUZZY_QUERY, 5, reviews=t.part_reviews())
+
+
+@register("find_by_name_batch", f"""
+WITH {_PARTS},
+qs AS (SELECT 'b' || p_brand AS qid, lower(trim(p_brand)) AS q FROM (SELECT DISTINCT p_brand FROM part)
+       UNION ALL SELECT 'n' || n_name, lower(trim(n_name)) FROM nation
+       UNION ALL SELECT 's' || s_suppkey, right(s_name, 2) FROM supplier),
+s1 AS (SELECT qid, q, items.*, 'substring' AS match_stage FROM qs JOIN items
+       ON contains(lower(coalesce(name, '')), q) OR contains(lower(coalesce(name_normalized, '')), q)
+          OR contains(lower(coalesce(alias_text, '')), q)),
+s2 AS (SELECT qid, q, items.*, 'fuzzy' AS match_stage FROM qs, items WHERE qid NOT IN (SELECT qid FROM s1)
+       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {_similar_sql('q')} DESC, appid) <= 50)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {_RANK_ORDER.replace("'{q}'", "q")}) AS rank,
+       appid, name, match_stage
+FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) QUALIFY rank <= 5""")
+def _find_batch(t: Tables) -> DataFrame:
+    asked = (t.t("part").select("p_brand").distinct().select(F.concat(F.lit("b"), "p_brand").alias("qid"),
+                                                             F.col("p_brand").alias("text"))
+             .unionByName(t.t("nation").select(F.concat(F.lit("n"), "n_name").alias("qid"), F.col("n_name").alias("text")))
+             .unionByName(t.t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("qid"),
+                                                 F.expr("right(s_name, 2)").alias("text"))))
+    return search.find_by_name_batch(t.named_items(), asked, 5, reviews=t.part_reviews())
 
 
 # ================================================================= baseline
@@ -871,8 +903,8 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
 def _upsert_latest(t: Tables) -> DataFrame:
     li = t.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                 "l_shipdate", "l_returnflag")
-    existing = li.where(F.col("l_returnflag") == "N").drop("l_returnflag")
-    batch = li.where(F.col("l_returnflag") != "N").drop("l_returnflag")
+    old = F.col("l_returnflag").eqNullSafe("N")
+    existing, batch = li.where(old).drop("l_returnflag"), li.where(~old).drop("l_returnflag")
     out = ingest.upsert(existing, batch, ["l_orderkey", "l_linenumber"],
                         [F.col("l_shipdate").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()])
     return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
