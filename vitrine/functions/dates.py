@@ -36,5 +36,12 @@ def release_year(c: Column | str, data_type: T.DataType | None = None) -> Column
     return F.year(parsed)
 
 
+def year_in_text(c: Column | str) -> Column:
+    """The first free-standing year (19.. or 20..) in a text, e.g. 2025 of
+    "Q4 2025"; null without one."""
+    text = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.nullif(F.regexp_extract(text, r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 1), F.lit("")).cast("int")
+
+
 def release_year_of(df: DataFrame, column: str = "release_date") -> Column:
     return release_year(column, df.schema[column].dataType)

@@ -59,17 +59,20 @@ def pending_targets(targets: DataFrame, done: DataFrame | None, reviews: DataFra
 
 def summary_corpus(reviews: DataFrame, items: DataFrame, done: DataFrame | None = None,
                    top_n: int = 100, min_review_count: int = 50,
-                   per_item: int = REVIEWS_PER_SUMMARY, max_chars: int = SUMMARY_MAX_CHARS,
+                   per_item: int | None = REVIEWS_PER_SUMMARY, max_chars: int | None = SUMMARY_MAX_CHARS,
                    key: str = "appid", text_col: str = "review_text",
                    votes_col: str = "votes_up", created_col: str = "timestamp_created",
                    id_col: str = "recommendationid") -> DataFrame:
     """One corpus row per pending popular item:
-    ``(appid, name, corpus, n_reviews_used, n_reviews_total)``.
+    ``(appid, name, corpus, n_reviews_used, n_reviews_total, n_chars_total,
+    truncated)``.
 
     English reviews with text, best ``per_item`` by votes then recency (nulls
-    as 0), joined with blank lines and cut at ``max_chars``. Each text is cut
-    at ``max_chars`` before the shuffle: the joined prefix is the same and no
-    text longer than the result crosses the network.
+    as 0), joined with blank lines and cut at ``max_chars`` (``None``: all
+    reviews, whole texts). ``n_chars_total`` is the length before the cut, and
+    ``truncated`` tells whether anything was cut. Each text is cut at
+    ``max_chars`` before the shuffle: the joined prefix is the same and no text
+    longer than the result crosses the network.
     """
     eng = english_only(reviews)
     targets = popular_targets(items, min_review_count, top_n, key)
@@ -78,14 +81,14 @@ def summary_corpus(reviews: DataFrame, items: DataFrame, done: DataFrame | None
          .join(pending.select(key), key, "left_semi")
          .select(key, F.coalesce(F.col(votes_col), F.lit(0)).alias("__v"),
                  F.coalesce(F.col(created_col), F.lit(0)).alias("__c"),
-                 F.col(id_col).alias("__id"),
-                 truncate(F.col(text_col).cast("string"), max_chars).alias("__t")))
-    best = top_k_per_group(r, [key], [F.col("__v").desc(), F.col("__c").desc(), F.col("__id").asc()],
-                           per_item, "__r")
-    grouped = best.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__r"), F.col("__t")))).alias("__texts"))
-    corpus = truncate(F.array_join(F.transform("__texts", lambda s: s["__t"]), SUMMARY_SEPARATOR),
-                      max_chars)
+                 F.col(id_col).alias("__id"), F.length(F.col(text_col).cast("string")).alias("__n"),
+                 _cut_at(F.col(text_col).cast("string"), max_chars).alias("__t")))
+    first = F.struct((-F.col("__v")).alias("a"), (-F.col("__c")).alias("b"), F.col("__id").alias("c"), F.col("__t"))
+    if per_item is not None:
+        r = top_k_per_group(r, [key], [F.col("__v").desc(), F.col("__c").desc(), F.col("__id").asc()], per_item, "__r")
+    grouped = r.groupBy(key).agg(F.array_sort(F.collect_list(first)).alias("__texts"), F.sum("__n").alias("__chars"))
+    corpus = _cut_at(F.array_join(F.transform("__texts", lambda s: s["__t"]), SUMMARY_SEPARATOR), max_chars)
+    n_chars = F.col("__chars") + (F.size("__texts") - 1) * len(SUMMARY_SEPARATOR)
     # one name and total per item (a lookup map): copies of an item in the
     # catalog never duplicate its corpus row
     names = first_per_key(
@@ -98,7 +101,13 @@ def summary_corpus(reviews: DataFrame, items: DataFrame, done: DataFrame | None
                     corpus.alias("corpus"),
                     F.size("__texts").cast("bigint").alias("n_reviews_used"),
                     F.coalesce(F.col("__total").cast("bigint"),
-                               F.size("__texts").cast("bigint")).alias("n_reviews_total")))
+                               F.size("__texts").cast("bigint")).alias("n_reviews_total"),
+                    n_chars.cast("bigint").alias("n_chars_total"),
+                    (n_chars > F.length(corpus)).alias("truncated")))
+
+
+def _cut_at(text: Column, limit: int | None) -> Column:
+    return text if limit is None else truncate(text, limit)
 
 
 # ------------------------------------------------------------------ prompts
@@ -143,19 +152,24 @@ def _fill(template: str, parts: dict[str, Column]) -> Column:
 
 
 def alias_prompt(items: DataFrame, k: int = 6, template: str = ALIAS_TEMPLATE,
-                 extra: Column | None = None) -> DataFrame:
-    """Add ``prompt`` for alias generation; caps the description (6000),
-    genres text (500) and extra context (1000). Blank names are skipped."""
+                 extra: Column | None = None, desc_max: int | None = ALIAS_DESC_MAX,
+                 genres_max: int | None = ALIAS_GENRES_MAX, extra_max: int | None = ALIAS_EXTRA_MAX) -> DataFrame:
+    """Add ``prompt`` for alias generation, with description, genres text and
+    extra context cut at their limits (``None``: whole), and ``truncated``:
+    whether any was cut. Blank names are skipped."""
     desc = F.coalesce(F.col("short_description").cast("string"), F.lit("")) \
         if "short_description" in items.columns else F.lit("")
     genres = genres_text("genres") if "genres" in items.columns else F.lit("")
     ex = extra if extra is not None else F.lit("")
     name = F.trim(F.col("name").cast("string"))
     p = _fill(template, {"k": F.lit(str(k)), "name": name,
-                         "description": truncate(desc, ALIAS_DESC_MAX),
-                         "genres": truncate(genres, ALIAS_GENRES_MAX),
-                         "extra": truncate(ex, ALIAS_EXTRA_MAX)})
-    return items.where(name.isNotNull() & (name != "")).withColumn("prompt", p)
+                         "description": _cut_at(desc, desc_max), "genres": _cut_at(genres, genres_max),
+                         "extra": _cut_at(ex, extra_max)})
+    cut = F.lit(False)
+    for text, limit in ((desc, desc_max), (genres, genres_max), (ex, extra_max)):
+        if limit is not None:
+            cut = cut | F.coalesce(F.length(text) > limit, F.lit(False))
+    return items.where(name.isNotNull() & (name != "")).withColumns({"prompt": p, "truncated": cut})
 
 
 def alias_result(responses: DataFrame, k: int = 6, response_col: str = "response",
@@ -175,9 +189,16 @@ def clean_response(c: Column | str) -> Column:
 
 # ------------------------------------------------------------------ generation
 
+def _spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Model calls are the slow part: their rows are dealt to many tasks (a
+    ranked or aggregated frame often has one partition)."""
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+
+
 def generate(df: DataFrame, make_fn: Callable[[], Callable[[str], str | None]],
-             input_col: str = "prompt", output_col: str = "response") -> DataFrame:
-    """Run a caller-supplied text function over ``input_col``.
+             input_col: str = "prompt", output_col: str = "response", tasks: int | None = None) -> DataFrame:
+    """Run a caller-supplied text function over ``input_col`` in ``tasks`` tasks
+    (by default the cluster's parallelism).
 
     ``make_fn`` is called once per task (load a model there); the returned
     function maps one input text to an output text. A row whose call raises
@@ -196,22 +217,23 @@ def generate(df: DataFrame, make_fn: Callable[[], Callable[[str], str | None]],
                     out.append(None)
             pdf[output_col] = out
             yield pdf
-    return df.mapInPandas(run, schema)
+    return _spread(df, tasks).mapInPandas(run, schema)
 
 
 def generate_distinct(df: DataFrame, make_fn: Callable[[], Callable[[str], str | None]],
-                      input_col: str = "text", output_col: str = "rewritten") -> DataFrame:
+                      input_col: str = "text", output_col: str = "rewritten", tasks: int | None = None) -> DataFrame:
     """Generate once per distinct input (memo of repeated inputs), clean the
     response prefixes and join back. Null responses keep the input."""
     distinct = df.select(input_col).where(F.col(input_col).isNotNull()).distinct()
-    done = generate(distinct, make_fn, input_col, "__resp")
+    done = generate(distinct, make_fn, input_col, "__resp", tasks)
     done = done.withColumn(output_col, F.coalesce(clean_response("__resp"), F.col(input_col))).drop("__resp")
     return df.join(done, input_col, "left")
 
 
 def encode(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]],
-           text_col: str = "text", vec_col: str = "vec") -> DataFrame:
-    """Text -> unit vector with a caller-supplied batch encoder (Arrow batches)."""
+           text_col: str = "text", vec_col: str = "vec", tasks: int | None = None, batch: int = 256) -> DataFrame:
+    """Text -> unit vector with a caller-supplied batch encoder, ``batch`` texts
+    a call, in ``tasks`` tasks (by default the cluster's parallelism)."""
     import numpy as np
     schema = T.StructType(df.schema.fields + [T.StructField(vec_col, T.ArrayType(T.DoubleType()), True)])
 
@@ -219,21 +241,15 @@ def encode(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], list[
         enc = make_encoder()
         for pdf in batches:
             texts = pdf[text_col].fillna("").tolist()
-            mat = np.asarray(enc(texts), dtype="float64") if texts else np.zeros((0, 0))
+            parts = [np.asarray(enc(texts[a:a + batch]), dtype="float64") for a in range(0, len(texts), batch)]
+            mat = np.concatenate(parts) if parts else np.zeros((0, 0))
             if mat.size:
                 norms = np.linalg.norm(mat, axis=1, keepdims=True)
                 mat = np.where(norms > 0, mat / np.where(norms > 0, norms, 1), 0.0)
             pdf[vec_col] = list(mat)
             yield pdf
-    return df.mapInPandas(run, schema)
+    return _spread(df, tasks).mapInPandas(run, schema)
 
 
 def with_timestamp(df: DataFrame, col: str = "last_updated") -> DataFrame:
     return df.withColumn(col, F.current_timestamp())
-
-
-def summaries_from(corpus: DataFrame, summary_col: str = "summary") -> DataFrame:
-    """Summary table rows from generated corpora (schema of the summary store)."""
-    return with_timestamp(corpus.select(
-        F.col(corpus.columns[0]).alias(corpus.columns[0]), "name", F.col(summary_col).alias("summary"),
-        "n_reviews_used", "n_reviews_total"))

@@ -98,15 +98,21 @@ def next_state(state: DataFrame | None, new_rows: DataFrame, key: str = "appid",
 
 
 def run_report(keys: DataFrame, state: DataFrame | None, new_rows: DataFrame, key: str = "appid",
-               ts_col: str = "timestamp_updated") -> DataFrame:
+               ts_col: str = "timestamp_updated", pages: DataFrame | None = None) -> DataFrame:
     """Per requested key: ``since``, ``fetched`` and ``newest`` (the old
-    watermark when nothing new arrived)."""
+    watermark when nothing new arrived); with the landed ``pages`` (``page_no``)
+    also ``pages``, how many of them the key has."""
     k = with_watermark(keys.select(key).distinct(), state, key)
     got = new_rows.groupBy(key).agg(F.count(F.lit(1)).alias("fetched"), F.max(ts_col).alias("__max"))
     j = k.join(got, key, "left")
+    extra = []
+    if pages is not None:
+        landed = pages.select(F.col(key).cast(keys.schema[key].dataType).alias(key), "page_no").distinct()
+        j = j.join(landed.groupBy(key).agg(F.count("page_no").alias("__pages")), key, "left")
+        extra = [F.coalesce("__pages", F.lit(0)).cast("bigint").alias("pages")]
     return j.select(key, "since", F.coalesce("fetched", F.lit(0)).cast("bigint").alias("fetched"),
                     F.greatest(F.col("since"), F.coalesce(F.col("__max"), F.col("since"))).cast("bigint")
-                    .alias("newest"))
+                    .alias("newest"), *extra)
 
 
 def stop_rule(feed: DataFrame, state: DataFrame | None, key: str = "appid",

@@ -31,8 +31,19 @@ from pyspark.sql import functions as F
 from vitrine.operators import catalog as cat
 from vitrine.session import checkpoint_path
 
-# serving tables written in this session: (application id, sf_dir) -> path
-_SERVING: dict[tuple[str, str], str] = {}
+# serving tables written in this session, by the state of the files they were
+# built from: rewritten input gives a new table
+_SERVING: dict[tuple, str] = {}
+SERVING_INPUTS = ("orders", "customer", "lineitem", "part", "embeddings")
+SERVING_FILE_ROWS = 1 << 20
+
+
+def files_state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and modification time of a table's files."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(root))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,19 +108,17 @@ class Tables:
         queries run against the built table instead of re-deriving it from
         the raw tables in every plan (and every subquery). It is written to
         the shared checkpoint folder, range-partitioned and sorted by key,
-        so a seed lookup reads one file's matching row groups.
+        so a seed lookup reads one file's matching row groups. The number of
+        ranges follows the number of vectors.
         """
         spark = self.spark
         app = spark.sparkContext.applicationId
-        key = (app, self.sf_dir)
+        key = (app, *(files_state(spark, f"{self.sf_dir}/{t}.parquet") for t in SERVING_INPUTS))
         path = _SERVING.get(key)
         if path is None:
-            tag = abs(hash(self.sf_dir)) % (1 << 32)
-            path = checkpoint_path(spark, f"serving-{app}-{tag}")
-            # one range per core: scans of a small table still run on every
-            # core; large files split by row group when read, so the count
-            # need not grow with the data
-            n = max(1, spark.sparkContext.defaultParallelism)
+            path = checkpoint_path(spark, f"serving-{app}-{len(_SERVING)}")
+            # one range per core at least: scans of a small table still run on every core
+            n = max(spark.sparkContext.defaultParallelism, -(-self.embeddings().count() // SERVING_FILE_ROWS))
             (self.serving().repartitionByRange(n, "appid").sortWithinPartitions("appid")
              .write.mode("overwrite").parquet(path))
             _SERVING[key] = path

@@ -75,21 +75,27 @@ def alias_job(spark: SparkSession, items: DataFrame, out: str, make_fn: GenFacto
 
 
 def incremental_load_job(spark: SparkSession, pages_path: str, store, items: DataFrame | None = None,
-                         k: int = 200, language: str | None = None) -> DataFrame:
-    """The scheduled review ingest as one job: pick the top ``k`` items by
-    review count (the default keys when there is no catalog), take their
-    reviews from the landed page files, upsert the new ones into ``store``
-    (a :class:`vitrine.streaming.ReviewStore` with the raw review schema),
-    advance the watermarks, and return the run report per picked key
-    (``appid, since, fetched, newest``), frozen before the store changes.
+                         k: int | None = None, language: str | None = None) -> DataFrame:
+    """The scheduled review ingest as one job: take the reviews of the landed
+    page files, upsert the new ones into ``store`` (a
+    :class:`vitrine.streaming.ReviewStore` with the raw review schema), advance
+    the watermarks, and return the run report per key (``appid, since, fetched,
+    newest, pages``), frozen before the store changes.
+
+    All landed keys are taken. Only with ``k`` given the load is limited to the
+    top ``k`` items of the catalog by review count (or the default keys).
     """
     from vitrine.operators import ingest
     from vitrine.sources.pages import page_reviews, read_pages
-    keys = ingest.pick_keys(items, k) if items is not None else ingest.default_keys(spark, k)
-    rows = page_reviews(read_pages(spark, pages_path), language).join(keys.select("appid"), "appid", "left_semi")
+    pages = read_pages(spark, pages_path)
+    rows = page_reviews(pages, language)
+    keys = pages.select(F.col("appid").cast("bigint").alias("appid")).where(F.col("appid").isNotNull()).distinct()
+    if k is not None:
+        keys = ingest.pick_keys(items, k) if items is not None else ingest.default_keys(spark, k)
+        rows = rows.join(keys.select("appid"), "appid", "left_semi")
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in store.schema.fields])
     _, state = store.current()
     new = ingest.incremental_rows(rows, state, ts_col=store.ts_col)
-    report = ingest.run_report(keys, state, new, ts_col=store.ts_col).checkpoint()
+    report = ingest.run_report(keys, state, new, ts_col=store.ts_col, pages=pages).checkpoint()
     store.apply(rows)
     return report

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.functions.dates import release_year, year_in_text
 from vitrine.operators import catalog as cat
 from vitrine.operators import search
 from vitrine.operators import similarity as sim
@@ -209,6 +210,30 @@ def _serving_catalog(t: Tables) -> DataFrame:
                     F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("vec_norm2"))
 
 
+@register("serving_catalog_aliases", f"""
+WITH {_APPS}
+SELECT sv.appid, sv.name, coalesce(lower(p.p_brand || '; ' || p.p_type), '') AS alias_text,
+       coalesce(lower(trim(p.p_brand || '; ' || p.p_type)), '') AS alias_text_normalized
+FROM sv LEFT JOIN part p ON sv.appid = p.p_partkey""")
+def _serving_aliases(t: Tables) -> DataFrame:
+    return t.serving(with_aliases=True).select("appid", "name", "alias_text", "alias_text_normalized")
+
+
+_DATE_TEXTS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MMM d, yyyy", "d MMM, yyyy", "MMMM d, yyyy",
+               "d MMMM, yyyy", "MMM yyyy", "yyyy-MM", "yyyy", "'Q'q yyyy"]
+
+
+@register("release_year_formats", f"""
+SELECT o_orderkey AS appid, year(o_orderdate) AS pattern_year,
+       CASE WHEN o_orderkey % {len(_DATE_TEXTS)} < {len(_DATE_TEXTS) - 1} THEN year(o_orderdate) END AS parsed_year
+FROM orders""")
+def _release_year_formats(t: Tables) -> DataFrame:
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(_DATE_TEXTS) == i, F.date_format("o_orderdate", f))
+                        for i, f in enumerate(_DATE_TEXTS)])
+    o = t.t("orders").select(F.col("o_orderkey").alias("appid"), text.alias("text"))
+    return o.select("appid", year_in_text("text").alias("pattern_year"), release_year("text").alias("parsed_year"))
+
+
 def _filter_query(name: str, f: Filters) -> None:
     sql = f"""
 WITH {_APPS}
@@ -615,7 +640,10 @@ it AS (SELECT source AS item, count(*) AS review_count, upper(source) AS name FR
 en AS (SELECT source AS item, doc_id, text, n_chars FROM documents WHERE lang = 'en')"""
 
 
-def _corpus_sql(top: int) -> str:
+def _corpus_sql(top: int, per_item: int | None = 80, max_chars: int | None = 12000) -> str:
+    body = f"string_agg(b.text, {_NL2} ORDER BY b.rn)"
+    cut = body if max_chars is None else f"left({body}, {max_chars})"
+    limit = "" if per_item is None else f"WHERE b.rn <= {per_item}"
     return f"""
 tg{top} AS (SELECT item, row_number() OVER (ORDER BY review_count DESC, item) AS target_rank
           FROM it WHERE review_count >= {SUMMARY_MIN} QUALIFY target_rank <= {top}),
@@ -623,10 +651,11 @@ best{top} AS (SELECT item, text, row_number() OVER (PARTITION BY item ORDER BY n
             FROM en WHERE text IS NOT NULL AND item IN (SELECT item FROM tg{top})),
 corpus{top} AS (
   SELECT b.item, coalesce(it.name, 'item=' || b.item) AS name,
-         left(string_agg(b.text, {_NL2} ORDER BY b.rn), 12000) AS corpus,
-         count(*) AS n_reviews_used, coalesce(it.review_count, count(*)) AS n_reviews_total
+         {cut} AS corpus,
+         count(*) AS n_reviews_used, coalesce(it.review_count, count(*)) AS n_reviews_total,
+         CAST(length({body}) AS BIGINT) AS n_chars_total, length({body}) > length({cut}) AS truncated
   FROM best{top} b LEFT JOIN it ON b.item = it.item
-  WHERE b.rn <= 80 GROUP BY b.item, it.name, it.review_count)"""
+  {limit} GROUP BY b.item, it.name, it.review_count)"""
 
 
 def _corpus(t: Tables, top: int = SUMMARY_TOP, done: DataFrame | None = None) -> DataFrame:
@@ -638,6 +667,15 @@ def _summary_corpus(t: Tables) -> DataFrame:
     return _corpus(t)
 
 
+@register("summary_corpus_whole", f"""
+WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP, None, None)}
+SELECT item, name, md5(corpus) AS corpus_md5, n_reviews_used, n_reviews_total, n_chars_total, truncated
+FROM corpus{SUMMARY_TOP}""")
+def _summary_corpus_whole(t: Tables) -> DataFrame:
+    whole = enrich.summary_corpus(t.review_texts(), t.text_items(), None, SUMMARY_TOP, SUMMARY_MIN, None, None, key="item")
+    return whole.withColumn("corpus_md5", F.md5("corpus")).drop("corpus")
+
+
 @register("summary_pending", f"""
 WITH {_TEXTS},{_corpus_sql(SUMMARY_TOP)},{_corpus_sql(SUMMARY_PREV_TOP)}
 SELECT item, target_rank FROM tg{SUMMARY_TOP}
@@ -681,8 +719,23 @@ SELECT appid, prompt FROM (
   FROM stats WHERE review_count >= {ALIAS_MIN} AND trim(name) <> ''
   QUALIFY target_rank <= {ALIAS_TOP})""")
 def _alias_prompt(t: Tables) -> DataFrame:
-    targets = enrich.popular_targets(t.apps_with_stats(), ALIAS_MIN, ALIAS_TOP)
-    return enrich.alias_prompt(targets).select("appid", "prompt")
+    # ranked on the review counts alone; names and genre sets only for the targets
+    stats = cat.review_stats(t.reviews())
+    ranked = enrich.popular_targets(t.applications().select("appid").join(stats, "appid"), ALIAS_MIN, ALIAS_TOP)
+    apps = t.applications().join(F.broadcast(ranked.select("appid")), "appid", "left_semi")  # ALIAS_TOP rows
+    links = t.application_genres().join(F.broadcast(ranked.select("appid")), "appid", "left_semi")
+    return enrich.alias_prompt(cat.build_catalog(apps, links, t.genres())).select("appid", "prompt")
+
+
+def _count_text():
+    return lambda text: f"Output: n{len(text)}"
+
+
+@register("generate_memo", """
+SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN 'n' || length(text) END AS rewritten FROM conversations""")
+def _generate_memo(t: Tables) -> DataFrame:
+    turns = t.t("conversations").select("conv_id", "turn", "text")
+    return enrich.generate_distinct(turns, _count_text).select("conv_id", "turn", "rewritten")
 
 
 # responses derived from part rows: valid JSON with noise, no JSON, broken
