@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import split_list
-from vitrine.operators.ingest import explode_pages
 from vitrine.schema import (CRAWL_STATE_SCHEMA, canonical_key, require_columns,
                             with_canonical_key)
 from vitrine.sources import binary, csv, pages, parquet, records
@@ -77,9 +76,6 @@ def test_page_sources(spark, tmp):
     summ = {(r.appid, r.page_no): (r.n_reviews, r.cursor, r.total_reviews)
             for r in pages.page_summary(pg).collect()}
     assert summ == {(620, 1): (2, "c1", 3), (620, 2): (1, "c2", 3), (440, 1): (0, None, 0)}
-    # the same pages as JSON text in a column
-    text = spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
-    assert explode_pages(text, "j").count() == 3
 
 
 def test_require_columns(spark):

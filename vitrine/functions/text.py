@@ -46,12 +46,6 @@ def contains_ci(c: Column | str, query: str, regex: bool = False) -> Column:
     return text.contains(F.lit(query))
 
 
-def equals_ci(c: Column | str, value: Column | str) -> Column:
-    """Case-folded equality (lower on both sides; ß is not folded to ss)."""
-    v = value if isinstance(value, Column) else F.lit(value)
-    return F.lower(_c(c)) == F.lower(v)
-
-
 def is_all_digits(c: Column | str) -> Column:
     return F.coalesce(_c(c).rlike(r"^[0-9]+$"), F.lit(False))
 
@@ -61,10 +55,6 @@ def truncate(c: Column | str, n: int) -> Column:
     return F.substring(_c(c), 1, n)
 
 
-def join_list(arr: Column | str, sep: str) -> Column:
-    return F.array_join(_c(arr), sep)
-
-
 def split_list(c: Column | str, sep: str = ",") -> Column:
     """Split on ``sep``, strip items, drop empty items."""
     parts = F.split(_c(c), F.lit(sep))
@@ -101,10 +91,6 @@ def empty_string_array() -> Column:
     return F.array().cast(T.ArrayType(T.StringType()))
 
 
-def default_empty_array(arr: Column | str) -> Column:
-    return F.coalesce(_c(arr), empty_string_array())
-
-
 # --- fixed values: ranking type bonus and alias rules (must match the reference) ---
 GAME_TYPE = "game"
 DEMOTED_TYPES = ["dlc", "video", "demo", "music", "application"]
@@ -113,6 +99,13 @@ ALIAS_BANNED_WORDS = ["award", "awardwinning", "award-winning", "innovative",
 ALIAS_MAX_LEN = 32
 ALIAS_MAX_WORDS = 5
 ALIAS_SINGLE_WORD_MAX = 10
+# patterns of the alias form and of camel case
+ALIAS_DOUBLE_QUOTES = '^"+|"+$'
+ALIAS_SINGLE_QUOTES = "^'+|'+$"
+ALIAS_TO_SPACE = "[-_/]+"
+ALIAS_DROPPED = r"(?U)[^a-z0-9\s+]"
+ALIAS_SPACES = r"(?U)\s+"
+CAMEL_CASE = "[a-z][A-Z]"
 RESPONSE_PREFIXES = ["Output:", "output:", "Transformed:", "Description:"]
 # --- end fixed values ---
 
@@ -127,18 +120,13 @@ def type_bonus(c: Column | str) -> Column:
 def alias_normalize(c: Column | str) -> Column:
     """Alias text form: strip, strip quotes, lower, ``-_/`` to space, drop other
     symbols except ``+``, squeeze white space."""
-    s = strip_ws(_c(c))
-    s = F.regexp_replace(s, '^"+|"+$', "")
-    s = F.regexp_replace(s, "^'+|'+$", "")
-    s = F.lower(s)
-    s = F.regexp_replace(s, "[-_/]+", " ")
-    s = F.regexp_replace(s, r"(?U)[^a-z0-9\s+]", "")
-    s = F.regexp_replace(s, r"(?U)\s+", " ")
-    return F.trim(s)
+    bare = F.regexp_replace(F.regexp_replace(strip_ws(_c(c)), ALIAS_DOUBLE_QUOTES, ""), ALIAS_SINGLE_QUOTES, "")
+    spaced = F.regexp_replace(F.lower(bare), ALIAS_TO_SPACE, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, ALIAS_DROPPED, ""), ALIAS_SPACES, " "))
 
 
 def looks_camel_case(c: Column | str) -> Column:
-    return _c(c).rlike("[a-z][A-Z]")
+    return _c(c).rlike(CAMEL_CASE)
 
 
 def alias_is_unrealistic(raw: Column, norm: Column) -> Column:

@@ -44,7 +44,3 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 when either vector is zero."""
     na, nb = l2_norm(a), l2_norm(b)
     return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
-
-
-def has_dim(v: Column | str, dim: int) -> Column:
-    return F.size(_c(v)) == dim

@@ -2,9 +2,8 @@
 run report and the page stop rule.
 
 The same operators (:func:`incremental_rows`, :func:`upsert`,
-:func:`next_state`) make the plain batch step :func:`ingest_batch` and the
-bucketed store behind the Structured Streaming ``foreachBatch`` sink (see
-``vitrine.streaming``).
+:func:`next_state`) make the bucketed store behind the batch job and the
+Structured Streaming ``foreachBatch`` sink (see ``vitrine.streaming``).
 """
 
 from __future__ import annotations
@@ -162,18 +161,6 @@ def stop_rule(feed: DataFrame, state: DataFrame | None, key: str = "appid",
 
 # ------------------------------------------------------------------ page JSON
 
-def explode_pages(pages: DataFrame, json_col: str | None = None) -> DataFrame:
-    """Landed review pages -> one row per review with the page's key.
-
-    ``pages`` holds either parsed page structs (``reviews`` array) or a JSON
-    text column ``json_col``."""
-    from vitrine.schema import PAGE_JSON_SCHEMA
-    p = pages
-    if json_col is not None:
-        p = pages.select(F.from_json(json_col, PAGE_JSON_SCHEMA).alias("__p")).select("__p.*")
-    return p.select("appid", "page_no", F.explode_outer("reviews").alias("r")).where(F.col("r").isNotNull())
-
-
 def _flag(c: Column) -> Column:
     """Null-preserving boolean -> 0/1."""
     return F.when(c.isNull(), None).otherwise(c.cast("int"))
@@ -206,12 +193,3 @@ def flatten_review(r: Column | str = "r") -> list[Column]:
 
 def parse_review_json(c: Column | str) -> Column:
     return F.from_json(c, REVIEW_JSON_SCHEMA)
-
-
-def ingest_batch(feed: DataFrame, existing: DataFrame | None, state: DataFrame | None,
-                 keys: Sequence[str] = ("appid", "recommendationid"), key: str = "appid",
-                 ts_col: str = "timestamp_updated") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One ingest step: ``(new_rows, upserted_table, new_state)``."""
-    new = incremental_rows(feed, state, key, keys[1], ts_col).drop("since")
-    table = upsert(existing, new, keys)
-    return new, table, next_state(state, new, key, ts_col)

@@ -18,7 +18,8 @@ from vitrine.functions.dates import release_year, year_in_text
 from vitrine.operators import catalog as cat
 from vitrine.operators import search
 from vitrine.operators import similarity as sim
-from vitrine.operators.filters import Filters, apply_filters
+from vitrine.functions.text import ALIAS_BANNED_WORDS, DEMOTED_TYPES
+from vitrine.operators.filters import TRUE_TEXTS, Filters, apply_filters
 from vitrine.plans import recommend as rec
 from vitrine.plans.bindings import Tables
 from vitrine.plans.compare import comparable
@@ -62,6 +63,8 @@ F_ALL = Filters(min_year=1995, max_year=2000, genres=("standard", "LARGE", "smal
                 is_free=False, min_positive_ratio=0.2, min_review_count=2, max_price=400000.0)
 
 # ----------------------------------------------------------------- SQL pieces
+_DEMOTED_SQL = ", ".join(f"'{x}'" for x in DEMOTED_TYPES)
+_TRUE_SQL = ", ".join(f"'{x}'" for x in TRUE_TEXTS)
 _APPS = """
 apps AS (
   SELECT o.o_orderkey AS appid, c.c_name AS name,
@@ -108,7 +111,7 @@ def _filters_sql(f: Filters) -> str:
         wanted = ", ".join(f"'{g.lower()}'" for g in f.genres)
         conds.append(f"coalesce(list_has_any(list_transform(genres_c, lambda g: lower(g)), [{wanted}]), false)")
     if f.is_free is not None:
-        conds.append(f"coalesce(lower(trim(is_free)) IN ('true', '1', 't', 'yes'), false) = {str(bool(f.is_free)).upper()}")
+        conds.append(f"coalesce(lower(trim(is_free)) IN ({_TRUE_SQL}), false) = {str(bool(f.is_free)).upper()}")
     if f.min_positive_ratio is not None:
         conds.append(f"coalesce(positive_ratio, 0.0) >= {float(f.min_positive_ratio)}")
     if f.min_review_count is not None:
@@ -314,7 +317,7 @@ def _name_seed_sql(q: str, src: str = "sv") -> str:
   WHERE contains(lower(coalesce(name, '')), '{q}') OR contains(lower(coalesce(name_normalized, '')), '{q}')
   ORDER BY (lower(coalesce(name_normalized, '')) = '{q}')::INT DESC,
            (CASE WHEN lower(coalesce(type, '')) = 'game' THEN 2 ELSE 0 END
-            - CASE WHEN lower(coalesce(type, '')) IN ('dlc', 'video', 'demo', 'music', 'application') THEN 2 ELSE 0 END) DESC,
+            - CASE WHEN lower(coalesce(type, '')) IN ({_DEMOTED_SQL}) THEN 2 ELSE 0 END) DESC,
            coalesce(review_count, 0) DESC, length(coalesce(name, 'None')) ASC, appid ASC
   LIMIT 1"""
 
@@ -493,9 +496,9 @@ items AS (
          trim(lower(regexp_replace(p.p_name, '[^a-zA-Z0-9]+', ' ', 'g'))) AS name_normalized
   FROM part p LEFT JOIN pcount pc ON p.p_partkey = pc.appid)"""
 
-_RANK_ORDER = """(lower(coalesce(name_normalized, '')) = '{q}')::INT DESC,
+_RANK_ORDER = f"""(lower(coalesce(name_normalized, '')) = '{{q}}')::INT DESC,
   (CASE WHEN lower(coalesce(type, '')) = 'game' THEN 2 ELSE 0 END
-   - CASE WHEN lower(coalesce(type, '')) IN ('dlc', 'video', 'demo', 'music', 'application') THEN 2 ELSE 0 END) DESC,
+   - CASE WHEN lower(coalesce(type, '')) IN ({_DEMOTED_SQL}) THEN 2 ELSE 0 END) DESC,
   coalesce(review_count, 0) DESC, length(coalesce(name, 'None')) ASC, appid ASC"""
 
 
@@ -801,8 +804,7 @@ def _norm_sql(x: str) -> str:
 
 
 _BANNED_SQL = " OR ".join(f"contains(p.norm, '{w}')" for w in
-                          ["award", "awardwinning", "award-winning", "innovative", "masterpiece",
-                           "ultimate", "best"])
+                          ALIAS_BANNED_WORDS)
 
 
 @register("alias_clean", f"""

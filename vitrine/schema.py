@@ -192,7 +192,3 @@ def canonical_key_of(df: DataFrame, key: str) -> Column:
 def with_canonical_key(df: DataFrame, key: str = "appid", drop_null: bool = True) -> DataFrame:
     out = df.withColumn(key, canonical_key_of(df, key))
     return out.where(F.col(key).isNotNull()) if drop_null else out
-
-
-def empty_like(spark, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

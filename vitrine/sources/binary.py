@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 DEFAULT_DIM = 1024
 FLOAT_BYTES = 4
 # --- end fixed values ---
+RECORD_FORMAT = "org.apache.spark.input.FixedLengthBinaryInputFormat"
 
 
 def _file_size(spark: SparkSession, path: str) -> int:
@@ -27,8 +28,8 @@ def read_vectors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM,
 
     The file length must be a multiple of ``4*dim`` (and equal to
     ``4*dim*expected_rows`` when given), else ``ValueError``. Records are
-    fixed-length, so the file splits across tasks; the row index comes from
-    ``zipWithIndex`` (file order).
+    fixed-length, so the file splits across tasks; the input format's key is
+    the row index.
     """
     size = _file_size(spark, path)
     rec = FLOAT_BYTES * dim
@@ -38,8 +39,10 @@ def read_vectors(spark: SparkSession, path: str, dim: int = DEFAULT_DIM,
         raise ValueError(f"{path}: expected {expected_rows} x {dim} float32, found {size // rec} rows")
     # records stay raw bytes until an Arrow batch decodes them at once with
     # NumPy (no per-record float conversion in Python)
-    rdd = spark.sparkContext.binaryRecords(path, rec).zipWithIndex()
-    raw = spark.createDataFrame(rdd.map(lambda t: (t[1], t[0])), "vector_index bigint, raw binary")
+    rdd = spark.sparkContext.newAPIHadoopFile(
+        path, f"{RECORD_FORMAT}", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={f"{RECORD_FORMAT}.recordLength": str(rec)})
+    raw = spark.createDataFrame(rdd, "vector_index bigint, raw binary")
     schema = T.StructType([T.StructField("vector_index", T.LongType(), False),
                            T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)])
 

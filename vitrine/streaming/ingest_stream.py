@@ -6,13 +6,16 @@ Landed review files arrive in a folder. ``readStream`` picks up new files,
 watermark filter, dedup, upsert, state advance.
 
 Storage: the reviews table and the watermark state are parquet tables
-partitioned by ``bucket = pmod(xxhash64(key), n_buckets)``. A batch first
-reads only the *key columns* of the buckets its rows fall into (partition
-pruning + column pruning). Rows whose key is new are appended to their
-buckets; only buckets that hold a replaced key are read whole, upserted,
-cut from their lineage with ``checkpoint()`` (shared checkpoint folder) and
-overwritten (dynamic partition overwrite). An insert-heavy feed therefore
-writes about its own size, and a 100 TB table is never rewritten whole.
+partitioned by ``bucket``: the hash of the key, and for reviews also the hash of
+the review id, so the reviews of one hot item are spread over ``n_parts``
+buckets. A batch first reads only the *key columns* of the buckets its rows
+fall into (partition pruning + column pruning). Rows whose key is new are
+appended to their buckets; only buckets that hold a replaced review are read
+whole, upserted, cut from their lineage with ``checkpoint()`` (shared
+checkpoint folder) and overwritten (dynamic partition overwrite). An
+insert-heavy feed writes about its own size, a small update about the buckets
+of its reviews. Writes are rebalanced by size: a large bucket is written by
+several tasks, small ones share one.
 
 Fault tolerance: the stream checkpoint records which files each batch
 consumed, and the state is written last. A re-run batch finds rows it
@@ -29,15 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators.ingest import incremental_rows, next_state, upsert
-from vitrine.schema import CRAWL_STATE_SCHEMA
+from vitrine.schema import CRAWL_STATE_SCHEMA, PAGE_JSON_SCHEMA
 from vitrine.session import checkpoint_path
+from vitrine.sources.pages import page_reviews
 
 BUCKET = "bucket"
 DEFAULT_BUCKETS = 256
+DEFAULT_PARTS = 16
 
 
-def bucket_of(key: str, n_buckets: int):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int")
+def bucket_of(key: str, n_buckets: int, row_id: str | None = None, n_parts: int = 1):
+    """Bucket of a key, or of a review: one of ``n_parts`` of its key's."""
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets))
+    if row_id is not None:
+        bucket = bucket * n_parts + F.pmod(F.xxhash64(F.col(row_id)), F.lit(n_parts))
+    return bucket.cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,9 +60,11 @@ class ReviewStore:
 
     def __init__(self, spark: SparkSession, root: str, row_schema: T.StructType,
                  keys=("appid", "recommendationid"), key: str = "appid",
-                 ts_col: str = "timestamp_updated", n_buckets: int = DEFAULT_BUCKETS):
+                 ts_col: str = "timestamp_updated", n_buckets: int = DEFAULT_BUCKETS,
+                 n_parts: int = DEFAULT_PARTS):
         self.spark, self.root, self.schema = spark, root, row_schema
-        self.keys, self.key, self.ts_col, self.n_buckets = tuple(keys), key, ts_col, n_buckets
+        self.keys, self.key, self.ts_col = tuple(keys), key, ts_col
+        self.n_buckets, self.n_parts = n_buckets, n_parts
         self.table_path = os.path.join(root, "table")
         self.state_path = os.path.join(root, "state")
 
@@ -70,49 +81,54 @@ class ReviewStore:
         return (self._read(self.table_path, self.schema, None),
                 self._read(self.state_path, CRAWL_STATE_SCHEMA, None))
 
-    def _write(self, df: DataFrame, path: str, cols: list[str]) -> None:
-        out = df.select(*cols).withColumn(BUCKET, bucket_of(self.key, self.n_buckets))
+    def _key_bucket(self):
+        return bucket_of(self.key, self.n_buckets)
+
+    def _row_bucket(self):
+        return bucket_of(self.key, self.n_buckets, self.keys[1], self.n_parts)
+
+    def _write(self, df: DataFrame, path: str, cols: list[str], bucket) -> None:
         # lineage cut: the rows are materialised before the buckets they were
         # read from are overwritten
-        out = out.checkpoint()
-        (out.repartition(BUCKET).write.mode("overwrite")
+        out = df.select(*cols).withColumn(BUCKET, bucket).checkpoint()
+        (out.hint("rebalance", BUCKET).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
     def apply(self, batch: DataFrame) -> None:
         """Upsert one batch and advance the state of its keys."""
-        b = batch.withColumn(BUCKET, bucket_of(self.key, self.n_buckets))
-        touched = [r[0] for r in b.select(BUCKET).distinct().collect()]   # <= n_buckets values
-        if not touched:
+        batch = batch.checkpoint()      # read several times below
+        keyed = [r[0] for r in batch.select(self._key_bucket()).distinct().collect()]   # <= n_buckets values
+        if not keyed:
             return
         cols = [f.name for f in self.schema.fields]
-        state = self._read(self.state_path, CRAWL_STATE_SCHEMA, touched)
+        state = self._read(self.state_path, CRAWL_STATE_SCHEMA, keyed)
         new = incremental_rows(batch, state, self.key, self.keys[1], self.ts_col).select(*cols)
         # the batch's rows are fixed before any of the tables they were
         # derived from is written
-        new = new.withColumn(BUCKET, bucket_of(self.key, self.n_buckets)).checkpoint()
+        new = new.withColumn(BUCKET, self._row_bucket()).checkpoint()
         replaced: list[int] = []
         if _exists(self.spark, self.table_path):
+            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # <= n_buckets * n_parts values
             keys_now = (self.spark.read.parquet(self.table_path)
                         .where(F.col(BUCKET).isin(touched)).select(*self.keys, BUCKET))
             replaced = [r[0] for r in new.join(keys_now, [*self.keys, BUCKET], "left_semi")
-                        .select(BUCKET).distinct().collect()]                   # <= n_buckets values
+                        .select(BUCKET).distinct().collect()]
         if replaced:
             existing = self._read(self.table_path, self.schema, replaced)
             incoming = new.where(F.col(BUCKET).isin(replaced)).drop(BUCKET)
-            self._write(upsert(existing, incoming, self.keys), self.table_path, cols)
+            self._write(upsert(existing, incoming, self.keys), self.table_path, cols, self._row_bucket())
         inserts = new.where(~F.col(BUCKET).isin(replaced)) if replaced else new
-        (inserts.repartition(BUCKET).write.mode("append").partitionBy(BUCKET)
+        (inserts.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET)
          .parquet(self.table_path))
         new_state = next_state(state, new.drop(BUCKET), self.key, self.ts_col)
-        self._write(new_state, self.state_path, [f.name for f in CRAWL_STATE_SCHEMA.fields])
-
+        self._write(new_state, self.state_path, [f.name for f in CRAWL_STATE_SCHEMA.fields], self._key_bucket())
 
     def compact(self, buckets: list[int] | None = None) -> None:
-        """Rewrite buckets (all by default) into one file each: appended
+        """Rewrite buckets (all by default) into files of a good size: appended
         batches leave small files behind. Same rows, fewer files."""
         table = self._read(self.table_path, self.schema, buckets)
         if table is not None:
-            self._write(table, self.table_path, [f.name for f in self.schema.fields])
+            self._write(table, self.table_path, [f.name for f in self.schema.fields], self._row_bucket())
 
 
 def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore) -> None:
@@ -122,20 +138,25 @@ def run_batch(spark: SparkSession, feed: DataFrame, store: ReviewStore) -> None:
 
 def run_stream(spark: SparkSession, landing: str, store: ReviewStore, fmt: str = "parquet",
                checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-               processing_time: str | None = None):
+               processing_time: str | None = None, pages: bool = False, language: str | None = None):
     """Process every landed file not seen before, then stop
     (``availableNow``). Re-running picks up only newer files.
 
+    The files hold rows of the store's schema, or with ``pages=True`` landed
+    review pages (JSON), whose reviews are taken (in one ``language`` if given).
+
     With ``processing_time`` (e.g. ``"10 minutes"``) the query keeps running
     with that trigger and its handle is returned (``stop()`` it when done).
     """
-    reader = spark.readStream.format(fmt).schema(store.schema)
+    reader = spark.readStream.format("json" if pages else fmt).schema(PAGE_JSON_SCHEMA if pages else store.schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(landing)
     ckpt = checkpoint or checkpoint_path(spark, "ingest-stream-" + os.path.basename(store.root.rstrip("/")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if pages:
+            batch = page_reviews(batch, language).select(*[F.col(f.name).cast(f.dataType) for f in store.schema.fields])
         store.apply(batch)
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
