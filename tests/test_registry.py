@@ -65,3 +65,18 @@ def test_plan_shape(spark, key):
     assert "BatchEvalPython" not in plan, key      # never row-at-a-time Python
     if key not in PYTHON_OK:
         assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan, key
+
+
+# scans, exchanges and one-partition exchanges of the plan that runs, subqueries included
+MOST = {"scans": 14, "exchanges": 18, "single": 5}
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
+def test_plan_size(spark, key):
+    plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "AdaptiveSparkPlan" not in x]
+    scans = sum("Scan parquet" in x for x in lines)
+    exchanges = sum("Exchange " in x and "Reused" not in x for x in lines)
+    single = sum("SinglePartition" in x for x in lines)
+    found = {"scans": scans, "exchanges": exchanges, "single": single}
+    assert all(found[k] <= MOST[k] for k in MOST), (key, found)

@@ -215,7 +215,7 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
     q = queries.select(F.col(qid), F.col(text_col).alias("__raw"))
     q = q.withColumn("__t", strip_ws(F.coalesce(F.col("__raw"), F.lit(""))))
     digits = is_all_digits("__t")
-    q = q.withColumn("__kk", F.when(digits, F.col("__t").try_cast("bigint")))
+    q = q.withColumn("__kk", F.when(digits, F.col("__t").try_cast("bigint"))).checkpoint()  # read in several parts
     # only catalog rows a query can hit are aggregated: semi-joins to the
     # asked ids and names first (a small batch never groups the catalog)
     asked_keys = q.select(F.col("__kk").alias("__k")).where(F.col("__k").isNotNull()).distinct()
@@ -231,10 +231,11 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
     no_key = [F.lit(None).cast(by_key.schema[c].dataType).alias(c) for c in by_key.columns]
     no_name = [F.lit(None).cast(by_name.schema[c].dataType).alias(c) for c in by_name.columns]
     numbered = q.where(F.col("__kk").isNotNull()).join(by_key, F.col("__kk") == F.col("__k"), "left")
-    keyed = numbered.unionByName(q.where(F.col("__kk").isNull()).select("*", *no_key))
     blank = F.col("__t") == ""
-    named = keyed.where(~blank).join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left")
-    out = named.unionByName(keyed.where(blank).select("*", *no_name))
+    other = q.where(F.col("__kk").isNull())
+    keyed = numbered.unionByName(other.where(~blank).select("*", *no_key))
+    named = keyed.join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left")
+    out = named.unionByName(other.where(blank).select("*", *no_key, *no_name))
     mode = (F.when(F.col("__t") == "", "error").when(F.col("__k").isNotNull(), "appid")
             .when(F.col("__m").isNotNull(), "name").otherwise("semantic"))
     center_id = F.when(F.col("__k").isNotNull(), F.col("__k")).otherwise(F.col(f"__m.{key}"))
