@@ -603,8 +603,7 @@ def _baseline_find(t: Tables) -> DataFrame:
 
 
 # ================================================================= free text
-@register("prompt_resolve", f"""
-WITH {_APPS},
+_PROMPTS_SQL = """
 q AS (
   SELECT 'b' || CAST(item_id AS VARCHAR) AS qid, text FROM benchmark
   UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), c_name FROM customer
@@ -612,22 +611,67 @@ q AS (
 byk AS (SELECT appid AS k, min(name) AS kname FROM sv GROUP BY appid),
 byn AS (SELECT lower(name) AS n, arg_min(appid, appid) AS mid, arg_min(name, appid) AS mname
         FROM sv WHERE name IS NOT NULL GROUP BY lower(name)),
-qq AS (SELECT qid, text, trim(coalesce(text, '')) AS t FROM q)
-SELECT qid, text,
-       CASE WHEN t = '' THEN 'error' WHEN byk.k IS NOT NULL THEN 'appid'
-            WHEN byn.mid IS NOT NULL THEN 'name' ELSE 'semantic' END AS mode,
-       CASE WHEN byk.k IS NOT NULL THEN byk.k ELSE byn.mid END AS center_appid,
-       CASE WHEN byk.k IS NOT NULL THEN byk.kname ELSE byn.mname END AS center_name
-FROM qq
-LEFT JOIN byk ON CASE WHEN regexp_full_match(t, '[0-9]+') THEN TRY_CAST(t AS BIGINT) END = byk.k
-LEFT JOIN byn ON lower(t) = byn.n""")
+qq AS (SELECT qid, text, trim(coalesce(text, '')) AS t FROM q),
+modes AS (
+  SELECT qid, text,
+         CASE WHEN t = '' THEN 'error' WHEN byk.k IS NOT NULL THEN 'appid'
+              WHEN byn.mid IS NOT NULL THEN 'name' ELSE 'semantic' END AS mode,
+         CASE WHEN byk.k IS NOT NULL THEN byk.k ELSE byn.mid END AS center_appid,
+         CASE WHEN byk.k IS NOT NULL THEN byk.kname ELSE byn.mname END AS center_name
+  FROM qq
+  LEFT JOIN byk ON CASE WHEN regexp_full_match(t, '[0-9]+') THEN TRY_CAST(t AS BIGINT) END = byk.k
+  LEFT JOIN byn ON lower(t) = byn.n)"""
+
+
+def _prompts(t: Tables) -> DataFrame:
+    return (t.t("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text")
+            .unionByName(t.t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("qid"),
+                                                F.col("c_name").alias("text")))
+            .unionByName(t.t("embeddings").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("qid"),
+                                                  F.col("vec_id").cast("string").alias("text"))))
+
+
+@register("prompt_resolve", f"""
+WITH {_APPS},{_PROMPTS_SQL}
+SELECT qid, text, mode, center_appid, center_name FROM modes""")
 def _prompt_resolve(t: Tables) -> DataFrame:
-    qs = (t.t("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text")
-          .unionByName(t.t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("qid"),
-                                              F.col("c_name").alias("text")))
-          .unionByName(t.t("embeddings").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("qid"),
-                                                F.col("vec_id").cast("string").alias("text"))))
-    return search.resolve_prompts(qs, t.serving_table())
+    return search.resolve_prompts(_prompts(t), t.serving_table())
+
+
+PROMPT_DIM, PROMPT_K = 64, 3
+
+
+def _length_encoder():
+    """A deterministic stand-in for a text encoder: the axis of the text's length."""
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(i == len(x) % PROMPT_DIM) for i in range(PROMPT_DIM)] for x in texts]
+    return encode
+
+
+@register("prompt_recommend", f"""
+WITH {_APPS},{_PROMPTS_SQL},
+seeds AS (SELECT DISTINCT center_appid AS seed FROM modes WHERE mode IN ('appid', 'name')),
+near AS (SELECT seed, b.appid, CASE WHEN seed = b.appid THEN -1.0 ELSE list_dot_product(a.vec, b.vec) END AS similarity
+         FROM seeds JOIN sv a ON a.appid = seed, sv b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, appid) AS rank FROM near
+           QUALIFY rank <= {PROMPT_K}),
+pairs AS (SELECT m.qid, b.appid, b.vec[length(m.text) % {PROMPT_DIM} + 1] AS similarity, b.positive_ratio, b.review_count
+          FROM modes m, sv b WHERE m.mode = 'semantic'),
+mm AS (SELECT qid, min(similarity) AS smin, max(similarity) AS smax FROM pairs GROUP BY qid),
+cc AS (SELECT min(ln(1 + coalesce(review_count, 0))) AS cmin, max(ln(1 + coalesce(review_count, 0))) AS cmax FROM sv),
+sc AS (SELECT p.qid, p.appid, p.similarity,
+              0.6 * (p.similarity - mm.smin) / (mm.smax - mm.smin + 1e-8)
+              + 0.25 * coalesce(p.positive_ratio, 0.5)
+              + 0.15 * (ln(1 + coalesce(p.review_count, 0)) - cc.cmin) / (cc.cmax - cc.cmin + 1e-8) AS score
+       FROM pairs p JOIN mm ON p.qid = mm.qid, cc),
+found AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, appid) AS rank FROM sc
+          QUALIFY rank <= {PROMPT_K})
+SELECT qid, mode, center_appid, rank, appid, round(similarity, 6) AS similarity, NULL::DOUBLE AS score
+FROM modes JOIN ranked ON center_appid = seed WHERE mode IN ('appid', 'name')
+UNION ALL SELECT qid, 'semantic', NULL, rank, appid, round(similarity, 6), round(score, 6) FROM found
+UNION ALL SELECT qid, mode, NULL, NULL, NULL, NULL, NULL FROM modes WHERE mode = 'error'""")
+def _prompt_recommend(t: Tables) -> DataFrame:
+    return rec.prompt_recommend(t.serving_table(), _prompts(t), _length_encoder, top_k_n=PROMPT_K)
 
 
 # ================================================================= enrichment
