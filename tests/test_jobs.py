@@ -78,6 +78,14 @@ def test_catalog_job(spark, tmp):
     assert rows["10"].review_count == 2 and rows["10"].positive_ratio == 0.5
     assert rows["20"].release_year is None and rows["20"].review_count is None
     assert rows["10"].name_normalized == "portal the game"
+    # the same from reviews converted once to splittable files
+    from vitrine.sources.csv import convert_reviews
+    table = convert_reviews(spark, os.path.join(d, "reviews.csv"), os.path.join(d, "reviews"))
+    jobs.build_catalog_job(spark, *(os.path.join(d, n) for n in
+                                    ["applications.csv", "application_genres.csv", "genres.csv"]), table,
+                           os.path.join(d, "clean2"), os.path.join(d, "stats2"))
+    assert {r.appid: (r.review_count, r.positive_ratio) for r in spark.read.parquet(os.path.join(d, "stats2")).collect()} \
+        == {k: (r.review_count, r.positive_ratio) for k, r in rows.items()}
 
 
 def make_rewriter():
@@ -123,3 +131,49 @@ def test_corpus_item_copies(spark):
     assert sorted(r.appid for r in got) == [1, 3]
     one = {r.appid: r.corpus for r in summary_corpus(reviews, items, None, 10, 1).collect()}
     assert {r.appid: r.corpus for r in got} == one
+
+
+def test_generation_is_spread(spark):
+    from vitrine.operators.enrich import generate
+    df = spark.range(40).select(F.col("id").cast("string").alias("prompt")).coalesce(1)
+    assert generate(df, make_rewriter, tasks=5).rdd.getNumPartitions() == 5
+
+
+def test_all_landed_keys_by_default(spark, tmp):
+    import json
+    from vitrine.schema import REVIEWS_RAW_SCHEMA
+    from vitrine.streaming.ingest_stream import ReviewStore
+    os.makedirs(os.path.join(tmp, "pages"))
+    with open(os.path.join(tmp, "pages", "p.json"), "w") as f:
+        for key in range(1, 6):
+            for no in (1, 2):
+                f.write(json.dumps({"appid": key, "page_no": no, "reviews": [
+                    {"recommendationid": f"{key}-{no}", "timestamp_updated": 10 * no, "language": "english"}]}) + "\n")
+    store = ReviewStore(spark, os.path.join(tmp, "store"), REVIEWS_RAW_SCHEMA, n_buckets=2)
+    report = jobs.incremental_load_job(spark, os.path.join(tmp, "pages"), store).collect()
+    assert sorted(tuple(r) for r in report) == [(k, 0, 2, 20, 2) for k in range(1, 6)]
+    assert store.current()[0].count() == 10
+
+
+def test_serving_table_follows_its_inputs(spark, tmp):
+    """Rewritten input files give a new table, unchanged ones do not."""
+    import shutil
+    from vitrine.plans.bindings import SERVING_INPUTS, Tables
+    for name in SERVING_INPUTS:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp)
+    first = Tables(spark, tmp).serving_table()
+    assert Tables(spark, tmp).serving_table().inputFiles() == first.inputFiles()
+    n = first.count()
+    less = spark.read.parquet(f"{tmp}/embeddings.parquet").where("vec_id % 2 = 0").toPandas()
+    less.to_parquet(f"{tmp}/embeddings.parquet")
+    assert 0 < Tables(spark, tmp).serving_table().count() < n
+
+
+def test_corpus_reports_cuts(spark):
+    from vitrine.operators.enrich import summary_corpus
+    reviews, items = reviews_items(spark)
+    got = lambda *a: {r.appid: (r.corpus, r.n_chars_total, r.truncated)
+                      for r in summary_corpus(reviews, items, None, 10, 1, *a).collect()}
+    assert got(80, 6) == {1: ("fine\n\n", 11, True), 3: ("boom\n\n", 9, True)}
+    assert got(None, None) == {1: ("fine\n\ngreat", 11, False), 3: ("boom\n\nmeh", 9, False)}
+    assert got(1, None) == {1: ("fine", 4, False), 3: ("boom", 4, False)}

@@ -14,7 +14,7 @@ from vitrine.functions.text import (clean_array, clean_lower, empty_string_array
                                     normalize_name, parse_list_text)
 from vitrine.functions.vectors import l2_normalize
 from vitrine.operators.ranking import first_per_key
-from vitrine.schema import CATALOG_COLUMNS, REVIEW_CASTS, REVIEW_COLUMNS, canonical_key_of, try_integral
+from vitrine.schema import CATALOG_COLUMNS, REVIEW_CASTS, REVIEW_COLUMNS, canonical_key_of, require_columns, try_integral
 
 
 def genre_sets(app_genres: DataFrame, genres: DataFrame, key: str = "appid") -> DataFrame:
@@ -37,6 +37,8 @@ def build_catalog(apps: DataFrame, app_genres: DataFrame, genres: DataFrame,
                   columns: Sequence[str] = CATALOG_COLUMNS, key: str = "appid") -> DataFrame:
     """Clean catalog: fixed projection + ``genres`` + ``release_year`` +
     ``name_normalized``. Items without genres get a null list."""
+    require_columns(apps, [key, "name"], "catalog")
+    require_columns(app_genres, [key, "genre_id"], "genre links")
     sets = genre_sets(app_genres, genres, key)
     keep = [c for c in columns if c in apps.columns]
     out = apps.select(*keep).join(sets, key, "left")
@@ -111,6 +113,8 @@ def serving_catalog(catalog: DataFrame, embeddings: DataFrame, aliases: DataFram
     Duplicate vectors per key: the one with the highest ``emb_order`` wins.
     Build it once and store it (bucketed by key) for serving.
     """
+    require_columns(catalog, [key], "catalog")
+    require_columns(embeddings, [emb_key, emb_col], "embeddings")
     apps = catalog.withColumn(key, canonical_key_of(catalog, key))
     if aliases is not None:
         apps = apps.join(dedup_aliases(aliases, key), key, "left")

@@ -22,21 +22,25 @@ GenFactory = Callable[[], Callable[[str], str | None]]
 
 
 def build_catalog_job(spark: SparkSession, apps_csv: str, app_genres_csv: str, genres_csv: str,
-                      reviews_csv: str, clean_out: str, stats_out: str) -> None:
+                      reviews: str | DataFrame, clean_out: str, stats_out: str) -> None:
     """CSV catalog + genre links + reviews -> ``apps_clean`` and
-    ``apps_with_stats`` parquet. Reviews are read with the quoted
-    multi-line options (one task per file: convert large files once)."""
+    ``apps_with_stats`` parquet. ``reviews``: a table, as
+    :func:`vitrine.sources.csv.convert_reviews` gives it, or the path of a quoted
+    CSV file (one task per file)."""
     apps = csv.read_catalog_csv(spark, apps_csv)
     clean = cat.build_catalog(apps, csv.read_app_genres_csv(spark, app_genres_csv),
                               csv.read_genres_csv(spark, genres_csv))
     write_overwrite(clean, clean_out)
-    reviews = csv.read_reviews_csv(spark, reviews_csv)
-    stats = cat.add_review_stats(spark.read.parquet(clean_out), reviews)
+    stats = cat.add_review_stats(spark.read.parquet(clean_out), _reviews(spark, reviews))
     write_overwrite(stats, stats_out)
 
 
-def typed_reviews_job(spark: SparkSession, reviews_csv: str, out: str) -> None:
-    write_overwrite(cat.typed_reviews(csv.read_reviews_csv(spark, reviews_csv)), out)
+def _reviews(spark: SparkSession, reviews: str | DataFrame) -> DataFrame:
+    return csv.read_reviews_csv(spark, reviews) if isinstance(reviews, str) else reviews
+
+
+def typed_reviews_job(spark: SparkSession, reviews: str | DataFrame, out: str) -> None:
+    write_overwrite(cat.typed_reviews(_reviews(spark, reviews)), out)
 
 
 def summary_job(spark: SparkSession, reviews: DataFrame, items: DataFrame, out: str,

@@ -36,8 +36,16 @@ def read_catalog_csv(spark, path, quoted: bool = True, strict: bool = False) ->
     return read_csv(spark, path, CATALOG_CSV_SCHEMA if strict else None, quoted)
 
 
-def read_reviews_csv(spark, path, strict: bool = False) -> DataFrame:
-    return read_csv(spark, path, REVIEWS_CSV_SCHEMA if strict else None, True)
+def read_reviews_csv(spark, path, strict: bool = False, quoted: bool = True) -> DataFrame:
+    return read_csv(spark, path, REVIEWS_CSV_SCHEMA if strict else None, quoted)
+
+
+def convert_reviews(spark, csv_path: str, out: str, quoted: bool = True) -> DataFrame:
+    """Reviews as parquet, every column text: quoted files are read this once
+    (one task per file), everything later reads splittable files. Returns the
+    written table."""
+    read_reviews_csv(spark, csv_path, quoted=quoted).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 def read_app_genres_csv(spark, path, strict: bool = False) -> DataFrame:
