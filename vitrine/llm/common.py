@@ -23,11 +23,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """For thin results of many tasks: rows dealt anew by size, so that a write
+    makes files of a good size instead of one small file per task."""
+    return df.hint("rebalance")
+
+
 def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    """Cut lineage: write a thin ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -153,6 +159,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int)
     return (prefix[end] - prefix[start]) * inverse[start]
 
 
+SEED = 21  # one base for all hashes: its tables of powers take memory in every worker
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_VALUES = seeded(256, 11)
@@ -177,7 +184,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = (1 << 21) - 1,
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int = (1 << 20) - 1,
                 values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """64-bit hash of each word; bytes are taken in runs of about ``chunk``."""
     out = np.empty(len(start), np.uint64)
@@ -185,9 +192,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, chunk: int
     while at < len(start):
         stop = max(int(np.searchsorted(end, start[at] + chunk, side="right")), at + 1)
         lo, hi = int(start[at]), int(end[stop - 1])
-        pre = prefix_hash(values[data[lo:hi]], 21)
+        pre = prefix_hash(values[data[lo:hi]], SEED)
         s, e = start[at:stop] - lo, end[at:stop] - lo
-        out[at:stop] = mix64(span_hash(pre, s, e, 21) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out[at:stop] = mix64(span_hash(pre, s, e, SEED) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         at = stop
     return out
 

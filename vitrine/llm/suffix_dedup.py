@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,11 @@ LENGTH = 50
 TRIGGER = 20
 WINDOW = LENGTH - TRIGGER + 1
 AHEAD = WINDOW - 1  # bytes a phrase end has at most
-BLOCK_BYTES = (1 << 21) - 8192
-BUCKET_BYTES = 20 << 20
-SEED = 43
+BLOCK_BYTES = (1 << 20) - 8192
+CUT_BYTES = 1 << 22
+BUCKET_BYTES = 20 << 20  # of text, per bucket of triggers
+REGION_BYTES = 10 << 20  # of text, per bucket of strings
+SEED = C.SEED
 TRIGGERS = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
 REGIONS = ("bucket int, kind int, ids binary, keys binary, counts binary, spans binary, places binary, "
            "before binary, after binary, bytes binary")
@@ -219,12 +222,13 @@ def _region_packets(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [(n, pa.binary()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             batch = batch.filter(batch.column("marks").is_valid())
             for block in C.by_bytes(iter([batch]), "body", BLOCK_BYTES):
-                yield from regions(block)
+                yield from regions(block, packer)
 
-    def regions(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def regions(block: pa.RecordBatch, packer: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
         ids, keys = _columns(block)
         marks = [np.frombuffer(x.as_py(), "<i4") for x in block.column("marks")]
         for seg in segments(*C.binary_column(block.column("body"))):
@@ -241,8 +245,8 @@ def _region_packets(buckets: int):
             place, lo, hi, rows, h, shift = (x[keep] for x in (place, lo, hi, rows, h, shift))
             end = hi + LENGTH
             size = end - lo
-            prefix = C.prefix_hash(C.BYTE_VALUES[seg.data], SEED + 2)
-            whole = C.mix64(C.span_hash(prefix, lo, end, SEED + 2) + ((place - lo) * 64 + size).astype(np.uint64))
+            prefix = C.prefix_hash(C.BYTE_VALUES[seg.data], SEED)
+            whole = C.mix64(C.span_hash(prefix, lo, end, SEED) + ((place - lo) * 64 + size).astype(np.uint64))
             order = np.argsort(whole)
             new = np.ones(len(whole), bool)
             new[1:] = whole[order][1:] != whole[order][:-1]
@@ -262,7 +266,7 @@ def _region_packets(buckets: int):
                             "places": (place[c] + shift[c]).astype("<i4").tobytes(),
                             "before": (place[c] - lo[c]).astype(np.uint8).tobytes(),
                             "after": (end[c] - place[c]).astype(np.uint8).tobytes(),
-                            "bytes": seg.data[at].tobytes(), **P.documents_of(rows[c], ids, keys)[0]})
+                            "bytes": packer.compress(seg.data[at].tobytes()), **P.documents_of(rows[c], ids, keys)[0]})
             yield pa.RecordBatch.from_pylist(out, schema)
     return run
 
@@ -272,10 +276,13 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = -rows.shape[1] % 8
     words = np.pad(rows, ((0, 0), (0, wide))).view(">u8")
     order = np.lexsort(words.T[::-1])
-    one = rows[order]
-    differ = one[1:] != one[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    return order, np.concatenate(([0], common))
+    del words
+    common = np.zeros(len(rows), np.uint8)
+    for at in range(1, len(rows), 1 << 15):
+        one, two = rows[order[at:at + (1 << 15)]], rows[order[at - 1:at - 1 + (1 << 15)]]
+        differ = one != two[:len(one)]
+        common[at:at + (1 << 15)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return order, common
 
 
 def removed_strings(owner: np.ndarray, before: np.ndarray, after: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -283,17 +290,19 @@ def removed_strings(owner: np.ndarray, before: np.ndarray, after: np.ndarray, da
     string of entry i that starts ``o`` bytes before its trigger."""
     n = len(owner)
     size = before + after
-    start = np.cumsum(size) - size
-    step = np.arange(LENGTH)
-    place = start + before
-    reach = np.minimum(place[:, None] + step, len(data) - 1)
-    right = np.where(step < after[:, None], data[reach], 0).astype(np.uint8)
-    step = np.arange(1, AHEAD + 1)
-    left = np.where(step <= before[:, None], data[np.maximum(place[:, None] - step, 0)], 0).astype(np.uint8)
-    del reach
-    by_right, right_common = _classes(right)
-    by_left, left_common = _classes(left)
-    del right, left
+    place = (np.cumsum(size) - size + before).astype(np.int32)
+    ahead, back = np.arange(LENGTH, dtype=np.int32), np.arange(1, AHEAD + 1, dtype=np.int32)
+
+    def filled(step: np.ndarray, sign: int, room: np.ndarray) -> np.ndarray:
+        """The bytes at ``step`` from each trigger, zero beyond its ``room``."""
+        rows = np.zeros((n, len(step)), np.uint8)
+        for at in range(0, n, 1 << 15):
+            cut = slice(at, at + (1 << 15))
+            spot = np.clip(place[cut, None] + sign * step, 0, len(data) - 1)
+            rows[cut] = data[spot] * (step - (sign < 0) < room[cut, None])
+        return rows
+    by_right, right_common = _classes(filled(ahead, 1, after))
+    by_left, left_common = _classes(filled(back, -1, before))
     out = np.zeros((n, AHEAD + 1), bool)
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(AHEAD + 1):
@@ -320,7 +329,8 @@ def _removed_spans(parts: int):
         asked = np.repeat(row[~known], counts[~known])
         places = P.join_column(table, "places", "<i4")
         before, after = P.join_column(table, "before", "u1").astype(np.int64), P.join_column(table, "after", "u1").astype(np.int64)
-        data = P.join_column(table, "bytes", "u1")
+        unpack = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(unpack.decompress(x.as_py()) for x in table.column("bytes") if len(x.as_py())), "u1")
         spans, owners = [P.join_column(table, "spans", "<i4").reshape(-1, 2)], [np.repeat(row[known], counts[known])]
         if len(asked) > 1:
             gone = removed_strings(ids[asked], before, after, data)
@@ -353,7 +363,7 @@ def _cut(digest: bool):
              ("kept", pa.string() if digest else pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.by_bytes(batches, "body", CUT_BYTES):
             out = {k: [] for k, _ in kinds}
             for doc, body, marks in zip(batch.column("doc_id"), batch.column("body"), batch.column("marks")):
                 body, marks = body.as_py(), marks.as_py()
@@ -374,7 +384,8 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, span_starts, span_ends, kept) of
     every row: byte positions of the maximal removed runs (ends exclusive) and
     the bytes left, or with ``digest`` their SHA-256."""
-    buckets = C.parts_for(C.total_bytes(docs), BUCKET_BYTES)
+    size = C.total_bytes(docs)
+    buckets, regions = C.parts_for(size, BUCKET_BYTES), C.parts_for(size, REGION_BYTES)
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                         F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("doc_key"),
                         C.text_bytes().alias("body"))
@@ -387,7 +398,7 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     found = named.mapInArrow(_trigger_packets(buckets), TRIGGERS).groupBy("bucket").applyInArrow(
         _shared_triggers(buckets), P.PARTS).groupBy("part").applyInArrow(P.gather(1), MARKS)
-    spans = with_marks(found).mapInArrow(_region_packets(buckets), REGIONS).groupBy("bucket").applyInArrow(
+    spans = with_marks(found).mapInArrow(_region_packets(regions), REGIONS).groupBy("bucket").applyInArrow(
         _removed_spans(buckets), P.PARTS).groupBy("part").applyInArrow(P.gather(2), MARKS)
     schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, span_starts array<bigint>, "
               f"span_ends array<bigint>, kept {'string' if digest else 'binary'}")
@@ -396,4 +407,4 @@ def suffix_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(C.read_table(spark, sf_dir, "documents"), digest=True)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    return C.few_files(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256")))
