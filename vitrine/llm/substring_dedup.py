@@ -41,7 +41,8 @@ from vitrine.llm import common as C
 from vitrine.llm import packets as P
 
 WIDTH = 13
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
+CUT_BYTES = 1 << 22
 BUCKET_BYTES = 20 << 20
 PACKET = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
 MARKS = "doc_id bigint, doc_key bigint, marks binary"
@@ -74,7 +75,7 @@ def _window_packets(width: int, buckets: int):
             whole = np.flatnonzero(doc[:n] == doc[width - 1:])
             if not len(whole):
                 continue
-            h = C.window_hashes(words, width, 31)[whole]
+            h = C.window_hashes(words, width, C.SEED)[whole]
             deal = ((C.window_hashes(words, width, 37)[whole] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             doc = doc[whole]
             pos = whole - first[doc]
@@ -137,7 +138,7 @@ def _mark_repeated(table: pa.Table, parts: int) -> pa.Table:
 
 def _cut(width: int, digest: bool, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.by_bytes(batches, "body", CUT_BYTES):
             bodies, marks = batch.column("body"), batch.column("marks")
             out = {k: [] for k in ("n_words", "n_removed", "span_starts", "span_ends", "kept")}
             for i in range(batch.num_rows):
@@ -214,4 +215,4 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...]
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
     out = substring_dedup(docs, WIDTH, digest=True)
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return C.few_files(out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256")))
