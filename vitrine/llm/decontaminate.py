@@ -39,8 +39,8 @@ from vitrine.llm import common as C
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BLOCK_TOKENS = 1 << 18
-TEXT_BYTES = 1 << 22
-SEED = 41
+TEXT_BYTES = 1 << 21
+SEED = C.SEED
 MAP_BITS = 20
 FOUND = "doc_id bigint, item_id bigint, item_words bigint, matched_words bigint, tiles bigint, coverage double"
 
@@ -198,4 +198,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark"))
+    return C.few_files(contaminated(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark")))

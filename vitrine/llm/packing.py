@@ -35,8 +35,8 @@ from vitrine.llm import common as C
 from vitrine.llm import tokens as T
 
 SIZE = 1024
-RANK_GROUP = 20_000
-TEXT_BYTES = 1 << 22
+RANK_GROUP = 2_000
+TEXT_BYTES = 1 << 21
 
 
 # --- pieces ----------------------------------------------------------------------

@@ -37,6 +37,7 @@ LEAST_STEPS = 400  # a small sample is passed through more often
 BATCH = 32
 RATE = 3e-3
 SLAB_BYTES = 1 << 18
+BATCH_BYTES = 1 << 22
 
 
 class ByteNet:
@@ -201,7 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) ->
 
 def _score(net: ByteNet, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.by_bytes(batches, "body", BATCH_BYTES):
             if batch.num_rows:
                 scores = net.scores(*C.binary_column(batch.column("body")))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(scores)],
@@ -221,5 +222,5 @@ def score_quality(docs: DataFrame, net: ByteNet, carry: tuple[str, ...] = ("doc_
 def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
     net = fit_quality(docs, C.read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, net).select(
-        "doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return C.few_files(score_quality(docs, net).select(
+        "doc_id", C.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))

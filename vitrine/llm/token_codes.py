@@ -45,7 +45,7 @@ MAGIC = b"DACTOK01"
 RUN = 512
 SEGMENT_TOKENS = 1 << 22
 PARTITION_BYTES = 1 << 25
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 21
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 SEGMENTS = "part int, segment int, path string, documents bigint, tokens bigint"
 
@@ -212,4 +212,4 @@ def read_token_files(segments: DataFrame) -> DataFrame:
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
     segments = write_token_files(docs, C.work_dir(spark, "token-codes"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(segments)
+    return C.few_files(read_token_files(segments))

@@ -251,5 +251,5 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.text_bytes("html").alias("body"))
     raw = write_archives(pages, C.work_dir(spark, "warc"))
     done = deduplicate(raw, C.work_dir(spark, "warc-dedup"))
-    return read_headers(done).select(
-        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return C.few_files(read_headers(done).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
