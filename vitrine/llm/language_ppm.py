@@ -34,6 +34,7 @@ ORDER = 3
 SAMPLE_DOCS = 600
 SAMPLE_TEXT_BYTES = 1 << 18
 MAX_CONTEXTS = 60_000
+BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -182,6 +183,8 @@ def learn(docs: DataFrame, rows: int = SAMPLE_DOCS) -> ContextTrees:
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
     picked = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select(
         F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("t")).distinct()
+    if picked.count() <= BROADCAST_ROWS:  # some bytes a row; with more languages Spark decides by itself
+        picked = F.broadcast(picked)
     found = known.join(picked, F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
                        & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["lang", "doc_id", "t"])
     texts: dict[str, list[tuple]] = {}
@@ -194,9 +197,7 @@ def _predict(trees: ContextTrees):
     langs = trees.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in C.by_bytes(batches, "body", 4 * BLOCK_BYTES):
             data, offsets = C.binary_column(batch.column("body"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             names, score = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
@@ -222,4 +223,4 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
 
 def op5_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
-    return predict(docs, learn(docs))
+    return C.few_files(predict(docs, learn(docs)))
