@@ -6,8 +6,8 @@ Plan
    energy in the leading coordinates comes from the SVD of a bounded sample
    (``SAMPLE_ROWS`` rows; it steers the pruning, never the result).
 2. Candidates are range-partitioned and sorted by falling length and packed
-   into blocks of ``BLOCK_ROWS`` rows, written once; queries are packed into
-   blocks of ``QUERY_ROWS``.
+   into blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_BYTES``, written once;
+   so are the queries, in blocks of at most ``QUERY_ROWS``.
 3. Each query meets the block of the longest vectors first; its k-th score there
    is its threshold. A pair of blocks whose longest possible product is below
    all thresholds is never joined.
@@ -39,7 +39,8 @@ K = 5
 SCALE = 256
 EVERY = 50
 SAMPLE_ROWS = 4096
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 8192  # at most, and no more than BLOCK_BYTES of vectors
+BLOCK_BYTES = 4 << 20
 QUERY_ROWS = 1024
 QUERY_STEP = 128
 FIRST_STEP, STEP = 64, 1024
@@ -186,17 +187,19 @@ def _top_of(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFra
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
     turn = rotation(np.array([r.v for r in sample], np.int64).reshape(-1, dim))
     packed = "ids binary, vecs binary, longest double"
+    block_rows = max(k + 1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+    query_rows = max(1, min(QUERY_ROWS, BLOCK_BYTES // (8 * dim)))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    parts = C.parts_for(vectors.count(), 8 * BLOCK_ROWS, 1)
+    parts = C.parts_for(vectors.count(), 8 * block_rows, 1)
     dealt = vectors.withColumn("n", length).repartitionByRange(parts, F.col("n").desc(), "vec_id").sortWithinPartitions(
         F.col("n").desc(), "vec_id").select("vec_id", "v")
-    blocks = C.through_table(dealt.mapInArrow(_pack(dim, BLOCK_ROWS), packed).withColumn(
+    blocks = C.through_table(dealt.mapInArrow(_pack(dim, block_rows), packed).withColumn(
         "b", F.monotonically_increasing_id()), "vector-blocks")
     asked = queries.distinct()
-    q_parts = C.parts_for(asked.count(), QUERY_ROWS, 1)
+    q_parts = C.parts_for(asked.count(), query_rows, 1)
     q_blocks = asked.repartition(q_parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(
-        _pack(dim, QUERY_ROWS), packed).drop("longest").withColumn("q", F.monotonically_increasing_id())
-    # one block of BLOCK_ROWS vectors at most: the longest ones
+        _pack(dim, query_rows), packed).drop("longest").withColumn("q", F.monotonically_increasing_id())
+    # one block: the longest vectors
     top = blocks.orderBy(F.col("longest").desc(), "b").select("ids", "vecs").first()
     floors = C.through_table(q_blocks.mapInArrow(_floors(dim, turn, k, bytes(top.ids), bytes(top.vecs)),
                                                  "q bigint, ids binary, vecs binary, floor binary, reach double"),
