@@ -43,6 +43,31 @@ def test_pieces_encode_like_whole_texts(name, monkeypatch):
         array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_get_the_ids_of_the_library(spark, name):
+    """The operators' encoder against an unmodified tokenizer."""
+    path = public_tokenizers.path(name)
+    coder, whole = tokens.encoder(path), Tokenizer.from_file(path)
+    assert coder.rule is not None
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " one", "Two ", "\n", "ß", "日本", "İ", "."]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(parts), max_size=8).map("".join), max_size=5))
+    def same(texts):
+        expected = [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert coder.ids(texts) == expected
+    same()
+    text = "one two <|endoftext|> three"
+    ids = whole.encode(text, add_special_tokens=False).ids
+    assert whole.token_to_id("<|endoftext|>") in ids
+    docs = spark.createDataFrame([(1, text), (2, "after")], "doc_id bigint, text string")
+    (row,) = packing.best_fit_packing(docs.where("doc_id = 1"), path).collect()
+    assert (row.length, row.ids_crc32) == (len(ids) + 1, zlib.crc32(array("I", ids + [2]).tobytes()))
+    segments = token_codes.write_token_files(docs, C.work_dir(spark, "added-test"), path)
+    starts = {r.doc_id: r.start for r in token_codes.read_token_files(segments).collect()}
+    assert starts == {1: 0, 2: len(ids) + 1}
+
+
 # --- packing -----------------------------------------------------------------------
 
 def test_fullest_is_optimal():

@@ -5,7 +5,8 @@ words it has met before, so a text is first cut exactly where the tokenizer's
 own pattern always cuts, each distinct piece is encoded once per worker (a
 bounded cache that outlives the task), and the pieces' ids are joined.
 :func:`cut_rule` knows the two kinds of tokenizer for which that is exact; any
-other is given whole texts.
+other is given whole texts. So is every text that holds the string of an added
+token (``<|endoftext|>``), whose id the library puts there by default.
 """
 
 from __future__ import annotations
@@ -52,15 +53,21 @@ def cut_rule(tokenizer: Tokenizer) -> re.Pattern | None:
 
 
 class Encoder:
-    """``ids(texts)``: little-endian unsigned 32-bit ids of each text."""
+    """``ids(texts)``: little-endian unsigned 32-bit ids of each text; with
+    ``special_as_text`` the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.rule = cut_rule(self.tokenizer)
         self.cache: dict[str, bytes] = {}
         self.lowers = self.rule is not None and self.rule.pattern == DROPPED_SPACE
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content for t in added]
+        if self.rule is not None and any(self.lowers and t.normalized or set(t.content) & set(BREAKS[self.rule.pattern][1])
+                                         for t in added):
+            self.rule, self.lowers = None, False  # one substring test would not find them all
         if self.rule is not None:
             self.mark, self.joint = BREAKS[self.rule.pattern]
             (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -88,8 +95,20 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.rule is None:
             return self._encode(texts)
+        given = texts
         if self.lowers:  # "The" and "the" are then one piece
             texts = [t if not t.isascii() and BEYOND.search(t) else t.lower() for t in texts]
+        # lower-cased text too: "<|ENDOFTEXT|>" is no token, but its piece would be
+        whole = [i for i, t in enumerate(texts) if any(a in t or a in given[i] for a in self.added)]
+        if whole:
+            apart = set(whole)
+            out = self._ids_by_pieces([t for i, t in enumerate(texts) if i not in apart])
+            for i, x in zip(whole, self._encode([given[i] for i in whole])):
+                out.insert(i, x)
+            return out
+        return self._ids_by_pieces(texts)
+
+    def _ids_by_pieces(self, texts: list[str]) -> list[bytes]:
         find, get = self.rule.findall, self.cache.get
         pieces = [find(t) for t in texts]
         parts = [list(map(get, p)) for p in pieces]
@@ -109,9 +128,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file."""
+    """The worker's encoder of a tokenizer file, with the ids of the library's defaults."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special_as_text=False)
     return _ENCODERS[path]
 
 
