@@ -46,7 +46,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item (rows without id are kept)."""
-    leaks = contaminated(docs, C.read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaks = contaminated(docs, C.read_table(spark, sf_dir, "benchmark"), short_items=True).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 

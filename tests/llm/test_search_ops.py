@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from vitrine.llm import common as C
 from vitrine.llm import decontaminate, inner_product
 from vitrine.llm.decontaminate import tile
 
@@ -69,6 +70,42 @@ def test_contaminated(spark, odd):
     assert decontaminate.contaminated(odd, bench).count() == 0
 
 
+def test_short_and_unsegmented_items_are_found(spark, tmp_path):
+    items = {1: "Where is it?", 2: "forty-two", 3: "abacus", 4: "今天天气很好，我们去公园散步。", 5: "ประเทศไทยมีภูเขา",
+             6: "これは長い質問の文です", 7: "one two three four «five» six", 8: "x y z w"}
+    texts = {1: "So where, is IT then", 2: "where it is", 3: "the forty two of them", 4: "he said:今天天气很好 我们去公园散步!",
+             5: "在ประเทศไทยมีภูเขาmore", 6: "x y z", 7: "かれ「これは長い質問の文です」と", 8: "a one two three four “five”… six b",
+             9: "abacuses", 10: "today 天气 is 很好", 11: "an abacus and an ABACUS", 12: "x y z w", 13: "y x y z w"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(2).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.op6_decontaminate(spark, str(tmp_path)).collect()
+    found = sorted((r.doc_id, r.item_id, r.item_words, r.matched_words) for r in got)
+    assert found == [(1, 1, 3, 3), (3, 2, 2, 2), (4, 4, 13, 13), (5, 5, 16, 16), (7, 6, 11, 11), (8, 7, 6, 6),
+                     (11, 3, 1, 1), (12, 8, 4, 4), (13, 8, 4, 4)]
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 6, 9, 10]
+
+
+def test_words_match_the_plain_definition():
+    rng = random.Random(4)
+    kinds = decontaminate.kinds()
+    for _ in range(300):
+        texts = ["".join(rng.choice("aB ß-é，。日本กข\u3000\u200b«»😀𠀀½") for _ in range(rng.randint(0, 12))).encode()
+                 for _ in range(3)] + [b"\xe6\x97", b"\xa5\xf0\x9f x"]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        start, end, first = C.word_bounds(data, offsets, decontaminate.IS_BREAK, decontaminate._refine)
+        got = [[data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b])] for a, b in zip(first[:-1], first[1:])]
+        for t, words in zip(texts[:3], got):
+            line = "".join(f" {c} " if kinds[ord(c)] == 2 else " " if c in " -" or kinds[ord(c)] == 1 else c
+                           for c in t.decode())
+            assert words == [w.encode() for w in line.split(" ") if w]
+        assert got[3:] == [[b"\xe6\x97"], [b"\xa5\xf0\x9f", b"x"]]
+
+
 def brute_top(rows, queries, k):
     out = {}
     for q, v in queries:

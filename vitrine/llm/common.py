@@ -165,17 +165,20 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_VALUES = seeded(256, 11)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray,
-                space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE,
+                refine=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (byte positions) of the words (runs of bytes not in
     ``space``, by default ``[^\\x20\\x09-\\x0D]+``) of documents laid end to end,
-    and each document's first word index (n + 1)."""
+    and each document's first word index (n + 1). ``refine(data, inside, edge)``
+    may take further bytes out of words and set further edges between them."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if refine is not None:
+        refine(data, inside, edge)
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | edge[1:-1]
     ends = inside.copy()

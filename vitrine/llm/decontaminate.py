@@ -15,11 +15,14 @@ Plan
    ``MIN_MATCH`` words. So an item whose sentences were reordered is covered by
    several tiles. Coverage is the share of the item's words that are marked.
 
-Words are lower-cased (A-Z) runs of bytes other than white space and ASCII
-punctuation.
+Words are lower-cased (A-Z) runs of characters other than white space and
+punctuation; in scripts written without spaces (``UNSPACED``: Han, kana, Thai, Lao,
+Khmer, Burmese and others) each character is a word.
 
 Cases: null and empty texts match nothing, on either side; items of fewer than
-``MIN_MATCH`` words have no seed and are never reported; repeated documents are
+``MIN_MATCH`` words are taken with ``short_items`` (both queries do so), with all
+their words as the seed, so a document leaks them only by holding them verbatim,
+an item of one word by holding that word; repeated documents are
 reported row by row, repeated items once per row; an empty benchmark gives no
 rows; extra columns are ignored.
 """
@@ -27,6 +30,7 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +53,55 @@ IS_BREAK[list(string.punctuation.encode())] = True
 _LOWER = np.arange(256)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 LOWER_VALUES = C.BYTE_VALUES[_LOWER]
+#: first and last characters of scripts that put no space between words
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+            (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F),
+            (0x20000, 0x3FFFF))
+BREAK, SINGLE = 1, 2
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """BREAK, SINGLE (a word of its own) or 0 per character number."""
+    if not _KINDS:
+        table = np.zeros(0x200000, np.uint8)
+        for first, last in UNSPACED:
+            table[first:last + 1] = SINGLE
+        for c in range(0x80, 0x20000):
+            if unicodedata.category(chr(c))[0] in "PZ":
+                table[c] = BREAK
+        table[[0x85, 0x200B, 0xFEFF]] = BREAK  # next line, zero-width spaces
+        table[[0xFEE0 + ord(c) for c in string.punctuation]] = BREAK  # full-width forms
+        _KINDS.append(table)
+    return _KINDS[0]
+
+
+def _refine(data: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> None:
+    """Words of characters beyond ASCII; bytes that are not UTF-8 stay in words."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return
+    byte = data[lead].astype(np.int64)
+    size = 2 + (byte >= 0xE0) + (byte >= 0xF0)
+    code = byte & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    good = lead + size <= len(data)
+    for k in range(1, 4):
+        more = size > k
+        at = np.minimum(lead + k, len(data) - 1)
+        good &= ~more | ((data[at] & 0xC0 == 0x80) & ~edge[at])
+        code = np.where(more, code << 6 | data[at] & 0x3F, code)
+    kind = np.where(good, kinds()[code], 0)
+    for k in range(4):
+        inside[lead[(kind == BREAK) & (size > k)] + k] = False
+    single = kind == SINGLE
+    edge[lead[single]] = True
+    edge[lead[single] + size[single]] = True
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts laid end to end, and each text's first word."""
-    start, end, first = C.word_bounds(data, offsets, IS_BREAK)
+    start, end, first = C.word_bounds(data, offsets, IS_BREAK, _refine)
     return C.word_hashes(data, start, end, values=LOWER_VALUES), first
 
 
@@ -116,36 +164,39 @@ def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_MATCH) -> list[tup
 
 
 class ItemBlock:
-    """A bounded part of the benchmark with its seeds."""
+    """A bounded part of the benchmark with its seeds, by their number of words."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], short_items: bool = False) -> None:
         body = b"".join(t for _, t in items)
         offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in items]))).astype(np.int64)
         words, first = words_of(np.frombuffer(body, np.uint8), offsets)
         self.ids = [i for i, _ in items]
         self.words = [words[s:e] for s, e in zip(first[:-1], first[1:])]
-        seeds = [C.window_hashes(w, MIN_MATCH, SEED) for w in self.words]
-        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        seeds = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
-        self.map = np.zeros(1 << MAP_BITS, bool)
-        self.map[(self.seeds & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in range(1 if short_items else MIN_MATCH, MIN_MATCH + 1):
+            own = [k for k, w in enumerate(self.words) if len(w) == width or len(w) > width == MIN_MATCH]
+            if not own:
+                continue
+            found = [C.window_hashes(self.words[k], width, SEED) for k in own]
+            owner, seeds = np.repeat(own, [len(s) for s in found]), np.concatenate(found)
+            order = np.argsort(seeds, kind="stable")
+            known = np.zeros(1 << MAP_BITS, bool)
+            known[(seeds & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
+            self.seeds[width] = seeds[order], owner[order], known
 
     def shared(self, words: np.ndarray, first: np.ndarray) -> dict[int, list[int]]:
         """Per text the items with which it shares a seed."""
-        h = C.window_hashes(words, MIN_MATCH, SEED)
-        place = np.flatnonzero(self.map[(h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)])
-        h = h[place]
-        low, high = np.searchsorted(self.seeds, h), np.searchsorted(self.seeds, h, side="right")
-        doc = np.searchsorted(first, place, side="right") - 1
-        fits = (high > low) & (place + MIN_MATCH <= first[doc + 1])
         pairs: dict[int, set[int]] = {}
-        seen: set[tuple[int, int]] = set()
-        for d, s, e in zip(doc[fits].tolist(), low[fits].tolist(), high[fits].tolist()):
-            if (d, s) not in seen:
-                seen.add((d, s))
-                pairs.setdefault(d, set()).update(self.owner[s:e].tolist())
+        for width, (seeds, owner, known) in self.seeds.items():
+            h = C.window_hashes(words, width, SEED)
+            place = np.flatnonzero(known[(h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)])
+            h = h[place]
+            low, high = np.searchsorted(seeds, h), np.searchsorted(seeds, h, side="right")
+            doc = np.searchsorted(first, place, side="right") - 1
+            fits = (high > low) & (place + width <= first[doc + 1])
+            once = np.unique(np.stack([doc[fits], low[fits], high[fits]]), axis=1)
+            for d, s, e in once.T.tolist():
+                pairs.setdefault(d, set()).update(owner[s:e].tolist())
         return {d: sorted(x) for d, x in pairs.items()}
 
 
@@ -160,7 +211,7 @@ def _find(block: ItemBlock, threshold: float):
             for d, items in block.shared(words, first).items():
                 text = words[first[d]:first[d + 1]]
                 for i in items:
-                    tiles = tile(text, block.words[i])
+                    tiles = tile(text, block.words[i], min(MIN_MATCH, len(block.words[i])))
                     matched, total = sum(t[2] for t in tiles), len(block.words[i])
                     if matched >= threshold * total:
                         out.append({"doc_id": batch.column("doc_id")[d].as_py(), "item_id": block.ids[i],
@@ -171,7 +222,7 @@ def _find(block: ItemBlock, threshold: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, tokens: int = BLOCK_TOKENS) -> Iterator[ItemBlock]:
+def item_blocks(benchmark: DataFrame, tokens: int = BLOCK_TOKENS, short_items: bool = False) -> Iterator[ItemBlock]:
     """The benchmark in blocks of about ``tokens`` words (one item at least)."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), C.text_bytes().alias("body"))
@@ -179,23 +230,26 @@ def item_blocks(benchmark: DataFrame, tokens: int = BLOCK_TOKENS) -> Iterator[It
         body = bytes(row.body)
         n = len(body) // 2 + 1  # words at most
         if held and size + n > tokens:
-            yield ItemBlock(held)
+            yield ItemBlock(held, short_items)
             held, size = [], 0
         held.append((row.item_id, body))
         size += n
     if held:
-        yield ItemBlock(held)
+        yield ItemBlock(held, short_items)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and item that the document covers to ``threshold``."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
+                 short_items: bool = False) -> DataFrame:
+    """One row per document and item that the document covers to ``threshold``;
+    with ``short_items`` also items of fewer than ``MIN_MATCH`` words."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), C.text_bytes().alias("body"))
     out = None
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, short_items=short_items):
         found = rows.mapInArrow(_find(block, threshold), FOUND)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.few_files(contaminated(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark")))
+    docs, benchmark = C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark")
+    return C.few_files(contaminated(docs, benchmark, short_items=True))
