@@ -141,6 +141,19 @@ def test_code_lengths_match_brute_force(monkeypatch):
         assert np.allclose(trees.total_bits(*laid(texts)), expected, atol=1e-3)
 
 
+def test_contexts_beyond_the_table_match_brute_force(monkeypatch):
+    learned = {"x": [b"hello there the theory", b"then they heal", b"a"], "y": ["über die brücke".encode(), b"die brut"]}
+    seen = set(b"".join(learned["x"] + learned["y"]))
+    texts = [b"the brute hello", b"", "ßxyz über".encode(), b"\x00\xff\xff\xfe", b"th", b"e" * 40, b"zhe qdie xie"]
+    expected = [[brute_bits(learned[k], t, seen) for k in ("x", "y")] for t in texts]
+    for cap in (0, 1, 5, 20):
+        trees = ContextTrees(learned, max_contexts=cap)
+        for block, few in ((1 << 20, 4096), (5, 2)):
+            monkeypatch.setattr(language_ppm, "BLOCK_BYTES", block)
+            monkeypatch.setattr(language_ppm, "DIRECT_CONTEXTS", few)
+            assert np.allclose(trees.total_bits(*laid(texts)), expected, atol=1e-3)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}

@@ -11,7 +11,10 @@ Plan: the trees are counted from a bounded sample (``SAMPLE_DOCS`` texts of each
 learned language at most, those with the smallest hash of their id, none of the
 held-out fold). The sparse counts, a few megabytes, go to the tasks; each
 worker unfolds them once into code lengths per context, byte and language, so
-scoring is table lookups over whole texts, one ``mapInArrow``, no shuffle.
+scoring is table lookups over whole texts, one ``mapInArrow``, no shuffle. The
+table holds the ``MAX_CONTEXTS`` most frequent contexts and their ends; what
+follows any other context that was seen is coded from the counts directly, with
+the same result.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without
 anything learned all are; equal code lengths go to the first language by name;
@@ -33,7 +36,8 @@ from vitrine.llm import common as C
 ORDER = 3
 SAMPLE_DOCS = 600
 SAMPLE_TEXT_BYTES = 1 << 18
-MAX_CONTEXTS = 60_000
+MAX_CONTEXTS = 60_000  # in the table; the others are coded from the counts
+DIRECT_CONTEXTS = 4096
 BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -63,8 +67,13 @@ class ContextTrees:
         total, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
         weight = np.bincount(counts, np.concatenate([n for _, n in self.grams]) if keys else None, len(total))
         order = np.lexsort((total, -weight))[:max_contexts]
-        self.kept = np.sort(total[order])
-        self.name = hashlib.sha256(b"".join(k.tobytes() + n.tobytes() for k, n in self.grams)).hexdigest()
+        self.every, self.kept = total, np.sort(total[order])
+        parts = [self.kept.tobytes(), *(k.tobytes() + n.tobytes() for k, n in self.grams)]
+        self.name = hashlib.sha256(b"".join(parts)).hexdigest()
+        self.sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # filled by _level
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "sums": {}}
 
     def contexts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context number and symbol of every byte of texts laid end to end."""
@@ -80,10 +89,11 @@ class ContextTrees:
 
     def _level(self, lang: int, order: int, wanted: np.ndarray) -> np.ndarray:
         """Counts of every symbol in each wanted context of ``order`` bytes."""
-        keys, counts = self.grams[lang]
-        short = keys % self.size ** (order + 1)
-        codes, back = np.unique(short, return_inverse=True)
-        sums = np.bincount(back, counts, len(codes))
+        if (lang, order) not in self.sums:
+            keys, counts = self.grams[lang]
+            codes, back = np.unique(keys % self.size ** (order + 1), return_inverse=True)
+            self.sums[lang, order] = codes, np.bincount(back, counts, len(codes))
+        codes, sums = self.sums[lang, order]
         context, symbol = codes // self.size, codes % self.size
         names, place = np.unique(wanted, return_inverse=True)
         out = np.zeros((len(names), self.size))
@@ -112,7 +122,8 @@ class ContextTrees:
 
     def unfold(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of each context of ORDER symbols, bits[row * size + symbol, language]).
-        A context that was never seen shares the row of its longest known end."""
+        A context that was never seen shares the row of its longest end that was;
+        row -1 if that end, or the context itself, is not in the table."""
         row_of, tables, rows = None, [], 0
         for order in range(ORDER + 1):
             known = np.unique(self.kept % self.size ** order)
@@ -129,14 +140,28 @@ class ContextTrees:
                         table[:, :, lang] = self.code_lengths(lang, 0, known)
             else:
                 row_of = np.tile(row_of, self.size)
+                row_of[self.every % self.size ** order] = -1
             row_of[known] = rows + np.arange(len(known))
             tables.append(table.reshape(-1, len(self.langs)))
             rows += len(known)
         return row_of, np.concatenate(tables)
 
+    def direct_bits(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after its context, by language, from the counts."""
+        names, back = np.unique(context, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        out = np.empty((len(context), len(self.langs)), np.float32)
+        for at in range(0, len(names), DIRECT_CONTEXTS):
+            low, high = np.searchsorted(back[order], (at, at + DIRECT_CONTEXTS))
+            here = order[low:high]
+            for lang in range(len(self.langs)):
+                bits = self.code_lengths(lang, ORDER, names[at:at + DIRECT_CONTEXTS])
+                out[here, lang] = bits[back[here] - at, symbol[here]]
+        return out
+
     def total_bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text (rows) under each language (columns)."""
-        row_of, bits = unfolded(self)
+        row_of, bits, counted = unfolded(self)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         doc = 0
         while doc < len(out):
@@ -149,7 +174,12 @@ class ContextTrees:
                 back = 0 if at == part[0] else ORDER
                 cut = np.array([0, end - at + back]) if stop == doc + 1 else part - part[0]
                 context, symbol = self.contexts(data[at - back:end], cut)
-                code = bits[row_of[context[back:]].astype(np.int64) * self.size + symbol[back:]]
+                context, symbol = context[back:], symbol[back:]
+                row = row_of[context].astype(np.int64)
+                code = bits[np.maximum(row, 0) * self.size + symbol]
+                beyond = np.flatnonzero(row < 0)
+                if len(beyond):
+                    code[beyond] = counted.direct_bits(context[beyond], symbol[beyond])
                 if stop == doc + 1:
                     out[doc] += code.sum(axis=0, dtype=np.float64)
                 else:
@@ -160,14 +190,14 @@ class ContextTrees:
         return out
 
 
-_UNFOLDED: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_UNFOLDED: dict[str, tuple[np.ndarray, np.ndarray, ContextTrees]] = {}
 
 
-def unfolded(trees: ContextTrees) -> tuple[np.ndarray, np.ndarray]:
-    """The worker's code lengths of these trees."""
+def unfolded(trees: ContextTrees) -> tuple[np.ndarray, np.ndarray, ContextTrees]:
+    """The worker's code lengths of these trees, and the trees with their sums."""
     if trees.name not in _UNFOLDED:
         _UNFOLDED.clear()
-        _UNFOLDED[trees.name] = trees.unfold()
+        _UNFOLDED[trees.name] = (*trees.unfold(), trees)
     return _UNFOLDED[trees.name]
 
 
