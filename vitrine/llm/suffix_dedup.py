@@ -1,4 +1,5 @@
-"""Suffix-array dedup by prefix-free parsing.
+"""Dedup of strings of ``LENGTH`` bytes by minimizer buckets and sorted contexts, in
+place of prefix-free parsing with suffix arrays of dictionary and parse.
 
 Every byte that a string of ``LENGTH`` bytes covers which also starts in a document
 with a smaller id is removed.
@@ -15,13 +16,14 @@ Plan
 1. ``mapInArrow``: the triggers of every text, dealt to buckets by hash; a bucket
    finds those that occur in two or more documents. What a block of documents
    can decide itself it does (a trigger that many documents share reaches its
-   bucket once per block). This is a filter: all that follows compares bytes.
+   bucket once per block). This is a filter.
 2. Texts and their shared triggers are joined; each shared trigger's phrase end
    and parse beginning go to the bucket of the trigger. Equal ones of a block go
-   once, under their smallest document; the others are removed there and then.
-3. In a bucket the parse beginnings are sorted (suffix array of the parse) and so
-   are the reversed phrase ends (of the dictionary), each with the common prefix
-   of neighbours. Strings with the same distance to the trigger are equal if they
+   once, under their smallest document; the others are removed there and then, on
+   an equal 64-bit hash of their bytes.
+3. In a bucket the parse beginnings, cut at ``LENGTH`` bytes, are sorted and so are
+   the reversed phrase ends, each with the common prefix of neighbours; from here
+   bytes are compared. Strings with the same distance to the trigger are equal if they
    are in one run of either order: both orders together are the corpus order of
    the suffixes, cut at ``LENGTH`` bytes. Runs give the smallest document.
 4. Removed intervals go back per document, are merged and cut out of the text
