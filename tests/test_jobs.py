@@ -160,7 +160,7 @@ def test_serving_table_follows_its_inputs(spark, tmp):
     import shutil
     from vitrine.plans.bindings import SERVING_INPUTS, Tables
     for name in SERVING_INPUTS:
-        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp)
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", f"{tmp}/{name}.parquet")
     first = Tables(spark, tmp).serving_table()
     assert Tables(spark, tmp).serving_table().inputFiles() == first.inputFiles()
     n = first.count()
