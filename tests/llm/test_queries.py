@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in names if k.startswith(f"op{n}_")]) == 1
     assert names["pipeline"] is corpus_pipeline.run
 
@@ -23,7 +23,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("key", sorted(registry.ORACLE_SQL))
 def test_query_matches_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cursor = con.execute(registry.ORACLE_SQL[key])
     columns = [d[0] for d in cursor.description]

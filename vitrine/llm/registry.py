@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.llm import sql
+from vitrine.llm.conversation_trie import op11_conversation_trie
 from vitrine.llm.decontaminate import op6_decontaminate
 from vitrine.llm.inner_product import op7_inner_product
 from vitrine.llm.language_ppm import op5_language_ppm
@@ -14,7 +16,9 @@ from vitrine.llm.quality_net import op1_quality_net
 from vitrine.llm.simhash import op2_simhash
 from vitrine.llm.substring_dedup import op4_substring_dedup
 from vitrine.llm.suffix_dedup import op8_suffix_dedup
+from vitrine.llm.template_text import op13_template_text
 from vitrine.llm.token_codes import op10_token_codes
+from vitrine.llm.vector_codes import op12_vector_codes
 from vitrine.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_codes": op10_token_codes,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_template_text": op13_template_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +86,7 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
                sha256(unhex(coalesce(body || substr(hx, 2 * last + 1), hx))) AS kept_sha256
         FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op11_conversation_trie": sql.TRIE,
+    "op12_vector_codes": sql.CODES,
+    "op13_template_text": sql.TEXT,
 }
