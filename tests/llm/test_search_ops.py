@@ -63,13 +63,49 @@ def test_contaminated(spark, odd):
     got = decontaminate.contaminated(docs, bench).collect()
     found = sorted((r.doc_id, r.item_id, r.matched_words, r.tiles) for r in got)
     assert found == [(1, 0, 24, 1)] * 4 + [(3, 2, 24, 2), (8, 5, 24, 3)]
-    blocks = list(decontaminate.item_blocks(bench, tokens=100))
-    assert len(blocks) > 2 and sum(len(b.ids) for b in blocks) == len(items)
+    carried = decontaminate.contaminated(docs.withColumn("tiles", F.lit("t")), bench, carry=("tiles",))
+    assert carried.columns[:2] == ["doc_id", "tiles"]
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(odd, bench).count() == 0
 
 
+def test_common_seeds_are_left_out_exactly(spark):
+    """A sentence that all items share: only candidates that can reach the threshold
+    are tiled, and nothing of the plain definition (all pairs) is lost."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    frame = "which of the following is the best answer to the question below".split()
+    items = [(k, " ".join(frame + rng.sample(words, rng.choice([3, 8, 12, 30])))) for k in range(60)]
+    texts = []
+    for d in range(150):
+        body = rng.sample(words, 20)
+        for _ in range(rng.randint(0, 3)):
+            item = items[rng.randrange(60)][1].split()
+            cut = rng.randrange(len(item))
+            body += rng.choice([frame, item, item[cut:] + ["x"] + item[:cut], item[:cut]]) + rng.sample(words, 3)
+        texts.append((d, " ".join(body)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.matched_words, r.tiles)
+                 for r in decontaminate.contaminated(docs, bench, short_items=True).collect())
+    hashes = lambda t: np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint64)
+    want = []
+    for d, text in texts:
+        for i, item in items:
+            tiles = tile(hashes(text), hashes(item))
+            if sum(t[2] for t in tiles) >= 0.5 * len(item.split()):
+                want.append((d, i, sum(t[2] for t in tiles), len(tiles)))
+    assert got == sorted(want) and len(got) > 50
+    table = decontaminate.item_table(bench)
+    every = table.selectExpr("item", "explode(array_distinct(seeds)) seed")
+    kept = decontaminate.candidate_seeds(table)
+    frame_seeds = every.groupBy("seed").count().where("count > 16").select("seed")
+    # long items never come up by the common sentence, short ones must
+    left = kept.join(frame_seeds, "seed", "left_semi").select("item").distinct().count()
+    assert 0 < left < 60 and kept.count() < every.count()
+
+
 def test_short_and_unsegmented_items_are_found(spark, tmp_path):
     items = {1: "Where is it?", 2: "forty-two", 3: "abacus", 4: "今天天气很好，我们去公园散步。", 5: "ประเทศไทยมีภูเขา",
              6: "これは長い質問の文です", 7: "one two three four «five» six", 8: "x y z w"}
@@ -86,6 +122,9 @@ def test_short_and_unsegmented_items_are_found(spark, tmp_path):
     import corpus_pipeline
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    # a single word is reported, but drops a document on request only
+    assert sorted(r.doc_id for r in kept) == [2, 6, 9, 10, 11]
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path), least_words=1).collect()
     assert sorted(r.doc_id for r in kept) == [2, 6, 9, 10]
 
 

@@ -46,6 +46,15 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
+def row_key(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``df`` with a 128-bit key of each row's content (all columns, nulls told
+    apart) in two bigint columns ``names``: the same for equal rows only."""
+    columns = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()
+               else F.col(f"`{f.name}`") for f in df.schema]
+    nulls = F.concat(F.lit(""), *[F.when(c.isNull(), "0").otherwise("1") for c in columns])
+    return df.withColumns({n: F.xxhash64(F.lit(k), nulls, *columns) for k, n in enumerate(names)})
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

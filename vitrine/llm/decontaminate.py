@@ -2,18 +2,24 @@
 
 Plan
 ----
-1. The benchmark is taken in blocks of at most ``BLOCK_TOKENS`` words (a stated
-   query set, block by block), so what goes to the tasks has a proven bound
-   whatever the benchmark's size; each block is one pass over the documents.
-2. ``mapInArrow`` over whole texts joins on shared-token seeds: the hash of every
-   run of ``MIN_MATCH`` words is looked up in the block's seeds, first in a bitmap.
-   Texts are never shuffled, and a seed that very many documents share costs one
-   lookup per place.
-3. For each (document, item) that share a seed the tiling repeatedly marks the
-   longest common runs of words not marked yet (all of that length that do not
-   overlap), found by Karp-Rabin hashes of falling length, until none has
-   ``MIN_MATCH`` words. So an item whose sentences were reordered is covered by
-   several tiles. Coverage is the share of the item's words that are marked.
+1. The benchmark becomes a written table of items: their words as hashes and their
+   seeds, the hashes of every run of ``MIN_MATCH`` words. Nothing of it passes through
+   the driver but a bit map of the seeds (two bits a seed, ``MAP_BITS`` bits at most).
+2. A seed that many items share is no candidate where it cannot matter: of an item's
+   seeds, those that the most items share are left out as long as the words they cover
+   stay below the threshold, since a document that shares only those cannot reach it.
+3. One map-only pass over whole texts looks every run up in the bit map; texts with a
+   hit are written as words and seeds, the others send nothing.
+4. Texts and items are joined on seeds (equi-join; a seed that very many documents
+   share is salted), each pair counts once, and a text meets its items in lots of
+   about ``LOT`` items.
+5. For each pair the tiling repeatedly marks the longest common runs of words not
+   marked yet (all of that length that do not overlap), found by Karp-Rabin hashes of
+   falling length, until none has ``MIN_MATCH`` words. So an item whose sentences were
+   reordered is covered by several tiles. Coverage is the share of the item's words
+   that are marked.
+
+The plan is the same whatever the size of the benchmark.
 
 Words are lower-cased (A-Z) runs of characters other than white space and
 punctuation; in scripts written without spaces (``UNSPACED``: Han, kana, Thai, Lao,
@@ -23,8 +29,10 @@ Cases: null and empty texts match nothing, on either side; items of fewer than
 ``MIN_MATCH`` words are taken with ``short_items`` (both queries do so), with all
 their words as the seed, so a document leaks them only by holding them verbatim,
 an item of one word by holding that word; repeated documents are
-reported row by row, repeated items once per row; an empty benchmark gives no
-rows; extra columns are ignored.
+reported row by row, repeated items once per row; of equally long runs the one first
+in the item is marked first, at its first free place in the text; very long texts are
+looked up whole, a text at a time; an empty benchmark gives no rows; extra columns are
+ignored unless asked for by ``carry``.
 """
 
 from __future__ import annotations
@@ -42,10 +50,12 @@ from vitrine.llm import common as C
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
-BLOCK_TOKENS = 1 << 18
 TEXT_BYTES = 1 << 21
 SEED = C.SEED
-MAP_BITS = 20
+MAP_BITS = 28  # at most: 32 MB
+SHARED_BY = 16  # items: seeds of fewer are always candidates
+SALTS = 16
+LOT = 64
 FOUND = "doc_id bigint, item_id bigint, item_words bigint, matched_words bigint, tiles bigint, coverage double"
 
 IS_BREAK = C.IS_SPACE.copy()
@@ -163,91 +173,170 @@ def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_MATCH) -> list[tup
     return tiles
 
 
-class ItemBlock:
-    """A bounded part of the benchmark with its seeds, by their number of words."""
+# --- the benchmark ------------------------------------------------------------------
 
-    def __init__(self, items: list[tuple[int | None, bytes]], short_items: bool = False) -> None:
-        body = b"".join(t for _, t in items)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in items]))).astype(np.int64)
-        words, first = words_of(np.frombuffer(body, np.uint8), offsets)
-        self.ids = [i for i, _ in items]
-        self.words = [words[s:e] for s, e in zip(first[:-1], first[1:])]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width in range(1 if short_items else MIN_MATCH, MIN_MATCH + 1):
-            own = [k for k, w in enumerate(self.words) if len(w) == width or len(w) > width == MIN_MATCH]
-            if not own:
-                continue
-            found = [C.window_hashes(self.words[k], width, SEED) for k in own]
-            owner, seeds = np.repeat(own, [len(s) for s in found]), np.concatenate(found)
-            order = np.argsort(seeds, kind="stable")
-            known = np.zeros(1 << MAP_BITS, bool)
-            known[(seeds & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
-            self.seeds[width] = seeds[order], owner[order], known
-
-    def shared(self, words: np.ndarray, first: np.ndarray) -> dict[int, list[int]]:
-        """Per text the items with which it shares a seed."""
-        pairs: dict[int, set[int]] = {}
-        for width, (seeds, owner, known) in self.seeds.items():
-            h = C.window_hashes(words, width, SEED)
-            place = np.flatnonzero(known[(h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)])
-            h = h[place]
-            low, high = np.searchsorted(seeds, h), np.searchsorted(seeds, h, side="right")
-            doc = np.searchsorted(first, place, side="right") - 1
-            fits = (high > low) & (place + width <= first[doc + 1])
-            once = np.unique(np.stack([doc[fits], low[fits], high[fits]]), axis=1)
-            for d, s, e in once.T.tolist():
-                pairs.setdefault(d, set()).update(owner[s:e].tolist())
-        return {d: sorted(x) for d, x in pairs.items()}
-
-
-def _find(block: ItemBlock, threshold: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()),
-                        ("matched_words", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())])
+def _items(short_items: bool):
+    schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("width", pa.int32()), ("words", pa.binary()),
+                        ("seeds", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.by_bytes(batches, "body", TEXT_BYTES):
             words, first = words_of(*C.binary_column(batch.column("body")))
             out = []
-            for d, items in block.shared(words, first).items():
-                text = words[first[d]:first[d + 1]]
-                for i in items:
-                    tiles = tile(text, block.words[i], min(MIN_MATCH, len(block.words[i])))
-                    matched, total = sum(t[2] for t in tiles), len(block.words[i])
-                    if matched >= threshold * total:
-                        out.append({"doc_id": batch.column("doc_id")[d].as_py(), "item_id": block.ids[i],
-                                    "item_words": total, "matched_words": matched, "tiles": len(tiles),
-                                    "coverage": matched / total})
+            for k, (s, e) in enumerate(zip(first[:-1], first[1:])):
+                width = min(MIN_MATCH, int(e - s))
+                if width == MIN_MATCH or width and short_items:
+                    own = words[s:e]
+                    out.append({"item": batch.column("item")[k].as_py(), "item_id": batch.column("item_id")[k].as_py(),
+                                "width": width, "words": own.tobytes(),
+                                "seeds": C.window_hashes(own, width, SEED).view(np.int64).tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema)
+    return run
+
+
+def item_table(benchmark: DataFrame, short_items: bool = False) -> DataFrame:
+    """(item, item_id, width, words, seeds), written once; ``item`` numbers the rows."""
+    rows = C.through_table(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), C.text_bytes().alias("body"),
+                                            F.monotonically_increasing_id().alias("item")), "benchmark")
+    return C.through_table(rows.mapInArrow(
+        _items(short_items), "item bigint, item_id bigint, width int, words binary, seeds array<bigint>"), "items")
+
+
+def _spared(threshold: float):
+    """Of each item the shared seeds that cannot carry it over the threshold alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, seeds = [], []
+            for row in batch.to_pylist():
+                need = threshold * row["n_words"]
+                at = np.array(row["seeds"], np.int64)
+                covered = np.zeros(row["n_words"], bool)
+                for shared in sorted(row["shared"], key=lambda x: (-x["n"], x["seed"])):
+                    for p in np.flatnonzero(at == shared["seed"]).tolist():
+                        covered[p:p + row["width"]] = True
+                    if covered.sum() >= need:
+                        break
+                    items.append(row["item"])
+                    seeds.append(shared["seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(seeds, pa.int64())], ["item", "seed"])
+    return run
+
+
+def candidate_seeds(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, seed): enough of each item's seeds that a document that covers it to
+    the threshold shares one of them."""
+    pairs = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed"))
+    shared = pairs.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > SHARED_BY)
+    hot = pairs.join(shared, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "n")).alias("shared"))
+    rated = items.join(hot, "item").select("item", "width", "seeds", "shared",
+                                           (F.octet_length("words") / 8).cast("int").alias("n_words"))
+    spared = rated.mapInArrow(_spared(threshold), "item bigint, seed bigint")
+    return C.through_table(pairs.join(spared, ["item", "seed"], "left_anti"), "seeds")
+
+
+def bit_map(seeds: DataFrame) -> np.ndarray:
+    """Bits of two places of each seed, as many as fit ``MAP_BITS``; the driver gets
+    the words of the map that hold a bit, 32 MB at most."""
+    n = seeds.select(F.approx_count_distinct("seed")).first()[0]
+    bits = min(MAP_BITS, max(16, int(16 * n).bit_length()))
+    mask = F.lit((1 << bits) - 1)
+    places = F.array(F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 32).bitwiseAND(mask))
+    words = seeds.select(F.explode(places).alias("p")).groupBy((F.shiftright("p", 5)).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b")).toArrow()
+    found = np.zeros(1 << (bits - 5), np.uint32)
+    found[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
+    return found
+
+
+def _in_map(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mask = np.uint64(len(table) * 32 - 1)
+
+    def bit(place: np.ndarray) -> np.ndarray:
+        return table[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & 1 > 0
+    first = np.flatnonzero(bit(h & mask))
+    return first[bit(h[first] >> np.uint64(32) & mask)]
+
+
+# --- texts ---------------------------------------------------------------------------
+
+def _hits(table: np.ndarray, widths: list[int], carried: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.by_bytes(batches, "body", TEXT_BYTES):
+            words, first = words_of(*C.binary_column(batch.column("body")))
+            docs, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for width in widths:
+                h = C.window_hashes(words, width, SEED)
+                place = _in_map(table, h)
+                doc = np.searchsorted(first, place, side="right") - 1
+                inside = place + width <= first[doc + 1]
+                docs.append(doc[inside])
+                seeds.append(h[place[inside]].view(np.int64))
+            pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(seeds)]), axis=1)
+            if not pairs.shape[1]:
+                continue
+            rows, at = np.unique(pairs[0], return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(rows)) for c in carried),
+                 pa.array([words[first[d]:first[d + 1]].tobytes() for d in rows], pa.binary()),
+                 pa.array([s.tolist() for s in np.split(pairs[1], at[1:])], pa.list_(pa.int64()))],
+                names=[*carried, "words", "seeds"])
+    return run
+
+
+def _tiles(threshold: float, carried: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, (body, items) in enumerate(zip(batch.column("words"), batch.column("items"))):
+                text = np.frombuffer(body.as_py(), np.uint64)
+                for item in items.as_py():
+                    words = np.frombuffer(item["words"], np.uint64)
+                    tiles = tile(text, words, min(MIN_MATCH, len(words)))
+                    matched = sum(t[2] for t in tiles)
+                    if matched >= threshold * len(words):
+                        at.append(k)
+                        out.append((item["item_id"], len(words), matched, len(tiles), matched / len(words)))
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(pa.array(at)) for c in carried), *(pa.array(x, pa.int64()) for x in columns[:4]),
+                     pa.array(columns[4], pa.float64())],
+                    names=[*carried, "item_id", "item_words", "matched_words", "tiles", "coverage"])
     return run
 
 
-def item_blocks(benchmark: DataFrame, tokens: int = BLOCK_TOKENS, short_items: bool = False) -> Iterator[ItemBlock]:
-    """The benchmark in blocks of about ``tokens`` words (one item at least)."""
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), C.text_bytes().alias("body"))
-    for row in rows.toLocalIterator():
-        body = bytes(row.body)
-        n = len(body) // 2 + 1  # words at most
-        if held and size + n > tokens:
-            yield ItemBlock(held, short_items)
-            held, size = [], 0
-        held.append((row.item_id, body))
-        size += n
-    if held:
-        yield ItemBlock(held, short_items)
+def _salted(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that may repeat very often in ``many``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return many.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(
+        few.select("*", salts), [key, "salt"]).drop("salt")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
-                 short_items: bool = False) -> DataFrame:
-    """One row per document and item that the document covers to ``threshold``;
-    with ``short_items`` also items of fewer than ``MIN_MATCH`` words."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), C.text_bytes().alias("body"))
-    out = None
-    for block in item_blocks(benchmark, short_items=short_items):
-        found = rows.mapInArrow(_find(block, threshold), FOUND)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+                 short_items: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document and item that the document covers to ``threshold``
+    (``doc_id``, ``carry``, ...); with ``short_items`` also items of fewer than
+    ``MIN_MATCH`` words."""
+    items = item_table(benchmark, short_items)
+    seeds = candidate_seeds(items, threshold)
+    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    carried = ["__doc", *[f"__c{i}" for i in range(len(carry))]]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("__doc"),
+                       *[F.col(c).alias(a) for c, a in zip(carry, carried[1:])], C.text_bytes().alias("body"))
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.drop("body").dtypes)
+    hits = C.through_table(rows.mapInArrow(
+        _hits(bit_map(seeds), widths, carried), f"{kinds}, words binary, seeds array<bigint>").withColumn(
+        "row", F.monotonically_increasing_id()), "hit-texts")
+    shares = hits.select("row", F.explode("seeds").alias("seed"))
+    pairs = C.through_table(_salted(shares, seeds, "seed").select("row", "item").distinct(), "pairs")
+    lots = pairs.groupBy("row").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    packed = _salted(pairs, items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(
+        lots, "row").groupBy("row", F.pmod(F.xxhash64("item"), F.col("lots")).alias("lot")).agg(
+        F.collect_list(F.struct("item_id", F.col("item_words").alias("words"))).alias("items"))
+    met = hits.drop("seeds").join(packed, "row").select(*carried, "words", "items")
+    found = met.mapInArrow(_tiles(threshold, carried), f"{kinds}, {FOUND[len('doc_id bigint, '):]}")
+    return found.select(F.col("__doc").alias("doc_id"), *[F.col(a).alias(c) for c, a in zip(carry, carried[1:])],
+                        "item_id", "item_words", "matched_words", "tiles", "coverage")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,15 @@ Plan
 4. Components of these links (:mod:`vitrine.llm.components`).
 
 Cases: null and empty texts have fingerprint zero and are linked like any
-other; a null ``doc_id`` never becomes a component id; repeated rows are
-returned as they are; extra columns are ignored.
+other; a null ``doc_id`` never becomes a component id (a component of rows
+without id has none); repeated rows are returned as they are; texts are hashed
+in slices of ``SLICE`` bytes, so memory does not follow a very long text; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,43 +48,68 @@ CHUNK = 4096
 FANOUT = 8
 SLAB = 1 << 13
 CELL_ROWS = 1 << 17
+SLICE = 1 << 19
+SALTS = 16
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- fingerprints --------------------------------------------------------------
 
-def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of a UTF-8 text."""
-    words = body.lower().split()
-    if not words:
-        return 0
+def _slices(body: bytes) -> Iterator[bytes]:
+    """A text in slices of about ``SLICE`` bytes that end with white space."""
+    at = 0
+    while len(body) - at > SLICE:
+        end = SPACE.search(body, at + SLICE)
+        if end is None:
+            break
+        yield body[at:end.end()]
+        at = end.end()
+    yield body[at:] if at else body
+
+
+def _votes(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
+    """How many of the shingles of ``words`` set each bit, and how many there are."""
     line = b" ".join(words)
-    if len(words) <= shingle:
-        return int(np.uint64(xxhash.xxh64_intdigest(line, 42)).astype(np.int64))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-shingle])).tolist()
     stops = (ends[shingle - 1:] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        h = np.array([digest(line[s:e], 42) for s, e in zip(starts[at:at + (1 << 16)], stops[at:at + (1 << 16)])],
-                     dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    bits = np.packbits(counts * 2 > len(starts), bitorder="little")
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(line[s:e], 42) for s, e in zip(starts, stops)], dtype="<u8")
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64), len(starts)
+
+
+def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of a UTF-8 text."""
+    counts, n, held = np.zeros(64, np.int64), 0, []
+    for part in _slices(body):
+        words = held + part.lower().split()
+        if len(words) >= shingle:
+            votes, more = _votes(words, shingle)
+            counts, n = counts + votes, n + more
+            held = words[len(words) - shingle + 1:]
+        else:
+            held = words
+    if not n:  # fewer words than a shingle has
+        return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(held), 42)).astype(np.int64)) if held else 0
+    bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(b.as_py(), shingle) for b in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = pa.array([fingerprint(b.as_py(), shingle) for b in batch.column("body")], pa.int64())
+            body = batch.schema.get_field_index("body")
+            yield batch.set_column(body, "fp", values)
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), C.text_bytes().alias("body"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, fp) for every row."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *carry, C.text_bytes().alias("body"))
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.drop("body").dtypes)
+    return rows.mapInArrow(_fingerprints(shingle), f"{kinds}, fp bigint")
 
 
 # --- the index -----------------------------------------------------------------
@@ -251,17 +279,39 @@ def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         _search(distance), "a bigint, b bigint")
 
 
+def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
+           carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's fingerprint (doc_id, *carry, fp), the distinct fingerprints with
+    their smallest id (fp, least), and the fingerprints of groups of more than one
+    (fp, root); a fingerprint that is not among them is a group of its own."""
+    prints = C.through_table(fingerprints(docs, shingle, carry), "fingerprints")
+    codes = C.through_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    stars = components(links(codes.select("fp"), distance))
+    rooted = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(
+        stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
+    return prints, codes, rooted
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; ``component_id`` is
     the smallest id reachable over links of ``distance`` bits or less."""
-    prints = C.through_table(fingerprints(docs, shingle), "fingerprints")
-    codes = C.through_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    stars = components(links(codes.select("fp"), distance))
-    rooted = codes.join(stars, codes.fp == stars.a, "left").select(
-        "fp", "least", F.coalesce("b", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, codes, rooted = groups(docs, shingle, distance)
+    linked = rooted.join(codes, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    # a large component's codes meet its smallest id in several tasks
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    named = linked.join(least, ["root", "salt"]).select("fp", "component_id")
+    alone = codes.join(rooted, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return prints.join(named.union(alone), "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, key: tuple[str, ...], shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The ``key`` (columns that tell rows apart) of one row of each group: the
+    smallest id (none comes last), of equal ids the smallest key."""
+    prints, _, rooted = groups(docs, shingle, distance, key)
+    grouped = prints.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("s"))
+    return first.select(*[F.col("s")[k].alias(k) for k in key])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
