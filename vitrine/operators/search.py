@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import contains_ci, is_all_digits, strip_ws, type_bonus
@@ -98,15 +98,123 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
 
 
 NAME_GRAM = 3
-QUERY_BLOCK = 64
+FIRST_NAMES = 4  # names a query scores before its bound is set
+
+
+def _runs(text: Column, n: int) -> Column:
+    """Substrings of ``n`` characters (a shorter text is a run itself)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
 
 def _grams(text: Column, sizes: range) -> Column:
     """Distinct substrings of the given sizes."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+    return F.array_distinct(F.concat(*[_runs(text, n) for n in sizes]))
+
+
+def _containing(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(__q, __text): the distinct texts that contain a query, by an equi-join on
+    the query's rarest run of ``NAME_GRAM`` characters."""
+    grams = texts.withColumn("__g", F.explode(_grams(F.col("__text"), range(1, NAME_GRAM + 1))))
+    runs = asked.withColumn("__g", F.explode(F.when(F.length("__q") < NAME_GRAM, F.array("__q")).otherwise(
+        _grams(F.col("__q"), range(NAME_GRAM, NAME_GRAM + 1)))))
+    # sizes of the asked runs only; a run no text has rules its query out
+    sizes = grams.join(runs.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(F.count("*").alias("__n"))
+    rarest = runs.join(sizes, "__g", "left").groupBy("__q").agg(
+        F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
+    return grams.join(rarest, "__g").where(F.contains("__text", F.col("__q"))).select("__q", "__text")
+
+
+def _most_similar(longer: Column, apart: Column, n: int, shared: Column) -> Column:
+    """Upper bound of :func:`name_similarity` of texts that differ in length by
+    ``apart`` and share ``shared`` runs of ``n`` characters: one edit destroys ``n``
+    runs at most."""
+    edits = F.greatest(apart, F.ceil((longer - n + 1 - shared) / n), F.lit(0))
+    return F.lit(1.0) - edits / F.greatest(longer, F.lit(1))
+
+
+def _run_counts(df: DataFrame, col: str, n: int) -> DataFrame:
+    return df.where(F.length(col) >= n).select(col, F.explode(_runs(F.col(col), n)).alias("__g")).groupBy(col, "__g").agg(
+        F.count("*").alias(f"__n{col}"))
+
+
+def _bounds(asked: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """(__q, __name, __rows, __ub) of the names that share a run with a query."""
+    shared = _run_counts(asked, "__q", n).join(_run_counts(names, "__name", n), "__g").groupBy("__q", "__name").agg(
+        F.sum(F.least("__n__q", "__n__name")).alias("__c"))
+    q_len, n_len = F.length("__q"), F.length("__name")
+    bound = _most_similar(F.greatest(q_len, n_len), F.abs(q_len - n_len), n, F.col("__c"))
+    return shared.join(names, "__name").select("__q", "__name", "__rows", bound.alias("__ub"))
+
+
+def _thresholds(scored: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(__q, __tau): the similarity of the ``size``-th row, -1 with fewer rows."""
+    levels = scored.groupBy("__q", "__sim").agg(F.sum("__rows").alias("__rows"))
+    so_far = F.sum("__rows").over(Window.partitionBy("__q").orderBy(F.col("__sim").desc()))
+    tau = levels.withColumn("__upto", so_far).where(F.col("__upto") >= size).groupBy("__q").agg(
+        F.max("__sim").alias("__tau"))
+    return asked.join(tau, "__q", "left").select("__q", F.coalesce("__tau", F.lit(-1.0)).alias("__tau"))
+
+
+def scored_names(asked: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """(__q, __name, __rows, __sim): for every query text the similarities that
+    decide its ``size`` most similar rows; ``names`` are distinct, with their number
+    of rows.
+
+    An inverted index of runs of characters, of ``NAME_GRAM`` down to one, gives the
+    names that share runs with a query, and how many; that and the lengths bound the
+    similarity from above. A few names of the highest bounds set the threshold (the
+    similarity of the ``size``-th row), then the others whose bound reaches it are
+    scored, each pair once. A query is done once its threshold beats the bound of all
+    names that share no run; without one common character the similarity is zero, so
+    such names are never scored."""
+    spark = asked.sparkSession
+    lengths = [r[0] for r in names.select(F.length("__name")).distinct().collect()]  # distinct lengths only
+    scored = spark.createDataFrame([], "__q string, __name string, __rows bigint, __sim double")
+    before = None
+    for n in range(NAME_GRAM, 0, -1):
+        found = _bounds(asked, names, n)
+        if before is not None:  # a bound by longer runs still holds
+            found = found.join(before.select("__q", "__name", F.col("__ub").alias("__old")), ["__q", "__name"], "left") \
+                .withColumn("__ub", F.least("__ub", "__old")).drop("__old")
+        before = found = found.checkpoint()
+        for limit in (FIRST_NAMES, None):
+            left = found.join(scored, ["__q", "__name"], "left_anti").join(_thresholds(scored, asked, size), "__q").where(
+                (F.col("__ub") >= F.col("__tau")) & (F.col("__ub") > 0)).drop("__tau")
+            if limit:
+                left = top_k_per_group(left, ["__q"], [F.col("__ub").desc(), F.col("__name").asc()], limit, "__r").drop("__r")
+            new = left.select("__q", "__name", "__rows", name_similarity(F.col("__name"), F.col("__q")).alias("__sim"))
+            scored = scored.union(new.checkpoint())
+        if n > 1:
+            q_len = F.length("__q")
+            rest = F.array_max(F.transform(F.array(*[F.lit(x) for x in lengths]), lambda x: _most_similar(
+                F.greatest(q_len, x), F.abs(q_len - x), n, F.lit(0))))
+            asked = _thresholds(scored, asked, size).where(F.col("__tau") <= rest).select("__q").checkpoint()
+            if asked.isEmpty():
+                break
+    return scored
+
+
+def _fuzzy_batch(items: DataFrame, asked: DataFrame, size: int, key: str) -> DataFrame:
+    """(__q, item columns): the shortlist of :func:`fuzzy_shortlist` of every query
+    text, from distinct names on one side and distinct texts on the other."""
+    named = items.withColumn("__name", F.lower(F.coalesce(F.col(_name_col(items)), F.lit(""))))
+    names = named.groupBy("__name").agg(F.count("*").alias("__rows")).checkpoint()
+    scored = scored_names(asked, names, size)
+    # a name's first rows are all that a shortlist can take of it
+    rows = top_k_per_group(named, ["__name"], [F.col(key).asc()], size, "__r").drop("__r")
+    tau = _thresholds(scored, asked, size)
+    best = scored.where(F.col("__sim") > 0).join(tau, "__q").where(F.col("__sim") >= F.col("__tau"))
+    near = best.select("__q", "__name", "__sim").join(rows, "__name")
+    # too few rows with any similarity: the first rows of the others follow, by key
+    short = best.groupBy("__q").agg(F.sum("__rows").alias("__n"))
+    lacking = asked.join(short, "__q", "left").where(F.coalesce("__n", F.lit(0)) < size).select("__q")
+    first = named.orderBy(F.col(key).asc()).limit(2 * size).agg(F.collect_list(F.struct(*named.columns)).alias("__f"))
+    others = lacking.select("__q", F.explode(first.scalar()).alias("__f")).select("__q", "__f.*").join(
+        best.select("__q", "__name"), ["__q", "__name"], "left_anti").withColumn("__sim", F.lit(0.0))
+    both = near.unionByName(others)
+    return top_k_per_group(both, ["__q"], [F.col("__sim").desc(), F.col(key).asc()], size, "__r").drop(
+        "__r", "__sim", "__name")
 
 
 def find_by_name_batch(items: DataFrame, queries: DataFrame, top_k_n: int = 5, key: str = "appid",
@@ -114,48 +222,31 @@ def find_by_name_batch(items: DataFrame, queries: DataFrame, top_k_n: int = 5, k
     """:func:`find_by_name` for a table of queries:
     ``(qid, rank, appid, name, match_stage)``; blank queries give no row.
 
-    Stage 1 is an equi-join: a text that contains the query also contains the
-    query's rarest run of ``NAME_GRAM`` characters (a shorter query is a run
-    itself). Stage 2 scores the queries that are left against all names, in
-    blocks of queries joined by number, and keeps a shortlist per query.
+    Everything is worked out once per distinct query text and distinct item text,
+    and handed out to items and queries at the end. Stage 1 is an equi-join: a text
+    that contains the query also contains the query's rarest run of ``NAME_GRAM``
+    characters (a shorter query is a run itself). Stage 2 scores, for the texts that
+    are left, only the names that can be in their shortlist (:func:`scored_names`).
     """
     q = queries.select(F.col(qid).alias("__qid"), F.lower(strip_ws(F.col(text_col))).alias("__q")).where(
         F.col("__q") != "").checkpoint()
-    fields = _searched(items)
-    whole = F.lower(F.concat_ws("\n", *fields))
-    item_grams = items.withColumn("__g", F.explode(_grams(whole, range(1, NAME_GRAM + 1))))
-    asked = q.withColumn("__g", F.explode(F.when(F.length("__q") < NAME_GRAM, F.array("__q")).otherwise(
-        _grams(F.col("__q"), range(NAME_GRAM, NAME_GRAM + 1)))))
-    # sizes of the asked runs only; a run no item has rules its query out
-    sizes = item_grams.join(asked.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(
-        F.count("*").alias("__n"))
-    rarest = asked.join(sizes, "__g", "left").groupBy("__qid", "__q").agg(
-        F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"))
-    inside = F.lit(False)
-    for c in fields:
-        inside = inside | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("__q"))
-    hits = item_grams.join(rarest, "__g").where(inside).drop("__g").withColumn(
-        "match_stage", F.lit("substring")).checkpoint()
-
-    left = q.join(hits.select("__qid").distinct(), "__qid", "left_anti")
-    n_blocks = -(-left.count() // QUERY_BLOCK)
+    asked = q.select("__q").distinct().checkpoint()
+    searched = F.array_distinct(F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in _searched(items)]))
+    texts = items.select(F.explode(searched).alias("__text")).where(F.col("__text") != "").distinct()
+    pairs = _containing(texts, asked).checkpoint()
+    hits = items.withColumn("__text", F.explode(searched)).join(pairs, "__text").drop("__text").withColumn(
+        "match_stage", F.lit("substring"))
+    left = asked.join(pairs.select("__q").distinct(), "__q", "left_anti").checkpoint()
     found = hits
-    if n_blocks:
-        blocks = left.groupBy(F.pmod(F.xxhash64("__qid"), F.lit(n_blocks)).cast("int").alias("__b")).agg(
-            F.collect_list(F.struct("__qid", "__q")).alias("__qs"))
-        text = F.lower(F.coalesce(F.col(_name_col(items)), F.lit("")))
-        pairs = items.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
-            blocks, "__b").select(*items.columns, F.inline("__qs"))
-        scored = pairs.withColumn("__sim", name_similarity(text, F.col("__q")))
-        short = top_k_per_group(scored, ["__qid"], [F.col("__sim").desc(), F.col(key).asc()],
-                                _shortlist_size(top_k_n), "__r").drop("__r", "__sim")
-        found = hits.unionByName(short.withColumn("match_stage", F.lit("fuzzy")))
+    if not left.isEmpty():
+        found = hits.unionByName(_fuzzy_batch(items, left, _shortlist_size(top_k_n), key).withColumn(
+            "match_stage", F.lit("fuzzy")))
     if reviews is not None:
         found = _count_reviews(found.checkpoint(), reviews, key)
     order = _order_terms(found, F.col("__q"), key)
-    best = first_per_key(found, ["__qid", key], order)
-    return top_k_per_group(best, ["__qid"], order, top_k_n).select(
-        F.col("__qid").alias(qid), "rank", key, "name", "match_stage")
+    best = first_per_key(found, ["__q", key], order)
+    ranked = top_k_per_group(best, ["__q"], order, top_k_n).select("__q", "rank", key, "name", "match_stage")
+    return q.join(ranked, "__q").select(F.col("__qid").alias(qid), "rank", key, "name", "match_stage")
 
 
 def find_by_name_simple(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appid") -> DataFrame:

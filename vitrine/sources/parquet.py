@@ -3,11 +3,16 @@ table definitions."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.session import checkpoint_path, ensure_checkpoint_dir
+
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path``, or an empty frame with ``schema`` when the path
@@ -45,6 +50,40 @@ def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, schema:
     return n
 
 
+def append_in_chunks(spark: SparkSession, inputs: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, key: str,
+                     schema: T.StructType, chunk_rows: int) -> int:
+    """Resumable sink of slow work (model calls): ``work`` turns the ``inputs`` whose
+    key is not in the table yet into rows of ``schema``, chunk by chunk of about
+    ``chunk_rows`` inputs, and each chunk is appended on its own.
+
+    The inputs are written once, dealt to chunks by a hash of their key; a chunk reads
+    only its folder. The table itself is the log of what is done: a lost driver repeats
+    one chunk at most, and the next run takes up the keys that are missing, whatever its
+    chunks are. Rows of a chunk that was cut off in its append are found by their keys.
+    Returns the number of appended rows."""
+    done = read_optional(spark, out, schema).select(F.col(key).alias("__done")).where(F.col("__done").isNotNull())
+    pending = inputs.join(done, F.col(key) == F.col("__done"), "left_anti")
+    ensure_checkpoint_dir(spark)
+    path = checkpoint_path(spark, f"pending-{uuid.uuid4().hex[:12]}")
+    pending.write.parquet(path)
+    stored = spark.read.schema(pending.schema).parquet(path)
+    n = stored.count()
+    if not n:
+        return 0
+    chunks = -(-n // max(chunk_rows, 1))
+    if chunks > 1:
+        dealt = f"{path}-chunks"
+        stored.withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")).hint(
+            "rebalance", "__chunk").write.partitionBy("__chunk").parquet(dealt)
+        stored = spark.read.schema(T.StructType(pending.schema.fields + [T.StructField("__chunk", T.IntegerType())])).parquet(
+            dealt)
+    for chunk in range(chunks):
+        part = stored if chunks == 1 else stored.where(F.col("__chunk") == chunk).drop("__chunk")
+        rows = work(part).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        rows.write.mode("append").parquet(out)
+    return n
+
+
 def create_table_if_absent(spark: SparkSession, name: str, schema: T.StructType, location: str | None = None,
                            partitioned_by: list[str] | None = None) -> None:
     """``CREATE TABLE IF NOT EXISTS ... USING parquet`` from a schema.
