@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # operators whose Python work is the feature (vector block products, caller-supplied generation)
-PYTHON_OK = {"recommend_batch", "recommend_batch_blended", "search_batch", "generate_memo", "prompt_recommend"}
+PYTHON_OK = {"recommend_batch", "recommend_batch_blended", "search_batch", "generate_memo", "prompt_recommend",
+             "recommend_indexed"}
 
 
 def _norm(v):

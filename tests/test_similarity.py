@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import l2_normalize
+from vitrine.operators import similarity
 from vitrine.operators.filters import Filters
 from vitrine.operators.similarity import (recommend_batch, recommend_similar, search_by_vector,
                                           similarity_graph)
@@ -305,7 +306,6 @@ def test_batch_ties_go_to_the_smaller_id(spark):
 
 def test_batch_small_blocks(spark, monkeypatch):
     """Many blocks on either side give the rows of one block."""
-    from vitrine.operators import similarity
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, "n", [float(x) for x in rng.integers(-2, 3, 3)], 0.5, i % 9) for i in range(300)],
                                "appid bigint, name string, vec array<double>, positive_ratio double, review_count bigint")
@@ -313,6 +313,7 @@ def test_batch_small_blocks(spark, monkeypatch):
     want = sorted(map(tuple, recommend_batch(df, seeds, 4, use_blend=True).collect()))
     monkeypatch.setattr(similarity, "BLOCK_BYTES", 700)
     monkeypatch.setattr(similarity, "SIMS_BYTES", 500)
+    monkeypatch.setattr(similarity, "ROUND_BYTES", 2000)
     assert sorted(map(tuple, recommend_batch(df, seeds, 4, use_blend=True).collect())) == want
 
 
@@ -335,3 +336,39 @@ def test_top_k_plans_do_not_depend_on_k(spark):
         grouped = top_k_per_group(df, ["g"], [F.col("id").asc()], k)
         assert "__salt" in grouped._jdf.queryExecution().executedPlan().toString()
         assert sorted(r.id for r in grouped.collect()) == list(range(k))
+
+
+def test_the_catalog_is_not_shuffled_for_a_batch(spark):
+    """No join, no exchange of vectors: only ids and scores are merged."""
+    cat = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "appid bigint, vec array<double>")
+    plan = similarity.recommend_batch(cat, spark.createDataFrame([(3,), (4,)], "seed_id bigint"), 3)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+    for line in text.splitlines():
+        assert not ("Exchange " in line and ("rows" in line or "vec" in line)), line
+
+
+def test_vector_index(spark):
+    from vitrine.operators.vector_index import VectorIndex, recall
+    rng = np.random.default_rng(3)
+    heart = rng.normal(size=(12, 16))
+    group = np.where(rng.random(1500) < 0.35, 0, rng.integers(0, 12, 1500))  # a cell with a third of all rows
+    v = heart[group] + 0.25 * rng.normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, v[i].tolist()) for i in range(1500)] + [(2000, None)]
+    cat = spark.createDataFrame(rows, "appid bigint, vec array<double>").repartition(5)
+    index = VectorIndex.build(cat, k=5)
+    stored = index.blocks.collect()
+    from vitrine.operators.similarity import _unpack
+    assert sorted(i for b in stored for i in _unpack(b.rows).column("appid").to_pylist()) == list(range(1500))
+    seeds = cat.where("appid % 7 = 0 and vec is not null").selectExpr("appid as qid", "vec as qvec", "appid as seed_id")
+    exact = similarity.batch_neighbours(cat, seeds, 5)
+    got = index.search(seeds, 5)
+    row = recall(got, exact).first()
+    assert row.n_queries == 215 and row.recall >= 0.9 and index.probes < len(index.centres)
+    # all cells probed: the exact result, ranks and similarities included
+    every = index.search(seeds, 5, probes=len(index.centres)).collect()
+    want = {(r.qid, r.rank): (r.appid, round(r.similarity, 9)) for r in exact.collect()}
+    assert {(r.qid, r.rank): (r.appid, round(r.similarity, 9)) for r in every} == want
+    none = VectorIndex.build(cat.limit(0), k=5)
+    assert none.search(seeds.limit(0), 5).count() == 0

@@ -8,24 +8,27 @@ plan as a *scalar subquery* (computed once, shipped to every task as a
 constant). The plan is scan -> project -> filter -> partial top-k: no join,
 no shuffle of catalog rows.
 
-Many seeds: catalog and query vectors are packed into blocks of bounded bytes,
-joined by block number and multiplied (NumPy) pair by pair; each pair keeps
-``k`` rows per query, and these are merged.
+Many seeds: catalog and query vectors are packed into blocks of bounded bytes. The
+catalog's blocks stay where they are; the queries are sent to them in rounds of
+bounded bytes and multiplied (NumPy) block by block; each block keeps ``k`` rows per
+query, and these are merged. Vectors are never shuffled per pair of blocks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.scoring import blend, log_count, min_max
 from vitrine.functions.vectors import dot, l2_normalize
 from vitrine.operators.filters import Filters, apply_filters
 from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
+from vitrine.session import checkpoint_path, ensure_checkpoint_dir
 
 # --- fixed values: similarity of the seed row, output columns ---
 SEED_SIMILARITY = -1.0
@@ -173,6 +176,8 @@ def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize:
 # Bytes of vectors in one packed block, and of similarities held at once.
 BLOCK_BYTES = 4 << 20
 SIMS_BYTES = 32 << 20
+# Bytes of query vectors sent to the catalog's blocks at once.
+ROUND_BYTES = 32 << 20
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
@@ -180,38 +185,77 @@ def _unit_rows(mat: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mat / np.where(n > 0, n, 1.0), 0.0)
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """Rows packed to blocks of about ``BLOCK_BYTES`` (``rows``: Arrow stream),
-    numbered 0 .. n - 1 (``b``). Each task packs what it has: no shuffle, and
-    copies of a row never make a block larger than the others."""
+def packer(id_col: str | None = None):
+    """Rows (Arrow batches) to blocks of about ``BLOCK_BYTES`` (``rows``: an Arrow
+    stream); with ``id_col`` a block holds rows of one value of it (rows come in
+    runs)."""
     limit = BLOCK_BYTES
 
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[object, pa.RecordBatch]]:
+        if id_col is None:
+            yield None, batch
+            return
+        values = batch.column(id_col).to_numpy()
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield values[lo].item(), batch.slice(lo, hi - lo)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size, value = 0, None
 
         def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema) as out:
                 for part in held:
                     out.write_batch(part)
-            return pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-        size = 0
-        for batch in batches:
-            step = max(1, int(batch.num_rows * limit // max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                n = batch.nbytes * part.num_rows // batch.num_rows
-                if held and size + n > limit:
+            block = {"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            return pa.RecordBatch.from_pydict(block if id_col is None else {id_col: pa.array([value], held[0].schema.field(id_col).type), **block})
+        for whole in batches:
+            per_row = max(1.0, whole.nbytes / max(whole.num_rows, 1))
+            for here, batch in runs(whole):
+                if held and here != value:
                     yield flush()
                     held, size = [], 0
-                held.append(part)
-                size += n
+                value = here
+                step = max(1, int(limit // per_row))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    n = int(per_row * part.num_rows)
+                    if held and size + n > limit:
+                        yield flush()
+                        held, size = [], 0
+                    held.append(part)
+                    size += n
         if held:
             yield flush()
+    return run
 
-    blocks = df.mapInArrow(run, "rows binary").withColumn("__id", F.monotonically_increasing_id()).checkpoint()
-    numbers = blocks.select("__id", (F.row_number().over(Window.orderBy("__id")) - 1).alias("b"))
-    return blocks.join(numbers, "__id").select("b", "rows")
+
+def _packed(df: DataFrame) -> DataFrame:
+    """Rows packed to blocks (``id``, ``rows``). Each task packs what it has: no
+    shuffle, and copies of a row never make a block larger than the others."""
+    return df.mapInArrow(packer(), "rows binary").withColumn("id", F.monotonically_increasing_id()).checkpoint()
+
+
+def _query_rounds(q: DataFrame) -> Iterator[list[bytes]]:
+    """The packed queries, some blocks of ``ROUND_BYTES`` at most (one at least) at
+    a time; the driver holds one round."""
+    blocks = _packed(q)
+    sizes = blocks.select("id", F.octet_length("rows").alias("n")).orderBy("id").collect()  # a number per block
+    held, size = [], 0
+    rounds: list[list[int]] = []
+    for r in sizes:
+        if held and size + r.n > ROUND_BYTES:
+            rounds.append(held)
+            held, size = [], 0
+        held.append(r.id)
+        size += r.n
+    if held:
+        rounds.append(held)
+    for ids in rounds:
+        yield [bytes(r.rows) for r in blocks.where(F.col("id").isin(ids)).orderBy("id").collect()]
 
 
 def _unpack(raw: bytes) -> pa.Table:
@@ -242,63 +286,89 @@ def _cell_sims(queries: pa.Table, cands: pa.Table, id_col: str, vec_col: str,
         yield cols, sims
 
 
-def _minmax_cells(id_col: str, vec_col: str, keep_seed: bool):
+def _minmax_cells(asked: list[bytes], id_col: str, vec_col: str, keep_seed: bool):
     def run(batches):
+        tables = [_unpack(x) for x in asked]
         for batch in batches:
-            for q_rows, c_rows in zip(batch.column("q_rows"), batch.column("rows")):
-                queries, cands = _unpack(q_rows.as_py()), _unpack(c_rows.as_py())
-                for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
-                    real = np.isfinite(sims)
-                    low = np.where(real, sims, np.inf).min(axis=0)
-                    high = np.where(real, sims, -np.inf).max(axis=0)
-                    ok = np.isfinite(low)
-                    yield pa.RecordBatch.from_arrays(
-                        [queries.column("qid").take(cols[ok]).combine_chunks(), pa.array(low[ok]), pa.array(high[ok])],
-                        ["qid", "smin", "smax"])
+            for c_rows in batch.column("rows"):
+                cands = _unpack(c_rows.as_py())
+                for b, queries in enumerate(tables):
+                    for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
+                        real = np.isfinite(sims)
+                        low = np.where(real, sims, np.inf).min(axis=0)
+                        high = np.where(real, sims, -np.inf).max(axis=0)
+                        ok = np.isfinite(low)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(ok.sum(), b)), pa.array(cols[ok]), pa.array(low[ok]), pa.array(high[ok])],
+                            ["b", "q", "smin", "smax"])
     return run
 
 
-def _topk_cells(id_col: str, vec_col: str, keep_seed: bool, k: int, blended: bool):
-    from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT, SCALE_EPS,
-                                           SIM_WEIGHT)
-
-    def number(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy().astype("float64")
-
+class _Best:
+    """The k best rows of a block of candidates for a block of queries."""
+
+    def __init__(self, id_col: str, vec_col: str, keep_seed: bool, k: int, reviews_range: tuple[float, float] | None):
+        self.id_col, self.vec_col, self.keep_seed, self.k, self.range = id_col, vec_col, keep_seed, k, reviews_range
+
+    def __call__(self, queries: pa.Table, cands: pa.Table, extremes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT, SCALE_EPS,
+                                               SIM_WEIGHT)
+
+        def number(table: pa.Table, name: str) -> np.ndarray:
+            return table.column(name).to_numpy().astype("float64")
+        id_col, k = self.id_col, self.k
+        order = np.unique(cands.column(id_col).to_numpy(), return_inverse=True)[1]  # ties go by id
+        if self.range is not None:
+            ratio = number(cands, "__ratio")
+            ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
+            low, high = self.range
+            reviews = (number(cands, "__lc") - low) / (high - low + SCALE_EPS)
+            fixed = RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * reviews
+            smin, smax = extremes
+        for cols, sims in _cell_sims(queries, cands, id_col, self.vec_col, self.keep_seed):
+            key = sims
+            if self.range is not None:
+                scaled = (sims - smin[cols]) / (smax[cols] - smin[cols] + SCALE_EPS)
+                key = np.where(np.isfinite(sims), SIM_WEIGHT * scaled + fixed[:, None], -np.inf)
+            # rows tied with the k-th stay until the order by id decides
+            least = (np.partition(key, len(key) - k, axis=0)[len(key) - k] if k < len(key)
+                     else np.full(key.shape[1], -np.inf))
+            rows, c = np.nonzero((key >= least) & np.isfinite(key))
+            by = np.lexsort((order[rows], -key[rows, c], c))
+            rows, c = rows[by], c[by]
+            first = np.arange(len(c)) - np.searchsorted(c, c) < k
+            rows, c = rows[first], c[first]
+            out = {"qid": queries.column("qid").take(cols[c]).combine_chunks(),
+                   id_col: cands.column(id_col).take(rows).combine_chunks(),
+                   "similarity": pa.array(sims[rows, c])}
+            if self.range is not None:
+                out["score"] = pa.array(key[rows, c])
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
+def _topk_cells(asked: list[bytes], best: _Best, extremes: list[np.ndarray] | None):
     def run(batches):
+        tables = [_unpack(x) for x in asked]
         for batch in batches:
-            for q_rows, c_rows in zip(batch.column("q_rows"), batch.column("rows")):
-                queries, cands = _unpack(q_rows.as_py()), _unpack(c_rows.as_py())
-                order = np.unique(cands.column(id_col).to_numpy(), return_inverse=True)[1]  # ties go by id
-                if blended:
-                    ratio = number(cands, "__ratio")
-                    ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
-                    low, high = number(queries, "cmin"), number(queries, "cmax")
-                    smin, smax = number(queries, "smin"), number(queries, "smax")
-                    reviews = (number(cands, "__lc") - low[0]) / (high[0] - low[0] + SCALE_EPS)
-                    fixed = RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * reviews
-                for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
-                    key = sims
-                    if blended:
-                        scaled = (sims - smin[cols]) / (smax[cols] - smin[cols] + SCALE_EPS)
-                        key = np.where(np.isfinite(sims), SIM_WEIGHT * scaled + fixed[:, None], -np.inf)
-                    # rows tied with the k-th stay until the order by id decides
-                    least = (np.partition(key, len(key) - k, axis=0)[len(key) - k] if k < len(key)
-                             else np.full(key.shape[1], -np.inf))
-                    rows, c = np.nonzero((key >= least) & np.isfinite(key))
-                    by = np.lexsort((order[rows], -key[rows, c], c))
-                    rows, c = rows[by], c[by]
-                    first = np.arange(len(c)) - np.searchsorted(c, c) < k
-                    rows, c = rows[first], c[first]
-                    out = {"qid": queries.column("qid").take(cols[c]).combine_chunks(),
-                           id_col: cands.column(id_col).take(rows).combine_chunks(),
-                           "similarity": pa.array(sims[rows, c])}
-                    if blended:
-                        out["score"] = pa.array(key[rows, c])
-                    yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            for c_rows in batch.column("rows"):
+                cands = _unpack(c_rows.as_py())
+                for b, queries in enumerate(tables):
+                    yield from best(queries, cands, None if extremes is None else extremes[b])
     return run
 
 
+def _extremes(found: DataFrame, asked: list[bytes]) -> list[np.ndarray]:
+    """Least and largest similarity of every query of a round (two numbers each)."""
+    table = found.groupBy("b", "q").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax")).toArrow()
+    b, q, low, high = (table.column(c).to_numpy() for c in ("b", "q", "smin", "smax"))
+    out = []
+    for k, raw in enumerate(asked):
+        both = np.zeros((2, _unpack(raw).num_rows))
+        both[:, q[b == k]] = low[b == k], high[b == k]
+        out.append(both)
+    return out
+
+
 def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
                      filters: Filters | None = None, use_blend: bool = False,
                      keep_seed: bool = True, id_col: str = "appid", vec_col: str = "vec") -> DataFrame:
@@ -310,12 +380,13 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
     :func:`recommend_similar` / :func:`search_by_vector`: filters first, then
     the blend scaled over each query's filtered rows; ties go to the smaller id.
 
-    Catalog and queries are packed into blocks of bounded bytes; every query
-    block meets every catalog block by an equi-join on the block number, and one
-    distributed job multiplies them, keeps ``k`` rows per query and pair, and
-    merges these. With the blend a job of the same form gathers each query's
-    minimum and maximum first. No vector passes the driver, and the plan is the
-    same for any number of queries.
+    Catalog and queries are packed into blocks of bounded bytes. The catalog is
+    packed where it is read and never shuffled. The queries go to its blocks in
+    rounds of ``ROUND_BYTES`` at most (so what is broadcast has a proven bound); in a
+    round one distributed job multiplies them and keeps ``k`` rows per query and
+    block, ids and scores only, which are merged. With the blend a job of the same
+    form gathers each query's minimum and maximum first. A small query table is one
+    round; further rounds are written as they end.
     """
     seed = F.col("seed_id") if "seed_id" in queries.columns else F.lit(None).cast(catalog.schema[id_col].dataType)
     # one row per query id; conflicting vectors under one id keep the smallest hash
@@ -328,30 +399,39 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
         cands = cands.select(id_col, vec_col, ratio.alias("__ratio"), counts.alias("__lc"))
     else:
         cands = cands.select(id_col, vec_col)
-    blocks = _packed(cands)
-    n_blocks = blocks.count()
+    blocks = _packed(cands).select("rows")
     id_type = catalog.schema[id_col].dataType.simpleString()
     qid_type = q.schema["qid"].dataType.simpleString()
     out_cols = ["qid", "rank", id_col, "similarity"] + (["score"] if use_blend else [])
-    if not n_blocks:
-        return catalog.sparkSession.createDataFrame(
-            [], f"qid {qid_type}, rank int, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
-        ).select(*out_cols)
-
-    def cells(q_table: DataFrame) -> DataFrame:
-        asked = _packed(q_table).select(F.col("rows").alias("q_rows"),
-                                        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-        return asked.join(blocks, "b").select("q_rows", "rows")
-
+    schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
+    reviews_range = None
     if use_blend:
-        found = cells(q).mapInArrow(_minmax_cells(id_col, vec_col, keep_seed), f"qid {qid_type}, smin double, smax double")
-        stats = found.groupBy("qid").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
         low, high = cands.agg(F.min("__lc"), F.max("__lc")).first()
         if "review_count" not in catalog.columns:  # the reviews term is then the constant 0.5
             low, high = -0.5, 0.5
-        q = q.join(stats, "qid").withColumns({"cmin": F.lit(float(low)), "cmax": F.lit(float(high))})
-    schema = f"qid {qid_type}, {id_col} {id_type}, similarity double" + (", score double" if use_blend else "")
-    partial = cells(q).mapInArrow(_topk_cells(id_col, vec_col, keep_seed, top_k_n, use_blend), schema)
+        reviews_range = (float(low or 0.0), float(high or 0.0))
+    best = _Best(id_col, vec_col, keep_seed, top_k_n, reviews_range)
+
+    def one_round(asked: list[bytes]) -> DataFrame:
+        extremes = None
+        if use_blend:
+            extremes = _extremes(blocks.mapInArrow(_minmax_cells(asked, id_col, vec_col, keep_seed),
+                                                   "b bigint, q bigint, smin double, smax double"), asked)
+        return blocks.mapInArrow(_topk_cells(asked, best, extremes), schema)
+    partial, path = None, None
+    for asked in _query_rounds(q):
+        if partial is not None:  # more than one round: each is written when its queries are at hand
+            if path is None:
+                ensure_checkpoint_dir(catalog.sparkSession)
+                path = checkpoint_path(catalog.sparkSession, f"rounds-{uuid.uuid4().hex[:12]}")
+                partial.write.parquet(path)
+            one_round(asked).write.mode("append").parquet(path)
+        else:
+            partial = one_round(asked)
+    if partial is None:
+        partial = catalog.sparkSession.createDataFrame([], schema)
+    elif path is not None:
+        partial = catalog.sparkSession.read.schema(schema).parquet(path)
     sort = F.col("score") if use_blend else F.col("similarity")
     return top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n).select(*out_cols)
 

@@ -9,6 +9,7 @@ sides (see :mod:`vitrine.plans.compare`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from vitrine.functions.dates import release_year, year_in_text
 from vitrine.operators import catalog as cat
 from vitrine.operators import search
 from vitrine.operators import similarity as sim
+from vitrine.operators.vector_index import VectorIndex, recall
 from vitrine.functions.text import ALIAS_BANNED_WORDS, DEMOTED_TYPES
 from vitrine.operators.filters import TRUE_TEXTS, Filters, apply_filters
 from vitrine.plans import recommend as rec
@@ -378,6 +380,23 @@ def _recommend_batch_blended(t: Tables) -> DataFrame:
     return sim.recommend_batch(s, s.select(F.col("appid").alias("seed_id")), 5, _F_BLEND, use_blend=True)
 
 
+INDEX_K, INDEX_RECALL = 5, 0.9
+
+
+@register("recommend_indexed", f"""
+WITH {_APPS}
+SELECT count(DISTINCT appid) AS n_queries, count(*) * least({INDEX_K}, count(*)) AS n_exact, TRUE AS recall_reached
+FROM sv""")
+def _recommend_indexed(t: Tables) -> DataFrame:
+    """Every item searched through the cell index, against the exact batch."""
+    s = t.serving_table()
+    found = VectorIndex.build(s, k=INDEX_K).search(
+        s.selectExpr("appid AS qid", "vec AS qvec", "appid AS seed_id"), INDEX_K)
+    exact = sim.recommend_batch(s, s.select(F.col("appid").alias("seed_id")), INDEX_K)
+    return recall(found, exact.withColumnRenamed("seed_id", "qid")).select(
+        "n_queries", "n_exact", (F.col("recall") >= INDEX_RECALL).alias("recall_reached"))
+
+
 _F_SBATCH = Filters(max_year=1999)
 
 
@@ -1022,6 +1041,37 @@ j AS (SELECT user_id AS appid, event_id,
   FROM events)"""
 
 
+# three batches of one feed: all reviews, then an edit of every other line of each
+# order, then an edit of the orders divisible by three; an edit flips the vote
+@register("store_stats", f"""
+WITH votes AS (
+  SELECT l_orderkey AS appid, l_linenumber, max(l_returnflag) = 'A' AS up FROM lineitem GROUP BY l_orderkey, l_linenumber),
+last AS (
+  SELECT appid, CASE WHEN appid % 3 = 0 THEN NOT up WHEN l_linenumber % 2 = 0 THEN NOT up ELSE up END AS up FROM votes)
+SELECT appid, count(*) AS review_count, avg(CASE WHEN up THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS positive_ratio
+FROM last GROUP BY appid""")
+def _store_stats(t: Tables) -> DataFrame:
+    """Statistics kept by the store through an initial load and two batches with
+    replacements, against the full recomputation."""
+    from vitrine.session import checkpoint_path, ensure_checkpoint_dir
+    from vitrine.streaming.ingest_stream import ReviewStore
+    lines = t.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_returnflag") == "A").alias("up"))
+    feed = lines.select(F.col("l_orderkey").alias("appid"), F.col("l_linenumber").cast("string").alias("recommendationid"),
+                        F.lit(1).cast("bigint").alias("timestamp_updated"), F.col("up").cast("string").alias("voted_up"),
+                        (F.col("l_linenumber") % 2 == 0).alias("__even"))
+    flipped = (~F.col("voted_up").cast("boolean")).cast("string")
+    rows = feed.drop("__even")
+    ensure_checkpoint_dir(t.spark)
+    store = ReviewStore(t.spark, checkpoint_path(t.spark, f"store-{uuid.uuid4().hex[:12]}"), rows.schema,
+                        n_buckets=16, n_parts=2)
+    store.apply(rows)
+    store.apply(feed.where("__even").drop("__even").withColumns(
+        {"timestamp_updated": F.lit(2).cast("bigint"), "voted_up": flipped}))
+    store.apply(feed.where("appid % 3 = 0").drop("__even").withColumns(
+        {"timestamp_updated": F.lit(3).cast("bigint"), "voted_up": flipped}))
+    return store.stats()
+
+
 @register("json_flatten", """
 SELECT CAST(event_id AS VARCHAR) AS recommendationid, CAST(user_id AS VARCHAR) AS author_steamid,
        event_type AS language, props AS review,
