@@ -85,6 +85,33 @@ def test_substring_dedup_small_blocks(odd, monkeypatch):
             assert len(gone) == expected[i][1], (cut, i)
 
 
+def test_very_long_texts_in_slices(spark, monkeypatch):
+    """Slices of a few words, and words longer than a slice, give the same rows."""
+    rng = np.random.default_rng(8)
+    words = ["a", "bb", "ccc", "d" * 900, "über"]
+    long = " ".join(rng.choice(words, 3000)) + "\n \t" + " ".join(f"w{k}" for k in range(400))
+    rows = [(1, long[:9000]), (2, "x " + long), (3, long), (4, "z " * 30 + long[5000:]), (5, "d" * 5000)]
+    expected = brute_words(rows, 13)
+    want = [simhash.fingerprint(t.encode()) for _, t in rows]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "SLICE", 700)
+    monkeypatch.setattr(simhash, "SLICE", 600)
+    assert [simhash.fingerprint(t.encode()) for _, t in rows] == want
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([i for i, _ in rows], pa.int64()), "doc_key": pa.array([0] * 5, pa.int64()),
+        "body": pa.array([t.encode() for _, t in rows], pa.binary())})
+    packets = pa.Table.from_batches(list(substring_dedup._window_packets(13, 1)(iter([batch]))))
+    done = substring_dedup.P.gather(1)(substring_dedup._mark_repeated(packets, 1))
+    marks = dict(zip(done.column("doc_id").to_pylist(), done.column("marks").to_pylist()))
+    cut = substring_dedup._cut(13, False, ["doc_id"])
+    rest = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "body": batch.column("body"),
+                                       "marks": pa.array([marks.get(i) for i, _ in rows], pa.binary())})
+    for out in cut(iter([rest])):
+        for r in out.to_pylist():
+            assert (r["n_words"], r["n_removed"], r["kept"].decode()) == expected[r["doc_id"]]
+
+
 def test_suffix_dedup_matches_brute_force(odd):
     expected = brute_bytes(rows_of(odd))
     got = suffix_dedup.suffix_dedup(odd).collect()

@@ -174,3 +174,42 @@ def test_language_odd_rows(spark, odd, empty_docs):
     assert language_ppm.predict(empty_docs, trees).count() == 0
     turned = odd.withColumn("lang", F.when(C_held(), F.lit("zz")).otherwise(F.col("lang")))
     assert "zz" not in language_ppm.learn(turned).langs
+
+
+def test_pairs_from_the_counts_equal_whole_contexts():
+    rng = np.random.default_rng(5)
+    texts = {k: [bytes(rng.choice(list(b"abcdef "[:n]), 300).astype(np.uint8)) for _ in range(3)]
+             for k, n in (("x", 3), ("y", 7), ("z", 5))}
+    texts["few"] = [b"a"]
+    trees = language_ppm.ContextTrees(texts)
+    context = rng.integers(0, trees.size ** 3, 4000)
+    symbol = rng.integers(0, trees.size, 4000)
+    for lang in range(4):
+        whole = trees.code_lengths(lang, 3, context)[np.arange(4000), symbol]
+        assert np.allclose(trees.pair_bits(lang, context, symbol), whole)
+
+
+def test_a_hundred_languages_fit_a_worker():
+    """The table stays within its bytes, what is beyond it is coded from the counts."""
+    import time
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    letters = np.arange(33, 233, dtype=np.uint8)
+    texts = {}
+    for k in range(100):
+        own = rng.permutation(letters)[:60]
+        texts[f"l{k:03d}"] = [bytes(rng.choice(own, 4000)) for _ in range(4)]
+    trees = language_ppm.ContextTrees(texts)
+    assert trees.size > 190 and len(trees.kept) < language_ppm.MAX_CONTEXTS
+    body = b"".join(texts["l042"][0][:2000] + b" " for _ in range(50))
+    language_ppm._UNFOLDED.clear()
+    tracemalloc.start()
+    begin = time.time()
+    bits = trees.total_bits(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = language_ppm.unfolded(trees)[1]
+    # contexts of fewer bytes are in the table too
+    assert table.nbytes < 3 * language_ppm.TABLE_BYTES and peak < 500 << 20
+    assert trees.langs[int(bits[0].argmin())] == "l042" and time.time() - begin < 60
+    language_ppm._UNFOLDED.clear()

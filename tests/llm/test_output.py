@@ -249,3 +249,25 @@ def test_no_pages(spark):
     df = spark.createDataFrame([], "record_id bigint, uri string, body binary")
     done = warc.deduplicate(warc.write_archives(df, C.work_dir(spark, "warc-none")), C.work_dir(spark, "warc-none"))
     assert warc.read_headers(done).count() == 0
+
+
+def test_bytes_that_are_not_utf8_are_replaced(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from vitrine.llm import packing, token_codes, warc
+    from vitrine.llm import common as C
+    df = spark.sql("select 1L as doc_id, cast(unhex('6F6E6520FF74776F') as string) as text union all select 2L, 'fine'")
+    text = b"one \xfftwo".decode("utf-8", "replace")
+    for name, run in (("byte_bpe_50k.json", lambda p: packing.pieces(df, p, with_ids=True)),):
+        path = public_tokenizers.path(name)
+        got = {r.doc_id: bytes(r.ids) for r in run(path).collect()}
+        ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(got[1], "<u4").tolist() == ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    segments = token_codes.write_token_files(df, C.work_dir(spark, "t"), path)
+    rows = {r.doc_id: r.n_tokens for r in token_codes.read_token_files(segments).collect()}
+    assert rows[1] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids) + 1
+    pages = spark.sql("select 1L as page_id, cast(unhex('687474703A2F2FFF') as string) as url, cast(unhex('FF41') as string) as html")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    row = warc.op3_warc(spark, str(tmp_path)).first()
+    assert row.payload_bytes == 2 and row.payload_digest == __import__("hashlib").sha1(b"\xffA").hexdigest()

@@ -159,7 +159,7 @@ def vectors(spark, rows):
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
-    for name, size in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("SAMPLE_ROWS", 20)):
+    for name, size in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("SAMPLE_ROWS", 20), ("ROUND_BYTES", 900)):
         monkeypatch.setattr(inner_product, name, size)
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(0, 1 + i % 3, 6)]) for i in range(140)]

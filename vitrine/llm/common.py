@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -114,6 +115,30 @@ def merged_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) -
         yield pa.concat_batches(held)
 
 
+def decoded(column: pa.Array) -> list[str]:
+    """A binary column without nulls as text; bytes that are not UTF-8 are replaced
+    (Spark does not check its strings)."""
+    try:
+        return column.cast(pa.string()).to_pylist()
+    except pa.ArrowInvalid:
+        return [x.as_py().decode("utf-8", "replace") for x in column]
+
+
+SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_slices(body: bytes, size: int) -> Iterator[bytes]:
+    """A text in slices of about ``size`` bytes that end with white space."""
+    at = 0
+    while len(body) - at > size:
+        end = SPACE_BYTE.search(body, at + size)
+        if end is None:
+            break
+        yield body[at:end.end()]
+        at = end.end()
+    yield body[at:] if at else body
+
+
 # --- hashing -----------------------------------------------------------------
 
 def mix64(x: np.ndarray) -> np.ndarray:

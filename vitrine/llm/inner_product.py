@@ -6,16 +6,20 @@ Plan
    energy in the leading coordinates comes from the SVD of a bounded sample
    (``SAMPLE_ROWS`` rows; it steers the pruning, never the result).
 2. Candidates are range-partitioned and sorted by falling length and packed
-   into blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_BYTES``, written once;
-   so are the queries, in blocks of at most ``QUERY_ROWS``.
+   into blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_BYTES``, written once where
+   they were sorted; so are the queries, in blocks of at most ``QUERY_ROWS``.
 3. Each query meets the block of the longest vectors first; its k-th score there
-   is its threshold. A pair of blocks whose longest possible product is below
-   all thresholds is never joined.
-4. The other pairs are joined by block number and worked through in order of
-   length: leading rotated coordinates give a partial sum, the Cauchy-Schwarz
-   product of what is left bounds the rest; only rows that may still reach the
-   threshold are scored exactly in integers, and the threshold rises.
-5. At most k rows per query and pair go to the final ranking.
+   is its threshold.
+4. The blocks of candidates stay where they are. Query blocks are sent to them in
+   rounds of ``ROUND_BYTES`` at most (a stated query set against all rows; what is
+   broadcast has a proven bound); blocks whose longest possible product is below all
+   thresholds of a round are not read. A task works through its blocks in order of
+   length and carries the thresholds from longer to shorter ones: leading rotated
+   coordinates give a partial sum, the Cauchy-Schwarz product of what is left bounds
+   the rest; only rows that may still reach the threshold are scored exactly in
+   integers, and the threshold rises.
+5. At most k rows per query and task, ids and scores, go to the final ranking; no
+   vector is shuffled for a pair of blocks.
 
 Cases: rows without id, with a null vector, or with null or non-finite
 components take no part; vectors of another dimension than the query's are not
@@ -43,6 +47,7 @@ BLOCK_ROWS = 8192  # at most, and no more than BLOCK_BYTES of vectors
 BLOCK_BYTES = 4 << 20
 QUERY_ROWS = 1024
 QUERY_STEP = 128
+ROUND_BYTES = 16 << 20
 FIRST_STEP, STEP = 64, 1024
 LEAD = 0.25
 FOUND = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
@@ -168,21 +173,46 @@ def _floors(dim: int, turn: np.ndarray, k: int, top_ids: bytes, top_vecs: bytes)
     return run
 
 
-def _pairs(dim: int, turn: np.ndarray, k: int):
+def _search(dim: int, turn: np.ndarray, k: int, asked: list[tuple[bytes, bytes, bytes]]):
+    """The query blocks of a round against the candidate blocks of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = [Search(np.frombuffer(ids, "<i8"), _matrix(vecs, dim), turn, k, np.frombuffer(floor))
+                    for ids, vecs, floor in asked]
         for batch in batches:
-            for row in batch.to_pylist():
-                vecs = _matrix(row["vecs"], dim)
-                search = Search(np.frombuffer(row["ids"], "<i8"), vecs, turn, k, np.frombuffer(row["floor"]))
-                search.add(np.frombuffer(row["b_ids"], "<i8"), _matrix(row["b_vecs"], dim))
-                rows, ids, scores = search.found
-                # queries of one id with different vectors stay apart
-                keys = (C.mix64(vecs.astype(np.uint64)) * C.seeded(dim, 5)).sum(axis=1, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (search.ids[rows], keys[rows], ids, scores)], schema=FOUND_SCHEMA)
+            order = np.argsort(-batch.column("longest").to_numpy(), kind="stable").tolist()
+            for i in order:
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
+                vecs = _matrix(batch.column("vecs")[i].as_py(), dim)
+                for search in searches:
+                    search.add(ids, vecs)
+        for search in searches:
+            rows, ids, scores = search.found
+            # queries of one id with different vectors stay apart
+            keys = (C.mix64(search.vecs.astype(np.uint64)) * C.seeded(dim, 5)).sum(axis=1, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (search.ids[rows], keys[rows], ids, scores)], schema=FOUND_SCHEMA)
     return run
 
 
+def _rounds(floors: DataFrame) -> Iterator[tuple[float, list[tuple[bytes, bytes, bytes]]]]:
+    """Query blocks of ``ROUND_BYTES`` at most (one at least), and the least length
+    that matters to any of them; the driver holds one round."""
+    sizes = floors.select("q", F.octet_length("vecs").alias("n")).orderBy("q").collect()  # a number per block
+    held, size = [], 0
+    lots: list[list[int]] = []
+    for r in sizes:
+        if held and size + r.n > ROUND_BYTES:
+            lots.append(held)
+            held, size = [], 0
+        held.append(r.q)
+        size += r.n
+    if held:
+        lots.append(held)
+    for lot in lots:
+        rows = floors.where(F.col("q").isin(lot)).orderBy("q").collect()
+        yield min(r.reach for r in rows), [(bytes(r.ids), bytes(r.vecs), bytes(r.floor)) for r in rows]
+
+
 def _top_of(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
     turn = rotation(np.array([r.v for r in sample], np.int64).reshape(-1, dim))
@@ -190,28 +220,28 @@ def _top_of(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFra
     block_rows = max(k + 1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
     query_rows = max(1, min(QUERY_ROWS, BLOCK_BYTES // (8 * dim)))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    parts = C.parts_for(vectors.count(), 8 * block_rows, 1)
+    n = vectors.count()
+    parts = max(C.parts_for(n, 8 * block_rows, 1), min(C.parts_for(n, block_rows, 1), 64))
     dealt = vectors.withColumn("n", length).repartitionByRange(parts, F.col("n").desc(), "vec_id").sortWithinPartitions(
         F.col("n").desc(), "vec_id").select("vec_id", "v")
-    blocks = C.through_table(dealt.mapInArrow(_pack(dim, block_rows), packed).withColumn(
-        "b", F.monotonically_increasing_id()), "vector-blocks")
+    spark = vectors.sparkSession
+    path = C.work_dir(spark, "vector-blocks")
+    dealt.mapInArrow(_pack(dim, block_rows), packed).write.parquet(path)
+    blocks = spark.read.schema(packed).parquet(path)
     asked = queries.distinct()
     q_parts = C.parts_for(asked.count(), query_rows, 1)
     q_blocks = asked.repartition(q_parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(
         _pack(dim, query_rows), packed).drop("longest").withColumn("q", F.monotonically_increasing_id())
     # one block: the longest vectors
-    top = blocks.orderBy(F.col("longest").desc(), "b").select("ids", "vecs").first()
+    top = blocks.orderBy(F.col("longest").desc(), F.xxhash64("ids")).select("ids", "vecs").first()
     floors = C.through_table(q_blocks.mapInArrow(_floors(dim, turn, k, bytes(top.ids), bytes(top.vecs)),
                                                  "q bigint, ids binary, vecs binary, floor binary, reach double"),
                              "query-blocks")
-    # the query set against all rows, block by block: numbers first, payloads only for pairs that can matter
-    numbers = blocks.select("b", "longest", (F.row_number().over(Window.orderBy("b")) - 1).alias("at"))
-    n_blocks = blocks.count()
-    pairs = floors.select("q", "reach", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("at")).join(
-        numbers, "at").where("longest >= reach").select("q", "b")
-    cells = pairs.join(blocks.select("b", F.col("ids").alias("b_ids"), F.col("vecs").alias("b_vecs")), "b").join(
-        floors.drop("reach"), "q")
-    found = cells.repartition("q", "b").mapInArrow(_pairs(dim, turn, k), FOUND)
+    path = C.work_dir(spark, "found")
+    for reach, lot in _rounds(floors):
+        near = blocks.where(F.col("longest") >= F.lit(reach))
+        C.few_files(near.mapInArrow(_search(dim, turn, k, lot), FOUND)).write.mode("append").parquet(path)
+    found = spark.read.schema(FOUND).parquet(path)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -9,14 +9,18 @@ likely. The language with the shortest code for the whole text wins.
 
 Plan: the trees are counted from a bounded sample (``SAMPLE_DOCS`` texts of each
 learned language at most, those with the smallest hash of their id, none of the
-held-out fold). The sparse counts, a few megabytes, go to the tasks; each
-worker unfolds them once into code lengths per context, byte and language, so
-scoring is table lookups over whole texts, one ``mapInArrow``, no shuffle. The
-table holds the ``MAX_CONTEXTS`` most frequent contexts and their ends; what
-follows any other context that was seen is coded from the counts directly, with
-the same result.
-
-Cases: null texts and texts without a letter are ``und`` with score 0; without
+held-out fold, and ``LEARN_BYTES`` of text over all languages, dealt evenly). The
+sample is picked among ids and hashes in two steps, by language and salt, then by
+language, so no task sees more of a language than ``SAMPLE_DOCS`` rows a salt. The
+sparse counts, a few megabytes, go to the tasks; each worker unfolds them once into
+code lengths per context, byte and language, so scoring is table lookups over whole
+texts, one ``mapInArrow``, no shuffle. The table holds the most frequent contexts
+(``MAX_CONTEXTS``, and ``TABLE_BYTES`` over all languages) and their ends; what
+follows any other context that was seen is coded from the counts directly, once per
+context and byte of a block, with the same result.
+
+Cases: texts of any length are scored whole, in blocks of ``BLOCK_BYTES`` that overlap
+by the context; an empty table gives no rows; null texts and texts without a letter are ``und`` with score 0; without
 anything learned all are; equal code lengths go to the first language by name;
 repeated rows get equal results; extra columns are ignored.
 """
@@ -36,8 +40,10 @@ from vitrine.llm import common as C
 ORDER = 3
 SAMPLE_DOCS = 600
 SAMPLE_TEXT_BYTES = 1 << 18
+SALTS = 64
+LEARN_BYTES = 64 << 20  # of all languages together
 MAX_CONTEXTS = 60_000  # in the table; the others are coded from the counts
-DIRECT_CONTEXTS = 4096
+TABLE_BYTES = 64 << 20
 BROADCAST_ROWS = 100_000
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -66,14 +72,16 @@ class ContextTrees:
         keys = [k // self.size for k, _ in self.grams]
         total, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
         weight = np.bincount(counts, np.concatenate([n for _, n in self.grams]) if keys else None, len(total))
-        order = np.lexsort((total, -weight))[:max_contexts]
+        room = TABLE_BYTES // (4 * self.size * max(len(self.langs), 1))
+        order = np.lexsort((total, -weight))[:min(max_contexts, room)]
         self.every, self.kept = total, np.sort(total[order])
         parts = [self.kept.tobytes(), *(k.tobytes() + n.tobytes() for k, n in self.grams)]
         self.name = hashlib.sha256(b"".join(parts)).hexdigest()
         self.sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # filled by _level
+        self.nodes: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # filled by _node
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "sums": {}}
+        return {**self.__dict__, "sums": {}, "nodes": {}}
 
     def contexts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context number and symbol of every byte of texts laid end to end."""
@@ -87,13 +95,32 @@ class ContextTrees:
             context = context * self.size + line[at - back]
         return context, symbol
 
-    def _level(self, lang: int, order: int, wanted: np.ndarray) -> np.ndarray:
-        """Counts of every symbol in each wanted context of ``order`` bytes."""
+    def _counts(self, lang: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The (context, symbol) numbers of ``order`` bytes of context, and their counts."""
         if (lang, order) not in self.sums:
             keys, counts = self.grams[lang]
             codes, back = np.unique(keys % self.size ** (order + 1), return_inverse=True)
             self.sums[lang, order] = codes, np.bincount(back, counts, len(codes))
-        codes, sums = self.sums[lang, order]
+        return self.sums[lang, order]
+
+    def _node(self, lang: int, order: int) -> tuple[np.ndarray, ...]:
+        """Per context of ``order`` bytes that was seen: its number, the sum of its
+        counts, its number of symbols, and the sum of the counts that these symbols
+        have in the next shorter context (where they are ruled out)."""
+        if (lang, order) not in self.nodes:
+            codes, counts = self._counts(lang, order)
+            names, first = np.unique(codes // self.size, return_index=True)
+            total = np.add.reduceat(counts, first) if len(first) else counts
+            below = np.zeros(len(names))
+            if order and len(first):
+                shorter, sums = self._counts(lang, order - 1)
+                below = np.add.reduceat(sums[np.searchsorted(shorter, codes % self.size ** order)], first)
+            self.nodes[lang, order] = names, total, np.diff([*first, len(codes)]).astype(float), below
+        return self.nodes[lang, order]
+
+    def _level(self, lang: int, order: int, wanted: np.ndarray) -> np.ndarray:
+        """Counts of every symbol in each wanted context of ``order`` bytes."""
+        codes, sums = self._counts(lang, order)
         context, symbol = codes // self.size, codes % self.size
         names, place = np.unique(wanted, return_inverse=True)
         out = np.zeros((len(names), self.size))
@@ -146,18 +173,44 @@ class ContextTrees:
             rows += len(known)
         return row_of, np.concatenate(tables)
 
+    def pair_bits(self, lang: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after its context, from the counts: what a longer
+        context has seen is also seen in the shorter ones, so a context's sums less
+        those of the longer context's symbols are all that the exclusions leave."""
+        bits, spent = np.zeros(len(context)), np.zeros(len(context))
+        left = np.ones(len(context), bool)
+        gone, gone_kinds = np.zeros(len(context)), np.zeros(len(context))  # ruled out by the longer context
+
+        def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
+            return at, (table[at] == wanted) if len(table) else np.zeros(len(wanted), bool)
+        for k in range(ORDER, -1, -1):
+            names, total, kinds, below = self._node(lang, k)
+            codes, counts = self._counts(lang, k)
+            if not len(names):
+                continue
+            here = context % self.size ** k
+            at, seen = find(names, here)
+            free = np.where(seen, total[at] - gone, 0.0)
+            free_kinds = np.where(seen, kinds[at] - gone_kinds, 0.0)
+            whole = free + free_kinds
+            place, hit = find(codes, here * self.size + symbol)
+            hit &= left
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bits = np.where(hit, spent - np.log2(counts[place] / whole), bits)
+                spent = spent + np.where(free_kinds > 0, -np.log2(free_kinds / whole), 0.0)
+            left &= ~hit
+            gone, gone_kinds = np.where(seen, below[at], 0.0), np.where(seen, kinds[at], 0.0)
+        values = self.size - 1 - gone_kinds + self.spare
+        return np.where(left, spent + np.log2(np.maximum(values, 1)), bits)
+
     def direct_bits(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Bits of each symbol after its context, by language, from the counts."""
-        names, back = np.unique(context, return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        out = np.empty((len(context), len(self.langs)), np.float32)
-        for at in range(0, len(names), DIRECT_CONTEXTS):
-            low, high = np.searchsorted(back[order], (at, at + DIRECT_CONTEXTS))
-            here = order[low:high]
-            for lang in range(len(self.langs)):
-                bits = self.code_lengths(lang, ORDER, names[at:at + DIRECT_CONTEXTS])
-                out[here, lang] = bits[back[here] - at, symbol[here]]
-        return out
+        pairs, back = np.unique(context * self.size + symbol, return_inverse=True)
+        table = np.empty((len(pairs), len(self.langs)), np.float32)
+        for lang in range(len(self.langs)):
+            table[:, lang] = self.pair_bits(lang, pairs // self.size, pairs % self.size)
+        return table[back]
 
     def total_bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text (rows) under each language (columns)."""
@@ -209,9 +262,16 @@ def learn(docs: DataFrame, rows: int = SAMPLE_DOCS) -> ContextTrees:
     size = F.octet_length("text")
     known = docs.where(F.col("lang").isNotNull() & (size > 0) & (size <= SAMPLE_TEXT_BYTES) & ~C.held_out()).select(
         "lang", "doc_id", "text")
-    keys = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    picked = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select(
+    keys = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), size.alias("size"))
+    order = [F.col(c) for c in ("h", "doc_id", "t")]
+    by_salt = Window.partitionBy("lang", F.pmod("t", F.lit(SALTS))).orderBy(*order)
+    some = keys.withColumn("n", F.row_number().over(by_salt)).where(F.col("n") <= rows)
+    by_lang = Window.partitionBy("lang").orderBy(*order)
+    first = C.through_table(some.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= rows), "sample")
+    budget = LEARN_BYTES // max(first.select("lang").distinct().count(), 1)
+    upto = F.sum("size").over(by_lang.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a language's first text is learned however long the list of languages is
+    picked = first.withColumn("upto", upto).where((F.col("upto") <= budget) | (F.col("n") == 1)).select(
         F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("t")).distinct()
     if picked.count() <= BROADCAST_ROWS:  # some bytes a row; with more languages Spark decides by itself
         picked = F.broadcast(picked)

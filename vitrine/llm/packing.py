@@ -15,9 +15,11 @@ Plan
    third of all pieces share is not numbered in one task. The rank falls into a
    run of equal bins, which gives sequence and offset.
 
-Cases: null or empty texts are one piece with the end id alone; a null
-``doc_id`` and repeated rows are packed like any other; an empty table gives no
-pieces; other columns are ignored.
+Cases: null or empty texts are one piece with the end id alone; bytes that are not
+UTF-8 are replaced before they are encoded; a text of any length is encoded whole, by
+itself, and cut; a null ``doc_id`` and repeated rows are packed like any other; pieces of
+one length are interchangeable, their order follows salted ranks; an empty table gives
+no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def _pieces(path: str, end_id: int, size: int, with_ids: bool):
         coder, end = T.encoder(path), T.end_mark(end_id)
         for batch in C.by_bytes(batches, "body", TEXT_BYTES):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            texts = batch.column("body").cast(pa.string()).to_pylist()
+            texts = C.decoded(batch.column("body"))
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(texts)):
                 ids += end
                 n, at, number = len(ids) // 4, 0, 0

@@ -29,7 +29,6 @@ empty table gives no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,23 +49,10 @@ SLAB = 1 << 13
 CELL_ROWS = 1 << 17
 SLICE = 1 << 19
 SALTS = 16
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # --- fingerprints --------------------------------------------------------------
 
-def _slices(body: bytes) -> Iterator[bytes]:
-    """A text in slices of about ``SLICE`` bytes that end with white space."""
-    at = 0
-    while len(body) - at > SLICE:
-        end = SPACE.search(body, at + SLICE)
-        if end is None:
-            break
-        yield body[at:end.end()]
-        at = end.end()
-    yield body[at:] if at else body
-
-
 def _votes(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
     """How many of the shingles of ``words`` set each bit, and how many there are."""
     line = b" ".join(words)
@@ -82,7 +68,7 @@ def _votes(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
 def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash of a UTF-8 text."""
     counts, n, held = np.zeros(64, np.int64), 0, []
-    for part in _slices(body):
+    for part in C.word_slices(body, SLICE):
         words = held + part.lower().split()
         if len(words) >= shingle:
             votes, more = _votes(words, shingle)

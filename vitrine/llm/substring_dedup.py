@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from vitrine.llm import packets as P
 WIDTH = 13
 BLOCK_BYTES = 1 << 21
 CUT_BYTES = 1 << 22
+SLICE = 1 << 19
 BUCKET_BYTES = 20 << 20
 PACKET = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
 MARKS = "doc_id bigint, doc_key bigint, marks binary"
@@ -57,46 +59,72 @@ def _packet(bucket: int, kind: int, rows: np.ndarray, positions: np.ndarray, has
             "hashes": b"" if hashes is None else hashes.tobytes()}
 
 
+def _views(block: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes and offsets of a block's texts, and the number of words before them; a
+    very long text (a block of its own) in slices that overlap by a window."""
+    data, offsets = C.binary_column(block.column("body"))
+    if block.num_rows > 1 or len(data) <= 2 * BLOCK_BYTES:
+        yield data, offsets, 0
+        return
+    at = base = 0
+    size = 2 * BLOCK_BYTES
+    while True:
+        end = min(at + size, len(data))
+        while end < len(data) and not C.IS_SPACE[data[end]]:
+            step = data[end:end + 4096]
+            space = np.flatnonzero(C.IS_SPACE[step])
+            end += int(space[0]) if len(space) else len(step)
+        part = data[at:end]
+        start = C.word_bounds(part, np.array([0, len(part)]))[0]
+        if end < len(data) and len(start) < width:
+            size *= 2  # a few very long words
+            continue
+        yield part, np.array([0, len(part)]), base
+        if end >= len(data):
+            return
+        at, base, size = at + int(start[1 - width]), base + len(start) - width + 1, 2 * BLOCK_BYTES
+
+
 def _window_packets(width: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [
         (n, pa.binary()) for n in ("ids", "keys", "counts", "gaps", "wide", "hashes")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in C.merged_batches(batches, "body", BLOCK_BYTES):
-            data, offsets = C.binary_column(block.column("body"))
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             keys = (block.column("doc_key").to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype("<u4")
-            start, end, first = C.word_bounds(data, offsets)
-            if len(start) < width:
-                continue
-            words = C.word_hashes(data, start, end)
-            doc = np.repeat(np.arange(len(ids)), np.diff(first))
-            n = len(words) - width + 1
-            whole = np.flatnonzero(doc[:n] == doc[width - 1:])
-            if not len(whole):
-                continue
-            h = C.window_hashes(words, width, C.SEED)[whole]
-            deal = ((C.window_hashes(words, width, 37)[whole] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            doc = doc[whole]
-            pos = whole - first[doc]
-            order = np.argsort(h)
-            edge = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-            owner = ids[doc[order]]
-            least = np.minimum.reduceat(owner, np.flatnonzero(edge))[np.cumsum(edge) - 1]
-            known = np.zeros(len(h), bool)
-            known[order] = owner > least
-            out = []
-            here = np.flatnonzero(known)
-            if len(here):
-                out.append(_packet(int(ids[0]) % buckets, 1, doc[here], pos[here], None, ids, keys))
-            sent = np.flatnonzero(~known)
-            sent = sent[np.argsort(deal[sent], kind="stable")]
-            cuts = np.searchsorted(deal[sent], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = sent[cuts[b]:cuts[b + 1]]
-                if len(part):
-                    out.append(_packet(b, 0, doc[part], pos[part], h[part], ids, keys))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            for data, offsets, base in _views(block, width):
+                start, end, first = C.word_bounds(data, offsets)
+                if len(start) < width:
+                    continue
+                words = C.word_hashes(data, start, end)
+                doc = np.repeat(np.arange(len(ids)), np.diff(first))
+                n = len(words) - width + 1
+                whole = np.flatnonzero(doc[:n] == doc[width - 1:])
+                if not len(whole):
+                    continue
+                h = C.window_hashes(words, width, C.SEED)[whole]
+                deal = ((C.window_hashes(words, width, 37)[whole] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                doc = doc[whole]
+                pos = whole - first[doc] + base
+                order = np.argsort(h)
+                edge = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+                owner = ids[doc[order]]
+                least = np.minimum.reduceat(owner, np.flatnonzero(edge))[np.cumsum(edge) - 1]
+                known = np.zeros(len(h), bool)
+                known[order] = owner > least
+                out = []
+                here = np.flatnonzero(known)
+                if len(here):
+                    out.append(_packet(int(ids[0]) % buckets, 1, doc[here], pos[here], None, ids, keys))
+                sent = np.flatnonzero(~known)
+                sent = sent[np.argsort(deal[sent], kind="stable")]
+                cuts = np.searchsorted(deal[sent], np.arange(buckets + 1))
+                for b in range(buckets):
+                    part = sent[cuts[b]:cuts[b + 1]]
+                    if len(part):
+                        out.append(_packet(b, 0, doc[part], pos[part], h[part], ids, keys))
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
     return run
 
 
@@ -142,27 +170,32 @@ def _cut(width: int, digest: bool, carried: list[str]):
             bodies, marks = batch.column("body"), batch.column("marks")
             out = {k: [] for k in ("n_words", "n_removed", "span_starts", "span_ends", "kept")}
             for i in range(batch.num_rows):
-                words = bodies[i].as_py().split()
-                places = marks[i].as_py()
+                body, places = bodies[i].as_py(), marks[i].as_py()
                 starts = ends = np.zeros(0, np.int64)
+                gone = None
                 if places:
                     places = np.frombuffer(places, "<i4")  # each place once
-                    edge = np.zeros(len(words) + 1, np.int32)
+                    edge = np.zeros(int(places.max()) + width + 1, np.int32)
                     edge[places] += 1
                     edge[places + width] -= 1
-                    gone = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-                    step = np.diff(gone.astype(np.int8))
+                    gone = np.cumsum(edge) > 0  # words beyond its end stay
+                    step = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                    kept, at = [], 0
-                    for s, e in zip(starts.tolist(), ends.tolist()):
-                        kept += words[at:s]
-                        at = e
-                    kept += words[at:]
-                else:
-                    kept = words
-                text = b" ".join(kept)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
+                n_words, n_kept, pieces = 0, 0, []
+                for part in C.word_slices(body, SLICE):
+                    words = part.split()
+                    here = None if gone is None else gone[n_words:n_words + len(words)]
+                    n_words += len(words)
+                    if here is not None and here.any():
+                        stay = np.ones(len(words), bool)
+                        stay[:len(here)] = ~here
+                        words = list(compress(words, stay.tolist()))
+                    n_kept += len(words)
+                    if words:
+                        pieces.append(b" ".join(words))
+                text = b" ".join(pieces)
+                out["n_words"].append(n_words)
+                out["n_removed"].append(n_words - n_kept)
                 out["span_starts"].append(starts)
                 out["span_ends"].append(ends)
                 out["kept"].append(hashlib.sha256(text).hexdigest() if digest else text)

@@ -20,8 +20,10 @@ task replaces its files by equal ones. The small table of segments gives each
 one's first token by a window inside the partitions and one over partition
 totals. The files are then read back, segment by segment.
 
-Cases: null or empty texts are the end id alone; rows without ``doc_id`` come
-first; equal ids are ordered by text; an empty table writes no file.
+Cases: null or empty texts are the end id alone; bytes that are not UTF-8 are replaced
+before they are encoded; a text of any length is encoded whole, by itself; rows without
+``doc_id`` come first; rows of equal id are ordered by the hash of their texts; other
+columns are ignored; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -157,7 +159,7 @@ def _write(folder: str, path: str, end_id: int, segment_tokens: int):
                            ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in C.by_bytes(batches, "body", TEXT_BYTES):
-            texts = batch.column("body").cast(pa.string()).to_pylist()
+            texts = C.decoded(batch.column("body"))
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(texts)):
                 docs.append(NO_ID if doc is None else doc)
                 held.append(ids + end)

@@ -19,8 +19,10 @@ Equal payloads are payloads of one length and one SHA-1.
 Cases: a null payload is empty; payloads below ``least_bytes`` are never revisits;
 of records with equal payload and equal id (repeated rows) the one in the last
 place of the last archive is the response and the others refer to its id; a
-null url is written as an empty URI; a null id ranks below every other; an
-empty table writes no archive.
+null url is written as an empty URI, bytes of a url that are not UTF-8 are replaced (a
+payload keeps its bytes, whatever they are); a null id ranks below every other; a
+payload of any length is one record, held by its task while it is written or read;
+other columns are ignored; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def _write(folder: str):
         for batch in batches:
             for record_id, uri, body in zip(*(batch.column(c) for c in ("record_id", "uri", "body"))):
                 body = body.as_py()
-                held.append(_response(name(), len(held), record_id.as_py(), uri.as_py(), DATE,
+                held.append(_response(name(), len(held), record_id.as_py(), uri.as_py().decode("utf-8", "replace"), DATE,
                                       hashlib.sha1(body).hexdigest(), body))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
@@ -149,7 +151,8 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (record_id, uri, body) as response records; returns the
     table of archives."""
-    return C.through_table(pages.select("record_id", "uri", "body").mapInArrow(_write(folder), ARCHIVES), "archives")
+    return C.through_table(pages.select("record_id", F.col("uri").cast("binary").alias("uri"), "body").mapInArrow(
+        _write(folder), ARCHIVES), "archives")
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
