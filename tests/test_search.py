@@ -147,3 +147,43 @@ def test_blank_and_unknown_prompts_meet_no_join(spark):
     q = spark.createDataFrame([(k, " " if k % 2 else f"text {k}") for k in range(50)], "qid int, text string")
     got = resolve_prompts(q, items(spark)).groupBy("mode").count().collect()
     assert {r["mode"]: r["count"] for r in got} == {"error": 25, "semantic": 25}
+
+
+def test_prompts_match_names_by_full_case_folding(spark):
+    items = spark.createDataFrame([(1, "Straße der Ritter"), (2, "ΟΔΟΣ"), (3, "Plain")], "appid bigint, name string")
+    asked = spark.createDataFrame([(1, "STRASSE DER RITTER"), (2, "οδος"), (3, "pLAIN"), (4, "strase der ritter")],
+                                  "qid int, text string")
+    got = {r.qid: (r.mode, r.center_appid) for r in resolve_prompts(asked, items).collect()}
+    assert got == {1: ("name", 1), 2: ("name", 2), 3: ("name", 3), 4: ("semantic", None)}
+
+
+def test_scored_names_are_few_and_exact(spark):
+    """The shortlist of every text, from the pairs that can be in it only."""
+    import random
+    from vitrine.operators.search import _bounds, fuzzy_shortlist, name_similarity, scored_names
+    rng = random.Random(9)
+    parts = ["dark", "star", "quest", "legend", "racing", "tower", "defence", "super", "galaxy", "knight", "farm",
+             "simulator", "puzzle", "dragon", "island", "mystery"]
+    names = sorted({" ".join(rng.sample(parts, rng.choice([2, 3, 4]))) for _ in range(700)})
+    rows = [(i, n) for i, n in enumerate(n for n in names for _ in range(rng.choice([1, 1, 2, 80])))]
+    items = spark.createDataFrame(rows, "appid bigint, name string").repartition(5)
+    typo = lambda t: "".join(c for c in t if rng.random() > 0.08) + "x"
+    asked = [typo(rng.choice(names)) for _ in range(40)] + ["77", "zzzz", names[0]]
+    queries = spark.createDataFrame([(t,) for t in sorted(set(asked))], "__q string")
+    distinct = items.groupBy(F.lower("name").alias("__name")).count().withColumnRenamed("count", "__rows")
+    scored = scored_names(queries, distinct, 50)
+    pairs = scored.select("__q", "__name").collect()
+    assert len(pairs) == len(set(pairs))  # each pair once
+    everything = queries.count() * len(names)
+    assert len(pairs) < 0.05 * everything, (len(pairs), everything)
+    for n in (3, 2, 1):  # the bounds hold
+        bounds = _bounds(queries, distinct, n).withColumn("s", name_similarity(F.col("__name"), F.col("__q")))
+        assert bounds.where("s > __ub + 1e-12").isEmpty()
+    got = find_by_name_batch(items, queries.select(F.col("__q").alias("qid"), F.col("__q").alias("text")), 5)
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.qid, []).append((r["rank"], r.appid))
+    for q in ("77", "zzzz", *sorted(set(asked))[3:9]):
+        single = [(r["rank"], r.appid) for r in find_by_name(items, q, 5).collect()]
+        assert sorted(best[q]) == single, q
+        assert fuzzy_shortlist(items, q, 5).count() == 50

@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.sources import binary, csv, parquet, records
@@ -54,3 +55,76 @@ def test_json_safe(spark):
     assert got == [(1, None, ""), (2, None, "d"), (3, 0.5, "")]
     lines = [r.value for r in records.to_json_lines(df).orderBy("value").collect()]
     assert lines[0].startswith('{"appid":1')
+
+
+def _quoted_files(folder, rng, breaks="\n"):
+    """Two files of records with breaks, doubled quotes, blanks and empty fields."""
+    import os
+    want = []
+    for k in range(2):
+        with open(os.path.join(folder, f"f{k}.csv"), "w", newline="") as f:
+            f.write(f'a,"b",c{breaks}')
+            for i in range(160):
+                fields = []
+                for _ in range(3):
+                    text = rng.choice(["", "x", "plain text", f"row {i}", 'say ""hi""', f"line{breaks}break",
+                                       f'""{breaks}{breaks}""', ",", f"long {breaks.join('word' * 9 for _ in range(6))}"])
+                    quote = rng.random() < 0.3 or any(c in text for c in ',"\n\r')
+                    fields.append(f'"{text}"' if quote else text)
+                f.write(",".join(fields) + (breaks if i < 159 or k else ""))
+    return want
+
+
+def test_quoted_csv_is_read_by_many_tasks(spark, tmp):
+    """Ranges of a few bytes, so that every kind of place is the edge of one."""
+    import os
+    import random
+    from vitrine.sources.csv import quoted_records, read_csv, read_quoted
+    key = lambda df: sorted(map(str, map(tuple, df.collect())))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for n, breaks in enumerate(["\n", "\r\n"]):
+            folder = os.path.join(tmp, f"d{n}")
+            os.makedirs(folder)
+            _quoted_files(folder, random.Random(n), breaks)
+            want = key(read_csv(spark, folder))
+            for size in (64, 97, 1000, 1 << 20):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+                spark.conf.set("spark.sql.files.openCostInBytes", "1")
+                assert key(read_quoted(spark, folder)) == want, (breaks, size)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+            one = os.path.join(folder, "f0.csv")
+            assert quoted_records(spark, one).select("start").distinct().count() > 5
+            assert len(want) > 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_quoted_csv_edges(spark, tmp):
+    import os
+    from vitrine.sources.csv import read_csv, read_quoted
+    for name, text in {"head": "a,b\n", "open": 'a,b\n1,"x\ny\nz', "short": 'a,b,c\n1\n1,2,3,4\n\n"q",,\n'}.items():
+        path = os.path.join(tmp, f"{name}.csv")
+        with open(path, "w", newline="") as f:
+            f.write(text)
+        assert sorted(map(str, map(tuple, read_quoted(spark, path).collect()))) == \
+            sorted(map(str, map(tuple, read_csv(spark, path).collect()))), name
+
+
+def test_vector_file_is_split_without_rdd(spark, tmp):
+    import os
+    import numpy as np
+    from vitrine.sources.binary import read_vectors
+    path = os.path.join(tmp, "v.f32")
+    mat = np.arange(1000 * 8, dtype="<f4").reshape(1000, 8)
+    mat.tofile(path)
+    df = read_vectors(spark, path, 8, expected_rows=1000, partition_bytes=3000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "RDD" not in plan
+    assert df.select(F.spark_partition_id()).distinct().count() == 11
+    got = {r.vector_index: r.embedding for r in df.collect()}
+    assert got == {i: row.tolist() for i, row in enumerate(mat)}
+    for bad in ({"dim": 7}, {"dim": 8, "expected_rows": 999}):
+        with pytest.raises(ValueError):
+            read_vectors(spark, path, **bad)

@@ -80,3 +80,17 @@ def test_alias_response_parsing(spark):
     got = [r[0] for r in df.select(tx.aliases_from_response("x")).collect()]
     # greedy first-{ to last-} text; the last row spans two objects -> invalid JSON
     assert got == [["a b", "c"], [], [], [], []]
+
+
+def test_fold_case_is_full_case_folding(spark):
+    from vitrine.functions.text import fold_case
+    texts = ["Straße", "STRASSE", "ẞ", "ﬁn", "FIN", "ΟΔΟΣ", "οδος", "οδοσ", "ı", "I", "İ", "ŉ", "ſ", "µ", "ΐ", "K", "Å", "plain", ""]
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", fold_case("t").alias("f")).collect()}
+    assert got == {t: t.casefold() for t in texts}
+    # every character of the first plane, but for scripts whose folding goes to upper case and the letters of Unicode 16
+    new = {0x1C89, 0xA7CB, 0xA7CC, 0xA7DA, 0xA7DC}
+    every = [(chr(i),) for i in range(0x20, 0xE000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame(every, "t string").select("t", fold_case("t").alias("f")).collect()
+    assert all(r.f == r.t.casefold() for r in rows if not (0x13A0 <= ord(r.t) < 0x1400 or 0xAB70 <= ord(r.t) < 0xABC0
+                                                        or ord(r.t) in new))

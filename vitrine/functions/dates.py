@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Formats tried in order; the first that parses wins. Anything else -> null
-# ("Q4 2025", "coming soon", "").
-RELEASE_DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MMM d, yyyy",
-    "d MMM, yyyy",
-    "MMMM d, yyyy",
-    "d MMMM, yyyy",
-    "MMM yyyy",
-    "yyyy-MM",
-    "yyyy",
+# Formats of release dates, each with the shape of the texts that it can read. A
+# text is parsed once, by the format of its shape; a text of no shape ("Q4 2025",
+# "coming soon", "") is null without a parse that fails.
+RELEASE_DATE_SHAPES = [
+    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$"),
+    ("d MMM, yyyy", r"^[0-9]{1,2} [A-Za-z]{3}, [0-9]{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,} [0-9]{1,2}, [0-9]{4}$"),
+    ("d MMMM, yyyy", r"^[0-9]{1,2} [A-Za-z]{4,}, [0-9]{4}$"),
+    ("MMM yyyy", r"^[A-Za-z]{3} [0-9]{4}$"),
+    ("yyyy-MM", r"^[0-9]{4}-[0-9]{2}$"),
+    ("yyyy", r"^[0-9]{4}$"),
 ]
 
 
@@ -32,7 +33,9 @@ def release_year(c: Column | str, data_type: T.DataType | None = None) -> Column
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.year(col)
     text = F.trim(col.cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in RELEASE_DATE_FORMATS])
+    parsed = F.lit(None).cast("timestamp")
+    for fmt, shape in reversed(RELEASE_DATE_SHAPES):
+        parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(parsed)
     return F.year(parsed)
 
 

@@ -34,6 +34,18 @@ def clean_lower(c: Column | str) -> Column:
     return F.lower(strip_ws(F.coalesce(_c(c).cast("string"), F.lit(""))))
 
 
+def fold_case(c: Column | str) -> Column:
+    """Full case folding for caseless equality and join keys: \u00df equals SS, a final
+    sigma any other, a ligature its letters. Upper case spells these out and lower
+    case of that is one form for all. (The Unicode collations do not help: at the
+    strength that ignores case they still tell \u00df from ss.)"""
+    text = F.col(c) if isinstance(c, str) else c
+    # a dotless i has no other form; the steps between keep the case changes apart
+    low = F.replace(F.lower(text), F.lit("\u0131"), F.lit("\ue000"))
+    up = F.replace(F.upper(low), F.lit("\u1e9e"), F.lit("SS"))
+    return F.replace(F.replace(F.lower(up), F.lit("\ue000"), F.lit("\u0131")), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def contains_ci(c: Column | str, query: str, regex: bool = False) -> Column:
     """Case-insensitive substring test of an already lower-cased query.
 

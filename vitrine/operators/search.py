@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.text import contains_ci, is_all_digits, strip_ws, type_bonus
+from vitrine.functions.text import contains_ci, fold_case, is_all_digits, strip_ws, type_bonus
 from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
 
 # --- fixed values: fuzzy shortlist size max(10 * k, 50) (must match the reference) ---
@@ -310,12 +310,12 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
     # only catalog rows a query can hit are aggregated: semi-joins to the
     # asked ids and names first (a small batch never groups the catalog)
     asked_keys = q.select(F.col("__kk").alias("__k")).where(F.col("__k").isNotNull()).distinct()
-    asked_names = q.select(F.lower(F.col("__t")).alias("__n")).where(F.col("__n") != "").distinct()
+    asked_names = q.select(fold_case("__t").alias("__n")).where(F.col("__n") != "").distinct()
     by_key = (items.join(asked_keys, F.col(key) == F.col("__k"), "left_semi")
               .groupBy(F.col(key).alias("__k")).agg(F.min("name").alias("__kname")))
     by_name = (items.where(F.col("name").isNotNull())
-               .join(asked_names, F.lower(F.col("name")) == F.col("__n"), "left_semi")
-               .groupBy(F.lower("name").alias("__n"))
+               .join(asked_names, fold_case("name") == F.col("__n"), "left_semi")
+               .groupBy(fold_case("name").alias("__n"))
                .agg(F.min_by(F.struct(F.col(key), F.col("name")), F.col(key)).alias("__m")))
     # rows without a key (most texts have no id, blanks no name) never meet a
     # join: a null or blank key would send them all to one task
@@ -325,7 +325,7 @@ def resolve_prompts(queries: DataFrame, items: DataFrame, text_col: str = "text"
     blank = F.col("__t") == ""
     other = q.where(F.col("__kk").isNull())
     keyed = numbered.unionByName(other.where(~blank).select("*", *no_key))
-    named = keyed.join(by_name, F.lower(F.col("__t")) == F.col("__n"), "left")
+    named = keyed.join(by_name, fold_case("__t") == F.col("__n"), "left")
     out = named.unionByName(other.where(blank).select("*", *no_key, *no_name))
     mode = (F.when(F.col("__t") == "", "error").when(F.col("__k").isNotNull(), "appid")
             .when(F.col("__m").isNotNull(), "name").otherwise("semantic"))
