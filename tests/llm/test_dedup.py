@@ -263,3 +263,31 @@ def test_empty_and_null_ids(spark, empty_docs, operator):
     else:
         removed = sorted((r.doc_id or 0, r.n_removed > 0) for r in got)
         assert removed == [(0, False), (0, False), (3, False), (4, True)]
+
+
+def test_parse_order_is_byte_order():
+    """Sorting by phrase ranks sorts the texts; no phrase begins another one."""
+    rng = np.random.default_rng(12)
+    for letters, n in ((2, 400), (26, 900), (3, 1)):
+        rows = rng.integers(97, 97 + letters, (n, 50), dtype=np.uint8)
+        rows[n // 2:] = rows[rng.integers(0, n, n - n // 2)]  # repeats
+        rows[::7, 30:] = 0  # shorter texts, as they are padded
+        ends = suffix_dedup._phrases(rows)
+        row, rank, size = suffix_dedup._dictionary(rows, ends)
+        phrases = {}
+        for i in range(n):
+            stops = np.flatnonzero(ends[i]) + 1
+            parts = [rows[i, a:b].tobytes() for a, b in zip([0, *stops[:-1]], stops)]
+            assert b"".join(parts) == rows[i].tobytes()
+            for part, r in zip(parts, rank[row == i].tolist()):
+                assert phrases.setdefault(part, r) == r
+            # a phrase that its own bytes ended is no beginning of a longer one
+        whole = {p for i in range(n) for p in [rows[i, :np.flatnonzero(ends[i])[0] + 1].tobytes()] if len(p) < 50}
+        assert not any(a != b and b.startswith(a) for a in list(whole)[:60] for b in whole)
+        assert len(phrases) == size and sorted(phrases, key=lambda p: phrases[p]) == sorted(phrases, key=lambda p: p.ljust(50, b"\0"))
+        order = suffix_dedup._parse_order(rows)
+        sorted_rows = [rows[i].tobytes() for i in order]
+        assert sorted_rows == sorted(sorted_rows)
+        back = [rows[i].tobytes() for i in suffix_dedup._end_order(rows)]
+        assert back == sorted(back)
+

@@ -1,34 +1,42 @@
-"""Dedup of strings of ``LENGTH`` bytes by minimizer buckets and sorted contexts, in
-place of prefix-free parsing with suffix arrays of dictionary and parse.
+"""Dedup of strings of ``LENGTH`` bytes by prefix-free parsing, bucket by bucket.
 
 Every byte that a string of ``LENGTH`` bytes covers which also starts in a document
 with a smaller id is removed.
 
-Parsing: a rolling hash of ``TRIGGER`` bytes runs over the text; a place is a
-trigger if its hash is the smallest of some ``LENGTH - TRIGGER + 1`` neighbouring
-places. So every string of ``LENGTH`` bytes has one trigger of its own (the leftmost
-smallest hash inside it), which depends on nothing but the string; triggers cut
-the text into phrases, and a string is an end of a phrase (the bytes before its
-trigger) followed by a beginning of the parse (the bytes from its trigger on).
+Anchors: a rolling hash of ``TRIGGER`` bytes runs over the text; a place is an
+anchor if its hash is the smallest of some ``LENGTH - TRIGGER + 1`` neighbouring
+places. So every string of ``LENGTH`` bytes has one anchor of its own (the leftmost
+smallest hash inside it), which depends on nothing but the string: the string is an
+end of the phrase before its anchor followed by a beginning of the parse from it on.
 
 Plan
 ----
-1. ``mapInArrow``: the triggers of every text, dealt to buckets by hash; a bucket
+1. ``mapInArrow``: the anchors of every text, dealt to buckets by hash; a bucket
    finds those that occur in two or more documents. What a block of documents
-   can decide itself it does (a trigger that many documents share reaches its
+   can decide itself it does (an anchor that many documents share reaches its
    bucket once per block). This is a filter.
-2. Texts and their shared triggers are joined; each shared trigger's phrase end
-   and parse beginning go to the bucket of the trigger. Equal ones of a block go
-   once, under their smallest document; the others are removed there and then, on
-   an equal 64-bit hash of their bytes.
-3. In a bucket the parse beginnings, cut at ``LENGTH`` bytes, are sorted and so are
-   the reversed phrase ends, each with the common prefix of neighbours; from here
-   bytes are compared. Strings with the same distance to the trigger are equal if they
-   are in one run of either order: both orders together are the corpus order of
-   the suffixes, cut at ``LENGTH`` bytes. Runs give the smallest document.
-4. Removed intervals go back per document, are merged and cut out of the text
+2. Texts and their shared anchors are joined; the bytes before and from each shared
+   anchor go to the bucket of the anchor. Equal ones of a block go once, under their
+   smallest document; the others are removed there and then, once their bytes have
+   been compared.
+3. In a bucket the text from each anchor is parsed: where the hash of the last
+   ``CUT`` bytes of a phrase is zero modulo ``DENSITY`` the phrase ends. That depends on
+   the phrase alone, so no phrase is the beginning of another one. The distinct phrases
+   are the bucket's dictionary; sorted, they have ranks, and each text becomes a
+   sequence of ranks, the parse. Sorting the sequences sorts the texts, since ranks
+   keep the order of prefix-free phrases. The dictionary of distinct phrase ends (the
+   bytes before the anchors) is sorted from the right.
+4. Both orders, each with the common bytes of neighbours, combine into the corpus
+   order of the suffixes, cut at ``LENGTH`` bytes: strings with the same distance to the
+   anchor are equal if they are in one run of either order. Runs give the smallest
+   document.
+5. Removed intervals go back per document, are merged and cut out of the text
    (the shuffle of the texts for step 2 is used again).
 
+The dictionary and the parse are those of a bucket (about ``REGION_BYTES`` of text
+around shared anchors), never of the whole corpus: what is asked for is which strings
+are equal, and equal strings meet in one bucket.
+
 Cases: null texts are empty; texts shorter than ``LENGTH`` keep all bytes; a row
 without ``doc_id`` keeps all and removes none elsewhere; rows with the same
 ``doc_id`` do not remove each other's bytes and are judged one by one; an empty
@@ -58,6 +66,7 @@ BLOCK_BYTES = (1 << 20) - 8192
 CUT_BYTES = 1 << 22
 BUCKET_BYTES = 20 << 20  # of text, per bucket of triggers
 REGION_BYTES = 10 << 20  # of text, per bucket of strings
+CUT, DENSITY = 4, 8  # bytes whose hash ends a phrase, and one in how many does
 SEED = C.SEED
 TRIGGERS = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
 REGIONS = ("bucket int, kind int, ids binary, keys binary, counts binary, spans binary, places binary, "
@@ -249,11 +258,16 @@ def _region_packets(buckets: int):
             size = end - lo
             prefix = C.prefix_hash(C.BYTE_VALUES[seg.data], SEED)
             whole = C.mix64(C.span_hash(prefix, lo, end, SEED) + ((place - lo) * 64 + size).astype(np.uint64))
-            order = np.argsort(whole)
+            owner = ids[rows]
+            order = np.lexsort((owner, whole))
             new = np.ones(len(whole), bool)
             new[1:] = whole[order][1:] != whole[order][:-1]
-            owner = ids[rows]
-            gone = owner > _least_of(order, new, owner)
+            speaker = np.empty(len(whole), np.int64)  # the smallest document's, for all of one hash
+            speaker[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            gone = owner > owner[speaker]
+            some = np.flatnonzero(gone)
+            gone[some] = _same_bytes(seg.data, lo[some], lo[speaker[some]], size[some], size[speaker[some]])
+            gone[some] &= (place - lo)[some] == (place - lo)[speaker[some]]
             deal, out = _bucket_of(h, buckets), []
             here = np.flatnonzero(gone)
             if len(here):  # a smaller document of the block has the same: all its strings go
@@ -273,18 +287,110 @@ def _region_packets(buckets: int):
     return run
 
 
-def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows, and the common prefix of each with the one before."""
-    wide = -rows.shape[1] % 8
-    words = np.pad(rows, ((0, 0), (0, wide))).view(">u8")
-    order = np.lexsort(words.T[::-1])
-    del words
+def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at ``one`` are the ``other`` bytes at ``two``."""
+    same = size == other
+    for step in range(int(size.max()) if len(size) else 0):
+        here = np.flatnonzero(same & (step < size))
+        same[here] = data[one[here] + step] == data[two[here] + step]
+    return same
+
+
+def _sorted_rows(rows: np.ndarray) -> np.ndarray:
+    """Order of byte rows."""
+    words = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view(">u8")
+    return np.lexsort(words.T[::-1])
+
+
+def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common first bytes of each row with the one before it in ``order``."""
     common = np.zeros(len(rows), np.uint8)
     for at in range(1, len(rows), 1 << 15):
         one, two = rows[order[at:at + (1 << 15)]], rows[order[at - 1:at - 1 + (1 << 15)]]
         differ = one != two[:len(one)]
         common[at:at + (1 << 15)] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    return order, common
+    return common
+
+
+def _phrases(rows: np.ndarray) -> np.ndarray:
+    """Where the phrases of each row end: entry (i, j) for one that ends with byte j."""
+    n, width = rows.shape
+    ends = np.zeros((n, width), bool)
+    begun = np.zeros(n, np.int16)  # first byte of the phrase under way
+    with np.errstate(over="ignore"):
+        for j in range(CUT - 1, width):
+            h = np.zeros(n, np.uint32)
+            for step in range(CUT):
+                h = h * np.uint32(0x01000193) ^ rows[:, j - CUT + 1 + step]
+            h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+            cut = (h >> np.uint32(13)) % np.uint32(DENSITY) == 0
+            cut &= j + 1 - begun >= CUT
+            ends[:, j] = cut
+            begun[cut] = j + 1
+    ends[:, -1] = True
+    return ends
+
+
+def _dictionary(rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The parse of the rows: per phrase its row and its rank among the distinct
+    phrases of all rows, and the size of that dictionary."""
+    n, width = rows.shape
+    flat = rows.ravel()
+    stop = np.flatnonzero(ends.ravel()) + 1
+    start = np.concatenate(([0], stop[:-1]))
+    size = stop - start
+    # bytes of a phrase as rows of the dictionary: hashes find the distinct ones, bytes decide
+    h = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), 1 << 18):
+        lo, hi = int(start[at]), int(stop[min(at + (1 << 18), len(stop)) - 1])
+        prefix = C.prefix_hash(C.BYTE_VALUES[flat[lo:hi]], SEED)
+        cut = slice(at, at + (1 << 18))
+        h[cut] = C.mix64(C.span_hash(prefix, start[cut] - lo, stop[cut] - lo, SEED) + size[cut].astype(np.uint64))
+    names, first, name = np.unique(h, return_index=True, return_inverse=True)
+    odd = ~_same_bytes(flat, start, start[first[name]], size, size[first[name]])
+    if odd.any():  # different phrases of one hash: each such occurrence is its own entry
+        extra = np.flatnonzero(odd)
+        name[extra] = len(names) + np.arange(len(extra))
+        first = np.concatenate((first, extra))
+    longest = int(size.max())
+    entries = np.zeros((len(first), longest), np.uint8)
+    for step in range(longest):
+        here = np.flatnonzero(size[first] > step)
+        entries[here, step] = flat[start[first[here]] + step]
+    order = _sorted_rows(entries)
+    rank = np.empty(len(first), np.int64)
+    # equal entries (of one hash or not) have one rank
+    rank[order] = np.cumsum(_common(entries, order) < longest)
+    return (stop - 1) // width, rank[name], len(first)
+
+
+def _parse_order(rows: np.ndarray) -> np.ndarray:
+    """Order of byte rows by their sequences of phrase ranks."""
+    row, rank, _ = _dictionary(rows, _phrases(rows))
+    begin = np.searchsorted(row, np.arange(len(rows)))
+    place = np.arange(len(row)) - begin[row]
+    parse = np.zeros((len(rows), int(place.max()) + 1), np.int32)
+    parse[row, place] = rank
+    return np.lexsort(parse.T[::-1])
+
+
+def _end_order(rows: np.ndarray) -> np.ndarray:
+    """Order of phrase ends (byte rows from the right), by the distinct ones."""
+    flat = C.BYTE_VALUES[rows.ravel()]
+    width = rows.shape[1]
+    h = np.empty(len(rows), np.uint64)
+    for at in range(0, len(rows), 1 << 14):
+        n = min(1 << 14, len(rows) - at)
+        prefix = C.prefix_hash(flat[at * width:(at + n) * width], SEED)
+        start = np.arange(n) * width
+        h[at:at + n] = C.mix64(C.span_hash(prefix, start, start + width, SEED))
+    _, first, name = np.unique(h, return_index=True, return_inverse=True)
+    if not (rows == rows[first[name]]).all():  # two ends of one hash
+        return _sorted_rows(rows)
+    order = _sorted_rows(rows[first])
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return np.argsort(rank[name], kind="stable")
 
 
 def removed_strings(owner: np.ndarray, before: np.ndarray, after: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -303,8 +409,13 @@ def removed_strings(owner: np.ndarray, before: np.ndarray, after: np.ndarray, da
             spot = np.clip(place[cut, None] + sign * step, 0, len(data) - 1)
             rows[cut] = data[spot] * (step - (sign < 0) < room[cut, None])
         return rows
-    by_right, right_common = _classes(filled(ahead, 1, after))
-    by_left, left_common = _classes(filled(back, -1, before))
+    rows = filled(ahead, 1, after)
+    by_right = _parse_order(rows)
+    right_common = _common(rows, by_right)
+    rows = filled(back, -1, before)
+    by_left = _end_order(rows)
+    left_common = _common(rows, by_left)
+    del rows
     out = np.zeros((n, AHEAD + 1), bool)
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(AHEAD + 1):
