@@ -238,7 +238,7 @@ def bit_map(seeds: DataFrame) -> np.ndarray:
     """Bits of two places of each seed, as many as fit ``MAP_BITS``; the driver gets
     the words of the map that hold a bit, 32 MB at most."""
     n = seeds.select(F.approx_count_distinct("seed")).first()[0]
-    bits = min(MAP_BITS, max(16, int(16 * n).bit_length()))
+    bits = min(MAP_BITS, max(20, int(1024 * n).bit_length()))  # up to 2^18 seeds one run in 250,000 hits by chance
     mask = F.lit((1 << bits) - 1)
     places = F.array(F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 32).bitwiseAND(mask))
     words = seeds.select(F.explode(places).alias("p")).groupBy((F.shiftright("p", 5)).alias("w")).agg(
