@@ -72,7 +72,9 @@ def summary_corpus(reviews: DataFrame, items: DataFrame, done: DataFrame | None
     reviews, whole texts). ``n_chars_total`` is the length before the cut, and
     ``truncated`` tells whether anything was cut. Each text is cut at
     ``max_chars`` before the shuffle: the joined prefix is the same and no text
-    longer than the result crosses the network.
+    longer than the result crosses the network. Without ``per_item`` an item's texts
+    are one row, which Spark limits to 2 GB; with the default limits a row has
+    ``per_item`` texts of ``max_chars`` characters at most.
     """
     eng = english_only(reviews)
     targets = popular_targets(items, min_review_count, top_n, key)
@@ -123,7 +125,7 @@ def summary_prompt(corpus: DataFrame, system: str = SUMMARY_SYSTEM,
     if chat:
         prompt = F.concat(F.lit("<system>\n" + system + "\n</system>\n<user>\n"), user, F.lit("\n</user>"))
     else:
-        prompt = F.concat(F.lit("[SYSTEM] " + system + "\n[USER] "), user, F.lit("\n\n[ASSISTANT]"))
+        prompt = F.concat(F.lit("Instructions: " + system + "\nRequest: "), user, F.lit("\n\nAnswer:"))
     return corpus.withColumn("prompt", prompt)
 
 

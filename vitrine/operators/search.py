@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _order_terms(df: DataFrame, q: Column, key: str) -> list[Column]:
     count desc, name length asc, key asc."""
     cols = set(df.columns)
     exact = (F.lower(F.coalesce(F.col(_name_col(df)), F.lit(""))) == q).cast("int")
-    bonus = type_bonus("type") if "type" in cols else F.lit(0)
+    bonus = type_bonus("type") if "type" in cols else F.lit(0.0)  # an integer would be taken as a column number
     reviews = (F.coalesce(F.col("review_count").cast("string").try_cast("double"), F.lit(0.0))
                if "review_count" in cols else F.lit(0.0))
     name_len = F.length(F.coalesce(F.col("name").cast("string"), F.lit("None")))
@@ -98,7 +100,7 @@ def find_by_name(items: DataFrame, name: str, top_k_n: int = 5, key: str = "appi
 
 
 NAME_GRAM = 3
-FIRST_NAMES = 4  # names a query scores before its bound is set
+FIRST_NAMES = 4  # names a query scores at least before its threshold is set
 
 
 def _runs(text: Column, n: int) -> Column:
@@ -138,12 +140,18 @@ def _run_counts(df: DataFrame, col: str, n: int) -> DataFrame:
         F.count("*").alias(f"__n{col}"))
 
 
-def _bounds(asked: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """(__q, __name, __rows, __ub) of the names that share a run with a query."""
-    shared = _run_counts(asked, "__q", n).join(_run_counts(names, "__name", n), "__g").groupBy("__q", "__name").agg(
-        F.sum(F.least("__n__q", "__n__name")).alias("__c"))
+def _bounds(asked: DataFrame, names: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(__q, __name, __rows, __ub) of the names that share a run of one of the sizes
+    with a query; the bound is the lowest that any of the sizes gives."""
     q_len, n_len = F.length("__q"), F.length("__name")
-    bound = _most_similar(F.greatest(q_len, n_len), F.abs(q_len - n_len), n, F.col("__c"))
+    runs = [_run_counts(asked, "__q", n).withColumn("__size", F.lit(n)) for n in sizes]
+    named = [_run_counts(names, "__name", n).withColumn("__size", F.lit(n)) for n in sizes]
+    both = reduce(DataFrame.unionByName, runs).join(reduce(DataFrame.unionByName, named), ["__size", "__g"])
+    least = F.least("__n__q", "__n__name")
+    shared = both.groupBy("__q", "__name").agg(*[
+        F.coalesce(F.sum(F.when(F.col("__size") == n, least)), F.lit(0)).alias(f"__c{n}") for n in sizes])
+    bounds = [_most_similar(F.greatest(q_len, n_len), F.abs(q_len - n_len), n, F.col(f"__c{n}")) for n in sizes]
+    bound = F.least(*bounds) if len(bounds) > 1 else bounds[0]
     return shared.join(names, "__name").select("__q", "__name", "__rows", bound.alias("__ub"))
 
 
@@ -161,34 +169,39 @@ def scored_names(asked: DataFrame, names: DataFrame, size: int) -> DataFrame:
     decide its ``size`` most similar rows; ``names`` are distinct, with their number
     of rows.
 
-    An inverted index of runs of characters, of ``NAME_GRAM`` down to one, gives the
-    names that share runs with a query, and how many; that and the lengths bound the
-    similarity from above. A few names of the highest bounds set the threshold (the
-    similarity of the ``size``-th row), then the others whose bound reaches it are
+    An inverted index of runs of characters gives the names that share runs with a
+    query, and how many; that and the lengths bound the similarity from above: first by
+    runs of ``NAME_GRAM``, then, for the queries that these do not decide, by shorter
+    ones down to single characters. A few names of the highest bounds set the threshold
+    (the similarity of the ``size``-th row), then the others whose bound reaches it are
     scored, each pair once. A query is done once its threshold beats the bound of all
     names that share no run; without one common character the similarity is zero, so
-    such names are never scored."""
+    such names are never scored. Few pairs are scored where a query's best names fill its
+    shortlist; the less similar the ``size``-th row is, the more names can reach it."""
     spark = asked.sparkSession
-    lengths = [r[0] for r in names.select(F.length("__name")).distinct().collect()]  # distinct lengths only
     scored = spark.createDataFrame([], "__q string, __name string, __rows bigint, __sim double")
     before = None
-    for n in range(NAME_GRAM, 0, -1):
-        found = _bounds(asked, names, n)
+    for sizes in ((NAME_GRAM,), tuple(range(NAME_GRAM - 1, 0, -1))):
+        found = _bounds(asked, names, sizes)
         if before is not None:  # a bound by longer runs still holds
             found = found.join(before.select("__q", "__name", F.col("__ub").alias("__old")), ["__q", "__name"], "left") \
                 .withColumn("__ub", F.least("__ub", "__old")).drop("__old")
         before = found = found.checkpoint()
-        for limit in (FIRST_NAMES, None):
+        for first in (True, False):
             left = found.join(scored, ["__q", "__name"], "left_anti").join(_thresholds(scored, asked, size), "__q").where(
                 (F.col("__ub") >= F.col("__tau")) & (F.col("__ub") > 0)).drop("__tau")
-            if limit:
-                left = top_k_per_group(left, ["__q"], [F.col("__ub").desc(), F.col("__name").asc()], limit, "__r").drop("__r")
+            if first:  # the highest bounds, until they hold a shortlist
+                left = top_k_per_group(left, ["__q"], [F.col("__ub").desc(), F.col("__name").asc()], size, "__r")
+                upto = F.sum("__rows").over(Window.partitionBy("__q").orderBy("__r"))
+                left = left.withColumn("__held", upto - F.col("__rows")).where(
+                    (F.col("__held") < size) | (F.col("__r") <= FIRST_NAMES)).drop("__r", "__held")
             new = left.select("__q", "__name", "__rows", name_similarity(F.col("__name"), F.col("__q")).alias("__sim"))
             scored = scored.union(new.checkpoint())
-        if n > 1:
+        if sizes[-1] > 1:
+            lengths = [r[0] for r in names.select(F.length("__name")).distinct().collect()]  # distinct lengths only
             q_len = F.length("__q")
             rest = F.array_max(F.transform(F.array(*[F.lit(x) for x in lengths]), lambda x: _most_similar(
-                F.greatest(q_len, x), F.abs(q_len - x), n, F.lit(0))))
+                F.greatest(q_len, x), F.abs(q_len - x), sizes[-1], F.lit(0))))
             asked = _thresholds(scored, asked, size).where(F.col("__tau") <= rest).select("__q").checkpoint()
             if asked.isEmpty():
                 break

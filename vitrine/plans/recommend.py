@@ -78,17 +78,18 @@ def year_hot(catalog: DataFrame, year: int | Column, n: int = HOT_LIST_SIZE) ->
 
 
 def prompt_recommend(catalog: DataFrame, queries: DataFrame,
-                     make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]],
+                     make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None,
                      make_rewriter: Callable[[], Callable[[str], str | None]] | None = None,
                      top_k_n: int = 10, text_col: str = "text", qid: str = "qid",
-                     key: str = "appid") -> DataFrame:
+                     key: str = "appid", vectors: DataFrame | None = None) -> DataFrame:
     """Free-text requests end to end, for a table of ``(qid, text)``.
 
     Each text is classified (:func:`resolve_prompts`): an item id or an exact
     name gets that item's similar items (one exact batch for all such
     requests, one query per distinct item); any other text is rewritten once
     per distinct text by the caller's function (optional; a failed or empty
-    rewrite keeps the text), encoded by the caller's encoder and searched
+    rewrite keeps the text), encoded by the caller's encoder (or looked up in
+    ``vectors``, a table (qid, qvec) of texts encoded before) and searched
     (blended, as the single form). Blank texts give a row with mode
     ``error`` and no recommendation.
 
@@ -108,7 +109,12 @@ def prompt_recommend(catalog: DataFrame, queries: DataFrame,
     sem = modes.where(F.col("mode") == "semantic").select(qid, "text")
     if make_rewriter is not None:
         sem = generate_distinct(sem, make_rewriter, "text", "rewritten").select(qid, F.col("rewritten").alias("text"))
-    vecs = encode(sem, make_encoder, "text", "qvec").select(F.col(qid).alias("qid"), "qvec")
+    if vectors is not None:
+        vecs = vectors.select("qid", "qvec").join(sem.select(F.col(qid).alias("qid")), "qid", "left_semi")
+    elif make_encoder is not None:
+        vecs = encode(sem, make_encoder, "text", "qvec").select(F.col(qid).alias("qid"), "qvec")
+    else:
+        raise ValueError("texts need an encoder or vectors")
     hits = (search_batch(catalog, vecs, top_k_n).withColumnRenamed("qid", qid)
             .select(qid, F.lit("semantic").alias("mode"), F.lit(None).cast(id_type).alias("center_appid"),
                     "rank", key, "similarity", "score"))

@@ -657,14 +657,17 @@ def _prompt_resolve(t: Tables) -> DataFrame:
     return search.resolve_prompts(_prompts(t), t.serving_table())
 
 
-PROMPT_DIM, PROMPT_K = 64, 3
+PROMPT_K = 3
 
 
-def _length_encoder():
-    """A deterministic stand-in for a text encoder: the axis of the text's length."""
-    def encode(texts: list[str]) -> list[list[float]]:
-        return [[float(i == len(x) % PROMPT_DIM) for i in range(PROMPT_DIM)] for x in texts]
-    return encode
+def _prompt_vectors(t: Tables) -> DataFrame:
+    """Vectors of the request texts: the stored vector whose place among all is the
+    request's number."""
+    e = t.t("embeddings")
+    n = e.select(F.count("*")).scalar()
+    number = F.substring("qid", 2, 18).cast("bigint")
+    asked = _prompts(t).select("qid", (number % n).alias("vec_id"))
+    return asked.join(e, "vec_id").select("qid", F.col("embedding").alias("qvec"))
 
 
 @register("prompt_recommend", f"""
@@ -674,8 +677,11 @@ near AS (SELECT seed, b.appid, CASE WHEN seed = b.appid THEN -1.0 ELSE list_dot_
          FROM seeds JOIN sv a ON a.appid = seed, sv b),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, appid) AS rank FROM near
            QUALIFY rank <= {PROMPT_K}),
-pairs AS (SELECT m.qid, b.appid, b.vec[length(m.text) % {PROMPT_DIM} + 1] AS similarity, b.positive_ratio, b.review_count
-          FROM modes m, sv b WHERE m.mode = 'semantic'),
+unit AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(
+           list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS qv FROM embeddings),
+pairs AS (SELECT m.qid, b.appid, list_dot_product(u.qv, b.vec) AS similarity, b.positive_ratio, b.review_count
+          FROM modes m JOIN unit u ON u.vec_id = CAST(substr(m.qid, 2) AS BIGINT) % (SELECT count(*) FROM embeddings), sv b
+          WHERE m.mode = 'semantic'),
 mm AS (SELECT qid, min(similarity) AS smin, max(similarity) AS smax FROM pairs GROUP BY qid),
 cc AS (SELECT min(ln(1 + coalesce(review_count, 0))) AS cmin, max(ln(1 + coalesce(review_count, 0))) AS cmax FROM sv),
 sc AS (SELECT p.qid, p.appid, p.similarity,
@@ -690,7 +696,7 @@ FROM modes JOIN ranked ON center_appid = seed WHERE mode IN ('appid', 'name')
 UNION ALL SELECT qid, 'semantic', NULL, rank, appid, round(similarity, 6), round(score, 6) FROM found
 UNION ALL SELECT qid, mode, NULL, NULL, NULL, NULL, NULL FROM modes WHERE mode = 'error'""")
 def _prompt_recommend(t: Tables) -> DataFrame:
-    return rec.prompt_recommend(t.serving_table(), _prompts(t), _length_encoder, top_k_n=PROMPT_K)
+    return rec.prompt_recommend(t.serving_table(), _prompts(t), top_k_n=PROMPT_K, vectors=_prompt_vectors(t))
 
 
 # ================================================================= enrichment
