@@ -95,7 +95,7 @@ def test_quality_odd_rows(spark, odd, empty_docs, labels):
     got = quality_net.score_quality(odd, net, ("doc_id", "score")).toDF("doc_id", "extra", "score").collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.extra == "extra score" for r in got)
     by_id = {r.doc_id: r.score for r in got}
-    assert by_id[100] == by_id[101]
+    assert abs(by_id[100] - by_id[101]) < 1e-6  # float32 sums follow the shape of the batch
     assert quality_net.score_quality(empty_docs, net).count() == 0
     none = quality_net.fit_quality(odd, labels.limit(0))
     assert {r.score for r in quality_net.score_quality(odd, none).collect()} == {0.5}
@@ -148,9 +148,8 @@ def test_contexts_beyond_the_table_match_brute_force(monkeypatch):
     expected = [[brute_bits(learned[k], t, seen) for k in ("x", "y")] for t in texts]
     for cap in (0, 1, 5, 20):
         trees = ContextTrees(learned, max_contexts=cap)
-        for block, few in ((1 << 20, 4096), (5, 2)):
+        for block in (1 << 20, 5):
             monkeypatch.setattr(language_ppm, "BLOCK_BYTES", block)
-            monkeypatch.setattr(language_ppm, "DIRECT_CONTEXTS", few)
             assert np.allclose(trees.total_bits(*laid(texts)), expected, atol=1e-3)
 
 

@@ -14,7 +14,8 @@ without any shuffle.
 Cases: null and empty texts are scored as one chunk of padding; several labels
 of a document are averaged; documents without label are scored like any other;
 without labelled rows of both kinds every score is the share of label 1 (0.5
-without any); repeated rows get equal scores; equal responses of a filter count once,
+without any); repeated rows get equal scores but for rounding (float32
+sums); equal responses of a filter count once,
 as its largest; texts of any length are scored whole, in slabs of bounded size; an empty
 table gives no rows; extra columns are ignored.
 """

@@ -66,7 +66,7 @@ BLOCK_BYTES = (1 << 20) - 8192
 CUT_BYTES = 1 << 22
 BUCKET_BYTES = 20 << 20  # of text, per bucket of triggers
 REGION_BYTES = 10 << 20  # of text, per bucket of strings
-CUT, DENSITY = 4, 8  # bytes whose hash ends a phrase, and one in how many does
+CUT, DENSITY = 4, 16  # bytes whose hash ends a phrase, and one in how many does
 SEED = C.SEED
 TRIGGERS = "bucket int, kind int, ids binary, keys binary, counts binary, gaps binary, wide binary, hashes binary"
 REGIONS = ("bucket int, kind int, ids binary, keys binary, counts binary, spans binary, places binary, "
@@ -334,31 +334,36 @@ def _phrases(rows: np.ndarray) -> np.ndarray:
 def _dictionary(rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The parse of the rows: per phrase its row and its rank among the distinct
     phrases of all rows, and the size of that dictionary."""
-    n, width = rows.shape
+    width = rows.shape[1]
     flat = rows.ravel()
-    stop = np.flatnonzero(ends.ravel()) + 1
-    start = np.concatenate(([0], stop[:-1]))
-    size = stop - start
-    # bytes of a phrase as rows of the dictionary: hashes find the distinct ones, bytes decide
+    stop = (np.flatnonzero(ends.ravel()) + 1).astype(np.int32)
+    start = np.concatenate((np.zeros(1, np.int32), stop[:-1]))
+    size = (stop - start).astype(np.uint8)
+    lots = range(0, len(start), 1 << 18)
+    # hashes find the distinct phrases, bytes decide
     h = np.empty(len(start), np.uint64)
-    for at in range(0, len(start), 1 << 18):
-        lo, hi = int(start[at]), int(stop[min(at + (1 << 18), len(stop)) - 1])
-        prefix = C.prefix_hash(C.BYTE_VALUES[flat[lo:hi]], SEED)
+    for at in lots:
         cut = slice(at, at + (1 << 18))
+        lo, hi = int(start[cut][0]), int(stop[cut][-1])
+        prefix = C.prefix_hash(C.BYTE_VALUES[flat[lo:hi]], SEED)
         h[cut] = C.mix64(C.span_hash(prefix, start[cut] - lo, stop[cut] - lo, SEED) + size[cut].astype(np.uint64))
-    names, first, name = np.unique(h, return_index=True, return_inverse=True)
-    odd = ~_same_bytes(flat, start, start[first[name]], size, size[first[name]])
-    if odd.any():  # different phrases of one hash: each such occurrence is its own entry
-        extra = np.flatnonzero(odd)
-        name[extra] = len(names) + np.arange(len(extra))
-        first = np.concatenate((first, extra))
+    _, first, name = np.unique(h, return_index=True, return_inverse=True)
+    del h
+    first, name = first.astype(np.int32), name.astype(np.int32)
+    for at in lots:
+        cut = slice(at, at + (1 << 18))
+        like = first[name[cut]]
+        odd = np.flatnonzero(~_same_bytes(flat, start[cut], start[like], size[cut], size[like]))
+        if len(odd):  # different phrases of one hash: each such occurrence is its own entry
+            name[at + odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate((first, (at + odd).astype(np.int32)))
     longest = int(size.max())
     entries = np.zeros((len(first), longest), np.uint8)
     for step in range(longest):
         here = np.flatnonzero(size[first] > step)
         entries[here, step] = flat[start[first[here]] + step]
     order = _sorted_rows(entries)
-    rank = np.empty(len(first), np.int64)
+    rank = np.empty(len(first), np.int32)
     # equal entries (of one hash or not) have one rank
     rank[order] = np.cumsum(_common(entries, order) < longest)
     return (stop - 1) // width, rank[name], len(first)
@@ -367,8 +372,8 @@ def _dictionary(rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _parse_order(rows: np.ndarray) -> np.ndarray:
     """Order of byte rows by their sequences of phrase ranks."""
     row, rank, _ = _dictionary(rows, _phrases(rows))
-    begin = np.searchsorted(row, np.arange(len(rows)))
-    place = np.arange(len(row)) - begin[row]
+    begin = np.searchsorted(row, np.arange(len(rows))).astype(np.int32)
+    place = np.arange(len(row), dtype=np.int32) - begin[row]
     parse = np.zeros((len(rows), int(place.max()) + 1), np.int32)
     parse[row, place] = rank
     return np.lexsort(parse.T[::-1])
