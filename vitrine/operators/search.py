@@ -198,11 +198,12 @@ def scored_names(asked: DataFrame, names: DataFrame, size: int) -> DataFrame:
             new = left.select("__q", "__name", "__rows", name_similarity(F.col("__name"), F.col("__q")).alias("__sim"))
             scored = scored.union(new.checkpoint())
         if sizes[-1] > 1:
-            lengths = [r[0] for r in names.select(F.length("__name")).distinct().collect()]  # distinct lengths only
+            lengths = names.agg(F.collect_set(F.length("__name"))).scalar()  # distinct lengths only
             q_len = F.length("__q")
-            rest = F.array_max(F.transform(F.array(*[F.lit(x) for x in lengths]), lambda x: _most_similar(
+            rest = F.array_max(F.transform("__lengths", lambda x: _most_similar(
                 F.greatest(q_len, x), F.abs(q_len - x), sizes[-1], F.lit(0))))
-            asked = _thresholds(scored, asked, size).where(F.col("__tau") <= rest).select("__q").checkpoint()
+            asked = _thresholds(scored, asked, size).withColumn("__lengths", lengths).where(
+                F.col("__tau") <= rest).select("__q").checkpoint()
             if asked.isEmpty():
                 break
     return scored
