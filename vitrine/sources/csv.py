@@ -86,8 +86,9 @@ def quoted_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    ends = F.min_by(F.endswith(F.col("value"), F.lit("\r")), F.monotonically_increasing_id())  # of a range's first line
-    ranges = lines.groupBy("file", "start").agg(F.sum(quotes).alias("n"), ends.alias("crlf"))
+    ends = F.min_by(F.endswith(F.col("value"), F.lit("\r")), F.col("place"))  # of a range's first line
+    ranges = lines.withColumn("place", F.monotonically_increasing_id()).groupBy("file", "start").agg(
+        F.sum(quotes).alias("n"), ends.alias("crlf"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     # one thin row per range of the files
     state = ranges.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).alias("odd"),
