@@ -372,3 +372,131 @@ def test_vector_index(spark):
     assert {(r.qid, r.rank): (r.appid, round(r.similarity, 9)) for r in every} == want
     none = VectorIndex.build(cat.limit(0), k=5)
     assert none.search(seeds.limit(0), 5).count() == 0
+
+
+def _block(ids, vecs, **cols):
+    import pyarrow as pa
+    return pa.table({"appid": pa.array(ids, pa.int64()), "vec": pa.array([v.tolist() for v in vecs], pa.list_(pa.float64())), **cols})
+
+
+def _asked(ids, vecs, seeds):
+    import pyarrow as pa
+    return pa.table({"qid": pa.array(ids, pa.int64()), "qvec": pa.array([v.tolist() for v in vecs], pa.list_(pa.float64())),
+                     "seed_id": pa.array(seeds, pa.int64())})
+
+
+def _raw(table):
+    import pyarrow as pa
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _peak(run):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _topk(blocks, asked, k, reviews_range=None, extremes=None):
+    import pyarrow as pa
+    best = similarity._Best("appid", "vec", True, k, reviews_range)
+    run = similarity._topk_cells([_raw(asked)], best, extremes)
+    batches = (pa.RecordBatch.from_pydict({"rows": pa.array([_raw(b)], pa.binary())}) for b in blocks)
+    return [r for batch in run(batches) for r in batch.to_pylist()]
+
+
+def test_batch_memory_of_a_task():
+    """What a task holds besides its blocks does not follow their size."""
+    rng = np.random.default_rng(1)
+    c, q = (similarity._unit_rows(rng.normal(size=(n, 64))) for n in (8000, 8000))
+    blocks, asked = [_block(range(8000), c)], _asked(range(8000), q, [None] * 8000)
+    assert _peak(lambda: _topk(blocks, asked, 5)) < 90e6
+
+
+def test_batch_rows_given_out():
+    """A task gives out few rows for a query, however many blocks it has read."""
+    rng = np.random.default_rng(2)
+    c, q = (similarity._unit_rows(rng.normal(size=(n, 8))) for n in (4000, 50))
+    blocks = [_block(range(at, at + 100), c[at:at + 100]) for at in range(0, 4000, 100)]
+    rows = _topk(blocks, _asked(range(50), q, [None] * 50), 5)
+    assert len(rows) < 50 * 5 * 40 / 4
+    want = np.argsort(-(q @ c.T), axis=1)[:, :5]
+    for i in range(50):
+        mine = sorted((r for r in rows if r["qid"] == i), key=lambda r: (-r["similarity"], r["appid"]))[:5]
+        assert [r["appid"] for r in mine] == want[i].tolist()
+
+
+@pytest.mark.parametrize("blend", [False, True])
+def test_batch_near_ties_and_odd_vectors(blend):
+    """Scores that differ by less than single precision shows; vectors that hold no
+    number; a seed's own row; equal similarities everywhere."""
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    base = similarity._unit_rows(rng.normal(size=(1, 16)))
+    c = base + 1e-9 * rng.normal(size=(600, 16))
+    c[7] = np.nan
+    q = np.vstack([base, rng.normal(size=(2, 16)), np.zeros((1, 16))])
+    unit = similarity._unit_rows(q)
+    table = _block(range(600), c, __ratio=pa.array(rng.integers(0, 3, 600) / 2), __lc=pa.array(rng.integers(0, 3, 600) * 1.0))
+    asked = _asked(range(4), q, [5, None, 7, None])
+    sims = np.einsum("qj,cj->qc", unit, c)
+    sims[0, 5] = sims[2, 7] = -1.0
+    key, extremes = sims, None
+    if blend:
+        got = [r for b in similarity._minmax_cells([_raw(asked)], "appid", "vec", True)(
+            iter([pa.RecordBatch.from_pydict({"rows": pa.array([_raw(table)], pa.binary())})])) for r in b.to_pylist()]
+        extremes = [np.array([[r["smin"] for r in got], [r["smax"] for r in got]])]
+        assert extremes[0] == pytest.approx(np.array([np.nanmin(sims, axis=1), np.nanmax(sims, axis=1)]), abs=1e-14)
+        low, high = extremes[0][:, :, None]
+        key = 0.6 * ((sims - low) / (high - low + 1e-8)) + (
+            0.25 * table["__ratio"].to_numpy() + 0.15 * table["__lc"].to_numpy() / (2 + 1e-8))
+    rows = _topk([table.slice(at, 150) for at in range(0, 600, 150)], asked, 4, (0.0, 2.0) if blend else None, extremes)
+    for i in range(4):
+        mine = sorted((r["score" if blend else "similarity"] for r in rows if r["qid"] == i), reverse=True)[:4]
+        assert mine == pytest.approx(sorted(key[i][np.isfinite(key[i])], reverse=True)[:4], abs=2e-8 if blend else 1e-14)
+
+
+def test_index_fit_in_bounded_memory():
+    from vitrine.operators import vector_index
+    rng = np.random.default_rng(5)
+    sample = similarity._unit_rows(rng.normal(size=(20000, 8)))
+    assert _peak(lambda: vector_index._fit_probes(sample, vector_index._centres(sample, 500), 5, 0.95)) < 60e6
+
+
+def test_prompts_with_one_vector_are_one_search(spark, monkeypatch):
+    from vitrine.plans import recommend
+    c = catalog(spark, rows_basic())
+    texts = spark.createDataFrame([(f"q{i}", f"text {i}") for i in range(12)], "qid string, text string")
+    vectors = texts.selectExpr("qid", "array(cast(substr(qid, 2) as int) % 2, 1.0, 0.5) as qvec")
+    searched = []
+    plain = recommend.search_batch
+
+    def counted(cat, q, *args):
+        searched.append(q.count())
+        return plain(cat, q, *args)
+    monkeypatch.setattr(recommend, "search_batch", counted)
+    got = {(r.qid, r["rank"]): (r.appid, r.score) for r in
+           recommend.prompt_recommend(c, texts, top_k_n=3, vectors=vectors).collect()}
+    assert searched == [2] and len(got) == 36
+    for i in range(12):
+        single = search_by_vector(c, [float(i % 2), 1.0, 0.5], 3).collect()
+        assert [got[f"q{i}", r["rank"]] for r in single] == [(r.appid, pytest.approx(r.score)) for r in single]
+
+
+def test_the_index_copies_no_query_per_cell(spark):
+    """No join and no exchange of vectors, whatever the number of probed cells."""
+    from vitrine.operators.vector_index import VectorIndex
+    rng = np.random.default_rng(6)
+    v = similarity._unit_rows(rng.normal(size=(300, 8)))
+    cat = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "appid bigint, vec array<double>")
+    index = VectorIndex.build(cat, k=3)
+    text = index.search(cat.selectExpr("appid as qid", "vec as qvec"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+    for line in text.splitlines():
+        assert not ("Exchange " in line and ("rows" in line or "vec" in line)), line

@@ -27,8 +27,9 @@ def _row_hash(df: DataFrame) -> Column | None:
     return F.xxhash64(*hashable) if hashable else None
 
 
-def _first_rows(df: DataFrame, group_cols: Sequence[str | Column], order: Sequence[Column], k: int,
-                rank_col: str) -> DataFrame:
+def best_per_group(df: DataFrame, group_cols: Sequence[str | Column], order: Sequence[Column], k: int,
+                   rank_col: str = RANK_COL) -> DataFrame:
+    """As :func:`top_k_per_group` for groups of bounded size: one shuffle."""
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
@@ -44,8 +45,8 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str | Column], order: Se
     salt = _row_hash(df)
     if salt is not None:
         salted = df.withColumn("__salt", F.pmod(salt, F.lit(SALTS)))
-        df = _first_rows(salted, [*group_cols, "__salt"], order, k, rank_col).drop("__salt", rank_col)
-    return _first_rows(df, group_cols, order, k, rank_col)
+        df = best_per_group(salted, [*group_cols, "__salt"], order, k, rank_col).drop("__salt", rank_col)
+    return best_per_group(df, group_cols, order, k, rank_col)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, rank_col: str = RANK_COL) -> DataFrame:
@@ -66,4 +67,4 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     columns are interchangeable)."""
     tie = _row_hash(df)
     order = [*order] if tie is None else [*order, tie.asc()]
-    return _first_rows(df, keys, order, 1, "__rn").drop("__rn")
+    return best_per_group(df, keys, order, 1, "__rn").drop("__rn")

@@ -17,7 +17,7 @@ query, and these are merged. Vectors are never shuffled per pair of blocks.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.scoring import blend, log_count, min_max
 from vitrine.functions.vectors import dot, l2_normalize
 from vitrine.operators.filters import Filters, apply_filters
-from vitrine.operators.ranking import first_per_key, top_k, top_k_per_group
+from vitrine.operators.ranking import best_per_group, first_per_key, top_k
 from vitrine.session import checkpoint_path, ensure_checkpoint_dir
 
 # --- fixed values: similarity of the seed row, output columns ---
@@ -175,9 +175,12 @@ def stored_vector(vectors: DataFrame, key, id_col: str, vec_col: str, normalize:
 
 # Bytes of vectors in one packed block, and of similarities held at once.
 BLOCK_BYTES = 4 << 20
-SIMS_BYTES = 32 << 20
+SIMS_BYTES = 4 << 20
 # Bytes of query vectors sent to the catalog's blocks at once.
-ROUND_BYTES = 32 << 20
+ROUND_BYTES = 16 << 20
+# Bytes of the best scores that a task keeps for a block of queries; rows given out at once.
+HELD_BYTES = 8 << 20
+OUT_ROWS = 1 << 17
 
 
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
@@ -267,93 +270,226 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
 
 
-def _cell_sims(queries: pa.Table, cands: pa.Table, id_col: str, vec_col: str,
-               keep_seed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Similarities (candidates x queries) of one pair of blocks, some queries
-    at a time; the seed row of a query is -1 (kept) or -inf (dropped)."""
-    mat, q_mat = _matrix(cands.column(vec_col)), _unit_rows(_matrix(queries.column("qvec")))
-    places: dict = {}
-    for i, key in enumerate(cands.column(id_col).to_pylist()):
-        places.setdefault(key, []).append(i)
-    seeds = queries.column("seed_id").to_pylist()
-    step = max(1, SIMS_BYTES // (8 * len(mat)))
-    for at in range(0, len(q_mat), step):
-        cols = np.arange(at, min(at + step, len(q_mat)))
-        sims = mat @ q_mat[cols].T
-        for j, c in enumerate(cols):
-            if seeds[c] is not None and seeds[c] in places:
-                sims[places[seeds[c]], j] = SEED_SIMILARITY if keep_seed else -np.inf
-        yield cols, sims
+class _Asked:
+    """A block of queries: unit vectors and seeds."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self.mat = _unit_rows(_matrix(table.column("qvec")))
+        self.seeds = table.column("seed_id").to_pylist()
+        self.odd = ~np.isfinite(self.mat).all(axis=1)  # nothing is similar to these
+
+    def some(self, rows: np.ndarray) -> _Asked:
+        """The queries of some rows (their vectors are no longer in the table)."""
+        out = _Asked.__new__(_Asked)
+        out.table = self.table.select(["qid"]).take(pa.array(rows))
+        out.mat, out.odd, out.seeds = self.mat[rows], self.odd[rows], [self.seeds[i] for i in rows]
+        return out
+
+
+class _Cands:
+    """A block of candidates; rows with a component that is no number are similar to nothing."""
+
+    def __init__(self, table: pa.Table, id_col: str, vec_col: str):
+        self.table = table
+        mat = _matrix(table.column(vec_col))
+        self.odd = ~np.isfinite(mat).all(axis=1)
+        self.mat = np.where(self.odd[:, None], np.nan, mat) if self.odd.any() else mat
+        self.flat = np.where(self.odd[:, None], 0.0, mat) if self.odd.any() else mat
+        self.norm = float(np.sqrt((self.flat * self.flat).sum(axis=1).max(initial=0.0)))
+        self.places: dict = {}
+        for i, key in enumerate(table.column(id_col).to_pylist()):
+            self.places.setdefault(key, []).append(i)
+
+    def seeds_of(self, asked: _Asked) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the queries' own rows, by query."""
+        met = [(c, i) for c, s in enumerate(asked.seeds) if s is not None for i in self.places.get(s, ())]
+        pairs = np.array(met, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+
+def _exact(asked: _Asked, cands: _Cands, q: np.ndarray, c: np.ndarray, own: np.ndarray, keep_seed: bool) -> np.ndarray:
+    """Similarities of pairs, in runs of bounded size; ``own``: codes of seed pairs."""
+    out = np.empty(len(q))
+    step = max(1, SIMS_BYTES // (16 * max(cands.mat.shape[1], 1)))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        out[part] = np.einsum("ij,ij->i", asked.mat[q[part]], cands.mat[c[part]])
+    if len(own):
+        out[np.isin(q * len(cands.mat) + c, own)] = SEED_SIMILARITY if keep_seed else -np.inf
+    return out
+
+
+def _float_tiles(asked: _Asked, cands: _Cands, scale: np.ndarray | None, fixed: np.ndarray | None,
+                 keep_seed: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """``scale`` x similarity + ``fixed`` (queries x candidates) in single precision,
+    some queries at a time, with a bound of each query's error and the seed pairs
+    (already set): what the few pairs that matter are found by."""
+    left, right = asked.mat, cands.flat
+    most = np.full(len(left), cands.norm)
+    if scale is not None:
+        left = np.hstack([left * scale[:, None], np.ones((len(left), 1))])
+        right = np.hstack([right, fixed[:, None]])
+        most = scale * cands.norm + np.abs(fixed).max(initial=0.0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        left, right = np.where(asked.odd[:, None], 0, left).astype(np.float32), right.astype(np.float32).T
+        error = (right.shape[0] + 4) * 2.0 ** -22 * np.maximum(most, 1e-30)
+    error[~np.isfinite(error) | (error > 1e30) | asked.odd] = np.inf
+    seed_q, seed_c = cands.seeds_of(asked)
+    odd = np.flatnonzero(cands.odd)
+    step = max(1, SIMS_BYTES // (4 * right.shape[1]))
+    for at in range(0, len(left), step):
+        cols = slice(at, min(at + step, len(left)))
+        tile = left[cols] @ right
+        lo, hi = np.searchsorted(seed_q, (cols.start, cols.stop))
+        q, c = seed_q[lo:hi] - at, seed_c[lo:hi]
+        if len(q):
+            tile[q, c] = -np.inf if not keep_seed else SEED_SIMILARITY if scale is None else (
+                scale[q + at] * SEED_SIMILARITY + fixed[c])
+        own = (seed_q[lo:hi] * right.shape[1] + seed_c[lo:hi], c)
+        if len(odd):
+            tile[:, odd] = -np.inf
+            if len(q) and keep_seed:  # a seed's own row counts whatever its vector holds
+                again = np.isin(c, odd)
+                tile[q[again], c[again]] = SEED_SIMILARITY if scale is None else scale[q[again] + at] * SEED_SIMILARITY + fixed[c[again]]
+        yield cols, tile, error[cols], own
 
 
 def _minmax_cells(asked: list[bytes], id_col: str, vec_col: str, keep_seed: bool):
+    """Each query's least and largest similarity to the rows of a task."""
+    def update(queries: _Asked, cands: _Cands, low: np.ndarray, high: np.ndarray) -> None:
+        for cols, tile, error, (own, _) in _float_tiles(queries, cands, None, None, keep_seed):
+            for sign, best, pick in ((1.0, high, np.fmax), (-1.0, low, np.fmin)):
+                if sign < 0:
+                    tile = np.where(tile == -np.inf, -np.inf, -tile)  # rows that do not count stay last
+                top = tile.max(axis=1).astype("float64")
+                with np.errstate(invalid="ignore"):
+                    need = np.flatnonzero((top > -np.inf) & ~(top + error < sign * best[cols]))
+                    part = tile[need] >= np.where(np.isfinite(error[need]), top[need] - 2 * error[need], -np.inf)[:, None]
+                q, c = np.nonzero(part)
+                q = need[q] + cols.start
+                exact = _exact(queries, cands, q, c, own, keep_seed)
+                ok = np.isfinite(exact)
+                pick.at(best, q[ok], exact[ok])
+
     def run(batches):
-        tables = [_unpack(x) for x in asked]
+        tables = [_Asked(_unpack(x)) for x in asked]
+        low = [np.full(len(t.mat), np.inf) for t in tables]
+        high = [np.full(len(t.mat), -np.inf) for t in tables]
         for batch in batches:
             for c_rows in batch.column("rows"):
-                cands = _unpack(c_rows.as_py())
+                cands = _Cands(_unpack(c_rows.as_py()), id_col, vec_col)
                 for b, queries in enumerate(tables):
-                    for cols, sims in _cell_sims(queries, cands, id_col, vec_col, keep_seed):
-                        real = np.isfinite(sims)
-                        low = np.where(real, sims, np.inf).min(axis=0)
-                        high = np.where(real, sims, -np.inf).max(axis=0)
-                        ok = np.isfinite(low)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(ok.sum(), b)), pa.array(cols[ok]), pa.array(low[ok]), pa.array(high[ok])],
-                            ["b", "q", "smin", "smax"])
+                    update(queries, cands, low[b], high[b])
+        for b in range(len(tables)):
+            ok = np.flatnonzero(np.isfinite(low[b]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ok), b)), pa.array(ok), pa.array(low[b][ok]), pa.array(high[b][ok])],
+                ["b", "q", "smin", "smax"])
     return run
 
 
 class _Best:
-    """The k best rows of a block of candidates for a block of queries."""
+    """The k best rows of a block of candidates for a block of queries.
+
+    Products in single precision rule out the pairs that cannot be among the k best
+    (their error is bounded); the pairs left are scored in double precision. ``held``
+    are each query's k best scores in the blocks before: rows below them are left out."""
 
     def __init__(self, id_col: str, vec_col: str, keep_seed: bool, k: int, reviews_range: tuple[float, float] | None):
         self.id_col, self.vec_col, self.keep_seed, self.k, self.range = id_col, vec_col, keep_seed, k, reviews_range
 
-    def __call__(self, queries: pa.Table, cands: pa.Table, extremes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def room(self, queries: _Asked) -> np.ndarray | None:
+        """Held scores of a block of queries; none if these would take much memory."""
+        return np.full((len(queries.mat), self.k), -np.inf) if 8 * len(queries.mat) * self.k <= HELD_BYTES else None
+
+    def _least(self, tile: np.ndarray) -> np.ndarray:
+        """A score that k rows of each query reach: the k-th of the maxima of groups of rows."""
+        groups = min(tile.shape[1], max(64, 4 * self.k))
+        if groups < self.k:
+            return np.full(len(tile), -np.inf)
+        whole = tile.shape[1] // groups
+        tops = tile[:, :groups * whole].reshape(len(tile), whole, groups).max(axis=1)
+        return np.partition(tops, groups - self.k, axis=1)[:, groups - self.k].astype("float64")
+
+    def __call__(self, queries: _Asked, cands: _Cands, extremes: np.ndarray | None,
+                 held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         from vitrine.functions.scoring import (BLEND_RATIO_DEFAULT, RATIO_WEIGHT, REVIEWS_WEIGHT, SCALE_EPS,
                                                SIM_WEIGHT)
 
         def number(table: pa.Table, name: str) -> np.ndarray:
             return table.column(name).to_numpy().astype("float64")
         id_col, k = self.id_col, self.k
-        order = np.unique(cands.column(id_col).to_numpy(), return_inverse=True)[1]  # ties go by id
+        if not len(cands.mat) or not len(queries.mat):
+            return
+        order = np.unique(cands.table.column(id_col).to_numpy(), return_inverse=True)[1]  # ties go by id
+        scale = fixed = None
+        base = np.zeros(len(queries.mat))
         if self.range is not None:
-            ratio = number(cands, "__ratio")
+            ratio = number(cands.table, "__ratio")
             ratio = np.where(np.isnan(ratio), BLEND_RATIO_DEFAULT, ratio)
             low, high = self.range
-            reviews = (number(cands, "__lc") - low) / (high - low + SCALE_EPS)
+            reviews = (number(cands.table, "__lc") - low) / (high - low + SCALE_EPS)
             fixed = RATIO_WEIGHT * ratio + REVIEWS_WEIGHT * reviews
             smin, smax = extremes
-        for cols, sims in _cell_sims(queries, cands, id_col, self.vec_col, self.keep_seed):
-            key = sims
+            scale = SIM_WEIGHT / (smax - smin + SCALE_EPS)
+            base = scale * smin  # a score is the tile's value less this
+        found: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            q, c, sims, key = (np.concatenate(x) for x in zip(*found))
+            out = {"qid": queries.table.column("qid").take(pa.array(q)).combine_chunks(),
+                   id_col: cands.table.column(id_col).take(pa.array(c)).combine_chunks(), "similarity": pa.array(sims)}
             if self.range is not None:
-                scaled = (sims - smin[cols]) / (smax[cols] - smin[cols] + SCALE_EPS)
-                key = np.where(np.isfinite(sims), SIM_WEIGHT * scaled + fixed[:, None], -np.inf)
-            # rows tied with the k-th stay until the order by id decides
-            least = (np.partition(key, len(key) - k, axis=0)[len(key) - k] if k < len(key)
-                     else np.full(key.shape[1], -np.inf))
-            rows, c = np.nonzero((key >= least) & np.isfinite(key))
-            by = np.lexsort((order[rows], -key[rows, c], c))
-            rows, c = rows[by], c[by]
-            first = np.arange(len(c)) - np.searchsorted(c, c) < k
-            rows, c = rows[first], c[first]
-            out = {"qid": queries.column("qid").take(cols[c]).combine_chunks(),
-                   id_col: cands.column(id_col).take(rows).combine_chunks(),
-                   "similarity": pa.array(sims[rows, c])}
+                out["score"] = pa.array(key)
+            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        for cols, tile, error, (own, _) in _float_tiles(queries, cands, scale, fixed, self.keep_seed):
+            past = np.full(len(tile), -np.inf) if held is None else held[cols].min(axis=1)
+            start = past + base[cols]
+            if not np.isfinite(past).all():
+                start = np.maximum(start, self._least(tile))
+            with np.errstate(invalid="ignore"):
+                least = np.where(np.isfinite(error), start - 2 * error, -np.inf)
+            # rounded down, so that the comparison in single precision loses nothing
+            least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+            at = np.flatnonzero((tile >= least[:, None]).ravel())
+            q, c = at // tile.shape[1], at % tile.shape[1]
+            sims = _exact(queries, cands, q + cols.start, c, own, self.keep_seed)
+            key = sims
             if self.range is not None:
-                out["score"] = pa.array(key[rows, c])
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                key = SIM_WEIGHT * ((sims - smin[q + cols.start]) / (smax[q + cols.start] - smin[q + cols.start] + SCALE_EPS)) + fixed[c]
+            ok = np.isfinite(sims) & np.isfinite(key) & (key >= past[q])
+            q, c, sims, key = q[ok], c[ok], sims[ok], key[ok]
+            by = np.lexsort((order[c], -key, q))
+            q, c, sims, key = q[by], c[by], sims[by], key[by]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            first = place < k
+            q, c, sims, key, place = q[first], c[first], sims[first], key[first], place[first]
+            if not len(q):
+                continue
+            if held is not None:
+                new = np.full((len(tile), k), -np.inf)
+                new[q, place] = key
+                held[cols] = np.partition(np.hstack([held[cols], new]), k, axis=1)[:, k:]
+            found.append((q + cols.start, c, sims, key))
+            size += len(q)
+            if size >= OUT_ROWS:
+                yield flush()
+                found, size = [], 0
+        if found:
+            yield flush()
 
 
 def _topk_cells(asked: list[bytes], best: _Best, extremes: list[np.ndarray] | None):
     def run(batches):
-        tables = [_unpack(x) for x in asked]
+        tables = [_Asked(_unpack(x)) for x in asked]
+        held = [best.room(t) for t in tables]
         for batch in batches:
             for c_rows in batch.column("rows"):
-                cands = _unpack(c_rows.as_py())
+                cands = _Cands(_unpack(c_rows.as_py()), best.id_col, best.vec_col)
                 for b, queries in enumerate(tables):
-                    yield from best(queries, cands, None if extremes is None else extremes[b])
+                    yield from best(queries, cands, None if extremes is None else extremes[b], held[b])
     return run
 
 
@@ -369,6 +505,22 @@ def _extremes(found: DataFrame, asked: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def in_rounds(q: DataFrame, one_round: Callable[[list[bytes]], DataFrame]) -> DataFrame | None:
+    """``one_round`` of all packed queries, a round at a time; with more than one round
+    each is written when its queries are at hand. None without queries."""
+    spark, partial, path = q.sparkSession, None, None
+    for asked in _query_rounds(q):
+        if partial is not None:
+            if path is None:
+                ensure_checkpoint_dir(spark)
+                path = checkpoint_path(spark, f"rounds-{uuid.uuid4().hex[:12]}")
+                partial.write.parquet(path)
+            one_round(asked).write.mode("append").parquet(path)
+        else:
+            partial = one_round(asked)
+    return partial if path is None else spark.read.schema(partial.schema).parquet(path)
+
+
 def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
                      filters: Filters | None = None, use_blend: bool = False,
                      keep_seed: bool = True, id_col: str = "appid", vec_col: str = "vec") -> DataFrame:
@@ -418,22 +570,12 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
             extremes = _extremes(blocks.mapInArrow(_minmax_cells(asked, id_col, vec_col, keep_seed),
                                                    "b bigint, q bigint, smin double, smax double"), asked)
         return blocks.mapInArrow(_topk_cells(asked, best, extremes), schema)
-    partial, path = None, None
-    for asked in _query_rounds(q):
-        if partial is not None:  # more than one round: each is written when its queries are at hand
-            if path is None:
-                ensure_checkpoint_dir(catalog.sparkSession)
-                path = checkpoint_path(catalog.sparkSession, f"rounds-{uuid.uuid4().hex[:12]}")
-                partial.write.parquet(path)
-            one_round(asked).write.mode("append").parquet(path)
-        else:
-            partial = one_round(asked)
+    partial = in_rounds(q, one_round)
     if partial is None:
         partial = catalog.sparkSession.createDataFrame([], schema)
-    elif path is not None:
-        partial = catalog.sparkSession.read.schema(schema).parquet(path)
     sort = F.col("score") if use_blend else F.col("similarity")
-    return top_k_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n).select(*out_cols)
+    # a query has some rows of each task at most: no group is large enough to be salted
+    return best_per_group(partial, ["qid"], [sort.desc(), F.col(id_col).asc()], top_k_n).select(*out_cols)
 
 
 def recommend_batch(catalog: DataFrame, seeds: DataFrame, top_k_n: int = 10,
