@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.scoring import popularity
 from vitrine.operators.filters import Filters, parse_filters
-from vitrine.operators.ranking import top_k
+from vitrine.operators.ranking import first_per_key, top_k
 from vitrine.operators.enrich import encode, generate_distinct
 from vitrine.operators.search import find_by_name, first_candidate, resolve_prompts
 from vitrine.operators.similarity import (recommend_batch, recommend_similar, search_batch,
@@ -89,8 +89,8 @@ def prompt_recommend(catalog: DataFrame, queries: DataFrame,
     requests, one query per distinct item); any other text is rewritten once
     per distinct text by the caller's function (optional; a failed or empty
     rewrite keeps the text), encoded by the caller's encoder (or looked up in
-    ``vectors``, a table (qid, qvec) of texts encoded before) and searched
-    (blended, as the single form). Blank texts give a row with mode
+    ``vectors``, a table (qid, qvec) of texts encoded before) and searched once
+    per distinct vector (blended, as the single form). Blank texts give a row with mode
     ``error`` and no recommendation.
 
     Output: ``qid, mode, center_appid, rank, appid, similarity, score``
@@ -115,7 +115,14 @@ def prompt_recommend(catalog: DataFrame, queries: DataFrame,
         vecs = encode(sem, make_encoder, "text", "qvec").select(F.col(qid).alias("qid"), "qvec")
     else:
         raise ValueError("texts need an encoder or vectors")
-    hits = (search_batch(catalog, vecs, top_k_n).withColumnRenamed("qid", qid)
+    # one search per distinct vector, handed out to the requests that share it; a
+    # request with several vectors keeps the one that the batch search would
+    vecs = first_per_key(vecs.where(F.col("qvec").isNotNull()), ["qid"], [F.xxhash64("qvec").asc()])
+    vecs = vecs.checkpoint()
+    searched = vecs.groupBy("qvec").agg(F.min("qid").alias("__one")).checkpoint()
+    asked = vecs.join(searched, "qvec").select("qid", "__one")
+    found = search_batch(catalog, searched.select(F.col("__one").alias("qid"), "qvec"), top_k_n)
+    hits = (asked.join(found.withColumnRenamed("qid", "__one"), "__one").drop("__one").withColumnRenamed("qid", qid)
             .select(qid, F.lit("semantic").alias("mode"), F.lit(None).cast(id_type).alias("center_appid"),
                     "rank", key, "similarity", "score"))
     errors = modes.where(F.col("mode") == "error").select(
