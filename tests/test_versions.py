@@ -141,3 +141,20 @@ def test_a_page_is_read_once(spark, tmp):
     land("a.json", 1, 3, ["x"])  # a file that was written anew is a new file
     assert run() == [(1, 10, 1, 30, 2), (2, 20, 0, 20, 2)]
     assert {r.timestamp_updated for r in store.current()[0].where("recommendationid = 'x'").collect()} == {30}
+
+
+def test_a_batch_is_computed_once(spark, tmp):
+    """The rows of a batch are worked out once, and nothing of them stays behind."""
+    from vitrine.session import ensure_checkpoint_dir
+    store = store_of(spark, tmp)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = batch(spark, [(k, f"r{k}", 10, "true", "x") for k in range(40)]).mapInArrow(count, FEED)
+    store.apply(rows)
+    assert seen.value == 40 and store.current()[0].count() == 40
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [n for n in os.listdir(folder) if n.startswith("store-batch-")]

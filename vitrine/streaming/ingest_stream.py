@@ -29,6 +29,7 @@ its commit finds its rows at or below the watermark and changes nothing.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,8 +130,21 @@ class ReviewStore:
         """Upsert one batch, advance the state of its keys, and keep statistics and
         change feed in step, as one version. ``files`` (path, appid, pages) are noted
         as loaded with it."""
+        scratch = checkpoint_path(self.spark, f"store-batch-{uuid.uuid4().hex[:12]}")
+        try:
+            return self._apply(batch, files, scratch)
+        finally:
+            self.log.files.remove(scratch)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        """Rows that are read several times, computed once (a reliable checkpoint
+        computes them twice) and stored by column: the key scans read keys only."""
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _apply(self, batch: DataFrame, files: DataFrame | None, scratch: str) -> Version:
         base = self.version()
-        batch = batch.checkpoint()      # read several times below
+        batch = self._written(batch, os.path.join(scratch, "batch"))
         keyed = [r[0] for r in batch.select(self._key_bucket()).distinct().collect()]   # <= n_buckets values
         commit = self.log.new_commit()
         written: dict[str, list[int] | None] = {}
@@ -142,7 +156,7 @@ class ReviewStore:
         cols = [f.name for f in self.schema.fields]
         state = self.log.read(base, "state", self.state_schema, keyed)
         new = incremental_rows(batch, state, self.key, self.keys[1], self.ts_col).select(*cols)
-        new = new.withColumn(BUCKET, self._row_bucket()).checkpoint()
+        new = self._written(new.withColumn(BUCKET, self._row_bucket()), os.path.join(scratch, "new"))
         touched = [r[0] for r in new.select(BUCKET).distinct().collect()]   # <= n_buckets * n_parts values
         if not touched:
             return self.log.commit(base, commit, written, dropped) if written else base
