@@ -10,8 +10,8 @@ no shuffle of catalog rows.
 
 Many seeds: catalog and query vectors are packed into blocks of bounded bytes. The
 catalog's blocks stay where they are; the queries are sent to them in rounds of
-bounded bytes and multiplied (NumPy) block by block; each block keeps ``k`` rows per
-query, and these are merged. Vectors are never shuffled per pair of blocks.
+bounded bytes and multiplied (NumPy) block by block; each task gives out the rows among
+a query's ``k`` best so far, and these are merged. Vectors are never shuffled per pair of blocks.
 """
 
 from __future__ import annotations
@@ -535,8 +535,8 @@ def batch_neighbours(catalog: DataFrame, queries: DataFrame, top_k_n: int = 10,
     Catalog and queries are packed into blocks of bounded bytes. The catalog is
     packed where it is read and never shuffled. The queries go to its blocks in
     rounds of ``ROUND_BYTES`` at most (so what is broadcast has a proven bound); in a
-    round one distributed job multiplies them and keeps ``k`` rows per query and
-    block, ids and scores only, which are merged. With the blend a job of the same
+    round one distributed job multiplies them and keeps the rows that are among a
+    query's ``k`` best in the blocks a task has read, ids and scores only, which are merged. With the blend a job of the same
     form gathers each query's minimum and maximum first. A small query table is one
     round; further rounds are written as they end.
     """
